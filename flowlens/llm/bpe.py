@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -203,7 +204,11 @@ def bpe_decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", to: str
         for batch in batches:
             for first in range(0, batch.num_rows, 1000):
                 part = batch.slice(first, 1000)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([coder.decode(x or []) for x in part.column(ids).to_pylist()], pa.binary())], [*kept, to])
+                rows = part.column(ids)
+                flat = rows.flatten().to_numpy(zero_copy_only=False)
+                ends = np.cumsum(pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False))
+                out = [coder.decode(x.tolist()) for x in np.split(flat, ends[:-1])]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*kept, to])
 
     return named.mapInArrow(run, T.StructType([*named.schema.fields, T.StructField(to, T.BinaryType())]))
 
