@@ -17,8 +17,10 @@ LOCAL_SHARED = "/tmp/checkpoints"
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
-_POWERS = np.ones(1, np.uint64)
-_ODD = 0x9E3779B97F4A7C15
+_TABLES: dict[int, np.ndarray] = {}
+#: An odd number and its inverse modulo 2 ** 64.
+ODD = 0x9E3779B97F4A7C15
+BACK = pow(ODD, -1, 1 << 64)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -96,11 +98,11 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(offsets[1:], starts, "right")
 
 
-def powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        _POWERS = np.cumprod(np.concatenate([[1], np.full(max(n, 256) - 1, _ODD, np.uint64)]).astype(np.uint64), dtype=np.uint64)
-    return _POWERS
+def powers(n: int, of: int = ODD) -> np.ndarray:
+    """The first n powers modulo 2 ** 64."""
+    if len(_TABLES.get(of, ())) < n:
+        _TABLES[of] = np.cumprod(np.append(np.ones(1, np.uint64), np.full(max(n, 256) - 1, of, np.uint64)), dtype=np.uint64)
+    return _TABLES[of][:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -109,12 +111,24 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(30))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, reach: int = 1 << 19) -> np.ndarray:
     """A 64-bit hash of the bytes of each span; the spans are in order and don't overlap."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    lengths = ends - starts
-    first = np.cumsum(lengths) - lengths
-    within = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
-    values = (data[within + np.repeat(starts, lengths)].astype(np.uint64) + np.uint64(1)) * powers(int(lengths.max()))[within]
-    return mix(np.add.reduceat(values, first) + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    out, first = np.empty(len(starts), np.uint64), 0
+    while first < len(starts):
+        begin = int(starts[first])
+        end = max(first + 1, int(np.searchsorted(ends, begin + reach, "right")))
+        own, low, high = slice(first, end), starts[first:end] - begin, ends[first:end] - begin
+        n = int(high[-1])
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum((data[begin : begin + n] + np.uint64(1)) * powers(n), out=total[1:])
+        out[own] = (total[high] - total[low]) * powers(n, BACK)[low] + (high - low).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        first = end
+    return mix(out)
+
+
+def in_blocks(df: DataFrame, text: str = "text", size: int = 8 << 20) -> DataFrame:
+    """df with `_block`: rows dealt by a hash of id and text to blocks of about `size` bytes of text. A block
+    is what a task holds at once; their number grows with the input."""
+    total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    blocks = max(total // size + 1, df.sparkSession.sparkContext.defaultParallelism)
+    return df.withColumn("_block", F.pmod(F.xxhash64("doc_id", text), F.lit(blocks)).cast("int"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, telephony
+from . import bpe, ctw, packing, quality, simhash, substrings, telephony
 from .common import documents
 
 
@@ -15,14 +15,30 @@ def op2_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.text_clips(documents(spark, sf_dir))
 
 
+def op3_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.train_and_score(documents(spark, sf_dir))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicate_report(documents(spark, sf_dir))
+
+
+def op7_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.held_out_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeat_report(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
