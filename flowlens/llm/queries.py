@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ctw, packing, quality, simhash, substrings, telephony
+from . import bpe, ctw, linejoin, packing, permutation, quality, simhash, substrings, telephony
 from .common import documents
 
 
@@ -19,6 +19,10 @@ def op3_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.train_and_score(documents(spark, sf_dir))
 
 
+def op4_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation.nearest_report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -35,6 +39,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linejoin.line_report(documents(spark, sf_dir))
+
+
 def op10_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeat_report(documents(spark, sf_dir))
 
