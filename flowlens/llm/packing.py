@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,27 +30,74 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 WORD = re.compile(rf"[^{SPACE}]+")
 #: Characters that str.split() takes for white space and Unicode doesn't.
 ODD = re.compile("[\x1c-\x1f]")
-#: Entries of a worker's cache; the older half goes when it is full, which costs time only.
-CACHE = 250_000
+#: Entries of each half of a worker's caches.
+CACHE = 600_000
+
+
+class Recent:
+    """A bounded map: the older half goes when it is full, which costs time only."""
+
+    def __init__(self, most: int = CACHE):
+        self.most, self.new, self.old = most, {}, {}
+
+    def put(self, key: str, value: bytes) -> bytes:
+        if len(self.new) >= self.most:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+        return value
+
+    def get(self, key: str) -> bytes | None:
+        found = self.new.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
 
 
 class WordTokens:
-    """Ids of texts by a tokenizer that never joins characters across white space: words are encoded once and kept."""
+    """Ids of texts by a tokenizer that never joins characters across white space: words, and within them the
+    runs that the tokenizer encodes separately, are encoded once and kept."""
+
+    #: Fixed value: the tokenizer's own runs.
+    RUNS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.new, self.old = {}, {}
-
-    def learn(self, words: list[str]) -> None:
-        for first in range(0, len(words), 5000):
-            some = words[first : first + 5000]
-            if len(self.new) + len(some) > CACHE:
-                self.old, self.new = self.new, {}
-            for word, coded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.new[word] = np.array(coded.ids, "<u4").tobytes()
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.words, self.runs = Recent(), Recent(CACHE // 2)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _encode_runs(self, runs: list[str]) -> list[bytes]:
+        """Each run ends in a token that closes a word, so many are encoded as one text and parted there."""
+        ids = np.array(self.tokenizer.encode(" ".join(runs), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) != len(runs):
+            return [self._whole(run) for run in runs]
+        data, begin = ids.tobytes(), 0
+        out = []
+        for end in (4 * ends).tolist():
+            out.append(data[begin:end])
+            begin = end
+        return out
+
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words that aren't kept. Beyond Latin-1 the tokenizer sees the whole word."""
+        parted = {w: self.RUNS.findall(w.lower()) for w in words if w.isascii() or max(w) <= "\xff"}
+        ids = {run: self.runs.get(run) for run in {run for runs in parted.values() for run in runs}}
+        new = [run for run, own in ids.items() if own is None]
+        for first in range(0, len(new), 200):
+            some = new[first : first + 200]
+            ids.update(zip(some, self._encode_runs(some), strict=True))
+        for run in new:
+            if len(run) < 64:
+                self.runs.put(run, ids[run])
+        return {w: b"".join([ids[run] for run in parted[w]]) if w in parted else self._whole(w) for w in words}
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
@@ -57,16 +105,15 @@ class WordTokens:
         out = []
         for first in range(0, len(words), 20_000):
             some = words[first : first + 20_000]
-            ids = list(map(self.new.get, some))
+            ids = list(map(self.words.new.get, some))
             if None in ids:
-                missing = dict.fromkeys(w for w, i in zip(some, ids, strict=True) if i is None)
-                again = {w: i for w in missing if (i := self.old.get(w)) is not None}
-                long = [w for w in missing if len(w) > 100]
-                own = {w: np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in long}
-                own |= again
-                self.learn([w for w in missing if w not in own])
-                self.new.update(again)
-                ids = [i if i is not None else own.get(w) or self.new.get(w, b"") for w, i in zip(some, ids, strict=True)]
+                missing = {w: self.words.get(w) for w, i in zip(some, ids, strict=True) if i is None}
+                learned = self.learn([w for w, i in missing.items() if i is None])
+                for w, i in learned.items():
+                    if len(w) < 64:
+                        self.words.put(w, i)
+                missing |= learned
+                ids = [missing[w] if i is None else i for w, i in zip(some, ids, strict=True)]
             out += ids
         return b"".join(out)
 
