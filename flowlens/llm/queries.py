@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ctw, linejoin, packing, permutation, quality, simhash, substrings, telephony
+from . import bpe, ctw, linejoin, packing, permutation, pii, quality, simhash, substrings, telephony
 from .common import documents
 
 
+def op1_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_report(documents(spark, sf_dir))
+
+
 def op2_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.text_clips(documents(spark, sf_dir))
 
