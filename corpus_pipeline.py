@@ -1,10 +1,56 @@
-"""The corpus pipeline: each stage works on all that its predecessor kept."""
+"""The corpus pipeline: each stage works on all that its predecessor kept, and its decisions take effect.
+
+Documents that the quality classifier rejects go; lines that match earlier ones go; of each group of
+near-duplicates the document with the smallest id stays; personal data is replaced by its kind; what is left is
+packed. Documents without an id can't be told apart, so all of them stay. n_chars follows the text.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
+from flowlens.llm import linejoin, packing, pii, quality, simhash
+from flowlens.llm.common import fold
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def _as_before(docs: DataFrame, now: DataFrame) -> DataFrame:
+    """now with the columns of docs, n_chars counted anew."""
+    return now.select(*(F.length("text").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.train(docs, labels.where(fold("doc_id", 3) != 1))
+    return quality.score(docs, model, to="_quality").where("_quality >= 0.5").drop("_quality")
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _as_before(docs, linejoin.dedup_lines(docs))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    first = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.where("doc_id is not null")
+    return named.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _as_before(docs, pii.redact(docs, pii.train(docs)))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
 
-STAGES: list = []
+STAGES = [
+    ("quality_classifier", quality_stage),
+    ("line_dedup", line_stage),
+    ("simhash_near_dedup", near_duplicate_stage),
+    ("pii", pii_stage),
+    ("packing", packing_stage),
+]
+#: SQL can't express the classifier, the random field or the tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
