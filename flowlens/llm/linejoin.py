@@ -7,8 +7,8 @@ out most pairs, and the true words decide. A line is removed if it equals, or ha
 that comes earlier in the order of doc_id, line number and text.
 
 Equal lines (as multisets of words) are one class; only its first line is compared. At each word a class reports
-its likeliest earlier match; a class none of whose reported matches holds has all of them looked at in a second
-round, so none is missed and groups of near copies never give all their pairs.
+a few earlier candidates, or of many the earliest; a class with many, none of which holds, has all of them looked
+at in a second round, so none is missed and groups of near copies never give all their pairs.
 
 Defined results: null and empty texts have one empty line; lines without words are kept; a null doc_id comes
 first; of repeated rows the second loses all its lines with words; words of any length count as one.
@@ -20,13 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_blocks, materialise, mix, slices, span_hashes, string_buffers, whole_text, word_spans
 
-#: Buckets of word counts.
-BUCKETS = 1 << 20
+#: Buckets of word counts, and the parts in which tasks send them.
+BUCKETS, PARTS = 1 << 24, 64
 #: Bits of the map of lines whose text is asked for.
 ASKED = 1 << 24
 #: The least Jaccard similarity is UP / DOWN.
@@ -58,6 +59,11 @@ class Lines:
         return self.data[self.start[i] : self.end[i]].tobytes()
 
 
+def rarity(counts: np.ndarray) -> np.ndarray:
+    """Counts on a logarithmic scale of one byte: 0 for none, 1 for one, and so on up."""
+    return np.minimum(np.ceil(8 * np.log2(counts + 1.0) - 7), 255).clip(0).astype(np.uint8)
+
+
 def prefixes(lines: Lines, counts: np.ndarray) -> tuple[np.ndarray, ...]:
     """Rows of filled line, word, size, place and parity map for the prefix of every line of four words or more;
     smaller sets have that similarity to equal sets alone."""
@@ -67,9 +73,9 @@ def prefixes(lines: Lines, counts: np.ndarray) -> tuple[np.ndarray, ...]:
     new = np.ones(len(words), bool)
     new[1:] = (nth[1:] != nth[:-1]) | (words[1:] != words[:-1])
     nth, words = nth[new], words[new]
-    rare = np.minimum(counts[(words & np.uint64(BUCKETS - 1)).astype(np.int64)], (1 << 20) - 1).astype(np.uint64)
-    order = np.argsort(nth << np.uint64(40) | rare << np.uint64(20) | words >> np.uint64(44), kind="stable")
-    nth, words = nth[order].astype(np.int64), words[order]
+    rare = counts[(words & np.uint64(BUCKETS - 1)).astype(np.int64)]
+    order = np.argsort(nth << np.uint64(40) | rare.astype(np.uint64) << np.uint64(32) | words >> np.uint64(32), kind="stable")
+    nth, words, rare = nth[order].astype(np.int64), words[order], rare[order]
     size = np.bincount(nth, minlength=len(lines.filled))
     begin = np.cumsum(size) - size
     bit = np.uint64(1) << (words >> np.uint64(32) & np.uint64(63))
@@ -78,83 +84,91 @@ def prefixes(lines: Lines, counts: np.ndarray) -> tuple[np.ndarray, ...]:
     least = -(-UP * size // DOWN)
     taken = (place < (size - least + 1)[nth]) & (size[nth] >= 4)
     # a word that no other line holds can't be shared
-    taken &= counts[(words & np.uint64(BUCKETS - 1)).astype(np.int64)] > 1
+    taken &= rare > 1
     at = nth[taken]
-    return at, words[taken].view(np.int64), size[at].astype(np.int32), place[taken].astype(np.int32), parity[at].view(np.int64)
+    # half of the word's hash, the size and the place in one number, in this order
+    packed = (words[taken] >> np.uint64(33) << np.uint64(32)) | np.minimum(size[at], LONGEST).astype(np.uint64) << np.uint64(16) | np.minimum(place[taken], LONGEST).astype(np.uint64)
+    return at, packed.view(np.int64), parity[at].view(np.int64)
 
 
-COLUMNS = ("word", "size", "key", "doc", "number", "place", "parity", "open")
+#: Sizes from here on are only known to be as large.
+LONGEST = (1 << 16) - 1
+#: Candidates of a class and a word that are all reported; of more, the earliest is.
+REPORTED = 3
+COLUMNS = ("packed", "key", "doc", "number", "parity")
 
 
-def matches(rows: dict[str, np.ndarray], every: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidates (key, earlier key, how many) among rows in the order of word, size and key. every: all pairs
-    whose later class is open; otherwise the one with the nearest parity map for each class and word."""
-    n = len(rows["word"])
-    if n < 2:
-        none = np.zeros(0, np.int64)
-        return none, none, none
+def matches(rows: dict[str, np.ndarray], every: bool) -> tuple[np.ndarray, ...]:
+    """Candidates (key, earlier key, word, whether there are more) of rows in the order of packed. every: all of them."""
+    n = len(rows["packed"])
     # rows of one word and class: the first line of the class stands for it
-    order = np.lexsort((rows["number"], rows["doc"], rows["key"], rows["size"], rows["word"]))
-    word, key = rows["word"][order], rows["key"][order]
+    order = np.lexsort((rows["number"], rows["doc"], rows["key"], rows["packed"] >> 16))
+    packed, key = rows["packed"][order], rows["key"][order]
     new = np.ones(n, bool)
-    new[1:] = (word[1:] != word[:-1]) | (key[1:] != key[:-1])
-    word, size, key, doc, number, place, parity, is_open = (rows[c][order][new] for c in COLUMNS)
-    parity, size, n = parity.view(np.uint64), size.astype(np.int64), len(word)
-    best, partner, count = np.full(n, 1 << 30), np.zeros(n, np.int64), np.zeros(n, np.int64)
-    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    new[1:] = (packed[1:] >> 16 != packed[:-1] >> 16) | (key[1:] != key[:-1])
+    packed, key, doc, number, parity = (rows[c][order][new] for c in COLUMNS)
+    word, size, place, n = packed >> 32, packed >> 16 & LONGEST, packed & LONGEST, len(packed)
+    parity, long = parity.view(np.uint64), size == LONGEST
+    time = np.empty(n, np.int64)
+    time[np.lexsort((key, number, doc))] = np.arange(n)
+    count, first = np.zeros(n, np.int64), np.arange(n)
+    slots = np.zeros((n, REPORTED), np.int64)
+    later_of, earlier_of = [], []
     at = np.arange(n)
     for step in range(1, n):
         at = at[at + step < n]
-        at = at[(word[at] == word[at + step]) & (DOWN * size[at] >= UP * size[at + step])]
+        at = at[(word[at] == word[at + step]) & ((DOWN * size[at] >= UP * size[at + step]) | long[at + step])]
         if not len(at):
             break
         i, j = at, at + step
         both = size[i] + size[j]
         need = -(-UP * both // (UP + DOWN))
         apart = np.bitwise_count(parity[i] ^ parity[j]).astype(np.int64)
-        good = (1 + np.minimum(size[i] - 1 - place[i], size[j] - 1 - place[j]) >= need) & (apart <= both - 2 * need)
-        i, j, apart = i[good], j[good], apart[good]
-        later = (doc[i] > doc[j]) | (doc[i] == doc[j]) & ((number[i] > number[j]) | (number[i] == number[j]) & (key[i] > key[j]))
-        for who, other, d in ((i[later], j[later], apart[later]), (j[~later], i[~later], apart[~later])):
+        good = (1 + np.minimum(size[i] - 1 - place[i], size[j] - 1 - place[j]) >= need) & (apart <= both - 2 * need) | long[j]
+        i, j = i[good], j[good]
+        swap = time[i] > time[j]
+        for who, other in ((i[swap], j[swap]), (j[~swap], i[~swap])):
             if every:
-                wanted = is_open[who]
-                pairs.append((key[who[wanted]], key[other[wanted]]))
-            else:
-                nearer = d < best[who]
-                best[who[nearer]], partner[who[nearer]] = d[nearer], other[nearer]
-                count[who] += 1
-    if every:
-        a, b = (np.concatenate([x[k] for x in pairs]) if pairs else np.zeros(0, np.int64) for k in (0, 1))
-        return a, b, np.ones(len(a), np.int64)
-    some = np.flatnonzero(count)
-    return key[some], key[partner[some]], count[some]
-
-
-def candidates(postings: DataFrame, every: bool) -> DataFrame:
-    """later, earlier, n: classes that may be similar."""
+                later_of.append(who), earlier_of.append(other)
+                continue
+            first[who] = np.where(time[other] < time[first[who]], other, first[who])
+            few = count[who] < REPORTED
+            slots[who[few], count[who[few]]] = other[few]
+            count[who] += 1
+    if not every:
+        some, many = np.flatnonzero((count > 0) & (count <= REPORTED)), np.flatnonzero(count > REPORTED)
+        later_of = [some[count[some] > k] for k in range(REPORTED)] + [many]
+        earlier_of = [slots[some[count[some] > k], k] for k in range(REPORTED)] + [first[many]]
+    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (later_of, earlier_of))
+    return key[a], key[b], word[a], count[a] > REPORTED
+
+
+def candidates(postings: DataFrame, every: bool = False) -> DataFrame:
+    """later, earlier, word, more: classes that may be similar."""
     parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = postings.repartition(parts, "word").sortWithinPartitions("word")
+    dealt = postings.repartition(parts, F.shiftright("packed", 32)).sortWithinPartitions("packed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[str, list[np.ndarray]] = {c: [] for c in COLUMNS}
 
         def flush(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in matches(rows, every)], ["later", "earlier", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in matches(rows, every)], ["later", "earlier", "word", "more"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in COLUMNS}
-            done = np.searchsorted(rows["word"], rows["word"][-1])  # the last word may go on
-            if done or kept["word"] and kept["word"][-1][-1] != rows["word"][-1]:
+            word = rows["packed"] >> 32
+            done = np.searchsorted(word, word[-1])  # the last word may go on
+            if done or kept["packed"] and kept["packed"][-1][-1] >> 32 != word[-1]:
                 yield flush({c: np.concatenate([*kept[c], rows[c][:done]]) for c in COLUMNS})
                 kept = {c: [] for c in COLUMNS}
             for c in COLUMNS:
                 kept[c].append(rows[c][done:])
-        if kept["word"]:
+        if kept["packed"]:
             yield flush({c: np.concatenate(kept[c]) for c in COLUMNS})
 
-    return dealt.mapInArrow(run, "later long, earlier long, n long").groupBy("later", "earlier").agg(F.max("n").alias("n"))
+    return dealt.mapInArrow(run, "later long, earlier long, word long, more boolean")
 
 
 def similar(a: bytes, b: bytes) -> bool:
@@ -163,22 +177,30 @@ def similar(a: bytes, b: bytes) -> bool:
     return DOWN * common >= UP * (len(one) + len(other) - common)
 
 
+def key_map(keys: DataFrame) -> np.ndarray:
+    """A map with one bit for the low bits of each key; what comes to the driver has a fixed bound."""
+    at = F.col("key").bitwiseAND(F.lit(ASKED - 1))
+    bits = keys.groupBy(F.shiftright(at, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(ASKED >> 6, np.int64)
+    out[bits.column("at").to_numpy()] = bits.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def in_map(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    low = keys.view(np.uint64) & np.uint64(ASKED - 1)
+    return (bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs whose lines are similar; the lines are fetched from the documents by a map of the keys asked for."""
-    spark = pairs.sparkSession
     keys = pairs.select(F.explode(F.array("later", "earlier")).alias("key")).distinct()
-    at = F.col("key").bitwiseAND(F.lit(ASKED - 1))
-    bits = keys.groupBy(F.shiftright(at, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(key & 63 as int))")).alias("bits")).toArrow()
-    asked = np.zeros(ASKED >> 6, np.int64)
-    asked[bits.column("at").to_numpy()] = bits.column("bits").to_numpy()
-    asked = spark.sparkContext.broadcast(asked.view(np.uint64))
+    asked = pairs.sparkSession.sparkContext.broadcast(key_map(keys))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 lines = Lines(part.column("text"))
-                low = lines.key.view(np.uint64) & np.uint64(ASKED - 1)
-                hit = np.flatnonzero(asked.value[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63)) & np.uint64(1))
+                hit = np.flatnonzero(in_map(asked.value, lines.key))
                 _, first = np.unique(lines.key[hit], return_index=True)
                 yield pa.RecordBatch.from_arrays([pa.array(lines.key[hit[first]]), pa.array([lines.line(lines.filled[i]) for i in hit[first]], pa.binary())], ["key", "line"])
 
@@ -202,49 +224,65 @@ def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     blocks = in_blocks(docs.withColumns({"text": whole_text(text), "_doc": order}).select(*[c for c in kept], "text", "_doc")).withColumn("_mark", F.xxhash64("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows for lines (block, key, doc, number, mark) and, with block -1, for counts of word buckets."""
-        counts = np.zeros(BUCKETS, np.int64)
-
-        def rows(block, key, doc, number, mark) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(key), pa.array(doc), pa.array(number, pa.int32()), pa.array(mark)], ["_block", "key", "doc", "number", "mark"])
-
+        """Rows for lines (block, key, doc, number, mark) and, with block -1, the packed counts of a part of the buckets."""
+        counts = np.zeros(BUCKETS, np.uint32)
+        names = ["_block", "key", "doc", "number", "mark", "counts"]
         for batch in batches:
             for part in slices(batch, "text"):
                 lines = Lines(part.column("text"))
-                np.add.at(counts, (lines.words & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
+                np.add.at(counts, (lines.words & np.uint64(BUCKETS - 1)).astype(np.int64), np.uint32(1))
                 at = lines.text[lines.filled]
-                yield rows(part.column("_block").to_numpy()[at], lines.key, part.column("_doc").to_numpy()[at], lines.number[lines.filled], part.column("_mark").to_numpy()[at])
-        some = np.flatnonzero(counts)
-        yield rows(np.full(len(some), -1, np.int32), some, counts[some], np.zeros(len(some), np.int32), np.zeros(len(some), np.int64))
-
-    lines = materialise(blocks.select("text", "_block", "_doc", "_mark").mapInArrow(scan, "_block int, key long, doc long, number int, mark long"))
-    found = lines.where("_block = -1").groupBy("key").agg(F.sum("doc").alias("n")).toArrow()
-    counts = np.zeros(BUCKETS, np.int64)
-    counts[found.column("key").to_numpy()] = found.column("n").to_numpy()
-    counts = spark.sparkContext.broadcast(np.minimum(counts, (1 << 31) - 1).astype(np.int32))
-
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                columns = (part.column("_block").to_numpy()[at], lines.key, part.column("_doc").to_numpy()[at], lines.number[lines.filled].astype(np.int32), part.column("_mark").to_numpy()[at])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(at), pa.binary())], names)
+        for k, own in enumerate(np.split(counts, PARTS)):
+            if own.any():
+                one = pa.array([0], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([k], pa.int64()), one, pa.array([0], pa.int32()), one, pa.array([zstandard.compress(own.tobytes())], pa.binary())], names)
+
+    def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of the counts of each part that a task has."""
+        sums: dict[int, np.ndarray] = {}
+        for batch in parts:
+            for k, raw in zip(batch.column("key").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                own = np.frombuffer(zstandard.decompress(raw), np.uint32)
+                sums[k] = sums.get(k, 0) + own.astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([zstandard.compress(rarity(x).tobytes()) for x in sums.values()], pa.binary())], ["key", "codes"])
+
+    lines = materialise(blocks.select("text", "_block", "_doc", "_mark").mapInArrow(scan, "_block int, key long, doc long, number int, mark long, counts binary"))
+    codes = np.zeros((PARTS, BUCKETS // PARTS), np.uint8)
+    for row in lines.where("_block = -1").select("key", "counts").repartition(PARTS, "key").mapInArrow(add, "key long, codes binary").collect():  # PARTS rows, of a fixed size together
+        codes[row["key"]] = np.frombuffer(zstandard.decompress(bytes(row["codes"])), np.uint8)
+    counts = spark.sparkContext.broadcast(zstandard.compress(codes.tobytes()))
+    lines = lines.where("_block >= 0").drop("counts")
+
+    def post(batches: Iterator[pa.RecordBatch], words: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        codes = np.frombuffer(zstandard.decompress(counts.value), np.uint8)
         for batch in batches:
             for part in slices(batch, "text"):
                 lines = Lines(part.column("text"))
-                at, word, size, place, parity = prefixes(lines, counts.value)
+                at, packed, parity = prefixes(lines, codes)
+                if words is not None:
+                    wanted = in_map(words, packed >> 32)
+                    at, packed, parity = at[wanted], packed[wanted], parity[wanted]
                 line = lines.filled[at]
-                columns = (word, size, lines.key[at], part.column("_doc").to_numpy()[lines.text[line]], lines.number[line].astype(np.int32), place, parity)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], list(COLUMNS[:-1]))
-
-    postings = blocks.select("text", "_doc").mapInArrow(post, "word long, size int, key long, doc long, number int, place int, parity long")
-    pairs = materialise(candidates(postings.withColumn("open", F.lit(False)), False))
-    true = materialise(verified(pairs, blocks))
-    similar_to = true.select(F.col("later").alias("key")).distinct()
-    left = materialise(pairs.groupBy(F.col("later").alias("key")).agg(F.max("n").alias("n")).where("n > 1").join(similar_to, "key", "left_anti").select("key", F.lit(True).alias("_open")))
+                columns = (packed, lines.key[at], part.column("_doc").to_numpy()[lines.text[line]], lines.number[line].astype(np.int32), parity)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], list(COLUMNS))
+
+    shape = "packed long, key long, doc long, number int, parity long"
+    found = materialise(candidates(blocks.select("text", "_doc").mapInArrow(post, shape)))
+    pairs = found.select("later", "earlier").distinct()
+    similar_to = materialise(verified(pairs, blocks).select(F.col("later").alias("key")).distinct())
+    # classes with more candidates than were reported, none of which held: all candidates at those words
+    left = materialise(found.where("more").join(similar_to, found["later"] == similar_to["key"], "left_anti").select("later", "word").distinct())
     if not left.isEmpty():
-        again = postings.join(left, "key", "left").withColumn("open", F.coalesce("_open", F.lit(False))).drop("_open")
-        more = materialise(candidates(again, True).select("later", "earlier").join(pairs, ["later", "earlier"], "left_anti"))
-        similar_to = similar_to.union(verified(more, blocks).select(F.col("later").alias("key"))).distinct()
+        words = spark.sparkContext.broadcast(key_map(left.select(F.col("word").alias("key"))))
+        again = blocks.select("text", "_doc").mapInArrow(lambda batches: post(batches, words.value), shape)
+        more = candidates(again, True).join(left.select("later").distinct(), "later", "left_semi").select("later", "earlier").distinct()
+        similar_to = similar_to.union(verified(materialise(more), blocks).select(F.col("later").alias("key"))).distinct()
 
-    classes = lines.where("_block >= 0").groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc", "number", "mark")).alias("keep"))
+    classes = lines.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc", "number", "mark")).alias("keep"))
     gone = classes.join(similar_to.withColumn("_similar", F.lit(True)), "key", "left").where("n > 1 or _similar")
-    told = lines.where("_block >= 0").select("_block", "key").distinct().join(gone, "key")
+    told = lines.select("_block", "key").distinct().join(gone, "key")
     told = told.select("_block", "key", F.coalesce("_similar", F.lit(False)).alias("similar"), "keep.doc", "keep.number", "keep.mark")
 
     def cut(docs: pa.Table, told: pa.Table) -> pa.Table:
