@@ -51,9 +51,19 @@ def op10_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeat_report(documents(spark, sf_dir))
 
 
+#: Windows of 35 words counted as hashes; a word goes if one of the windows that hold it occurs twice.
+OP10 = r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d),
+x AS (SELECT doc_id, p, w[p] AS word, CASE WHEN p + 34 <= len(w) THEN md5(array_to_string(w[p:p + 34], ' ')) END AS h FROM t),
+r AS (SELECT h FROM x WHERE h IS NOT NULL GROUP BY h HAVING count(*) > 1),
+c AS (SELECT x.doc_id, p, word, max(CASE WHEN r.h IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY x.doc_id ORDER BY p ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM x LEFT JOIN r ON x.h = r.h)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d
+LEFT JOIN (SELECT doc_id, sum(gone) AS n, string_agg(word, ' ' ORDER BY p) FILTER (gone = 0) AS k FROM c GROUP BY doc_id) USING (doc_id)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_fm_index": OP10}
