@@ -78,18 +78,26 @@ def embedding_clusters(vectors: DataFrame, k: int, embedding: str = "embedding")
     return KMeans(k=k, seed=SEED, featuresCol="vector", predictionCol="cluster").fit(made).transform(made).drop("_v", "vector")
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df with its lineage cut, in the folder that the cluster names, or a local one where none is named."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints")
+    return df.checkpoint()
+
+
 def density_clusters(vectors: DataFrame, key: str, eps: float, min_points: int = 5, embedding: str = "embedding", rounds: int = 20) -> DataFrame:
     """key, cluster by density: core points have min_points neighbours within eps; -1 is noise. Neighbours come from a
     hashed similarity join; labels spread by rounds of least-label joins until none changes."""
     points = vectors.select(F.col(key).alias("id"), array_to_vector(F.col(embedding).cast("array<double>")).alias("v"))
     lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="_h", bucketLength=2 * eps, numHashTables=4, seed=SEED).fit(points)
-    near = lsh.approxSimilarityJoin(points, points, eps, "_d").select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b")).checkpoint()
+    near = checkpointed(lsh.approxSimilarityJoin(points, points, eps, "_d").select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b")))
     core = near.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= min_points).select(F.col("a").alias("id"))
-    edges = near.join(core.select(F.col("id").alias("a")), "a").join(core.select(F.col("id").alias("b")), "b").checkpoint()
-    labels = core.withColumn("cluster", F.col("id")).checkpoint()
+    edges = checkpointed(near.join(core.select(F.col("id").alias("a")), "a").join(core.select(F.col("id").alias("b")), "b"))
+    labels = checkpointed(core.withColumn("cluster", F.col("id")))
     for _ in range(rounds):
         least = edges.join(labels, edges["b"] == labels["id"]).groupBy("a").agg(F.min("cluster").alias("m"))
-        new = labels.join(least, labels["id"] == least["a"], "left").select("id", F.least("cluster", F.coalesce("m", "cluster")).alias("cluster")).checkpoint()
+        new = checkpointed(labels.join(least, labels["id"] == least["a"], "left").select("id", F.least("cluster", F.coalesce("m", "cluster")).alias("cluster")))
         changed = new.join(labels.withColumnRenamed("cluster", "old"), "id").where("cluster <> old").limit(1).count()
         labels = new
         if not changed:
