@@ -95,7 +95,8 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     before[cuts[cuts < len(data)]] = False
     after[cuts[cuts > 0] - 1] = False
     starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    return starts, ends, np.searchsorted(offsets[1:], starts, "right")
+    first = np.searchsorted(starts, offsets)
+    return starts, ends, np.repeat(np.arange(len(offsets) - 1), np.diff(first))
 
 
 def powers(n: int, of: int = ODD) -> np.ndarray:

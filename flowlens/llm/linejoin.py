@@ -48,10 +48,13 @@ class Lines:
         self.number = np.arange(len(self.text)) - np.repeat(np.cumsum(self.count) - self.count, self.count)
         starts, ends, _ = word_spans(self.data, offsets)
         self.words = span_hashes(self.data, starts, ends)
-        self.of = np.searchsorted(self.start, starts, "right") - 1
-        # empty lines share their start with the next line; the last of those holds the word
-        self.filled, first = np.unique(self.of, return_index=True)
-        n = np.diff(np.append(first, len(self.of))).astype(np.uint64)
+        # an empty line shares its start with the next one and has no words
+        first = np.searchsorted(starts, self.start)
+        n = np.diff(np.append(first, len(starts)))
+        self.filled = np.flatnonzero(n)
+        first, n = first[self.filled], n[self.filled]
+        self.nth = np.repeat(np.arange(len(n)), n)  # of the filled lines, for each word
+        self.begin, n = first, n.astype(np.uint64)
         total = np.add.reduceat(mix(self.words), first) if len(first) else np.zeros(0, np.uint64)
         self.key = mix(total + n * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)  # of the filled lines
 
@@ -64,12 +67,16 @@ def rarity(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.ceil(8 * np.log2(counts + 1.0) - 7), 255).clip(0).astype(np.uint8)
 
 
-def prefixes(lines: Lines, counts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Rows of filled line, word, size, place and parity map for the prefix of every line of four words or more;
-    smaller sets have that similarity to equal sets alone."""
-    nth = np.searchsorted(lines.filled, lines.of).astype(np.uint64)
-    order = np.argsort(nth << np.uint64(40) | lines.words >> np.uint64(24), kind="stable")
-    nth, words = nth[order], lines.words[order]
+def prefixes(lines: Lines, counts: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Rows of filled line, packed word, size and place, the word before, and parity map for the prefix of every line
+    of four words or more; smaller sets have that similarity to equal sets alone. wanted: a map of the words to give."""
+    words, nth = lines.words, lines.nth
+    if wanted is not None and len(words):
+        some = np.logical_or.reduceat(in_map(wanted, words >> np.uint64(33)), lines.begin)[nth]
+        words, nth = words[some], nth[some]
+    nth = nth.astype(np.uint64)
+    order = np.argsort(nth << np.uint64(40) | words >> np.uint64(24), kind="stable")
+    nth, words = nth[order], words[order]
     new = np.ones(len(words), bool)
     new[1:] = (nth[1:] != nth[:-1]) | (words[1:] != words[:-1])
     nth, words = nth[new], words[new]
@@ -78,41 +85,53 @@ def prefixes(lines: Lines, counts: np.ndarray) -> tuple[np.ndarray, ...]:
     nth, words, rare = nth[order].astype(np.int64), words[order], rare[order]
     size = np.bincount(nth, minlength=len(lines.filled))
     begin = np.cumsum(size) - size
+    filled = np.flatnonzero(size)
     bit = np.uint64(1) << (words >> np.uint64(32) & np.uint64(63))
-    parity = np.bitwise_xor.reduceat(bit, begin) if len(begin) else np.zeros(0, np.uint64)
+    parity = np.zeros(len(size), np.uint64)
+    if len(filled):
+        parity[filled] = np.bitwise_xor.reduceat(bit, begin[filled])
     place = np.arange(len(words)) - begin[nth]
     least = -(-UP * size // DOWN)
     taken = (place < (size - least + 1)[nth]) & (size[nth] >= 4)
     # a word that no other line holds can't be shared
     taken &= rare > 1
+    half = words >> np.uint64(33)
+    before = np.zeros(len(words), np.uint64)
+    before[1:] = half[:-1] + np.uint64(1)
+    before[place == 0] = 0
+    if wanted is not None:
+        taken &= in_map(wanted, half)
     at = nth[taken]
     # half of the word's hash, the size and the place in one number, in this order
-    packed = (words[taken] >> np.uint64(33) << np.uint64(32)) | np.minimum(size[at], LONGEST).astype(np.uint64) << np.uint64(16) | np.minimum(place[taken], LONGEST).astype(np.uint64)
-    return at, packed.view(np.int64), parity[at].view(np.int64)
+    packed = (half[taken] << np.uint64(32)) | np.minimum(size[at], LONGEST).astype(np.uint64) << np.uint64(16) | np.minimum(place[taken], LONGEST).astype(np.uint64)
+    return at, packed.view(np.int64), before[taken].view(np.int64), parity[at].view(np.int64)
 
 
 #: Sizes from here on are only known to be as large.
 LONGEST = (1 << 16) - 1
-#: Candidates of a class and a word that are all reported; of more, the earliest is.
-REPORTED = 3
-COLUMNS = ("packed", "key", "doc", "number", "parity")
+#: Candidates of a class and a word that are all reported; of more, the nearest and the earliest are.
+REPORTED = 4
+#: line: the number of the line and the word before, 32 bits each.
+COLUMNS = ("packed", "key", "doc", "line", "parity")
 
 
-def matches(rows: dict[str, np.ndarray], every: bool) -> tuple[np.ndarray, ...]:
-    """Candidates (key, earlier key, word, whether there are more) of rows in the order of packed. every: all of them."""
+def matches(rows: dict[str, np.ndarray], wanted: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Candidates (key, earlier key, word, whether there are more) of rows in the order of packed. wanted: a map of the
+    classes of which all are given. Pairs with the same word before meet there already, and on to where they don't."""
     n = len(rows["packed"])
     # rows of one word and class: the first line of the class stands for it
-    order = np.lexsort((rows["number"], rows["doc"], rows["key"], rows["packed"] >> 16))
+    order = np.lexsort((rows["line"], rows["doc"], rows["key"], rows["packed"] >> 16))
     packed, key = rows["packed"][order], rows["key"][order]
     new = np.ones(n, bool)
     new[1:] = (packed[1:] >> 16 != packed[:-1] >> 16) | (key[1:] != key[:-1])
-    packed, key, doc, number, parity = (rows[c][order][new] for c in COLUMNS)
-    word, size, place, n = packed >> 32, packed >> 16 & LONGEST, packed & LONGEST, len(packed)
+    packed, key, doc, line, parity = (rows[c][order][new] for c in COLUMNS)
+    word, size, place, before, n = packed >> 32, packed >> 16 & LONGEST, packed & LONGEST, line & 0xFFFFFFFF, len(packed)
     parity, long = parity.view(np.uint64), size == LONGEST
+    is_open = np.zeros(n, bool) if wanted is None else in_map(wanted, key)
     time = np.empty(n, np.int64)
-    time[np.lexsort((key, number, doc))] = np.arange(n)
-    count, first = np.zeros(n, np.int64), np.arange(n)
-    slots = np.zeros((n, REPORTED), np.int64)
+    time[np.lexsort((key, line >> 32, doc))] = np.arange(n)
+    count, first, near, best = np.zeros(n, np.int64), np.arange(n), np.zeros(n, np.int64), np.full(n, 1 << 30)
+    slots = np.zeros((n, max(1, REPORTED)), np.int64)
     later_of, earlier_of = [], []
     at = np.arange(n)
     for step in range(1, n):
@@ -125,26 +144,29 @@ def matches(rows: dict[str, np.ndarray], every: bool) -> tuple[np.ndarray, ...]:
         need = -(-UP * both // (UP + DOWN))
         apart = np.bitwise_count(parity[i] ^ parity[j]).astype(np.int64)
         good = (1 + np.minimum(size[i] - 1 - place[i], size[j] - 1 - place[j]) >= need) & (apart <= both - 2 * need) | long[j]
-        i, j = i[good], j[good]
+        good &= (before[i] != before[j]) | (before[i] == 0)
+        i, j, apart = i[good], j[good], apart[good]
         swap = time[i] > time[j]
-        for who, other in ((i[swap], j[swap]), (j[~swap], i[~swap])):
-            if every:
-                later_of.append(who), earlier_of.append(other)
+        for who, other, d in ((i[swap], j[swap], apart[swap]), (j[~swap], i[~swap], apart[~swap])):
+            if wanted is not None:
+                later_of.append(who[is_open[who]]), earlier_of.append(other[is_open[who]])
                 continue
             first[who] = np.where(time[other] < time[first[who]], other, first[who])
+            nearer = (d < best[who]) | (d == best[who]) & (time[other] < time[near[who]])
+            best[who[nearer]], near[who[nearer]] = d[nearer], other[nearer]
             few = count[who] < REPORTED
             slots[who[few], count[who[few]]] = other[few]
             count[who] += 1
-    if not every:
+    if wanted is None:
         some, many = np.flatnonzero((count > 0) & (count <= REPORTED)), np.flatnonzero(count > REPORTED)
-        later_of = [some[count[some] > k] for k in range(REPORTED)] + [many]
-        earlier_of = [slots[some[count[some] > k], k] for k in range(REPORTED)] + [first[many]]
+        later_of = [some[count[some] > k] for k in range(REPORTED)] + [many, many[near[many] != first[many]]]
+        earlier_of = [slots[some[count[some] > k], k] for k in range(REPORTED)] + [first[many], near[many[near[many] != first[many]]]]
     a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (later_of, earlier_of))
     return key[a], key[b], word[a], count[a] > REPORTED
 
 
-def candidates(postings: DataFrame, every: bool = False) -> DataFrame:
-    """later, earlier, word, more: classes that may be similar."""
+def candidates(postings: DataFrame, wanted=None) -> DataFrame:
+    """later, earlier, word, more: classes that may be similar; wanted: a broadcast map of the only classes to give, with all of theirs."""
     parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = postings.repartition(parts, F.shiftright("packed", 32)).sortWithinPartitions("packed")
 
@@ -152,7 +174,7 @@ def candidates(postings: DataFrame, every: bool = False) -> DataFrame:
         kept: dict[str, list[np.ndarray]] = {c: [] for c in COLUMNS}
 
         def flush(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in matches(rows, every)], ["later", "earlier", "word", "more"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in matches(rows, wanted and wanted.value)], ["later", "earlier", "word", "more"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -260,15 +282,12 @@ def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 lines = Lines(part.column("text"))
-                at, packed, parity = prefixes(lines, codes)
-                if words is not None:
-                    wanted = in_map(words, packed >> 32)
-                    at, packed, parity = at[wanted], packed[wanted], parity[wanted]
+                at, packed, before, parity = prefixes(lines, codes, words)
                 line = lines.filled[at]
-                columns = (packed, lines.key[at], part.column("_doc").to_numpy()[lines.text[line]], lines.number[line].astype(np.int32), parity)
+                columns = (packed, lines.key[at], part.column("_doc").to_numpy()[lines.text[line]], lines.number[line] << 32 | before, parity)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], list(COLUMNS))
 
-    shape = "packed long, key long, doc long, number int, parity long"
+    shape = "packed long, key long, doc long, line long, parity long"
     found = materialise(candidates(blocks.select("text", "_doc").mapInArrow(post, shape)))
     pairs = found.select("later", "earlier").distinct()
     similar_to = materialise(verified(pairs, blocks).select(F.col("later").alias("key")).distinct())
@@ -277,7 +296,8 @@ def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     if not left.isEmpty():
         words = spark.sparkContext.broadcast(key_map(left.select(F.col("word").alias("key"))))
         again = blocks.select("text", "_doc").mapInArrow(lambda batches: post(batches, words.value), shape)
-        more = candidates(again, True).join(left.select("later").distinct(), "later", "left_semi").select("later", "earlier").distinct()
+        classes = left.select(F.col("later").alias("key")).distinct()
+        more = candidates(again, spark.sparkContext.broadcast(key_map(classes))).join(classes, F.col("later") == F.col("key"), "left_semi").select("later", "earlier").distinct()
         similar_to = similar_to.union(verified(materialise(more), blocks).select(F.col("later").alias("key"))).distinct()
 
     classes = lines.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc", "number", "mark")).alias("keep"))

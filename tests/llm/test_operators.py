@@ -358,13 +358,15 @@ def test_line_join_keeps_columns(docs):
 
 
 def test_line_join_second_round():
-    """Of many candidates the earliest is reported first; the second round gives all."""
+    """Of many candidates the earliest and the nearest are reported first; the second round gives all."""
     n = 7
-    rows = {"packed": np.full(n, 5 << 32 | 5 << 16), "key": np.arange(1, n + 1), "doc": np.arange(n), "number": np.zeros(n, np.int64), "parity": np.zeros(n, np.int64)}
-    later, earlier, word, more = linejoin.matches(rows, False)
-    assert sorted(zip(later.tolist(), earlier.tolist(), strict=True)) == [(2, 1), (3, 1), (3, 2), (4, 1), (4, 2), (4, 3), (5, 1), (6, 1), (7, 1)]
-    assert set(word.tolist()) == {5} and sorted(set(later[more].tolist())) == [5, 6, 7]
-    assert len(linejoin.matches(rows, True)[0]) == n * (n - 1) // 2
+    rows = {"packed": np.full(n, 5 << 32 | 20 << 16), "key": np.arange(1, n + 1), "doc": np.arange(n), "line": np.zeros(n, np.int64), "parity": np.array([0, 0, 0, 0, 0, 1, 1])}
+    later, earlier, word, more = linejoin.matches(rows)
+    few = [(a, b) for a in range(1, 6) for b in range(1, a)]
+    assert sorted(zip(later.tolist(), earlier.tolist(), strict=True)) == sorted([*few, (6, 1), (7, 1), (7, 6)])
+    assert set(word.tolist()) == {5} and sorted(set(later[more].tolist())) == [6, 7]
+    every = np.full(linejoin.ASKED >> 6, (1 << 64) - 1, np.uint64)
+    assert len(linejoin.matches(rows, every)[0]) == n * (n - 1) // 2
 
 
 def test_line_join_without_reports(spark, monkeypatch):
