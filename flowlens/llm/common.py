@@ -50,9 +50,11 @@ def fold(of: str, parts: int) -> Column:
     return F.coalesce(F.crc32(F.col(of).cast("string").cast("binary")) % parts, F.lit(0))
 
 
-def spread(of: DataFrame, columns: list[str], parts: int) -> DataFrame:
-    """Rows dealt evenly by a hash of whole rows, so that no key makes a task large."""
-    return of.repartition(parts, F.xxhash64(*columns))
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, or one like it that df doesn't have."""
+    while name in df.columns:
+        name += "_"
+    return name
 
 
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_blocks, materialise, mix, slices, span_hashes, string_buffers, whole_text, word_spans
+from .common import fresh, in_blocks, materialise, mix, slices, span_hashes, string_buffers, whole_text, word_spans
 
 #: Buckets of word counts, and the parts in which tasks send them.
 BUCKETS, PARTS = 1 << 24, 64
@@ -239,9 +239,16 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with `text` without the lines that match an earlier one, and n_lines and n_removed."""
+    """docs with `text` without the lines that match an earlier one, and n_lines and n_removed (with a sign after the
+    name where docs has such a column)."""
+    plain = docs.select(*(F.col(f"`{c}`").alias({"doc_id": "doc_id", text: "text"}.get(c, f"_c{i}")) for i, c in enumerate(docs.columns)))
+    found = _dedup_lines(plain)
+    return found.toDF(*docs.columns, fresh(docs, "n_lines"), fresh(docs, "n_removed"))
+
+
+def _dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     spark = docs.sparkSession
-    kept = [c for c in docs.columns if c not in (text, "_block", "_doc", "_mark", "n_lines", "n_removed")]
+    kept = [c for c in docs.columns if c != text]
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST))
     blocks = in_blocks(docs.withColumns({"text": whole_text(text), "_doc": order}).select(*[c for c in kept], "text", "_doc")).withColumn("_mark", F.xxhash64("text"))
 

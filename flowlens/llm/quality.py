@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import IS_SPACE, slices, span_hashes, string_buffers, whole_text
+from .common import IS_SPACE, fold, fresh, slices, span_hashes, string_buffers, whole_text
 
 #: Labelled documents to fit on, at most.
 SAMPLE = 4000
@@ -188,21 +188,20 @@ def score_batch(model: Chain, texts: pa.Array) -> np.ndarray:
 def score(docs: DataFrame, model: Chain, to: str = "score", text: str = "text") -> DataFrame:
     """docs with the quality of each text in `to`, a double from 0 to 1."""
     kept = [c for c in docs.columns if c != to]
-    named = docs.select(*kept, whole_text(text).alias("_whole"))
+    whole = fresh(docs, "_whole")
+    named = docs.select(*kept, whole_text(text).alias(whole))
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_whole"):
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(score_batch(known.value, part.column("_whole")))], [*kept, to])
+            for part in slices(batch, whole):
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(score_batch(known.value, part.column(whole)))], [*kept, to])
 
     return named.mapInArrow(run, T.StructType([*named.schema.fields[:-1], T.StructField(to, T.DoubleType())]))
 
 
 def held_out_scores(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1) -> DataFrame:
     """doc_id, held_out, score and predicted of every document; fitted on the labels outside the held-out part."""
-    from .common import fold
-
     model = train(docs, labels.where(fold("doc_id", parts) != held))
     scored = score(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", (fold("doc_id", parts) == held).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -6,6 +6,8 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+
 from flowlens.llm import bpe, ctw, linejoin, packing, permutation, pii, quality, simhash, substrings, telephony
 
 import public_tokenizers as P
@@ -54,6 +56,21 @@ def test_empty_tables(spark, none):
         assert df.count() == 0
 
 
+def test_clashing_columns(spark, docs):
+    """Columns named like the operators' own stay as they are."""
+    import corpus_pipeline
+
+    names = ["_block", "_doc", "_mark", "_whole", "_quality", "_text", "_least", "n_lines", "n_removed", "score", "fp", "ids", "component_id", "rank", "_bucket"]
+    wide = docs.where("doc_id is not null").select("*", *(F.lit(i).alias(n) for i, n in enumerate(names)))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, "/root/testdata/sf0.001")
+        assert out.columns == wide.columns and out.dtypes == wide.dtypes, name
+        assert {tuple(r) for r in out.select(*names).collect()} <= {tuple(range(len(names)))}
+    assert packing.pack(wide, P.path("word_bpe_49k.json")).count() >= len(TEXTS)
+    for df in (pii.span_report(wide), telephony.text_clips(wide), ctw.train_and_score(wide), simhash.near_duplicate_report(wide), linejoin.line_report(wide), substrings.repeat_report(wide)):
+        assert df.count() == wide.count()
+
+
 def test_pii(docs):
     found = pii.span_report(docs)
     want = sorted((i, *pii.brute_force(t or "")[0], pii.brute_force(t or "")[1]) for i, t, *_ in ROWS if i is not None)
