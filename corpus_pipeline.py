@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from flowlens.llm import linejoin, packing, pii, quality, simhash
-from flowlens.llm.common import fold
+from flowlens.llm.common import fold, fresh
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +22,8 @@ def _as_before(docs: DataFrame, now: DataFrame) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.train(docs, labels.where(fold("doc_id", 3) != 1))
-    return quality.score(docs, model, to="_quality").where("_quality >= 0.5").drop("_quality")
+    score = fresh(docs, "_quality")
+    return quality.score(docs, model, to=score).where(F.col(score) >= 0.5).drop(score)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
