@@ -115,16 +115,25 @@ REPORTED = 4
 COLUMNS = ("packed", "key", "doc", "line", "parity")
 
 
+def shared(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Without the rows whose word has no other row; rows of a word stand together."""
+    word = rows["packed"] >> 32
+    n = np.diff(np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1], [True]]))) if len(word) else word
+    several = np.repeat(n > 1, n)
+    return {c: rows[c][several] for c in COLUMNS}
+
+
 def matches(rows: dict[str, np.ndarray], wanted: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """Candidates (key, earlier key, word, whether there are more) of rows in the order of packed. wanted: a map of the
     classes of which all are given. Pairs with the same word before meet there already, and on to where they don't."""
+    rows = shared(rows)
     n = len(rows["packed"])
     # rows of one word and class: the first line of the class stands for it
     order = np.lexsort((rows["line"], rows["doc"], rows["key"], rows["packed"] >> 16))
     packed, key = rows["packed"][order], rows["key"][order]
     new = np.ones(n, bool)
     new[1:] = (packed[1:] >> 16 != packed[:-1] >> 16) | (key[1:] != key[:-1])
-    packed, key, doc, line, parity = (rows[c][order][new] for c in COLUMNS)
+    packed, key, doc, line, parity = shared({c: rows[c][order][new] for c in COLUMNS}).values()
     word, size, place, before, n = packed >> 32, packed >> 16 & LONGEST, packed & LONGEST, line & 0xFFFFFFFF, len(packed)
     parity, long = parity.view(np.uint64), size == LONGEST
     is_open = np.zeros(n, bool) if wanted is None else in_map(wanted, key)
