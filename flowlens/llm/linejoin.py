@@ -6,7 +6,7 @@ n - ceil(0.8 n) + 1 of each. Lines meet at such words; length, position and a 64
 out most pairs, and the true words decide. A line is removed if it equals, or has that similarity to, a line
 that comes earlier in the order of doc_id, line number and text.
 
-Equal lines (as multisets of words) are one class; only its first line is compared. At each word a class reports
+Equal lines (as sets of words) are one class; only its first line is compared. At each word a class reports
 a few earlier candidates, or of many the earliest; a class with many, none of which holds, has all of them looked
 at in a second round, so none is missed and groups of near copies never give all their pairs.
 
@@ -52,16 +52,31 @@ class Lines:
         first = np.searchsorted(starts, self.start)
         n = np.diff(np.append(first, len(starts)))
         self.filled = np.flatnonzero(n)
-        first, n = first[self.filled], n[self.filled]
-        self.nth = np.repeat(np.arange(len(n)), n)  # of the filled lines, for each word
-        self.begin, n = first, n.astype(np.uint64)
-        total = np.add.reduceat(mix(self.words), first) if len(first) else np.zeros(0, np.uint64)
+        # of the filled lines: the words of each once, in the order of their hashes, and the line of each
+        self.words, self.nth = distinct(self.words, np.repeat(np.arange(len(self.filled)), n[self.filled]))
+        n = np.bincount(self.nth, minlength=len(self.filled))
+        self.begin, n = np.cumsum(n) - n, n.astype(np.uint64)
+        total = np.add.reduceat(mix(self.words), self.begin) if len(self.begin) else np.zeros(0, np.uint64)
         self.key = mix(total + n * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)  # of the filled lines
 
     def line(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
 
 
+def distinct(words: np.ndarray, nth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of each line once, by line and hash, and their lines."""
+    line = nth.astype(np.uint64)
+    order = np.argsort(line << np.uint64(40) | words >> np.uint64(24), kind="stable")
+    own, at = words[order], nth[order]
+    mixed_up = (at[1:] < at[:-1]) | (at[1:] == at[:-1]) & (own[1:] < own[:-1])
+    if mixed_up.any():  # lines of more than 24 bits, or words that agree in 40 bits
+        order = np.lexsort((words, nth))
+        own, at = words[order], nth[order]
+    new = np.ones(len(own), bool)
+    new[1:] = (at[1:] != at[:-1]) | (own[1:] != own[:-1])
+    return own[new], at[new]
+
+
 def rarity(counts: np.ndarray) -> np.ndarray:
     """Counts on a logarithmic scale of one byte: 0 for none, 1 for one, and so on up."""
     return np.minimum(np.ceil(8 * np.log2(counts + 1.0) - 7), 255).clip(0).astype(np.uint8)
@@ -75,11 +90,6 @@ def prefixes(lines: Lines, counts: np.ndarray, wanted: np.ndarray | None = None)
         some = np.logical_or.reduceat(in_map(wanted, words >> np.uint64(33)), lines.begin)[nth]
         words, nth = words[some], nth[some]
     nth = nth.astype(np.uint64)
-    order = np.argsort(nth << np.uint64(40) | words >> np.uint64(24), kind="stable")
-    nth, words = nth[order], words[order]
-    new = np.ones(len(words), bool)
-    new[1:] = (nth[1:] != nth[:-1]) | (words[1:] != words[:-1])
-    nth, words = nth[new], words[new]
     rare = counts[(words & np.uint64(BUCKETS - 1)).astype(np.int64)]
     order = np.argsort(nth << np.uint64(40) | rare.astype(np.uint64) << np.uint64(32) | words >> np.uint64(32), kind="stable")
     nth, words, rare = nth[order].astype(np.int64), words[order], rare[order]

@@ -370,6 +370,14 @@ def test_line_join(spark):
     assert got == want
 
 
+def test_line_join_repeated_words(spark):
+    """Lines of few words that differ in repeats alone are equal sets."""
+    rows = [(0, "ha ha\nnew"), (1, "ha ha ha\n= = ="), (2, "= = = =\nno yes no"), (3, "yes no\nha"), (4, "a b c\nc c b a b\na b d"), (5, "yes yes no maybe\nk l m n o"), (6, "o n m l k k k")]
+    got = sorted((r["doc_id"], r["n_lines"], r["n_removed"], r["text"]) for r in linejoin.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(i, *found) for (i, _), found in zip(rows, linejoin.brute_force(rows), strict=True)]
+    assert [r[2] for r in got] == [0, 1, 1, 2, 1, 0, 1]
+
+
 def test_line_join_keeps_columns(docs):
     assert linejoin.dedup_lines(docs).columns == [*docs.columns, "n_lines", "n_removed"]
 
