@@ -2,11 +2,13 @@
 
 The variables are the tokens of a document that hold a digit or an at sign. Tokens side by side share chain
 potentials; equal tokens, and numbers that end in the same seven digits, are linked however far apart, each to
-its next like, and share potentials that favour one label. Loopy message passing over all links of many
-documents at once gives the marginals. Tokens of base spans are evidence, so a number that is written out as a
-phone number once is found where it lacks its plus sign.
+its next like and to the nearest like that is evidence, and share potentials that favour one label. Loopy message
+passing over all links of many documents at once, each until its own messages settle, gives the marginals. Tokens of
+base spans are evidence, so a number that is written out as a phone number once is found where it lacks its plus
+sign, at any distance. Texts without a base span are labelled too, by their own tokens and links.
 
-Weights are fitted piecewise on the base spans of at most SAMPLE documents (in the order of a hash), the node
+Weights are fitted piecewise on the base spans of at most SAMPLE documents (in the order of a hash; if these hold
+none, of documents that do), the node
 weights by softmax regression and the links by how often the labels they join agree.
 
 Defined results: null and empty texts have no spans; base spans always stay and added ones never touch them;
@@ -28,7 +30,11 @@ from pyspark.sql import functions as F
 from .common import slices, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE, ROUNDS = 4000, 8
+SAMPLE = 4000
+#: Messages have settled if none changes by more; if they come no nearer for so many rounds, the step is halved.
+SETTLED, PATIENCE = 1e-4, 100
+#: Tokens that are labelled at a time (a text of more comes alone).
+TOKENS = 1 << 16
 
 LOCAL = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-"
 MARK = re.compile("[0-9@]")
@@ -138,18 +144,35 @@ def chain_links(text: str, found: list[Token]) -> list[tuple[int, int]]:
     return [(i, i + 1) for i in range(len(found) - 1) if joins(text, found[i], found[i + 1])]
 
 
-def skip_links(found: list[Token]) -> list[tuple[int, int]]:
-    """Each token to its next like: the same text, or at least seven digits and the same last seven."""
+def likes(t: Token) -> list[str]:
+    """What a token shares with its likes: the same text, or at least seven digits and the same last seven."""
+    out = [t.value.lower()] if "@" in t.value or len(t.digits) >= 4 else []
+    return [*out, f"#{t.digits[-7:]}"] if "@" not in t.value and len(t.digits) >= 7 else out
+
+
+def skip_links(found: list[Token], known: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Each token to its next like; with known labels also each unknown one to the nearest known like before it, or
+    else to the first after it, so that evidence is one link away in texts of any length."""
     last: dict[str, int] = {}
     out = []
     for i, t in enumerate(found):
-        likes = [t.value.lower()] if "@" in t.value or len(t.digits) >= 4 else []
-        if "@" not in t.value and len(t.digits) >= 7:
-            likes.append(f"#{t.digits[-7:]}")
-        linked = {last[key] for key in likes if key in last}
+        own = likes(t)
+        linked = {last[key] for key in own if key in last}
         out += [(j, i) for j in sorted(linked)]
-        last |= dict.fromkeys(likes, i)
-    return out
+        last |= dict.fromkeys(own, i)
+    if known is None or not known.any():
+        return out
+    evidence: dict[str, int] = {}
+    for i in reversed(np.flatnonzero(known).tolist()):
+        evidence |= dict.fromkeys(likes(found[i]), i)
+    more = set()
+    for i, t in enumerate(found):
+        own = likes(t)
+        if known[i]:
+            evidence |= dict.fromkeys(own, i)
+        else:
+            more |= {(min(i, evidence[key]), max(i, evidence[key])) for key in own if key in evidence}
+    return out + sorted(more - set(out))
 
 
 def labels(found: list[Token], spans: list[Span]) -> np.ndarray:
@@ -187,22 +210,44 @@ def fit(x: np.ndarray, y: np.ndarray, chain: np.ndarray, skip: np.ndarray, penal
     return Model(weights, np.clip(lift, -2, 2), float(np.clip(np.log((same + 4) / (skip.sum() - same + 1)), 0, 6)))
 
 
-def marginals(unary: np.ndarray, links: np.ndarray, potentials: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Loopy sum-product in the log domain. links: pairs of nodes; potentials: (links, 5, 5)."""
+def marginals(unary: np.ndarray, links: np.ndarray, potentials: np.ndarray, rounds: int | None = None, text: np.ndarray | None = None) -> np.ndarray:
+    """Loopy sum-product in the log domain. links: pairs of nodes; potentials: (links, 5, 5); text: of each node. Each
+    text goes on until its own messages settle, whatever else it is worked on with; rounds: a fixed number instead."""
     if not len(links):
         out = np.exp(unary - unary.max(1, keepdims=True))
         return out / out.sum(1, keepdims=True)
-    src, dst = np.concatenate([links[:, 0], links[:, 1]]), np.concatenate([links[:, 1], links[:, 0]])
-    both = np.concatenate([potentials, potentials.transpose(0, 2, 1)])
-    back = np.roll(np.arange(len(src)), len(links))
-    message = np.zeros((len(src), 5))
-    for _ in range(rounds):
-        belief = unary.copy()
-        np.add.at(belief, dst, message)
-        new = np.logaddexp.reduce((belief[src] - message[back])[:, :, None] + both, axis=1)
-        message = 0.5 * message + 0.5 * (new - np.logaddexp.reduce(new, axis=1)[:, None])
+    if text is None:
+        text = np.zeros(len(unary), np.int64)
+    message = np.zeros((2 * len(links), 5))
+    step, least, since = np.full(int(text.max()) + 1, 0.5), np.full(int(text.max()) + 1, np.inf), np.zeros(int(text.max()) + 1, np.int64)
+    going, turn = np.arange(len(links)), 0
+    while len(going) and turn != rounds:
+        n = len(going)
+        if not turn or n < active:  # the messages of the texts that go on, both ways
+            active = n
+            src, dst = (np.concatenate([links[going, k], links[going, 1 - k]]) for k in (0, 1))
+            both = np.concatenate([potentials[going], potentials[going].transpose(0, 2, 1)])
+            at, back = np.concatenate([going, going + len(links)]), np.roll(np.arange(2 * n), n)
+            nodes, where = np.unique(src, return_inverse=True)
+            to = np.searchsorted(nodes, dst)
+            own = text[src]
+        old = message[at]
+        belief = unary[nodes]
+        np.add.at(belief, to, old)
+        new = np.logaddexp.reduce((belief[where] - old[back])[:, :, None] + both, axis=1)
+        new -= np.logaddexp.reduce(new, axis=1)[:, None]
+        pace = step[own][:, None]
+        message[at] = (1 - pace) * old + pace * new
+        turn += 1
+        if rounds is None:
+            change = np.zeros(len(step))
+            np.maximum.at(change, own, np.abs(message[at] - old).max(1) if turn > 1 else np.full(len(at), np.inf))
+            better = change < 0.9 * least
+            least, since = np.where(better, change, least), np.where(better, 0, since + 1)
+            step, since = np.where(since > PATIENCE, step / 2, step), np.where(since > PATIENCE, 0, since)
+            going = going[change[text[links[going, 0]]] > SETTLED]
     belief = unary.copy()
-    np.add.at(belief, dst, message)
+    np.add.at(belief, np.concatenate([links[:, 1], links[:, 0]]), message)
     out = np.exp(belief - belief.max(1, keepdims=True))
     return out / out.sum(1, keepdims=True)
 
@@ -214,27 +259,43 @@ NEEDS = ((0, 1 << 30), (4, 12), (12, 19), (7, 15))
 def find_spans(texts: list[str], model: Model | None) -> list[tuple[list[Span], list[Span]]]:
     """Base spans and all spans of each text."""
     bases = [base_spans(text) for text in texts]
+    out = [(b, b) for b in bases]
     if model is None:
-        return [(b, b) for b in bases]
-    # without a base span nothing in a text is evidence, and its tokens keep their own scores
-    graph = [(k, found) for k, text in enumerate(texts) if bases[k] and len(found := tokens(text)) > 1]
-    first, rows, links, kinds, known = 0, [], [], [], []
-    for k, found in graph:
-        chain, skip = chain_links(texts[k], found), skip_links(found)
+        return out
+    graph: list[tuple[int, list[Token]]] = []
+    size = 0
+    for k, text in enumerate(texts):
+        found = tokens(text) if MARK.search(text) else []
+        if size and size + len(found) > TOKENS:
+            label_tokens(texts, bases, graph, model, out)
+            graph, size = [], 0
+        if found:
+            graph.append((k, found))
+            size += len(found)
+    label_tokens(texts, bases, graph, model, out)
+    return out
+
+
+def label_tokens(texts: list[str], bases: list[list[Span]], graph: list[tuple[int, list[Token]]], model: Model, out: list[tuple[list[Span], list[Span]]]) -> None:
+    """Puts the spans that the field adds to the texts of graph into out."""
+    first, rows, links, kinds, known, owner = 0, [], [], [], [], []
+    for nth, (k, found) in enumerate(graph):
+        own = labels(found, bases[k])
+        chain, skip = chain_links(texts[k], found), skip_links(found, own)
         rows.append(features(texts[k], found))
-        known.append(labels(found, bases[k]))
+        known.append(own)
+        owner.append(np.full(len(found), nth))
         links += [(first + a, first + b) for a, b in chain + skip]
         kinds += [0] * len(chain) + [1] * len(skip)
         first += len(found)
-    out = [(b, b) for b in bases]
     if not graph:
-        return out
+        return
     known = np.concatenate(known)
     unary = np.clip(np.concatenate(rows) @ model.node, -8, 8)
     unary[known > 0] = -20
     unary[known > 0, known[known > 0]] = 0
     tables = np.stack([model.chain, model.skip * np.eye(5)])
-    chance = marginals(unary, np.array(links, np.int64).reshape(-1, 2), tables[np.array(kinds, np.int64)])
+    chance = marginals(unary, np.array(links, np.int64).reshape(-1, 2), tables[np.array(kinds, np.int64)], text=np.concatenate(owner))
     best = chance.argmax(1)
     best[chance.max(1) < 0.5] = 0
     first = 0
@@ -257,16 +318,31 @@ def find_spans(texts: list[str], model: Model | None) -> list[tuple[list[Span],
             i = j
         if added:
             out[k] = (bases[k], sorted(bases[k] + added))
-    return out
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Fitted on the tokens of at most `sample` documents; their counts and features come to the driver."""
+    """Fitted on the tokens of at most `sample` documents; their counts and features come to the driver. If these hold
+    no base span, of documents that do; None if there are none, as nothing is known of any kind then."""
     texts = docs.select(whole_text().alias("_text"))
+    x, y, chain, skip = gather(texts, sample)
+    if not y.any():
+        x, y, chain, skip = gather(texts.mapInArrow(with_spans, "_text string"), sample)
+        if not y.any():
+            return None
+    return fit(x.reshape(-1, WIDTH), y.astype(np.int64), chain.reshape(-1, 5, 5).sum(0), skip.reshape(-1, 5, 5).sum(0))
+
+
+def with_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.filter(pa.array([bool(base_spans(text)) for text in batch.column("_text").to_pylist()], pa.bool_()))
+
+
+def gather(texts: DataFrame, sample: int) -> list[np.ndarray]:
+    """Features and labels of the tokens and label counts of the links of the first `sample` texts by hash."""
     hashed = texts.select(F.xxhash64("_text").alias("h"))
     edge = hashed.orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     if edge is None:
-        return None
+        return [np.zeros(0)] * 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,10 +356,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
                 yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in (features(text, found), y, *pairs)], ["x", "y", "chain", "skip"])
 
     some = texts.where(MARK_SQL).where(F.xxhash64("_text") <= edge).limit(sample).mapInArrow(run, "x binary, y binary, chain binary, skip binary").toArrow()
-    x, y, chain, skip = (np.frombuffer(b"".join(some.column(c).to_pylist()), np.float32).astype(np.float64) for c in ("x", "y", "chain", "skip"))
-    if not y.any():
-        return None
-    return fit(x.reshape(-1, WIDTH), y.astype(np.int64), chain.reshape(-1, 5, 5).sum(0), skip.reshape(-1, 5, 5).sum(0))
+    return [np.frombuffer(b"".join(some.column(c).to_pylist()), np.float32).astype(np.float64) for c in ("x", "y", "chain", "skip")]
 
 
 MARK_SQL = "_text rlike '[0-9@]'"

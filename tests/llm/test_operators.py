@@ -96,6 +96,46 @@ def test_pii_links():
     assert "743-555-3824" in [text[s.start : s.end] for s in every] and "12345678" not in [text[s.start : s.end] for s in every]
 
 
+def test_pii_links_reach_all():
+    """Repeats far from their evidence get its label, with the rounds that the query takes."""
+    model = pii.fit(np.zeros((0, pii.WIDTH)), np.zeros(0, np.int64), np.zeros((5, 5)), np.eye(5) * 50)
+    text = "call +1 (743) 555-3824 " + "and 743-555-3824 or " * 60
+    base, every = pii.find_spans([text], model)[0]
+    assert len(base) == 1 and len(every) == 61 and {s.kind for s in every} == {3}
+    before = "and 743-555-3824 or " * 60 + "+1 (743) 555-3824"
+    assert [len(x) for x in pii.find_spans([before], model)[0]] == [1, 61]
+    # what a text is worked on with makes no difference
+    assert pii.find_spans([text, "1 2 3 4", before], model) == [pii.find_spans([t], model)[0] for t in (text, "1 2 3 4", before)]
+
+
+def test_pii_settles_on_chains():
+    rng = np.random.default_rng(9)
+    unary, table = np.zeros((40, 5)), np.eye(5) * 6
+    unary[0], unary[1:] = [-20, -20, -20, -20, 0], rng.normal(size=(39, 5)) / 10
+    got = pii.marginals(unary, np.stack([np.arange(39), np.arange(1, 40)], 1), np.stack([table] * 39))
+    ahead = unary[0]
+    for own in unary[1:]:
+        ahead = np.logaddexp.reduce(ahead[:, None] + table, axis=0) + own
+    want = np.exp(ahead - np.logaddexp.reduce(ahead))
+    assert np.allclose(got[39], want, atol=0.01)
+
+
+def test_pii_without_evidence():
+    """A text without a base span is labelled by its own tokens."""
+    node = np.zeros((pii.WIDTH, 5))
+    node[17, 4], node[0, 0] = 6, 2
+    text = "phone 743-555-3824 and, far from any cue in this text, 12345678901"
+    base, every = pii.find_spans([text], pii.Model(node, np.zeros((5, 5)), 3.0))[0]
+    assert base == [] and [text[s.start : s.end] for s in every] == ["743-555-3824"]
+
+
+def test_pii_train_beyond_sample(spark):
+    docs = spark.createDataFrame([(i, f"plain {i}") for i in range(60)] + [(60, "mail a.b@c.de")], "doc_id long, text string")
+    first = docs.orderBy(F.xxhash64("text")).first()["text"]
+    assert first != "mail a.b@c.de" and pii.train(docs, sample=1) is not None
+    assert pii.train(docs.where("doc_id < 60")) is None
+
+
 def test_pii_marginals_match_enumeration():
     rng = np.random.default_rng(3)
     unary, table = rng.normal(size=(3, 5)), rng.normal(size=(5, 5))
