@@ -8,6 +8,10 @@ of packed bits, and backward search for the windows of streamed segments. A wind
 places or more is repeated; of a segment that occurs twice, every window is. What shards report per segment
 is joined back to the block of documents that asked.
 
+A minimizer of more segments than a task should hold (a line that many documents share, with other words around it
+in each) goes to no shard: the windows of its segments are counted by their hashes, merged per block, so they spread
+over all tasks, and blocks are told which of their own are repeated.
+
 Defined results: null and empty texts have no words; texts of fewer than `width` words lose none; windows are
 judged on the input; repeated rows are repeated windows; words of any length count as one.
 """
@@ -27,6 +31,8 @@ from .common import BACK, in_blocks, materialise, mix, powers, slices, span_hash
 WIDTH, SHORT = 35, 12
 #: Windows that a lane of the search works through.
 LANE = 32
+#: Bytes of the segments of a shard, about, and of the segments that one minimizer may bring to it.
+SHARD = 4 << 20
 
 
 class Segments:
@@ -39,7 +45,7 @@ class Segments:
         self.docs = len(texts)
         self.first_word = np.searchsorted(self.doc, np.arange(self.docs + 1))
         words = span_hashes(self.data, self.starts, self.ends)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers(n), dtype=np.uint64)])
+        total = self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers(n), dtype=np.uint64)])
         back = powers(n + 1, BACK)
         count = n - width + 1
         empty = np.zeros(0, np.int64)
@@ -67,6 +73,14 @@ class Segments:
         self.places = np.bincount(spread[runs[at] == self.least[spread]], minlength=len(self.first))
         self.key = mix((total[self.first + self.words] - total[self.first]) * back[self.first] + self.words.astype(np.uint64))
 
+    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """First word and hash of every window."""
+        count = len(self.starts) - width + 1
+        if count <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        whole = np.flatnonzero(self.doc[:count] == self.doc[width - 1 :])
+        return whole, mix((self.total[whole + width] - self.total[whole]) * powers(count, BACK)[whole]).view(np.int64)
+
     def text(self, i: int) -> bytes:
         a, b = int(self.first[i]), int(self.first[i] + self.words[i])
         return self.data[self.starts[a] : self.ends[b - 1]].tobytes()
@@ -184,18 +198,43 @@ def shard_report(least: np.ndarray, key: np.ndarray, count: np.ndarray, texts: p
     return out
 
 
-def kept_words(segments: Segments, reports: dict[int, bytes], width: int) -> np.ndarray:
-    """Which words no repeated window covers."""
+def kept_words(segments: Segments, reports: dict[int, bytes], width: int, repeated: np.ndarray | None = None) -> np.ndarray:
+    """Which words no repeated window covers; repeated: hashes of windows known to be."""
     edge = np.zeros(len(segments.starts) + 1, np.int32)
     for i in np.flatnonzero(np.isin(segments.key, np.fromiter(reports, np.uint64, len(reports)))):
         n = int(segments.words[i]) - width + 1
         hit = np.unpackbits(np.frombuffer(reports[int(segments.key[i])], np.uint8), count=n).astype(np.int32)
         edge[segments.first[i] : segments.first[i] + n] += hit
         edge[segments.first[i] + width : segments.first[i] + width + n] -= hit
+    if repeated is not None and len(repeated):
+        at, hashes = segments.windows(width)
+        at = at[np.isin(hashes, repeated)]
+        edge[at] += 1
+        edge[at + width] -= 1
     return np.cumsum(edge[:-1]) == 0
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, text: str = "text") -> DataFrame:
+def parted(sent: DataFrame, width: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """The segments of minimizers that bring at most `most` bytes; and of all others (_block, key) of the windows that
+    occur twice, key the hash of the window."""
+    # at most one minimizer for each `most` bytes of segments
+    heavy = F.broadcast(materialise(sent.groupBy("least").agg(F.sum(F.octet_length("text")).alias("_bytes")).where(F.col("_bytes") > most).select("least")))
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                found = Segments(part.column("text"), width)
+                at, key = found.windows(width)
+                row = found.doc[at]
+                yield pa.RecordBatch.from_arrays([pa.array(part.column("_block").to_numpy()[row], pa.int32()), pa.array(key), pa.array(part.column("count").to_numpy()[row], pa.int64())], ["_block", "key", "n"])
+
+    windows = sent.join(heavy, "least", "left_semi").select("_block", "count", "text").mapInArrow(hashes, "_block int, key long, n long")
+    windows = materialise(windows.groupBy("_block", "key").agg(F.sum("n").alias("n")))
+    twice = windows.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
+    return sent.join(heavy, "least", "left_anti"), windows.join(twice, "key", "left_semi").select("_block", "key")
+
+
+def remove_repeats(docs: DataFrame, width: int = WIDTH, text: str = "text", most: int = SHARD) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text (kept words joined by one space) of every document."""
     spark = docs.sparkSession
     kind = dict(docs.dtypes)["doc_id"]
@@ -236,8 +275,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, text: str = "text") -> D
         return pa.table({"_block": pa.array([block] * len(rows), pa.int32()), "least": pa.array(np.array(least, np.uint64).view(np.int64)), "key": pa.array(keys.view(np.int64)), "count": pa.array(count, pa.int64()), "text": pa.array(texts, pa.binary())})
 
     sent = materialise(blocks.select("_block", "text").groupBy("_block").cogroup(asked.groupBy("_block")).applyInArrow(segments, "_block int, least long, key long, count long, text binary"))
-    volume = sent.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(volume // (4 << 20) + 1, spark.sparkContext.defaultParallelism)
+    light, repeated = parted(sent, width, most)
+    volume = light.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(volume // SHARD + 1, spark.sparkContext.defaultParallelism)
 
     def search(shard: pa.Table) -> pa.Table:
         shard = shard.combine_chunks()
@@ -249,16 +289,19 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, text: str = "text") -> D
         hit = np.flatnonzero(np.isin(key, known))
         return pa.table({"_block": shard.column("_block").take(pa.array(hit)), "key": pa.array(key[hit]), "windows": pa.array([found[int(k)] for k in key[hit].view(np.uint64)], pa.binary())})
 
-    dealt = sent.withColumn("_shard", F.pmod(F.xxhash64("least"), F.lit(shards)))
-    reports = materialise(dealt.groupBy("_shard").applyInArrow(search, "_block int, key long, windows binary"))
+    dealt = light.select(sent.columns).withColumn("_shard", F.pmod(F.xxhash64("least"), F.lit(shards)))
+    reports = dealt.groupBy("_shard").applyInArrow(search, "_block int, key long, windows binary")
+    reports = materialise(reports.unionByName(repeated.withColumn("windows", F.lit(None).cast("binary"))))
 
     def cut(docs: pa.Table, reports: pa.Table) -> pa.Table:
-        known = dict(zip(reports.column("key").to_numpy().view(np.uint64).tolist(), reports.column("windows").to_pylist(), strict=True))
+        alone = reports.column("windows").is_null().to_numpy()
+        keys, windows = reports.column("key").to_numpy(), reports.column("windows").to_pylist()
+        known = {int(k): windows[i] for i, k in zip(np.flatnonzero(~alone).tolist(), keys[~alone].view(np.uint64).tolist(), strict=True)}
         ids, words, removed, texts = [], [], [], []
         for batch in docs.to_batches():
             for part in slices(batch, "text"):
                 found = Segments(part.column("text"), width)
-                kept = kept_words(found, known, width)
+                kept = kept_words(found, known, width, keys[alone])
                 gone = np.concatenate([[0], np.cumsum(~kept)])
                 for i, text in enumerate(part.column("text").to_pylist()):
                     a, b = int(found.first_word[i]), int(found.first_word[i + 1])

@@ -456,6 +456,24 @@ def test_substrings(spark):
     assert [got[i] for i in range(len(texts))] == substrings.brute_force([t or "" for t in texts])
 
 
+def test_substrings_of_a_common_line(spark):
+    """A line in many documents, with other words around it in each, doesn't bring all its segments to one task."""
+    line = [f"licence{i}" for i in range(30)]
+    texts = [None, "a b " * 60]
+    for k in range(80):
+        own = [f"x{R.randint(0, 10**9)}" for _ in range(80)]
+        texts.append(" ".join([*own[:40], *line, *(["same"] * 6 if k % 4 == 0 else []), *own[40:]]))
+    texts += [texts[3], texts[6] + " z"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for most in (0, 2000, substrings.SHARD):
+        found = substrings.remove_repeats(docs, most=most).collect()
+        got = {r["doc_id"]: (r["n_words"], r["n_removed"], hashlib.sha256(r["kept_text"].encode()).hexdigest()) for r in found}
+        assert [got[i] for i in range(len(texts))] == substrings.brute_force([t or "" for t in texts])
+    sent = spark.createDataFrame([(k % 3, k % 2 * k, k, 1, t.encode()) for k, t in enumerate(texts[2:60])], "_block int, least long, key long, count long, text binary")
+    light, repeated = substrings.parted(sent, substrings.WIDTH, 4000)
+    assert {r["least"] for r in light.collect()} == set(range(1, 58, 2)) and repeated.count() > 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
