@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cluster import checkpointed
+
 
 def day_difference(start: Column, end: Column) -> Column:
     """Whole days between two times, rounded down."""
@@ -47,16 +49,18 @@ def timing_metrics(created: str, wanted: str, delivered: str, invoiced: str) ->
     return [day_difference(F.col(a), F.col(b)).alias(name) for name, (a, b) in pairs.items()]
 
 
-def doc_flow(flow: DataFrame, roots: DataFrame, hops: int = 4) -> DataFrame:
+def doc_flow(flow: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, document, category, depth) of every document reachable from each root, each once, at its least depth.
-    The chain of a sales document is short, so a fixed number of joins replaces recursion; cycles end there."""
-    edges = flow.select(F.col("vbelv").alias("_from"), F.col("vbeln").alias("document"), F.col("vbtyp_n").alias("category")).distinct()
-    level = roots.select(F.col("vbeln").alias("root"), F.col("vbeln").alias("document"), F.lit("C").alias("category"), F.lit(0).alias("depth"))
-    found = level
-    for depth in range(1, hops + 1):
-        level = level.select("root", F.col("document").alias("_from")).join(edges, "_from").select("root", "document", "category", F.lit(depth).alias("depth"))
+    Joins go on from the pairs that are new until none is; cycles end there."""
+    edges = checkpointed(flow.select(F.col("vbelv").alias("_from"), F.col("vbeln").alias("document"), F.col("vbtyp_n").alias("category")).distinct())
+    level = checkpointed(roots.select(F.col("vbeln").alias("root"), F.col("vbeln").alias("document"), F.lit("C").alias("category"), F.lit(0).alias("depth")).distinct())
+    found, depth = level, 0
+    while not level.isEmpty():
+        depth += 1
+        met = level.select("root", F.col("document").alias("_from")).join(edges, "_from").groupBy("root", "document").agg(F.min("category").alias("category"))
+        level = checkpointed(met.join(found, ["root", "document"], "left_anti").select("root", "document", "category", F.lit(depth).alias("depth")))
         found = found.unionByName(level)
-    return found.groupBy("root", "document").agg(F.min_by("category", "depth").alias("category"), F.min("depth").alias("depth"))
+    return found
 
 
 #: Category of a log row by a word in its activity, the first that fits.
