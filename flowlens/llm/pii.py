@@ -5,14 +5,18 @@ potentials; equal tokens, and numbers that end in the same seven digits, are lin
 its next like and to the nearest like that is evidence, and share potentials that favour one label. Loopy message
 passing over all links of many documents at once, each until its own messages settle, gives the marginals. Tokens of
 base spans are evidence, so a number that is written out as a phone number once is found where it lacks its plus
-sign, at any distance. Texts without a base span are labelled too, by their own tokens and links.
-
-Weights are fitted piecewise on the base spans of at most SAMPLE documents (in the order of a hash; if these hold
-none, of documents that do), the node
-weights by softmax regression and the links by how often the labels they join agree.
-
-Defined results: null and empty texts have no spans; base spans always stay and added ones never touch them;
-offsets count code points; texts of any length take time in proportion to it; repeated rows get equal spans.
+sign, at any distance. Texts without a base span are labelled too, by their own tokens and links. Besides the four
+kinds there is a fifth label, `secret` (passwords, access tokens, keys): nothing is evidence for it, so all of its
+spans come from the field.
+
+Weights are fitted piecewise on at most SAMPLE documents (in the order of a hash; if these hold no label, on documents
+that do) and at most FITTED tokens of each: the node weights by softmax regression on base spans and on tokens that
+follow a word such as "password" and an equals sign or colon, the links by how often the labels they join agree. Phone
+numbers are learned a second time without their plus sign, so that other forms of them are known.
+
+Defined results: null and empty texts have no spans (redaction makes a null text empty); base spans always stay and
+added ones never touch them; offsets count code points; texts of any length take time in proportion to it; repeated
+rows get equal spans; other columns pass unchanged.
 """
 
 from __future__ import annotations
@@ -29,8 +33,12 @@ from pyspark.sql import functions as F
 
 from .common import slices, whole_text
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
+#: Kinds that have a base pattern, and the labels of the field: none, or one more than the kind.
+BASE, LABELS = 4, 6
 SAMPLE = 4000
+#: Tokens of a document that weights are fitted on; of more, evenly spaced ones.
+FITTED = 4096
 #: Messages have settled if none changes by more; if they come no nearer for so many rounds, the step is halved.
 SETTLED, PATIENCE = 1e-4, 100
 #: Tokens that are labelled at a time (a text of more comes alone).
@@ -44,7 +52,11 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 NOT_DIGIT = re.compile("[^0-9]+")
 TOKEN = re.compile(r"[A-Za-z0-9@._%+()-]++")
-CUES = (re.compile("mail|contact"), re.compile("phone|tel|call|fax|mobil"), re.compile("card|visa|kart|tarj|carte"), re.compile(r"\bip\b|host|addr|server"))
+CUES = (re.compile("mail|contact"), re.compile("phone|tel|call|fax|mobil"), re.compile("card|visa|kart|tarj|carte"), re.compile(r"\bip\b|host|addr|server"), re.compile("token|passw|pwd|secret|key|credential"))
+GIVEN = re.compile("""[=:]\\s*["']?$""")
+#: Words and signs after which a token is learned as a secret.
+SEED = re.compile(r"""(?:token|password|passwd|pwd|secret|key)\s*[=:]\s*["']?$""", re.IGNORECASE)
+HEX = re.compile("[0-9a-fA-F]+")
 
 
 class Span(NamedTuple):
@@ -113,7 +125,9 @@ def joins(text: str, a: Token, b: Token) -> bool:
     return b.start - a.end <= 2 and not text[a.end : b.start].strip(" ().-")
 
 
-WIDTH = 22
+WIDTH = 27
+#: Place of the feature for a plus sign.
+PLUS = 10
 
 
 def features(text: str, found: list[Token]) -> np.ndarray:
@@ -126,7 +140,7 @@ def features(text: str, found: list[Token]) -> np.ndarray:
         row[2] = len(parts) == 4 and all(p.isascii() and p.isdigit() for p in parts)
         row[3] = row[2] and all(len(p) < 5 and int(p) <= 255 for p in parts)
         row[4 + int(np.searchsorted([3, 4, 8, 11, 19], n))] = 1
-        row[10] = t.value[:1] == "+"
+        row[PLUS] = t.value[:1] == "+"
         row[11] = "(" in t.value or ")" in t.value
         row[12] = "-" in t.value
         row[13] = n > 0 and not any(c.isalpha() for c in t.value)
@@ -135,8 +149,12 @@ def features(text: str, found: list[Token]) -> np.ndarray:
         left = text[max(0, t.start - 24) : t.start].lower()
         for k, cue in enumerate(CUES):
             row[16 + k] = bool(cue.search(left))
-        row[20] = i > 0 and joins(text, found[i - 1], t)
-        row[21] = i + 1 < len(found) and joins(text, t, found[i + 1])
+        row[21] = i > 0 and joins(text, found[i - 1], t)
+        row[22] = i + 1 < len(found) and joins(text, t, found[i + 1])
+        row[23] = bool(GIVEN.search(left))
+        row[24] = row[14] and len(t.value) >= 16
+        row[25] = row[14] and len(t.value) >= 8 and bool(HEX.fullmatch(t.value))
+        row[26] = row[20] and row[23] and len(t.value) >= 8
     return out
 
 
@@ -188,16 +206,21 @@ def labels(found: list[Token], spans: list[Span]) -> np.ndarray:
     return out
 
 
+def seeds(text: str, found: list[Token]) -> np.ndarray:
+    """Which tokens are learned as secrets."""
+    return np.array([len(t.value) >= 8 and "@" not in t.value and bool(SEED.search(text[max(0, t.start - 24) : t.start])) for t in found], bool)
+
+
 class Model(NamedTuple):
-    node: np.ndarray  # WIDTH x 5
-    chain: np.ndarray  # 5 x 5, log potentials
+    node: np.ndarray  # WIDTH x LABELS
+    chain: np.ndarray  # LABELS x LABELS, log potentials
     skip: float  # log potential of agreement
 
 
 def fit(x: np.ndarray, y: np.ndarray, chain: np.ndarray, skip: np.ndarray, penalty: float = 0.003) -> Model:
-    """x, y: tokens; chain, skip: counts (5, 5) of the labels that links join."""
-    weights, momentum, speed = (np.zeros((WIDTH, 5)) for _ in range(3))
-    wanted = np.eye(5)[y]
+    """x, y: tokens; chain, skip: counts (LABELS, LABELS) of the labels that links join."""
+    weights, momentum, speed = (np.zeros((WIDTH, LABELS)) for _ in range(3))
+    wanted = np.eye(LABELS)[y]
     for step in range(1, 301 if len(y) else 1):
         score = x @ weights
         chance = np.exp(score - score.max(1, keepdims=True))
@@ -211,14 +234,14 @@ def fit(x: np.ndarray, y: np.ndarray, chain: np.ndarray, skip: np.ndarray, penal
 
 
 def marginals(unary: np.ndarray, links: np.ndarray, potentials: np.ndarray, rounds: int | None = None, text: np.ndarray | None = None) -> np.ndarray:
-    """Loopy sum-product in the log domain. links: pairs of nodes; potentials: (links, 5, 5); text: of each node. Each
+    """Loopy sum-product in the log domain. links: pairs of nodes; potentials: (links, labels, labels); text: of each node. Each
     text goes on until its own messages settle, whatever else it is worked on with; rounds: a fixed number instead."""
     if not len(links):
         out = np.exp(unary - unary.max(1, keepdims=True))
         return out / out.sum(1, keepdims=True)
     if text is None:
         text = np.zeros(len(unary), np.int64)
-    message = np.zeros((2 * len(links), 5))
+    message = np.zeros((2 * len(links), unary.shape[1]))
     step, least, since = np.full(int(text.max()) + 1, 0.5), np.full(int(text.max()) + 1, np.inf), np.zeros(int(text.max()) + 1, np.int64)
     going, turn = np.arange(len(links)), 0
     while len(going) and turn != rounds:
@@ -253,7 +276,9 @@ def marginals(unary: np.ndarray, links: np.ndarray, potentials: np.ndarray, roun
 
 
 #: What an added span must hold of its kind: digits at least and at most.
-NEEDS = ((0, 1 << 30), (4, 12), (12, 19), (7, 15))
+NEEDS = ((0, 1 << 30), (4, 12), (12, 19), (7, 15), (1, 1 << 30))
+#: Fewest characters of a secret.
+SECRET = 8
 
 
 def find_spans(texts: list[str], model: Model | None) -> list[tuple[list[Span], list[Span]]]:
@@ -294,7 +319,7 @@ def label_tokens(texts: list[str], bases: list[list[Span]], graph: list[tuple[in
     unary = np.clip(np.concatenate(rows) @ model.node, -8, 8)
     unary[known > 0] = -20
     unary[known > 0, known[known > 0]] = 0
-    tables = np.stack([model.chain, model.skip * np.eye(5)])
+    tables = np.stack([model.chain, model.skip * np.eye(LABELS)])
     chance = marginals(unary, np.array(links, np.int64).reshape(-1, 2), tables[np.array(kinds, np.int64)], text=np.concatenate(owner))
     best = chance.argmax(1)
     best[chance.max(1) < 0.5] = 0
@@ -312,7 +337,7 @@ def label_tokens(texts: list[str], bases: list[list[Span]], graph: list[tuple[in
                 start, end, kind = found[i].start, found[j - 1].end, int(own[i]) - 1
                 n = sum(len(t.digits) for t in found[i:j])
                 least, most = NEEDS[kind]
-                fits = least <= n <= most and ("@" in text[start:end]) == (kind == 0)
+                fits = least <= n <= most and ("@" in text[start:end]) == (kind == 0) and (kind < BASE or end - start >= SECRET)
                 if fits and all(s.end <= start or s.start >= end for s in bases[k]):
                     added.append(Span(start, kind, end))
             i = j
@@ -322,23 +347,35 @@ def label_tokens(texts: list[str], bases: list[list[Span]], graph: list[tuple[in
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Fitted on the tokens of at most `sample` documents; their counts and features come to the driver. If these hold
-    no base span, of documents that do; None if there are none, as nothing is known of any kind then."""
+    no label, of documents that do; None if there are none, as nothing is known of any kind then."""
     texts = docs.select(whole_text().alias("_text"))
     x, y, chain, skip = gather(texts, sample)
     if not y.any():
-        x, y, chain, skip = gather(texts.mapInArrow(with_spans, "_text string"), sample)
+        x, y, chain, skip = gather(texts.where(MARK_SQL).mapInArrow(with_labels, "_text string"), sample)
         if not y.any():
             return None
-    return fit(x.reshape(-1, WIDTH), y.astype(np.int64), chain.reshape(-1, 5, 5).sum(0), skip.reshape(-1, 5, 5).sum(0))
+    x, y = x.reshape(-1, WIDTH), y.astype(np.int64)
+    plain = x[(y == 4) & (x[:, PLUS] > 0)]
+    plain[:, PLUS] = 0
+    x, y = np.concatenate([x, plain]), np.concatenate([y, np.full(len(plain), 4)])
+    return fit(x, y, *(table.reshape(-1, LABELS, LABELS).sum(0) for table in (chain, skip)))
 
 
-def with_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def learned(text: str, found: list[Token]) -> np.ndarray:
+    """The labels that weights are fitted on."""
+    out = labels(found, base_spans(text))
+    out[(out == 0) & seeds(text, found)] = BASE + 1
+    return out
+
+
+def with_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield batch.filter(pa.array([bool(base_spans(text)) for text in batch.column("_text").to_pylist()], pa.bool_()))
+        yield batch.filter(pa.array([bool(learned(text, tokens(text)).any()) for text in batch.column("_text").to_pylist()], pa.bool_()))
 
 
 def gather(texts: DataFrame, sample: int) -> list[np.ndarray]:
-    """Features and labels of the tokens and label counts of the links of the first `sample` texts by hash."""
+    """Features and labels of the tokens and label counts of the links of the first `sample` texts by hash; equal
+    texts have equal hashes, so which of them are taken makes no difference."""
     hashed = texts.select(F.xxhash64("_text").alias("h"))
     edge = hashed.orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     if edge is None:
@@ -348,14 +385,15 @@ def gather(texts: DataFrame, sample: int) -> list[np.ndarray]:
         for batch in batches:
             for text in batch.column("_text").to_pylist():
                 found = tokens(text)
-                y = labels(found, base_spans(text))
-                pairs = [np.zeros((5, 5)), np.zeros((5, 5))]
+                y = learned(text, found)
+                pairs = [np.zeros((LABELS, LABELS)), np.zeros((LABELS, LABELS))]
                 for table, links in zip(pairs, (chain_links(text, found), skip_links(found)), strict=True):
                     for a, b in links:
                         table[y[a], y[b]] += 1
-                yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in (features(text, found), y, *pairs)], ["x", "y", "chain", "skip"])
+                some = np.unique(np.linspace(0, len(found) - 1, min(len(found), FITTED)).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in (features(text, found)[some], y[some], *pairs)], ["x", "y", "chain", "skip"])
 
-    some = texts.where(MARK_SQL).where(F.xxhash64("_text") <= edge).limit(sample).mapInArrow(run, "x binary, y binary, chain binary, skip binary").toArrow()
+    some = texts.where(MARK_SQL).where(F.xxhash64("_text") <= edge).orderBy(F.xxhash64("_text")).limit(sample).mapInArrow(run, "x binary, y binary, chain binary, skip binary").toArrow()
     return [np.frombuffer(b"".join(some.column(c).to_pylist()), np.float32).astype(np.float64) for c in ("x", "y", "chain", "skip")]
 
 
@@ -383,10 +421,11 @@ def redact(docs: DataFrame, model: Model | None, text: str = "text") -> DataFram
     """docs with every span of `text` replaced by its kind in angle brackets; of overlapping ones the first counts."""
     known = docs.sparkSession.sparkContext.broadcast(model)
 
+    at = docs.columns.index(text)
+
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index(text)
-            texts = ["" if x is None else x for x in batch.column(at).to_pylist()]
+        for batch in (part for whole in batches for part in slices(whole.set_column(at, text, whole.column(at).fill_null("")), text)):
+            texts = batch.column(at).to_pylist()
             out = []
             for own, (_, spans) in zip(texts, find_spans(texts, known.value), strict=True):
                 parts, end = [], 0
@@ -404,8 +443,9 @@ def span_report(docs: DataFrame) -> DataFrame:
     model = train(docs)
     found = scan(docs.select("doc_id", "text"), model)
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    counts = [F.size(F.expr(f"filter(base, s -> s.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    counts = [F.size(F.expr(f"filter(base, s -> s.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in KINDS[:BASE]]
+    added = (F.size("spans") - F.size("base")).cast("long").alias("n_added")
+    return found.select("doc_id", *counts, F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"), added)
 
 
 def brute_force(text: str) -> tuple[list[int], str]:

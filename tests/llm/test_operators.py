@@ -89,7 +89,7 @@ def test_pii_fuzz():
 
 
 def test_pii_links():
-    model = pii.fit(np.zeros((0, pii.WIDTH)), np.zeros(0, np.int64), np.zeros((5, 5)), np.eye(5) * 50)
+    model = pii.fit(np.zeros((0, pii.WIDTH)), np.zeros(0, np.int64), np.zeros((pii.LABELS, pii.LABELS)), np.eye(pii.LABELS) * 50)
     text = "+1 (743) 555-3824 then 743-555-3824 and 12345678"
     base, every = pii.find_spans([text], model)[0]
     assert [text[s.start : s.end] for s in base] == ["+1 (743) 555-3824"]
@@ -98,7 +98,7 @@ def test_pii_links():
 
 def test_pii_links_reach_all():
     """Repeats far from their evidence get its label, with the rounds that the query takes."""
-    model = pii.fit(np.zeros((0, pii.WIDTH)), np.zeros(0, np.int64), np.zeros((5, 5)), np.eye(5) * 50)
+    model = pii.fit(np.zeros((0, pii.WIDTH)), np.zeros(0, np.int64), np.zeros((pii.LABELS, pii.LABELS)), np.eye(pii.LABELS) * 50)
     text = "call +1 (743) 555-3824 " + "and 743-555-3824 or " * 60
     base, every = pii.find_spans([text], model)[0]
     assert len(base) == 1 and len(every) == 61 and {s.kind for s in every} == {3}
@@ -110,8 +110,8 @@ def test_pii_links_reach_all():
 
 def test_pii_settles_on_chains():
     rng = np.random.default_rng(9)
-    unary, table = np.zeros((40, 5)), np.eye(5) * 6
-    unary[0], unary[1:] = [-20, -20, -20, -20, 0], rng.normal(size=(39, 5)) / 10
+    unary, table = np.zeros((40, pii.LABELS)), np.eye(pii.LABELS) * 6
+    unary[0], unary[1:] = [-20, -20, -20, -20, 0, -20], rng.normal(size=(39, pii.LABELS)) / 10
     got = pii.marginals(unary, np.stack([np.arange(39), np.arange(1, 40)], 1), np.stack([table] * 39))
     ahead = unary[0]
     for own in unary[1:]:
@@ -122,10 +122,10 @@ def test_pii_settles_on_chains():
 
 def test_pii_without_evidence():
     """A text without a base span is labelled by its own tokens."""
-    node = np.zeros((pii.WIDTH, 5))
+    node = np.zeros((pii.WIDTH, pii.LABELS))
     node[17, 4], node[0, 0] = 6, 2
     text = "phone 743-555-3824 and, far from any cue in this text, 12345678901"
-    base, every = pii.find_spans([text], pii.Model(node, np.zeros((5, 5)), 3.0))[0]
+    base, every = pii.find_spans([text], pii.Model(node, np.zeros((pii.LABELS, pii.LABELS)), 3.0))[0]
     assert base == [] and [text[s.start : s.end] for s in every] == ["743-555-3824"]
 
 
@@ -138,13 +138,27 @@ def test_pii_train_beyond_sample(spark):
 
 def test_pii_marginals_match_enumeration():
     rng = np.random.default_rng(3)
-    unary, table = rng.normal(size=(3, 5)), rng.normal(size=(5, 5))
+    unary, table = rng.normal(size=(3, pii.LABELS)), rng.normal(size=(pii.LABELS, pii.LABELS))
     links = np.array([[0, 1], [1, 2]])
     got = pii.marginals(unary, links, np.stack([table, table]), rounds=60)
     joint = np.exp(unary[0][:, None, None] + unary[1][None, :, None] + unary[2][None, None, :] + table[:, :, None] + table[None, :, :])
     assert np.allclose(got[1], joint.sum((0, 2)) / joint.sum(), atol=1e-6)
 
 
+def test_pii_adds_spans(spark):
+    """Secrets, their repeats without a cue and numbers without their plus sign come from the field; clean numbers don't."""
+    rows = [(i, f"the password={'%018x' % ((i + 1) * 0x9E3779B97F4A7C15 % (1 << 72))} and call +1 (2{i:02d}) 555-0{i:03d} or 10.0.0.{i}") for i in range(40)]
+    secret = "c0ffee12ab90de77ff31"
+    rows += [(100, f'token = "{secret}" ' + "and so on " * 30 + secret), (101, "under the License, Version 2.0."), (102, None), (103, "call +1 (743) 555-3824, again 743-555-3824")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r for r in pii.span_report(docs).collect()}
+    assert all(found[i]["n_added"] == 1 and found[i]["n_spans"] == 3 for i in range(40))
+    assert found[100]["spans"].count("secret:") == 2 and found[100]["n_added"] == 2
+    assert found[101]["n_spans"] == found[102]["n_spans"] == 0 and found[103]["n_added"] == 1
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(docs, pii.train(docs)).collect()}
+    assert secret not in clean[100] and clean[101] == rows[-3][1] and clean[102] == "" and "3824" not in clean[103]
+
+
 def test_telephony_round_trip(docs):
     for r in telephony.text_clips(docs).collect():
         if r["doc_id"] is None:
