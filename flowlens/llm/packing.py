@@ -64,7 +64,9 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # strings of special tokens in a text are these tokens, as the library has it
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(special) or "(?!)")
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -87,8 +89,8 @@ class WordTokens:
         return out
 
     def learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words that aren't kept. Beyond Latin-1 the tokenizer sees the whole word."""
-        parted = {w: self.RUNS.findall(w.lower()) for w in words if w.isascii() or max(w) <= "\xff"}
+        """Ids of words that aren't kept. Beyond Latin-1, or with a special token, the tokenizer sees the whole word."""
+        parted = {w: self.RUNS.findall(w.lower()) for w in words if (w.isascii() or max(w) <= "\xff") and not self.special.search(w)}
         ids = {run: self.runs.get(run) for run in {run for runs in parted.values() for run in runs}}
         new = [run for run, own in ids.items() if own is None]
         for first in range(0, len(new), 200):
