@@ -24,16 +24,29 @@ BACK = pow(ODD, -1, 1 << 64)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_SHARED
+    """The folder that driver and executors share. A cluster has to name it; only one machine may go without."""
+    conf = spark.sparkContext.getConf()
+    named = conf.get("spark.checkpoint.dir")
+    if not named and not (conf.get("spark.master") or "").startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no shared folder")
+    return named or LOCAL_SHARED
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/flowlens-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", compression).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.flowlens_path = path
+    return stored
+
+
+def discard(stored: DataFrame) -> None:
+    """Delete what materialise() wrote; nothing may read it any more."""
+    spark = stored.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stored.flowlens_path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -22,7 +22,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         best = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(best, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = materialise(small.union(best.select("u", F.col("m").alias("v"))).distinct())
+        before, links = links, materialise(small.union(best.select("u", F.col("m").alias("v"))).distinct())
+        discard(before)
         now = links.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if tuple(now) == sign:
             break

@@ -30,8 +30,8 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 WORD = re.compile(rf"[^{SPACE}]+")
 #: Characters that str.split() takes for white space and Unicode doesn't.
 ODD = re.compile("[\x1c-\x1f]")
-#: Entries of each half of a worker's caches.
-CACHE = 600_000
+#: Entries of each half of a worker's caches of words and of runs.
+CACHE, RUN_CACHE = 300_000, 300_000
 
 
 class Recent:
@@ -70,7 +70,7 @@ class WordTokens:
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.words, self.runs = Recent(), Recent(CACHE // 2)
+        self.words, self.runs = Recent(), Recent(RUN_CACHE)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -88,9 +88,13 @@ class WordTokens:
             begin = end
         return out
 
-    def learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words that aren't kept. Beyond Latin-1, or with a special token, the tokenizer sees the whole word."""
-        parted = {w: self.RUNS.findall(w.lower()) for w in words if (w.isascii() or max(w) <= "\xff") and not self.special.search(w)}
+    def learn(self, words: list[str], whole: bool) -> dict[str, bytes]:
+        """Ids of words that aren't kept. Beyond Latin-1, and in texts with special tokens, the tokenizer sees the whole word."""
+        parted = {}
+        for w in [] if whole else words:
+            if w.isascii() or max(w) <= "\xff":
+                low = w.lower()
+                parted[w] = [low] if low.isalpha() else [low[:-1], low[-1]] if low[-1] in ".," and low[:-1].isalpha() else self.RUNS.findall(low)
         ids = {run: self.runs.get(run) for run in {run for runs in parted.values() for run in runs}}
         new = [run for run, own in ids.items() if own is None]
         for first in range(0, len(new), 200):
@@ -104,13 +108,14 @@ class WordTokens:
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
         words = WORD.findall(text) if ODD.search(text) else text.split()
+        whole = bool(self.special.search(text))
         out = []
         for first in range(0, len(words), 20_000):
             some = words[first : first + 20_000]
             ids = list(map(self.words.new.get, some))
             if None in ids:
                 missing = {w: self.words.get(w) for w, i in zip(some, ids, strict=True) if i is None}
-                learned = self.learn([w for w, i in missing.items() if i is None])
+                learned = self.learn([w for w, i in missing.items() if i is None], whole)
                 for w, i in learned.items():
                     if len(w) < 64:
                         self.words.put(w, i)

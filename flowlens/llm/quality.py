@@ -27,6 +27,8 @@ from .common import IS_SPACE, fold, fresh, slices, span_hashes, string_buffers,
 SAMPLE = 4000
 #: Chains are cut to this many lines while fitting (not while scoring).
 CHAIN = 64
+#: Chains of a document that are fitted on at most.
+CHAINS = 32
 ROUNDS = 150
 
 
@@ -157,7 +159,8 @@ def fit(features: np.ndarray, count: np.ndarray, label: np.ndarray, penalty: flo
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
-    """A chain fitted on at most `sample` rows of labels (doc_id, quality); their features come to the driver."""
+    """A chain fitted on at most `sample` rows of labels (doc_id, quality), and of longer documents on CHAINS chains of
+    lines, evenly spaced; their features come to the driver."""
     some = labels.where(F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("_of"), F.col("quality").cast("int").alias("_label")).orderBy(F.xxhash64("_of"), "_of").limit(sample)
     rows = docs.select("doc_id", whole_text().alias("_text")).join(F.broadcast(some), F.col("doc_id") == F.col("_of")).select("_label", "_text")
 
@@ -166,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
             for part in slices(batch, "_text"):
                 lines = line_features(*string_buffers(part.column("_text")))
                 cuts = np.cumsum(lines.count)[:-1]
-                blobs = [x.tobytes() for x in np.split(lines.features, cuts)]
+                blobs = [spaced(x).tobytes() for x in np.split(lines.features, cuts)]
                 yield pa.RecordBatch.from_arrays([part.column("_label"), pa.array(blobs, pa.binary())], ["label", "features"])
 
     found = sorted((r["label"], bytes(r["features"])) for r in rows.mapInArrow(run, "label int, features binary").collect())
@@ -177,6 +180,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
     return fit(features, count, np.repeat([label for label, _ in chains], count))
 
 
+def spaced(lines: np.ndarray) -> np.ndarray:
+    """At most CHAINS runs of CHAIN lines each."""
+    n = -(-len(lines) // CHAIN)
+    if n <= CHAINS:
+        return lines
+    return np.concatenate([lines[i * CHAIN : (i + 1) * CHAIN] for i in np.linspace(0, n - 1, CHAINS).astype(np.int64).tolist()])
+
+
 def score_batch(model: Chain, texts: pa.Array) -> np.ndarray:
     lines = line_features(*string_buffers(texts))
     ahead, behind = forward_backward(model.scores(lines.features), lines.count, model.steps)

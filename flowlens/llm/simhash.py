@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix, slices, whole_text
+from .common import fresh, materialise, mix, slices, whole_text
 from .graph import components
 
 SEED = 42
@@ -146,6 +146,21 @@ def near_duplicates(docs: DataFrame, most: int = 3) -> DataFrame:
     return stored.join(named, F.col("fp") == F.col("_fp"), "left").select("doc_id", "fp", "component_id")
 
 
+def representatives(docs: DataFrame, most: int = 3) -> DataFrame:
+    """docs with one row of every component: that of the smallest doc_id (null ids come last), and of several rows with
+    that id the least by a hash of the row; of rows that are equal in all columns one stays. Columns pass unchanged."""
+    names = [fresh(docs, n) for n in ("_one", "_other")]
+    # rows are told apart by 128 bits of all their columns, as ids may repeat or be null
+    marked = docs.withColumns({n: F.xxhash64(F.lit(k), *(F.col(f"`{c}`") for c in docs.columns)) for k, n in enumerate(names)})
+    told = marked.select(F.struct("doc_id", *names).alias("doc_id"), F.col("text"))
+    stored = materialise(fingerprints(told))
+    distinct = stored.groupBy("fp").agg(F.min(F.struct(F.col("doc_id.doc_id").isNull(), "doc_id")).alias("_least"))
+    linked = components(links(distinct.select("fp"), most), "a", "b")
+    rooted = distinct.join(linked, distinct["fp"] == linked["node"], "left").select("_least", F.coalesce("component", "fp").alias("_root"))
+    kept = rooted.groupBy("_root").agg(F.min("_least").alias("_least")).select(*(F.col(f"_least.doc_id.{n}").alias(n) for n in names))
+    return marked.join(kept, names, "left_semi").dropDuplicates(names).drop(*names)
+
+
 def near_duplicate_report(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs.select("doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -370,7 +370,6 @@ def test_packing(docs):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     rows = packing.pack(docs, P.path("word_bpe_49k.json")).collect()
     sequences = {}
     for r in rows:
