@@ -2,14 +2,17 @@
 
 Documents that the quality classifier rejects go; lines that match earlier ones go; of each group of
 near-duplicates the document with the smallest id stays; personal data is replaced by its kind; what is left is
-packed. Documents without an id can't be told apart, so all of them stay. n_chars follows the text.
+packed. n_chars follows the text.
+
+Every stage takes null and repeated ids, null and empty texts, repeated rows, empty tables and further columns, and
+keeps the columns of its input (the last one gives pieces).
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from flowlens.llm import linejoin, packing, pii, quality, simhash
-from flowlens.llm.common import fold, fresh
+from flowlens.llm.common import fold, fresh, materialise
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +23,8 @@ def _as_before(docs: DataFrame, now: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more. Without labels that may be learned from every score is 0.5, and all stay;
+    null and empty texts have a score like any other."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.train(docs, labels.where(fold("doc_id", 3) != 1))
     score = fresh(docs, "_quality")
@@ -27,20 +32,23 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that match an earlier one; a document may become empty, but stays."""
     return _as_before(docs, linejoin.dedup_lines(docs))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    first = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null")
-    return named.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))
+    """One row of every group of near copies, the one with the smallest id. Rows are told apart by all their columns,
+    so of different texts under one id or under none only near copies go; texts without words are copies of each other."""
+    return simhash.representatives(docs)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind; null texts become empty."""
     return _as_before(docs, pii.redact(docs, pii.train(docs)))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their sequence and place; null and empty texts hold the end token alone."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -57,6 +65,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
