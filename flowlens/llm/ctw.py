@@ -1,15 +1,16 @@
 """Language-model scores by context-tree weighting, and word unigrams as a base.
 
-Bytes fall into 32 classes by a fixed rule (each letter is one); a byte is coded as its class, by five binary
-decisions, and then as its number within the class, by six. A node of the tree is a context (the classes of the last 0 to DEPTH
-bytes) and the bits decided so far; it holds the counts of both outcomes over all training texts and their
-Krichevsky-Trofimov estimate. Nodes mix their own estimate with that of their children, weighted by how well
-each coded the training texts, so all depths take part; no count is dropped. The code length of a text is the
-sum over its bytes and an end sign. A table has
-32 ** (DEPTH + 1) cells at most, whatever the input.
-
-Word counts have no such bound, so they are never gathered: each block of documents asks for the counts of its
-own words.
+A byte is coded by eight binary decisions. A node of the tree is a context (the last 0 to DEPTH bytes, as they are) and
+the bits decided so far; it holds the counts of both outcomes over all training texts and their Krichevsky-Trofimov
+estimate. Nodes mix their own estimate with that of their children, weighted by how well each coded the training texts,
+so all depths take part; no count is dropped, and a context that training never saw repeats the one above it. The code
+length of a text is the sum over its bytes and an end sign.
+
+What is counted grows with the input and is never gathered on the driver. Runs of about BLOCK bytes of text are a block,
+which asks for its distinct words and its distinct runs of DEPTH + 1 bytes; both travel packed, as sorted numbers of a
+share of all keys. Totals are added up by share; the tree is weighed by the two newest context bytes, once to learn
+what the upper levels weigh (which have 256 contexts at most) and once to give every run its probability; blocks get
+the answers in the order they asked in.
 
 Defined results: null and empty texts hold the end token alone; without training texts every estimate is one
 half and the base is log10(1 / (0 + 1)) a token; texts of any length are scored whole; repeated rows count.
@@ -18,68 +19,114 @@ half and the base is log10(1 / (0 + 1)) a token; texts of any length are scored
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, in_blocks, lower_ascii, materialise, slices, span_hashes, string_buffers, whole_text, word_spans
+from .common import fold, lower_ascii, materialise, mix, slices, span_hashes, string_buffers, whole_text, word_spans
 
-CODES, BITS, DEPTH = 32, 5, 4
-#: Bits of the number within a class; its contexts are the class and those of the two bytes before.
-NUMBER_BITS, NUMBER_DEPTH = 6, 3
-#: Cells of the table of classes and of the table of numbers.
-SIZES = (1 << BITS * (DEPTH + 1), 1 << BITS * NUMBER_DEPTH + NUMBER_BITS)
-#: Bytes of text that a task works on at a time.
-SLICE = 1 << 20
+DEPTH = 6
+#: Bits of a run of DEPTH context bytes, newest first, and the byte that follows them.
+WIDE = 8 * (DEPTH + 1)
+#: Bytes of text in a block, of text worked on at a time, and of text for each share of the keys.
+BLOCK, SLICE, SHARE = 8 << 20, 1 << 20, 64 << 20
 #: The end sign of the byte model.
 END_BYTE = 0
+TEXT, WORDS, RUNS = 0, 1, 2
 
 
-def byte_codes() -> tuple[np.ndarray, np.ndarray]:
-    """Class of every byte, and its number within the class."""
-    kind = np.zeros(256, np.uint8)  # 0: control characters and the end
-    kind[32] = 1
-    kind[[i for i in range(33, 127) if not chr(i).isalnum()]] = 2
-    kind[97:123] = kind[65:91] = np.arange(3, 29)
-    kind[48:58] = 29
-    kind[0xC0:] = 30
-    kind[0x80:0xC0] = 31
-    number = np.zeros(256, np.uint8)
-    for k in range(CODES):
-        own = np.flatnonzero(kind == k)
-        number[own] = np.arange(len(own))
-    return kind, number
-
-
-KIND, NUMBER = (x.astype(np.int32) for x in byte_codes())
-
-
-def contexts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cells of the class table and of the number table for each byte and end sign, and where each text starts.
-    A cell holds the classes from the oldest context on and then the outcome; before a text all is class 0."""
-    stream = np.insert(data, offsets[1:], END_BYTE)
+def byte_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The context and the outcome of each byte and end sign as one number, and where each text starts. The newest
+    context byte is the highest, so that contexts stand in the order of the tree; before a text all bytes are 0."""
+    stream = np.insert(data, offsets[1:], END_BYTE).astype(np.uint64)
     starts = offsets[:-1] + np.arange(len(offsets) - 1)
     ends = offsets[1:] + np.arange(1, len(offsets))
-    kind = KIND[stream]
-    first = kind.copy()
+    runs = stream.copy()
     for step in range(1, DEPTH + 1):
-        first[step:] |= kind[:-step] << (BITS * step)
+        runs[step:] |= stream[:-step] << np.uint64(WIDE - 8 * step)
     for k in range(DEPTH):
         at = starts + k
-        first[at[at < ends]] &= (1 << BITS * (k + 1)) - 1
-    second = (first & (1 << BITS * NUMBER_DEPTH) - 1) << NUMBER_BITS | NUMBER[stream]
-    return first, second, starts
+        runs[at[at < ends]] &= np.uint64(255 | ((1 << 8 * k) - 1) << (WIDE - 8 * k))
+    return runs, starts
+
+
+def tally(keys: np.ndarray, counted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys (of 63 bits at most) in order, and how often each is counted."""
+    both = np.sort(keys << np.uint64(1) | counted.astype(np.uint64))
+    own = both >> np.uint64(1)
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+    return own[first], np.add.reduceat((both & np.uint64(1)).astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+
+
+def added(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, the sums of their counts, and where each of the given ones is among them."""
+    keys, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+    return keys, np.bincount(at, weights=np.concatenate([n for _, n in found]), minlength=len(keys)).astype(np.int64), at
+
+
+def squeeze(values: np.ndarray) -> bytes:
+    """Numbers as compressed planes of bytes."""
+    return zstandard.compress(values.view(np.uint8).reshape(len(values), -1).T.tobytes(), 1)
+
+
+def expand(data: bytes, kind: type) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1).view(kind)
+
+
+def pack(keys: np.ndarray, values: np.ndarray) -> list[bytes]:
+    """Sorted keys as their differences, and a value for each."""
+    return [squeeze(np.diff(keys, prepend=np.uint64(0))), squeeze(values)]
+
+
+def unpack(keys: bytes, values: bytes, kind: type = np.int64) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum(expand(keys, np.uint64), dtype=np.uint64), expand(values, kind)
+
+
+def share_of(keys: np.ndarray, shares: int) -> np.ndarray:
+    """The share of all runs that a run belongs to."""
+    return (mix(keys) % np.uint64(shares)).astype(np.int64)
+
+
+def word_share(keys: np.ndarray, shares: int) -> np.ndarray:
+    """The share of all words; shares are ranges of the 63-bit keys."""
+    return np.minimum(keys // np.uint64((1 << 63) // shares), np.uint64(shares - 1)).astype(np.int64)
+
+
+def by_share(share: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(share, kind="stable")
+    cuts = np.flatnonzero(np.diff(share[order])) + 1
+    for own in np.split(order, cuts) if len(order) else []:
+        yield int(share[own[0]]), own
+
+
+class Asked:
+    """What the texts of a block ask for; slices are added one by one."""
+
+    def __init__(self):
+        self.words, self.runs = [], []
+
+    def add(self, texts: pa.Array, train: np.ndarray) -> None:
+        data, offsets = string_buffers(texts)
+        data = lower_ascii(data)
+        starts, ends, text = word_spans(data, offsets)
+        self.words.append(tally(span_hashes(data, starts, ends) >> np.uint64(1), train[text]))
+        self.runs.append(tally(byte_runs(data, offsets)[0], np.repeat(train, np.diff(offsets) + 1)))
+
+    def keys(self) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        return added(self.words)[:2], added(self.runs)[:2]
 
 
 def log_kt(seen: np.ndarray) -> np.ndarray:
     """Natural log of the Krichevsky-Trofimov probability of counts (…, 2) of zeros and ones."""
     out = np.zeros(seen.shape[:-1])
-    some = np.flatnonzero(seen.sum(-1))  # most nodes are empty and have probability one
-    zeros, ones = seen.reshape(-1, 2)[some].T
+    some = np.flatnonzero(seen.sum(-1))  # empty nodes have probability one
+    zeros, ones = seen.reshape(-1, 2)[some].T.astype(np.float64)
     out.reshape(-1)[some] = log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - np.log(np.pi)
     return out
 
@@ -93,83 +140,100 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(shift)
 
 
+def guess(seen: np.ndarray) -> np.ndarray:
+    """The estimate of a one."""
+    return (seen[..., 1] + 0.5) / (seen.sum(-1) + 1.0)
+
+
 def bit_counts(cells: np.ndarray) -> np.ndarray:
-    """Counts (…, 2 ** n) of outcomes to counts (…, 2 ** n, 2) of decisions; node 1 is the first bit, node 2k + b follows."""
-    codes = cells.shape[-1]
+    """Counts (…, 256) of bytes to counts (…, 256, 2) of decisions; node 1 is the first bit, node 2k + b follows."""
     out = np.zeros((*cells.shape, 2))
     level = cells.astype(np.float64)
-    for depth in range(codes.bit_length() - 2, -1, -1):
+    for depth in range(7, -1, -1):
         pairs = level.reshape(*cells.shape[:-1], 1 << depth, 2)
         out[..., 1 << depth : 2 << depth, :] = pairs
         level = pairs.sum(-1)
     return out
 
 
-def mixed(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For counts of shape (32, ..., outcomes), contexts newest first and then outcomes: the chances of both decisions
-    at every node in every context of full depth, mixed over all depths; and the log weights of the top node."""
-    levels = [counts]
-    while levels[-1].ndim > 1:
-        levels.append(levels[-1].sum(axis=-2, dtype=np.float64))
-    chance = weight = None
-    for level in levels:
-        seen = bit_counts(level)
-        own = log_kt(seen)
-        guess = (seen + 0.5) / (seen.sum(-1, keepdims=True) + 1)
-        if weight is None:
-            chance, weight = guess, own
-            continue
-        deeper = weight.sum(axis=-2)
-        share = 1 / (1 + np.exp(np.clip(deeper - own, -700, 700)))
-        weight = np.log(0.5) + np.logaddexp(own, deeper)
-        wide = (*level.shape[:-1], *(1,) * (counts.ndim - level.ndim), level.shape[-1])
-        share, guess = share.reshape(*wide, 1), guess.reshape(*wide, 2)
-        chance = share * guess + (1 - share) * chance
-    return chance, weight
-
-
-def outcome_table(keys: np.ndarray, counts: np.ndarray, depth: int, bits: int) -> np.ndarray:
-    """log10 probability of each outcome in each context, by cell; keys: cells that have counts. The newest class
-    splits the work into parts that are small beside the table."""
-    node, picks = np.ones(1 << bits, np.int64), []
-    for bit in range(bits - 1, -1, -1):
-        value = np.arange(1 << bits) >> bit & 1
-        picks.append((node, value))
-        node = node * 2 + value
-    newest, outcome = keys >> bits & CODES - 1, keys & (1 << bits) - 1
-
-    def part(k: int) -> np.ndarray:
-        own = newest == k
-        dense = np.zeros(CODES ** (depth - 1) << bits)
-        dense[keys[own] >> (bits + BITS) << bits | outcome[own]] = counts[own]
-        return dense.reshape(*(CODES,) * (depth - 1), 1 << bits).transpose(*range(depth - 2, -1, -1), depth - 1)
-
-    top = bit_counts(np.bincount(outcome, weights=counts, minlength=1 << bits))
-    own, guess = log_kt(top), (top + 0.5) / (top.sum(-1, keepdims=True) + 1)
-    share = 1 / (1 + np.exp(np.clip(sum(mixed(part(k))[1] for k in range(CODES)) - own, -700, 700)))[:, None]
-    out = np.empty((*(CODES,) * depth, 1 << bits), np.float32)
-    for k in range(CODES):
-        chance = share * guess + (1 - share) * mixed(part(k))[0]
-        some = sum(np.log10(chance[..., n, v]) for n, v in picks)
-        out[..., k, :] = some.transpose(*range(depth - 2, -1, -1), depth - 1)
-    return out.reshape(-1)
-
-
-class Packed:
-    """A table that travels compressed (contexts that were never seen repeat those above them) and is unpacked once a worker."""
-
-    def __init__(self, table: np.ndarray):
-        self.data = zstandard.ZstdCompressor(level=3).compress(table.tobytes())
-
-    @cached_property
-    def table(self) -> np.ndarray:
-        return np.frombuffer(zstandard.ZstdDecompressor().decompress(self.data), np.float32)
-
-
-def cell_counts(rows: DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cells and counts of one table; it has a fixed number of cells, so what comes to the driver has a bound."""
-    summed = rows.where(F.col("_block") == kind).groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    return summed.column("key").to_numpy(), summed.column("n").to_numpy()
+class Subtree:
+    """The part of the tree below one context of two bytes: levels 2 to DEPTH, each with the nodes of its eight bits."""
+
+    def __init__(self, runs: np.ndarray, counts: np.ndarray):
+        """runs: distinct and in order."""
+        self.runs = runs
+        self.levels: list[list[tuple[np.ndarray, np.ndarray]]] = []  # of each level and bit: nodes in order, counts
+        for depth in range(2, DEPTH + 1):
+            cells, n = runs, counts
+            if depth < DEPTH:
+                cells = runs >> np.uint64(8 + 8 * (DEPTH - depth)) << np.uint64(8) | runs & np.uint64(255)
+                cells, at = np.unique(cells, return_inverse=True)
+                n = np.bincount(at, weights=counts).astype(np.int64)
+            self.levels.append([self._nodes(cells, n, bit) for bit in range(8)])
+        self.weights: list[list[np.ndarray]] = []
+        for depth in range(len(self.levels) - 1, -1, -1):
+            own = [log_kt(seen) for _, seen in self.levels[depth]]
+            if self.weights:
+                below = self.weights[0]
+                deeper = [np.bincount(self._above(depth + 1, bit), weights=below[bit], minlength=len(own[bit])) for bit in range(8)]
+                own = [np.log(0.5) + np.logaddexp(a, b) for a, b in zip(own, deeper, strict=True)]
+            self.weights.insert(0, own)
+
+    @staticmethod
+    def _nodes(cells: np.ndarray, n: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray]:
+        node = cells >> np.uint64(8 - bit)
+        first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        one = (cells >> np.uint64(7 - bit) & np.uint64(1)).astype(np.int64)
+        return node[first], np.stack([np.add.reduceat(n * (1 - one), first), np.add.reduceat(n * one, first)], axis=1)
+
+    def _above(self, depth: int, bit: int) -> np.ndarray:
+        """The node of the level above, with the oldest byte of the context left out, for each node of a level."""
+        node, low = self.levels[depth][bit][0], np.uint64((1 << bit) - 1)
+        return np.searchsorted(self.levels[depth - 1][bit][0], node >> np.uint64(bit + 8) << np.uint64(bit) | node & low)
+
+    def top(self) -> np.ndarray:
+        """Log weights of the nodes (by number) of the context of two bytes."""
+        out = np.zeros(256)
+        for bit, (nodes, _) in enumerate(self.levels[0]):
+            out[(1 << bit) + (nodes & np.uint64((1 << bit) - 1)).astype(np.int64)] = self.weights[0][bit]
+        return out
+
+    def chances(self, above: np.ndarray) -> np.ndarray:
+        """log10 probability of every run; above: of the context of one byte, for each node, the chance of a one,
+        the share of it that is settled, and the share that is left to deeper contexts."""
+        total = np.zeros(len(self.runs))
+        for bit in range(8):
+            number = (1 << bit) + (self.levels[0][bit][0] & np.uint64((1 << bit) - 1)).astype(np.int64)
+            chance, settled, left = above[:, number]
+            for depth, level in enumerate(self.levels):
+                seen = level[bit][1]
+                if depth:
+                    at = self._above(depth, bit)
+                    chance, settled, left = chance[at], settled[at], left[at]
+                chance, settled, left = deepen(seen, self.weights[depth][bit], chance, settled, left)
+            node = self.runs >> np.uint64(8 - bit)
+            at = np.cumsum(np.concatenate([[False], node[1:] != node[:-1]]))
+            one = (self.runs >> np.uint64(7 - bit) & np.uint64(1)).astype(bool)
+            total += np.log10(np.where(one, chance[at], 1 - chance[at]))
+        return total
+
+
+def deepen(seen: np.ndarray, weight: np.ndarray, chance: np.ndarray, settled: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One level further down: the chance of a one if no deeper context is known, what of it is settled at this
+    level, and the share left to deeper ones. Nodes without counts repeat what is above them."""
+    own = guess(seen)
+    share = np.exp(np.minimum(np.log(0.5) + log_kt(seen) - weight, 0.0))
+    return np.where(seen.sum(-1) > 0, settled + left * own, chance), settled + left * share * own, left * (1 - share)
+
+
+def upper(counts: np.ndarray, deeper: np.ndarray) -> np.ndarray:
+    """counts (256, 256) of newest byte and outcome, deeper (256, 256): log weights below, by newest byte and node. The
+    three tables of deepen() for every context of one byte and node."""
+    one, none = bit_counts(counts), bit_counts(counts.sum(0))
+    weight = np.log(0.5) + np.logaddexp(log_kt(one), deeper)
+    root = np.log(0.5) + np.logaddexp(log_kt(none), weight.sum(0))
+    state = deepen(none, root, np.full(256, 0.5), np.zeros(256), np.ones(256))
+    return np.stack(deepen(one, weight, *state))
 
 
 def train_and_score(docs: DataFrame, parts: int = 7, held: int = 2) -> DataFrame:
@@ -177,84 +241,176 @@ def train_and_score(docs: DataFrame, parts: int = 7, held: int = 2) -> DataFrame
     spark = docs.sparkSession
     id_kind = dict(docs.dtypes)["doc_id"]
     named = docs.select("doc_id", whole_text().alias("text"), (fold("doc_id", parts) == held).alias("held_out"))
-    blocks = in_blocks(named)
-    parts_of = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    size = named.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if(~F.col("held_out"))).first()
+    shares, n_docs = max(size[0] // SHARE + 1, spark.sparkContext.defaultParallelism), int(size[1])
+    packed = "part long, block long, keys binary, counts binary"
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(_block, key, n): training counts of each word asked for by a block; block -1 and -2: cells of the byte tables."""
-        tables = [np.zeros(n, np.uint32) for n in SIZES]
-        words: dict[int, list] = {}
-
-        def row(block: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block, np.int32)), pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], ["_block", "key", "n"])
+        """Rows (kind, part, block, keys, counts): the texts of a block, and the words and runs that they ask for."""
+        block, kept, asked, held_bytes = TaskContext.get().partitionId() << 32, [], Asked(), 0
+
+        def flush() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, kept[0].schema) as out:
+                for part in kept:
+                    out.write_batch(part)
+            rows = [(TEXT, 0, zstandard.compress(sink.getvalue(), 3), None)]
+            for kind, (keys, n), share in zip((WORDS, RUNS), asked.keys(), (word_share, share_of), strict=True):
+                rows += [(kind, part, *pack(keys[own], n[own])) for part, own in by_share(share(keys, shares))]
+            kinds, part, keys, n = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(part, pa.int64()), pa.array([block] * len(rows), pa.int64()), pa.array(keys, pa.binary()), pa.array(n, pa.binary())], ["kind", "part", "block", "keys", "counts"])
 
         for batch in batches:
             for part in slices(batch, "text", SLICE):
-                data, offsets = string_buffers(part.column("text"))
-                data = lower_ascii(data)
-                train = ~part.column("held_out").to_numpy(zero_copy_only=False)
-                first, second, _ = contexts(data, offsets)
-                learn = np.repeat(train, np.diff(offsets) + 1)
-                for table, cells in zip(tables, (first[learn], second[learn]), strict=True):
-                    np.add.at(table, cells, np.uint32(1))
-                starts, ends, text = word_spans(data, offsets)
-                hashes = span_hashes(data, starts, ends).view(np.int64)
-                block = part.column("_block").to_numpy()[text]
-                for b in np.unique(block):
-                    own = block == b
-                    keys, at = np.unique(hashes[own], return_inverse=True)
-                    words.setdefault(int(b), []).append((keys, np.bincount(at, weights=train[text[own]]).astype(np.int64)))
-                    if len(words[int(b)]) > 8:
-                        words[int(b)] = [joined(words[int(b)])]
-        for b, found in words.items():
-            yield row(b, *joined(found))
-        for kind, table in enumerate(tables, 1):
-            cells = np.flatnonzero(table)
-            for some in np.array_split(cells, len(cells) // 100_000 + 1):
-                yield row(-kind, some, table[some])
-
-    gathered = materialise(blocks.repartition(parts_of, "_block").mapInArrow(gather, "_block int, key long, n long"))
-    n_docs = named.where("not held_out").count()
-    total = gathered.where("_block >= 0").groupBy("key").agg(F.sum("n").alias("c")).where("c > 0")
-    size = total.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+                asked.add(part.column("text"), ~part.column("held_out").to_numpy(zero_copy_only=False))
+                kept.append(part)
+                held_bytes += part.column("text").nbytes
+                if held_bytes >= BLOCK:
+                    yield flush()
+                    block, kept, asked, held_bytes = block + 1, [], Asked(), 0
+        if kept:
+            yield flush()
+
+    stored = materialise(named.mapInArrow(gather, f"kind int, {packed}"))
+
+    def count_words(rows: pa.Table) -> pa.Table:
+        """Answers for each block that asked, and with block -1 the words of the share: all and distinct ones."""
+        found = [unpack(k, n) for k, n in zip(rows.column("keys").to_pylist(), rows.column("counts").to_pylist(), strict=True)]
+        _, total, at = added(found)
+        cuts = np.cumsum([len(k) for k, _ in found])[:-1]
+        part = rows.column("part")[0].as_py()
+        answers = [squeeze(x) for x in np.split(total[at], cuts)]
+        return pa.table({
+            "part": pa.array([part] * (len(found) + 1), pa.int64()), "block": pa.array([*rows.column("block").to_pylist(), -1], pa.int64()), "answer": pa.array([*answers, None], pa.binary()),
+            "n": pa.array([*[0] * len(found), int(total.sum())], pa.int64()), "known": pa.array([*[0] * len(found), int(np.count_nonzero(total))], pa.int64()),
+        })
+
+    words = materialise(stored.where(F.col("kind") == WORDS).drop("kind").groupBy("part").applyInArrow(count_words, "part long, block long, answer binary, n long, known long"))
+    size = words.where("block = -1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
     tokens, distinct = int(size[0]) + n_docs, int(size[1]) + (n_docs > 0)
-    tables = spark.sparkContext.broadcast([Packed(outcome_table(*cell_counts(gathered, -1), DEPTH, BITS)), Packed(outcome_table(*cell_counts(gathered, -2), NUMBER_DEPTH, NUMBER_BITS))])
-    # one task had all of a block, so its rows have each word once
-    known = gathered.where("_block >= 0").select("_block", "key").join(total, "key").select("_block", "key", "c")
 
-    def score(docs: pa.Table, known: pa.Table) -> pa.Table:
-        keys = known.column("key").to_numpy()
+    def count_runs(rows: pa.Table) -> pa.Table:
+        """The runs of a share with their totals, by the two newest context bytes."""
+        keys, total, _ = added([unpack(k, n) for k, n in zip(rows.column("keys").to_pylist(), rows.column("counts").to_pylist(), strict=True)])
+        newest = (keys >> np.uint64(WIDE - 16)).astype(np.int64)
+        out = [(int(newest[own[0]]), *pack(keys[own], total[own])) for _, own in by_share(newest)]
+        return pa.table(dict(zip(("newest", "keys", "counts"), (pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)), strict=True)))
+
+    runs = stored.where(F.col("kind") == RUNS).drop("kind")
+    totals = materialise(runs.groupBy("part").applyInArrow(count_runs, "newest long, keys binary, counts binary"))
+
+    def subtree(rows: pa.Table) -> tuple[Subtree, np.ndarray]:
+        found = [unpack(k, n) for k, n in zip(rows.column("keys").to_pylist(), rows.column("counts").to_pylist(), strict=True)]
+        keys, counts = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.argsort(keys)
-        keys, counts = np.append(keys[order], 0), np.append(known.column("c").to_numpy()[order], 0)
-        scale = np.log10(tokens + distinct + 1)
+        return Subtree(keys[order], counts[order]), np.bincount((keys & np.uint64(255)).astype(np.int64), weights=counts, minlength=256).astype(np.int64)
+
+    def weigh(rows: pa.Table) -> pa.Table:
+        tree, outcomes = subtree(rows)
+        return pa.table({"newest": [rows.column("newest")[0].as_py() >> 8], "counts": [outcomes.tolist()], "weights": [tree.top().tolist()]})
+
+    weights = totals.groupBy("newest").applyInArrow(weigh, "newest long, counts array<long>, weights array<double>")
+    # the sums of at most 256 contexts by at most 256 outcomes or nodes come to the driver
+    summed = weights.select("newest", F.posexplode(F.arrays_zip("counts", "weights")).alias("at", "x")).groupBy("newest", "at").agg(F.sum("x.counts").alias("n"), F.sum("x.weights").alias("w")).toArrow()
+    tables = [np.zeros((256, 256), np.int64), np.zeros((256, 256))]
+    for table, name in zip(tables, ("n", "w"), strict=True):
+        table[summed.column("newest").to_numpy(), summed.column("at").to_numpy()] = summed.column(name).to_numpy()
+    above = spark.sparkContext.broadcast(upper(*tables))
+
+    def model(rows: pa.Table) -> pa.Table:
+        tree, _ = subtree(rows)
+        scores = tree.chances(above.value[:, int(tree.runs[0] >> np.uint64(WIDE - 8))]).astype(np.float32)
+        scores = (scores.view(np.uint32) + np.uint32(128) & np.uint32(0xFFFFFF00)).view(np.float32)  # 16 bits of the fraction
+        out = [(part, *pack(tree.runs[own], scores[own])) for part, own in by_share(share_of(tree.runs, shares))]
+        return pa.table(dict(zip(("part", "keys", "scores"), (pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)), strict=True)))
+
+    modelled = totals.groupBy("newest").applyInArrow(model, "part long, keys binary, scores binary")
+
+    def answer(known: pa.Table, asked: pa.Table) -> pa.Table:
+        found = [unpack(k, s, np.float32) for k, s in zip(known.column("keys").to_pylist(), known.column("scores").to_pylist(), strict=True)]
+        keys, scores = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.float32))
+        order = np.argsort(keys)
+        keys, scores = keys[order], scores[order]
+        answers = [squeeze(scores[np.searchsorted(keys, np.cumsum(expand(k, np.uint64), dtype=np.uint64))]) for k in asked.column("keys").to_pylist()]
+        return pa.table({"block": asked.column("block"), "part": asked.column("part"), "answer": pa.array(answers, pa.binary())})
+
+    answered = modelled.groupBy("part").cogroup(runs.select("part", "block", "keys").groupBy("part")).applyInArrow(answer, "block long, part long, answer binary")
+    answers = words.where("block >= 0").select("block", "part", "answer", F.lit(WORDS).alias("kind")).union(answered.select("block", "part", "answer", F.lit(RUNS).alias("kind")))
+    texts = stored.where(F.col("kind") == TEXT).select("block", "keys")
+    scale = float(np.log10(tokens + distinct + 1))
+
+    def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        kept = [b for b in pa.ipc.open_stream(zstandard.decompress(texts.column("keys")[0].as_py()))]
+        asked = Asked()
+        for part in kept:
+            asked.add(part.column("text"), np.zeros(part.num_rows, bool))
+        tables = []
+        for kind, (keys, _), share, form in zip((WORDS, RUNS), asked.keys(), (word_share, share_of), (np.int64, np.float32), strict=True):
+            own = answers.filter(pa.compute.equal(answers.column("kind"), kind)).sort_by("part")
+            got = [expand(x, form) for x in own.column("answer").to_pylist()]
+            order = np.argsort(share(keys, shares), kind="stable")  # answers come share by share
+            values = np.zeros(len(keys) + 1, form)
+            values[order] = np.concatenate(got) if got else np.zeros(0, form)
+            tables.append((keys, values))
         columns: list[list[np.ndarray]] = [[], [], [], [], []]
-        for batch in docs.to_batches():
-            for part in slices(batch, "text", SLICE):
-                data, offsets = string_buffers(part.column("text"))
-                data, n = lower_ascii(data), part.num_rows
-                starts, ends, text = word_spans(data, offsets)
-                hashes = span_hashes(data, starts, ends).view(np.int64)
-                at = np.searchsorted(keys[:-1], hashes)
-                c = np.where(keys[at] == hashes, counts[at], 0)
-                base = np.bincount(text, weights=np.log10(c + 1) - scale, minlength=n) + np.log10(n_docs + 1) - scale
-                first, second, begin = contexts(data, offsets)
-                model = np.add.reduceat(tables.value[0].table[first].astype(np.float64) + tables.value[1].table[second], begin)
-                found = (np.bincount(text, minlength=n) + 1, np.bincount(text[c > 0], minlength=n) + (n_docs > 0), base, model, np.diff(offsets))
-                for column, values in zip(columns, found, strict=True):
-                    column.append(values)
-        some = [np.concatenate(x) if x else np.zeros(0) for x in columns]
+        for part in kept:
+            data, offsets = string_buffers(part.column("text"))
+            data, n = lower_ascii(data), part.num_rows
+            starts, ends, text = word_spans(data, offsets)
+            (words, counts), (runs, chances) = tables
+            c = counts[np.searchsorted(words, span_hashes(data, starts, ends) >> np.uint64(1))]
+            base = np.bincount(text, weights=np.log10(c + 1) - scale, minlength=n) + np.log10(n_docs + 1) - scale
+            own, begin = byte_runs(data, offsets)
+            model = np.add.reduceat(chances[np.searchsorted(runs, own)].astype(np.float64), begin)
+            found = (np.bincount(text, minlength=n) + 1, np.bincount(text[c > 0], minlength=n) + (n_docs > 0), base, model, np.diff(offsets))
+            for column, values in zip(columns, found, strict=True):
+                column.append(values)
+        some = [np.concatenate(x) for x in columns]
         n_bytes = some[4].astype(np.int64)
+        whole = pa.Table.from_batches(kept)
         return pa.table({
-            "doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(some[0].astype(np.int64)), "n_known": pa.array(some[1].astype(np.int64)),
+            "doc_id": whole.column("doc_id"), "held_out": whole.column("held_out"), "n_tokens": pa.array(some[0].astype(np.int64)), "n_known": pa.array(some[1].astype(np.int64)),
             "train_tokens": pa.array(np.full(len(n_bytes), tokens, np.int64)), "base_score": pa.array(some[2].astype(np.float64)), "score": pa.array(some[3].astype(np.float64)),
             "n_bytes": pa.array(n_bytes), "bits_per_byte": pa.array(-some[3] / np.log10(2) / (n_bytes + 1)),
         })
 
     schema = f"doc_id {id_kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
-    return blocks.groupBy("_block").cogroup(known.groupBy("_block")).applyInArrow(score, schema)
-
-
-def joined(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of counts by key."""
-    keys, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
-    return keys, np.bincount(at, weights=np.concatenate([n for _, n in found])).astype(np.int64)
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, schema)
+
+
+def brute_force(train: list[bytes], texts: list[bytes]) -> list[float]:
+    """log10 probabilities by the recursive definition, node by node; for tests."""
+    counts: dict[tuple[bytes, str], list[int]] = {}
+
+    def decisions(text: bytes) -> Iterator[tuple[bytes, str, int]]:
+        stream = bytes(DEPTH) + text + bytes([END_BYTE])
+        for i in range(DEPTH, len(stream)):
+            bits = f"{stream[i]:08b}"
+            for k in range(8):
+                yield stream[i - DEPTH : i], bits[:k], int(bits[k])
+
+    for text in train:
+        for context, before, bit in decisions(text):
+            for depth in range(DEPTH + 1):
+                counts.setdefault((context[DEPTH - depth :], before), [0, 0])[bit] += 1
+    below: dict[tuple[bytes, str], set[tuple[bytes, str]]] = {}
+    for context, before in counts:
+        if context:
+            below.setdefault((context[1:], before), set()).add((context, before))
+    weight: dict[tuple[bytes, str], float] = {}
+    for node in sorted(counts, key=lambda x: -len(x[0])):
+        own = float(log_kt(np.array([counts[node]], float))[0])
+        weight[node] = own if len(node[0]) == DEPTH else float(np.log(0.5) + np.logaddexp(own, sum(weight[x] for x in sorted(below[node]))))
+
+    def one(context: bytes, before: str, depth: int = 0) -> float:
+        node = (context[DEPTH - depth :], before)
+        if node not in counts:
+            return 0.5
+        zeros, ones = counts[node]
+        own = (ones + 0.5) / (zeros + ones + 1)
+        if depth == DEPTH or (context[DEPTH - depth - 1 :], before) not in counts:
+            return own
+        share = float(np.exp(np.log(0.5) + log_kt(np.array([counts[node]], float))[0] - weight[node]))
+        return share * own + (1 - share) * one(context, before, depth + 1)
+
+    return [float(sum(np.log10(p if bit else 1 - p) for context, before, bit in decisions(text) for p in [one(context, before)])) for text in texts]

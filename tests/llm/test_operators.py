@@ -217,28 +217,34 @@ def test_ctw_sums_to_one_and_base(docs):
         assert r["n_known"] == sum(w in counts for w in own) + 1 and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2)
 
 
-def test_ctw_table_is_the_weighted_mixture():
-    """Against the recursion written out for one context path."""
-    rng = np.random.default_rng(2)
-    symbols = rng.integers(0, 4, 400)
-    keys = symbols[1:] | symbols[:-1] << 5
-    cells, counts = np.unique(keys, return_counts=True)
-    table = 10 ** ctw.outcome_table(cells, counts.astype(float), 1, 5).astype(float).reshape(32, 32)
-    assert np.allclose(table.sum(1), 1, atol=1e-5)
-
-    def estimate(bits):
-        zeros, ones, log = 0, 0, 0.0
-        for b in bits:
-            log += np.log(((ones if b else zeros) + 0.5) / (zeros + ones + 1))
-            zeros, ones = zeros + (not b), ones + b
-        return log, (zeros + 0.5) / (zeros + ones + 1)
-
-    first = [s >> 4 & 1 for s in symbols[1:]]
-    root, guess = estimate(first)
-    below = sum(estimate([b for b, c in zip(first, symbols[:-1], strict=True) if c == k])[0] for k in range(32))
-    share = 1 / (1 + np.exp(below - root))
-    own = estimate([b for b, c in zip(first, symbols[:-1], strict=True) if c == 2])[1]
-    assert abs(table[2, :16].sum() - (share * guess + (1 - share) * own)) < 1e-5
+def test_ctw_same_as_recursion(spark):
+    """Scores of small texts against the weighting written out node by node, on unseen bytes and contexts too."""
+    rows = [(i, "".join(R.choice("abBc dé") for _ in range(R.randint(0, 40)))) for i in range(40)] + [(41, None), (42, "abcabcabc" * 20), (43, "漢字 z\0q")]
+    got = {r["doc_id"]: r for r in ctw.train_and_score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = {i: ctw.lower_ascii(np.frombuffer((t or "").encode(), np.uint8)).tobytes() for i, t in rows}
+    want = ctw.brute_force([t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2], list(texts.values()))
+    assert {r["held_out"] for r in got.values()} == {True, False}
+    for i, score in zip(texts, want, strict=True):
+        assert abs(got[i]["score"] - score) < 1e-4 * (1 + abs(score)), i
+    assert abs(got[42]["bits_per_byte"] + want[41] / np.log10(2) / 181) < 1e-4
+
+
+def test_ctw_over_blocks(spark, monkeypatch):
+    """Blocks, slices and shares make no difference."""
+    rows = [(i, "".join(R.choice("abcd efg") for _ in range(R.randint(0, 300)))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    one = by_row(ctw.train_and_score(docs))
+    for name, value in (("BLOCK", 600), ("SLICE", 200), ("SHARE", 1000)):
+        monkeypatch.setattr(ctw, name, value)
+    other = by_row(ctw.train_and_score(docs))
+    assert [r[:5] for r in one] == [r[:5] for r in other] and np.allclose([r[5:] for r in one], [r[5:] for r in other], rtol=1e-6)
+
+
+def test_ctw_predicts_held_out_texts(spark):
+    """As good as words that the training texts know, on a small corpus; nothing of a held-out text is learned."""
+    rows = ctw.train_and_score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").select("score", "base_score", "bits_per_byte").collect()
+    assert sum(r["score"] for r in rows) > 1.02 * sum(r["base_score"] for r in rows)
+    assert np.mean([r["bits_per_byte"] for r in rows]) < 2.25
 
 
 def test_permutation_recall(spark):
