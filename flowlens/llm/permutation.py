@@ -2,8 +2,9 @@
 
 A vector is represented by its PREFIX nearest pivots in order. Shards of the table keep pivot inverted files:
 for each pivot, the vectors that have it in their prefix and at which place. A query reads the files of its own
-pivots, sums up the footrule distance of both orders (a pivot missing from a prefix counts as at its end), and
-the RERANK nearest of each shard are ranked again by the exact inner product. Copies of a vector within a shard
+pivots and sums up the footrule distance of both orders (a pivot missing from a prefix counts as at its end). Orders
+tell directions only, and the measure is the inner product; so what the orders agree in is multiplied by the norm of
+the vector, and the RERANK best of each shard by this are ranked again by the exact inner product. Copies of a vector within a shard
 share one entry, so a large group of them can't push others out. Pivots are a bounded sample; every row is
 indexed, and every query meets every shard.
 
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 PIVOTS, PREFIX, RERANK = 512, 64, 1024
+#: What orders that have nothing in common agree in, beside 2 * (1 + 2 + ... + PREFIX) for equal ones.
+APART = 500
 #: Vectors of a shard and queries of a block, about.
 SHARD, BLOCK = 8192, 4096
 
@@ -47,7 +50,7 @@ class PivotFiles:
 
     def __init__(self, vectors: np.ndarray, prefixes: np.ndarray, pivots: int):
         n, self.width = prefixes.shape
-        self.vectors = vectors
+        self.vectors, self.norms = vectors, np.linalg.norm(vectors, axis=1)
         flat = prefixes.reshape(-1).astype(np.int64)
         order = np.argsort(flat, kind="stable")
         self.of = (order // self.width).astype(np.int64)
@@ -55,7 +58,7 @@ class PivotFiles:
         self.begin = np.searchsorted(flat[order], np.arange(pivots + 1))
 
     def candidates(self, prefix: np.ndarray, most: int) -> np.ndarray:
-        """Entries by footrule distance to the prefix, nearest first, at most `most`."""
+        """The entries, at most `most`, that are best by footrule distance to the prefix and norm."""
         parts = [np.arange(self.begin[p], self.begin[p + 1]) for p in prefix]
         at = np.concatenate(parts)
         own = np.repeat(np.arange(self.width), [len(x) for x in parts])
@@ -63,7 +66,7 @@ class PivotFiles:
         saved = np.bincount(self.of[at], weights=2 * (self.width - np.maximum(own, self.place[at])), minlength=len(self.vectors))
         if len(saved) <= most:
             return np.arange(len(saved))
-        return np.argpartition(-saved, most)[:most]
+        return np.argpartition(-(saved + APART) * self.norms, most)[:most]
 
 
 def search_shard(shard: pa.Table, asked: pa.Table, pivots: int, k: int, rerank: int) -> tuple[list, list, list]:

@@ -266,6 +266,22 @@ def test_permutation_recall(spark):
     assert hits / 600 >= 0.9 and not {1000, 1001, 1002, 1003} & {r["vec_id"] for r in found}
 
 
+def test_permutation_recall_with_norms(spark):
+    """Above RERANK vectors a shard, with norms that vary by more than a hundred times, against brute force."""
+    rng = np.random.default_rng(6)
+    vectors = (rng.normal(size=(20000, 32)) * np.exp(rng.normal(size=(20000, 1)))).astype(np.float32)
+    table = spark.createDataFrame(list(zip(range(len(vectors)), vectors.tolist(), strict=True)), "vec_id long, embedding array<float>")
+    found = permutation.nearest(table, F.col("vec_id") % 200 == 0).toPandas()
+    wide = vectors.astype(np.float64)
+    hits = 0
+    for query, own in found.groupby("query_id"):
+        score = wide @ wide[query]
+        score[query] = -np.inf
+        hits += len(set(np.argsort(-score)[:20]) & set(own["vec_id"]))
+        assert np.allclose(own.sort_values("rank")["score"], score[own.sort_values("rank")["vec_id"]])
+    assert hits >= 0.95 * 20 * 100
+
+
 def test_permutation_few_rows(spark):
     found = permutation.nearest_report(spark.createDataFrame([(0, [1.0, 0.0], 0), (1, [0.5, 0.5], 0), (2, [0.5, 0.5], 0)], "vec_id long, embedding array<double>, label int"))
     assert [(r["rank"], r["vec_id"], r["score"]) for r in found.orderBy("rank").collect()] == [(1, 1, 0.5), (2, 2, 0.5)]
