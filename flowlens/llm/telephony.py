@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -84,16 +84,34 @@ def ima_blocks(blocks: np.ndarray) -> np.ndarray:
 
 def resample(pcm: np.ndarray, rate: int = RATE, to_rate: int = TO_RATE) -> np.ndarray:
     """Linear interpolation in integers; the last sample holds to the end."""
-    if not len(pcm) or rate == to_rate:
-        return pcm.astype(np.int16)
-    wide = np.append(pcm, pcm[-1]).astype(np.int64)
-    if to_rate == 2 * rate:
-        out = np.empty(2 * len(pcm), np.int16)
-        out[::2], out[1::2] = pcm, (wide[:-1] + wide[1:]) >> 1
-        return out
-    at = np.arange(len(pcm) * to_rate // rate, dtype=np.int64) * rate
-    left, part = at // to_rate, at % to_rate
-    return ((wide[left] * (to_rate - part) + wide[left + 1] * part) // to_rate).astype(np.int16)
+    return np.concatenate([np.zeros(0, np.int16), *resampled([pcm], rate, to_rate)])
+
+
+def resampled(windows: Iterable[np.ndarray], rate: int = RATE, to_rate: int = TO_RATE) -> Iterator[np.ndarray]:
+    """A clip that comes window by window, resampled as if it were whole: each window looks at the first sample of the
+    next one, and outputs are placed from the start of the clip."""
+    start, held = 0, None
+    for window in (w for some in (windows, [None]) for w in some):
+        if window is not None and not len(window):
+            continue
+        if held is not None:
+            end = start + len(held)
+            after = held[-1] if window is None else window[0]
+            last = end * to_rate // rate if window is None else -(-end * to_rate // rate)
+            if rate == to_rate:
+                yield held
+            elif to_rate == 2 * rate:
+                out = np.empty(2 * len(held), np.int16)
+                out[::2], out[1:-1:2] = held, (held[:-1].astype(np.int32) + held[1:]) >> 1
+                out[-1] = (int(held[-1]) + int(after)) >> 1
+                yield out
+            else:
+                at = np.arange(-(-start * to_rate // rate), last, dtype=np.int64) * rate
+                wide = np.append(held, after).astype(np.int64)
+                left, part = at // to_rate - start, at % to_rate
+                yield ((wide[left] * (to_rate - part) + wide[left + 1] * part) // to_rate).astype(np.int16)
+            start = end
+        held = None if window is None else window.astype(np.int16)
 
 
 def wav(data: bytes, tag: int, rate: int = RATE, block: int = 1) -> bytes:
@@ -148,25 +166,41 @@ def decode_clips(df: DataFrame, media: str = "media", to_rate: int = TO_RATE, to
 
     def one(clip: bytes) -> tuple[bytes, int, bytes]:
         tag, rate, block, data = read_wav(bytes(clip))
-        return data, rate, b"".join(resample(x, rate, to_rate).tobytes() for x in decode(tag, block, data))
+        return data, rate, b"".join(x.tobytes() for x in resampled(decode(tag, block, data), rate, to_rate))
 
     make = F.pandas_udf(lambda s: pd.DataFrame([one(x) for x in s], columns=CLIP.names), CLIP)
     return df.withColumn(to, make(media))
 
 
-def clip_features(pcm: np.ndarray) -> tuple[int, int, int, int]:
-    """Peak, root mean square, sign changes and crc32 of 16-bit samples."""
-    wide = pcm.astype(np.int32)
-    peak = int(np.abs(wide).max(initial=0))
-    power = int(np.dot(wide.astype(np.float64), wide.astype(np.float64)))
-    return peak, round((power / max(1, len(pcm))) ** 0.5), int(np.count_nonzero((pcm[1:] < 0) != (pcm[:-1] < 0))), zlib.crc32(pcm.tobytes())
+class Features:
+    """Peak, root mean square, sign changes, crc32 and sha256 of 16-bit samples that come window by window."""
+
+    def __init__(self):
+        self.n = self.peak = self.power = self.changes = self.crc = 0
+        self.hash, self.sign = hashlib.sha256(), None
+
+    def add(self, pcm: np.ndarray) -> Features:
+        if not len(pcm):
+            return self
+        wide, raw, signs = pcm.astype(np.int32), pcm.tobytes(), pcm < 0
+        self.n += len(pcm)
+        self.peak = max(self.peak, int(np.abs(wide).max()))
+        self.power += int(np.dot(wide.astype(np.float64), wide.astype(np.float64)))
+        self.changes += int(np.count_nonzero(signs[1:] != signs[:-1])) + (self.sign is not None and self.sign != bool(signs[0]))
+        self.crc, self.sign = zlib.crc32(raw, self.crc), bool(signs[-1])
+        self.hash.update(raw)
+        return self
+
+    def __str__(self) -> str:
+        return f"{self.peak},{round((self.power / max(1, self.n)) ** 0.5)},{self.changes},{self.crc}"
 
 
 def text_clips(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Each text as telephony audio: its bytes, padded with 0 to a positive multiple of 64, are stored
     as mu-law samples in WAV and read back from there. The samples read are expanded as mu-law and as
     A-law and decoded as ADPCM blocks of 64 bytes, and each is resampled. The feature holds peak, RMS,
-    sign changes and crc32 of each PCM. All blocks of many documents are decoded in one go."""
+    sign changes and crc32 of each PCM. All blocks of many documents are decoded in one go; a text of more than
+    WINDOW bytes is decoded window by window."""
     named = df.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("_text"))
     fields = ["n_bytes long", "payload_bytes long", "payload_sha256 string", "tail_crc32 long", "media_bytes long", "media_sha256 string", "feature string", "pcm_bytes long", "pcm_sha256 string"]
 
@@ -178,14 +212,21 @@ def text_clips(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
             _, _, _, payload = read_wav(media)
             read.append(payload)
             rows.append([len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest()])
-        together = np.frombuffer(b"".join(read), np.uint8).reshape(-1, BLOCK)
-        ends = np.cumsum([len(x) // BLOCK for x in read])
-        adpcm = ima_blocks(together)
-        for row, payload, end in zip(rows, read, ends, strict=True):
-            codes = np.frombuffer(payload, np.uint8)
-            stored = resample(mulaw_table()[codes])
-            forms = {"mulaw": stored, "alaw": resample(alaw_table()[codes]), "adpcm": resample(adpcm[end - len(payload) // BLOCK : end].reshape(-1))}
-            row += [";".join(f"{k}:{','.join(map(str, clip_features(x)))}" for k, x in forms.items()), stored.nbytes, hashlib.sha256(stored.tobytes()).hexdigest()]
+        short = [x for x in read if len(x) <= WINDOW]
+        adpcm = ima_blocks(np.frombuffer(b"".join(short), np.uint8).reshape(-1, BLOCK)) if short else None
+        end = 0
+        for row, payload in zip(rows, read, strict=True):
+            forms = {"mulaw": decode(MULAW, 1, payload), "alaw": decode(ALAW, 1, payload)}
+            if len(payload) <= WINDOW:
+                end += len(payload) // BLOCK
+                forms["adpcm"] = [adpcm[end - len(payload) // BLOCK : end].reshape(-1)]
+            else:
+                forms["adpcm"] = decode(IMA, BLOCK, payload)
+            found = {k: Features() for k in forms}
+            for k, windows in forms.items():
+                for pcm in resampled(windows):
+                    found[k].add(pcm)
+            row += [";".join(f"{k}:{x}" for k, x in found.items()), 2 * found["mulaw"].n, found["mulaw"].hash.hexdigest()]
         columns = [pa.array(list(x), pa.int64() if f.endswith("long") else pa.string()) for f, x in zip(fields, zip(*rows, strict=True), strict=True)]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *(f.split()[0] for f in fields)])
 

@@ -199,6 +199,66 @@ def test_telephony_clips(spark):
     assert bytes(rows[1]["payload"]) == bytes(range(200)) and len(rows[1]["pcm"]) == 800 and not rows[2]["pcm"]
 
 
+def slow_clip(payload, kind):
+    """PCM of a payload at 16 kHz, sample by sample, from the published rules."""
+    out = []
+    if kind == "adpcm":
+        steps, moves = telephony.step_table().tolist(), telephony.INDEX_STEP.tolist()
+        for first in range(0, len(payload), 64):
+            block = payload[first : first + 64]
+            value, index = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88)
+            out.append(value)
+            for byte in block[4:]:
+                for nibble in (byte & 15, byte >> 4):
+                    step = steps[index]
+                    change = (step >> 3) + (step if nibble & 4 else 0) + (step >> 1 if nibble & 2 else 0) + (step >> 2 if nibble & 1 else 0)
+                    value = max(-32768, min(32767, value - change if nibble & 8 else value + change))
+                    index = max(0, min(88, index + moves[nibble & 7]))
+                    out.append(value)
+    for byte in payload if kind == "mulaw" else []:
+        code = ~byte & 255
+        size = ((((code & 15) << 3) + 132) << (code >> 4 & 7)) - 132
+        out.append(-size if code & 128 else size)
+    for byte in payload if kind == "alaw" else []:
+        code = byte ^ 0x55
+        chord, low = code >> 4 & 7, ((code & 15) << 4) + 8
+        size = low if chord == 0 else (low + 256) << (chord - 1)
+        out.append(size if code & 128 else -size)
+    return [x for a, b in zip(out, [*out[1:], out[-1]], strict=True) for x in (a, (a + b) >> 1)]
+
+
+def test_telephony_features_match_slow_decoder(docs, monkeypatch):
+    for window in (telephony.WINDOW, 128):
+        monkeypatch.setattr(telephony, "WINDOW", window)
+        rows = telephony.text_clips(docs.where("doc_id is not null")).collect() if window > 128 else []
+        for text in [r[1] for r in ROWS if window == 128]:
+            payload = (text or "").encode()
+            payload += bytes(-len(payload) % 64 or (0 if payload else 64))
+            for kind, tag in (("mulaw", telephony.MULAW), ("alaw", telephony.ALAW), ("adpcm", telephony.IMA)):
+                got = np.concatenate(list(telephony.resampled(telephony.decode(tag, 64 if kind == "adpcm" else 1, payload))))
+                assert got.tolist() == slow_clip(payload, kind)
+        for r in rows:
+            payload = (TEXTS[r["doc_id"]] or "").encode()
+            payload += bytes(-len(payload) % 64 or (0 if payload else 64))
+            want = []
+            for kind in ("mulaw", "alaw", "adpcm"):
+                pcm = slow_clip(payload, kind)
+                rms = round((sum(x * x for x in pcm) / len(pcm)) ** 0.5)
+                want.append(f"{kind}:{max(map(abs, pcm))},{rms},{sum((a < 0) != (b < 0) for a, b in zip(pcm, pcm[1:], strict=False))},{zlib.crc32(np.array(pcm, np.int16).tobytes())}")
+            assert r["feature"] == ";".join(want)
+            assert r["pcm_sha256"] == hashlib.sha256(np.array(slow_clip(payload, "mulaw"), np.int16).tobytes()).hexdigest()
+
+
+def test_telephony_resamples_across_windows():
+    pcm = np.random.default_rng(3).integers(-32768, 32768, 1000).astype(np.int16)
+    for rate in (8000, 16000, 11025, 48000, 6000):
+        whole = telephony.resample(pcm, 8000, rate)
+        assert len(whole) == 1000 * rate // 8000
+        for cut in (1, 7, 333):
+            parts = [pcm[i : i + cut] for i in range(0, 1000, cut)]
+            assert np.array_equal(np.concatenate(list(telephony.resampled(parts, 8000, rate))), whole)
+
+
 def test_ctw_sums_to_one_and_base(docs):
     rows = [r for r in ctw.train_and_score(docs).collect()]
     assert len(rows) == len(ROWS)
