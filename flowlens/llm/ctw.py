@@ -33,7 +33,7 @@ DEPTH = 6
 #: Bits of a run of DEPTH context bytes, newest first, and the byte that follows them.
 WIDE = 8 * (DEPTH + 1)
 #: Bytes of text in a block, of text worked on at a time, and of text for each share of the keys.
-BLOCK, SLICE, SHARE = 8 << 20, 1 << 20, 64 << 20
+BLOCK, SLICE, SHARE = 8 << 20, 1 << 20, 12 << 20
 #: The end sign of the byte model.
 END_BYTE = 0
 TEXT, WORDS, RUNS = 0, 1, 2
