@@ -19,6 +19,7 @@ half and the base is log10(1 / (0 + 1)) a token; texts of any length are scored
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import fold, lower_ascii, materialise, mix, slices, span_hashes, string_buffers, whole_text, word_spans
 
-DEPTH = 6
+DEPTH = 5
 #: Bits of a run of DEPTH context bytes, newest first, and the byte that follows them.
 WIDE = 8 * (DEPTH + 1)
 #: Bytes of text in a block, of text worked on at a time, and of text for each share of the keys.
@@ -124,20 +125,26 @@ class Asked:
 
 def log_kt(seen: np.ndarray) -> np.ndarray:
     """Natural log of the Krichevsky-Trofimov probability of counts (…, 2) of zeros and ones."""
-    out = np.zeros(seen.shape[:-1])
-    some = np.flatnonzero(seen.sum(-1))  # empty nodes have probability one
-    zeros, ones = seen.reshape(-1, 2)[some].T.astype(np.float64)
-    out.reshape(-1)[some] = log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - np.log(np.pi)
-    return out
+    zeros, ones = seen[..., 0], seen[..., 1]  # empty nodes have probability one
+    return log_gamma(zeros, 0.5) + log_gamma(ones, 0.5) - log_gamma(zeros + ones, 1.0) - np.log(np.pi)
+
 
+@lru_cache(2)
+def gamma_table(shift: float, size: int = 1 << 14) -> np.ndarray:
+    """log gamma(k + shift) for k below size."""
+    first = 0.5 * np.log(np.pi) if shift == 0.5 else 0.0
+    return first + np.concatenate([[0.0], np.cumsum(np.log(np.arange(size - 1) + shift))])
 
-def log_gamma(x: np.ndarray) -> np.ndarray:
-    """Stirling's series after a shift by eight; x > 0."""
-    shift = np.ones_like(x)
-    for k in range(8):
-        shift = shift * (x + k)
-    y = x + 8
-    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(shift)
+
+def log_gamma(k: np.ndarray, shift: float) -> np.ndarray:
+    """log gamma(k + shift) of counts: from the table, and above it by Stirling's series."""
+    table, k = gamma_table(shift), np.asarray(k, np.int64)
+    out = table[np.minimum(k, len(table) - 1)]
+    large = np.flatnonzero(k.reshape(-1) >= len(table))
+    if len(large):
+        y = k.reshape(-1)[large] + shift
+        out.reshape(-1)[large] = (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3)
+    return out
 
 
 def guess(seen: np.ndarray) -> np.ndarray:
@@ -147,8 +154,8 @@ def guess(seen: np.ndarray) -> np.ndarray:
 
 def bit_counts(cells: np.ndarray) -> np.ndarray:
     """Counts (…, 256) of bytes to counts (…, 256, 2) of decisions; node 1 is the first bit, node 2k + b follows."""
-    out = np.zeros((*cells.shape, 2))
-    level = cells.astype(np.float64)
+    out = np.zeros((*cells.shape, 2), np.int64)
+    level = cells.astype(np.int64)
     for depth in range(7, -1, -1):
         pairs = level.reshape(*cells.shape[:-1], 1 << depth, 2)
         out[..., 1 << depth : 2 << depth, :] = pairs
@@ -399,7 +406,7 @@ def brute_force(train: list[bytes], texts: list[bytes]) -> list[float]:
             below.setdefault((context[1:], before), set()).add((context, before))
     weight: dict[tuple[bytes, str], float] = {}
     for node in sorted(counts, key=lambda x: -len(x[0])):
-        own = float(log_kt(np.array([counts[node]], float))[0])
+        own = float(log_kt(np.array([counts[node]]))[0])
         weight[node] = own if len(node[0]) == DEPTH else float(np.log(0.5) + np.logaddexp(own, sum(weight[x] for x in sorted(below[node]))))
 
     def one(context: bytes, before: str, depth: int = 0) -> float:
@@ -410,7 +417,7 @@ def brute_force(train: list[bytes], texts: list[bytes]) -> list[float]:
         own = (ones + 0.5) / (zeros + ones + 1)
         if depth == DEPTH or (context[DEPTH - depth - 1 :], before) not in counts:
             return own
-        share = float(np.exp(np.log(0.5) + log_kt(np.array([counts[node]], float))[0] - weight[node]))
+        share = float(np.exp(np.log(0.5) + log_kt(np.array([counts[node]]))[0] - weight[node]))
         return share * own + (1 - share) * one(context, before, depth + 1)
 
     return [float(sum(np.log10(p if bit else 1 - p) for context, before, bit in decisions(text) for p in [one(context, before)])) for text in texts]
