@@ -32,7 +32,6 @@ QUERIES = {
     "limit_rows": (lambda t: C.limit_rows(t.orders().select("vbeln", "netwr"), ["vbeln"]), "SELECT vbeln, netwr, (SELECT count(*) > 200 FROM fx_orders) AS truncated FROM fx_orders ORDER BY vbeln LIMIT 200"),
     "search_attributes": (lambda t: C.search_attributes(t.orders(), "building|SO", "1998-01-01", "1998-12-31"), """SELECT vbeln, concat_ws(' ', auart, vkorg, kunnr, industry) AS attributes FROM fx_orders
         WHERE regexp_matches(concat_ws(' ', auart, vkorg, kunnr, industry), '(?i)building|SO') AND vdatu >= DATE '1998-01-01' AND erdat <= DATE '1998-12-31'"""),
-    "search_doc_text": (lambda t: C.search_doc_text(t.read("documents"), "license|tion the", "doc_id"), None),
     "orders_from_event_log": (lambda t: C.orders_from_event_log(t.event_log(), ["signup"], ["view"], ["purchase"]), """SELECT case_id AS document, min(ts) FILTER (activity = 'signup') AS created_ts, min(ts) FILTER (activity = 'view') AS receipt_ts,
         min(ts) FILTER (activity = 'purchase') AS invoice_ts, count(DISTINCT resource) AS n_resources FROM fx_event_log GROUP BY 1"""),
     "map_activities": (lambda t: C.map_activities(t.event_log(), {"signup": "Create", "purchase": "Invoice"}).groupBy("activity").count().withColumnRenamed("count", "n"), "SELECT CASE activity WHEN 'signup' THEN 'Create' WHEN 'purchase' THEN 'Invoice' ELSE activity END AS activity, count(*) AS n FROM fx_event_log GROUP BY 1"),

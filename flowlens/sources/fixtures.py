@@ -128,6 +128,17 @@ class Tables:
         )
         return head.join(lines, F.col("BELNR") == F.col("_doc")).drop("_doc")
 
+    def texts(self) -> DataFrame:
+        """Texts of orders: headers, items and deliveries in turn."""
+        level = F.array(F.lit("header"), F.lit("item"), F.lit("delivery"))[(F.col("doc_id") % 3).cast("int")]
+        orders = self.orders().select("orderkey", F.col("vbeln").alias("doc_key"), F.col("erdat").alias("changed"), "vkorg")
+        return self.read("documents").join(orders, F.col("doc_id") == F.col("orderkey")).select("doc_key", level.alias("level"), F.when(F.col("doc_id") % 3 == 1, "000010").alias("posnr"), "lang", "text", "changed", "vkorg")
+
+    def purchase_log(self) -> DataFrame:
+        """The event log in the words of purchasing: activities dealt by event."""
+        names = F.array(*map(F.lit, PURCHASE))
+        return self.event_log().select("case_id", "event_id", names[(F.col("event_id") * 7 % len(PURCHASE)).cast("int")].alias("activity"), "ts", "resource")
+
     def ska1(self) -> DataFrame:
         number = F.substring("HKONT", 5, 2).cast("int")
         return self.bseg().select("HKONT").distinct().select(F.col("HKONT").alias("SAKNR"), F.when(number % 2 == 0, "X").otherwise("").alias("XBILK"), F.concat(F.lit("Master "), F.col("HKONT")).alias("TXT50"))
@@ -149,6 +160,9 @@ def numbered(log: DataFrame) -> DataFrame:
 #: Transaction codes dealt to documents by key.
 TCODES = ["FB01", "FBV1", "FBV2", "F110", "XK02", "FB08", "FB60", "FV50", "XK01", "VA01", "MIRO", "F-53"]
 
+#: Activities of purchasing that are dealt to events.
+PURCHASE = ["Create Purchase Requisition Item", "Create Purchase Order Item", "Change Quantity", "Record Goods Receipt", "Record Invoice Receipt", "Clear Invoice", "Vendor creates invoice", "SRM: Awaiting Approval", "Cancel Invoice Receipt", "Change Price", "Remove Payment Block"]
+
 _CODES = "[" + ", ".join(f"'{c}'" for c in TCODES) + "]"
 _HEAD = "FROM orders JOIN customer ON o_custkey = c_custkey"
 SQL_VIEWS = {
@@ -187,6 +201,9 @@ SQL_VIEWS = {
         CASE WHEN l_suppkey % 10 = 0 THEN lpad(CAST(l_suppkey % 4 AS VARCHAR), 4, '0') END AS VBUND, CAST(l_shipdate AS DATE) AS ZFBDT,
         CASE WHEN l_linestatus = 'F' THEN CAST(l_shipdate AS DATE) END AS AUGDT FROM fx_bkpf b JOIN fx_lines ON b.BELNR = lpad(CAST(l_orderkey AS VARCHAR), 10, '0')""",
     "fx_ska1": "SELECT DISTINCT HKONT AS SAKNR, CASE WHEN CAST(substr(HKONT, 5, 2) AS INT) % 2 = 0 THEN 'X' ELSE '' END AS XBILK, 'Master ' || HKONT AS TXT50 FROM fx_bseg",
+    "fx_texts": """SELECT vbeln AS doc_key, ['header', 'item', 'delivery'][CAST(doc_id % 3 AS INT) + 1] AS level, CASE WHEN doc_id % 3 = 1 THEN '000010' END AS posnr, lang, text, erdat AS changed, vkorg
+        FROM documents JOIN fx_orders ON doc_id = orderkey""",
+    "fx_purchase_log": f"SELECT case_id, event_id, [{', '.join(repr(a) for a in PURCHASE)}][CAST(event_id * 7 % {len(PURCHASE)} AS INT) + 1] AS activity, ts, resource FROM fx_event_log",
     "fx_skat": "SELECT DISTINCT HKONT AS SAKNR, 'E' AS SPRAS, 'Account ' || HKONT AS TXT50 FROM fx_bseg WHERE CAST(substr(HKONT, 5, 2) AS INT) % 5 <> 0",
 }
 
