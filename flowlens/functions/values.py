@@ -10,9 +10,13 @@ FORMATS = ["yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd
 
 
 def parse_date(text: Column) -> Column:
-    """A timestamp of the first format that fits; offsets and Z are cut off."""
-    bare = F.regexp_replace(F.trim(text), r"(Z|[+-]\d{2}:?\d{2})$", "")
-    return F.coalesce(*(F.try_to_timestamp(bare, F.lit(f)) for f in FORMATS))
+    """A timestamp in UTC of the first format that fits; Z and offsets are applied."""
+    t = F.trim(text)
+    offset = r":\d{2}(?:\.\d+)?\s*([+-])(\d{2}):?(\d{2})$"
+    bare = F.regexp_replace(F.regexp_replace(t, r"(?<=\d)\s*Z$", ""), r"(:\d{2}(?:\.\d+)?)\s*[+-]\d{2}:?\d{2}$", "$1")
+    minutes = F.regexp_extract(t, offset, 2).try_cast("int") * 60 + F.regexp_extract(t, offset, 3).try_cast("int")
+    ahead = F.coalesce(F.when(F.regexp_extract(t, offset, 1) == "-", -minutes).otherwise(minutes), F.lit(0))
+    return F.timestamp_add("MINUTE", -ahead, F.coalesce(*(F.try_to_timestamp(bare, F.lit(f)) for f in FORMATS)))
 
 
 def parse_sap_date(text: Column) -> Column:

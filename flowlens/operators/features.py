@@ -65,16 +65,19 @@ def case_features_ext(log: DataFrame, as_of: str) -> DataFrame:
     )
 
 
-def _scored(features: DataFrame, parts: list[tuple[str, Column, Column]]) -> DataFrame:
-    """case_id, probability and the factors that apply; parts: name, test, what it adds."""
+Score = tuple[Column, Column]
+
+
+def _score(parts: list[tuple[str, Column, Column]]) -> Score:
+    """Probability and the factors that apply; parts: name, test, what it adds."""
     total = reduce(lambda a, b: a + b, (F.when(test, add).otherwise(0.0) for _, test, add in parts))
     factors = F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test, _ in parts)))
-    return features.select("case_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 4).alias("probability"), F.array_join(factors, ",").alias("factors"))
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 4), F.array_join(factors, ",")
 
 
-def score_late_delivery(f: DataFrame) -> DataFrame:
+def _late_delivery() -> Score:
     c = F.col
-    return _scored(f, [
+    return _score([
         ("case_age", c("case_age") > 72, F.least(c("case_age") / 336, F.lit(1.0)) * 0.25), ("low_progress", (c("progress") < 0.5) & (c("case_age") > 48), (1 - c("progress")) * 0.2),
         ("stalled", c("idle_hours") > 24, F.least(c("idle_hours") / 168, F.lit(1.0)) * 0.2), ("credit_hold", c("has_credit_hold"), F.lit(0.3)), ("rework", c("has_rework"), F.lit(0.1)),
         ("backtracks", c("backtrack_count") > 0, F.least(c("backtrack_count") * 0.1, F.lit(0.2))), ("weekend_start", c("is_weekend_start"), F.lit(0.05)), ("goods_issued", c("has_goods_issued"), F.lit(-0.3)),
@@ -82,26 +85,41 @@ def score_late_delivery(f: DataFrame) -> DataFrame:
     ])
 
 
-def score_credit_hold(f: DataFrame) -> DataFrame:
+def _credit_hold() -> Score:
     c = F.col
-    free = _scored(f, [
+    probability, factors = _score([
         ("no_credit_check", ~c("has_credit_check") & (c("event_count") > 2), F.lit(0.3)), ("high_complexity", c("complexity") > 0.5, c("complexity") * 0.2), ("rejection_history", c("rejection_detected"), F.lit(0.25)),
         ("block_history", c("block_detected"), F.lit(0.2)), ("credit_check_passed", c("has_credit_check"), F.lit(-0.4)), ("late_stage", c("has_goods_issued") | c("has_invoice"), F.lit(-0.3)),
     ])
-    held = f.select("case_id", "has_credit_hold")
-    out = free.join(held, "case_id")
-    return out.select("case_id", F.when(c("has_credit_hold"), 1.0).otherwise(c("probability")).alias("probability"), F.when(c("has_credit_hold"), "credit_hold_active").otherwise(c("factors")).alias("factors"))
+    return F.when(c("has_credit_hold"), 1.0).otherwise(probability), F.when(c("has_credit_hold"), "credit_hold_active").otherwise(factors)
 
 
-def score_completion_time(f: DataFrame) -> DataFrame:
-    """Remaining hours, and their risk on a scale of two weeks."""
+def _remaining_hours() -> Column:
     c, left = F.col, 1 - F.col("progress")
     pace = F.ceil(F.round(left * 7, 6)) * 3 * c("avg_gap_hours")
     base = F.when((c("event_count") > 1) & (c("avg_gap_hours") > 0), (120 * left + pace) / 2).otherwise(120 * left)
     base = base + F.when(c("has_credit_hold"), 48).otherwise(0)
     base = base * F.when(c("has_rework"), 1.2).otherwise(1.0) + c("backtrack_count") * 12
-    base = F.greatest(F.lit(0.0), F.when(c("progress") >= 0.95, F.least(base, F.lit(24.0))).otherwise(base))
-    return f.select("case_id", F.round(base, 2).alias("remaining_hours"), F.round(F.least(F.lit(1.0), base / 336), 4).alias("probability"))
+    return F.greatest(F.lit(0.0), F.when(c("progress") >= 0.95, F.least(base, F.lit(24.0))).otherwise(base))
+
+
+def _completion_time() -> Score:
+    return F.round(F.least(F.lit(1.0), _remaining_hours() / 336), 4), F.lit("")
+
+
+def score_late_delivery(f: DataFrame) -> DataFrame:
+    probability, factors = _late_delivery()
+    return f.select("case_id", probability.alias("probability"), factors.alias("factors"))
+
+
+def score_credit_hold(f: DataFrame) -> DataFrame:
+    probability, factors = _credit_hold()
+    return f.select("case_id", probability.alias("probability"), factors.alias("factors"))
+
+
+def score_completion_time(f: DataFrame) -> DataFrame:
+    """Remaining hours, and their risk on a scale of two weeks."""
+    return f.select("case_id", F.round(_remaining_hours(), 2).alias("remaining_hours"), _completion_time()[0].alias("probability"))
 
 
 def risk_level(p: Column) -> Column:
@@ -109,10 +127,10 @@ def risk_level(p: Column) -> Column:
 
 
 def predictions(f: DataFrame) -> DataFrame:
-    """case_id, prediction_type, probability, factors of all three scores."""
-    none = F.lit("")
-    parts = [(score_late_delivery(f), "late_delivery"), (score_credit_hold(f), "credit_hold"), (score_completion_time(f).withColumn("factors", none), "completion_time")]
-    return reduce(DataFrame.unionByName, (df.select("case_id", F.lit(kind).alias("prediction_type"), "probability", "factors") for df, kind in parts))
+    """case_id, prediction_type, probability, factors of all three scores, from one pass over the features."""
+    scores = {"late_delivery": _late_delivery(), "credit_hold": _credit_hold(), "completion_time": _completion_time()}
+    rows = F.array(*(F.struct(F.lit(kind).alias("prediction_type"), p.alias("probability"), why.alias("factors")) for kind, (p, why) in scores.items()))
+    return f.select("case_id", F.explode(rows).alias("r")).select("case_id", "r.*")
 
 
 #: What each prediction counts for.
@@ -196,3 +214,10 @@ def recommendations(found: DataFrame, most: int = 3) -> DataFrame:
     advice = F.create_map(*(F.lit(x) for pair in ADVICE.items() for x in pair))
     listed = F.slice(F.array_compact(F.transform(F.split("factors", ","), lambda x: advice[x])), 1, most)
     return found.select("case_id", "prediction_type", F.array_join(listed, "; ").alias("recommendations"))
+
+
+def case_summary(found: DataFrame, most: int = 5) -> DataFrame:
+    """One row a case: its highest probability, how many predictions are high, and at most `most` different recommendations."""
+    advice = F.create_map(*(F.lit(x) for pair in ADVICE.items() for x in pair))
+    every = F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.collect_list(F.transform(F.split("factors", ","), lambda x: advice[x]))))))
+    return found.groupBy("case_id").agg(F.max("probability").alias("highest"), F.count_if(F.col("probability") >= 0.6).alias("n_high"), F.array_join(F.slice(every, 1, most), "; ").alias("recommendations"))

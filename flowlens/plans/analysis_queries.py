@@ -66,6 +66,68 @@ def _regressed(t):
     return cluster.prediction_interval(scored, rmse)
 
 
+#: Lines with everything that is redacted or written out, put behind documents so that every rule meets something.
+SAMPLES = [
+    "Contact: Jörg Müller or contact: Jane Doe, Mr. John Smith, ERNAM: MUELLER1", "Ship to 123 Main Street, Springfield, IL 62701", "Hauptstraße 12, 10115 Berlin and Postfach 4711, SW1A 1AA",
+    "PO-ABC-123456 and PO 123456 and Purchase Order: AB-12345 and POX1234567", "Order 0012345678, SO12345678 and DL1234567890, fax 030 1234567", "+49 (0) 170 1234567, (555) 123-4567, 555.123.4567, mail a.b@c.de",
+    "CUST REQ: System generated, cr hold on QTY.. Café naïve ordé -- (none) . User: X1", "Message no. VL150 Document 4711 saved; no text , dlvry dt  2024-01-05T10:00:00Z",
+]
+
+
+def _dirty(t):
+    lines = F.array(*map(F.lit, SAMPLES))
+    return t.read("documents").select("doc_id", F.concat_ws("\n", F.coalesce("text", F.lit("")), lines[(F.col("doc_id") % len(SAMPLES)).cast("int")]).alias("text"))
+
+
+def _redacted(t):
+    return _dirty(t).select("doc_id", X.redact_text(F.col("text"), "s").alias("text"))
+
+
+def _redaction_stats(t):
+    both = _dirty(t).select(*X.redaction_counts(F.col("text"), X.redact_text(F.col("text"), "s")))
+    return both.agg(*(F.sum(c).alias(c) for c in both.columns))
+
+
+def _nested(t):
+    item = F.struct(F.col("text"), F.length("text").cast("long").alias("n"))
+    return _dirty(t).select("doc_id", F.struct(F.col("text").alias("note")).alias("head"), F.array(item).alias("items"))
+
+
+def _cut(text: str, pattern: str, clean: str, made: str) -> str:
+    """DuckDB text of a text cut at matches: clean is applied to the parts (p), made to the matches (n)."""
+    zipped = f"list_zip([{clean} for p in string_split_regex({text}, '{pattern}')], [{made} for n in regexp_extract_all({text}, '{pattern}')])"
+    return f"array_to_string([z[1] || coalesce(z[2], '') for z in {zipped}], '')"
+
+
+def _sql(pattern: str, cased: bool) -> str:
+    return ("" if cased else "(?i)") + pattern.replace("'", "''")
+
+
+_HASH = "'[{0}_' || upper(substr(sha256('s:' || {1}), 1, 8)) || ']'"
+_CLEAN = "p"
+for _, _pattern, _cased, _made in X.REDACTIONS:
+    _CLEAN = f"regexp_replace({_CLEAN}, '{_sql(_pattern, _cased)}', '{_made.replace('$', chr(92))}', 'g')"
+_DIGITS = f"regexp_replace(n, '{X.DOCUMENT_PREFIX}', '')"
+_MARKS = [(f"n_{k.lower()}", rf"\[{k}_[0-9A-F]{{8}}\]" if k in ("PO_NUMBER", "DOC") else rf"\[{k}\]") for k in X.KINDS]
+_MARKS.append(("n_total", "|".join(m for _, m in _MARKS)))
+_WORD = r"\p{L}\p{M}\p{N}_"
+_TOKENS = f"regexp_extract_all(lower(text), '[{_WORD}]+')"
+_NAMES = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in X.ABBREVIATIONS.items()) + "}"
+_BARE = f"regexp_replace(text, '(?i){'|'.join(X.BOILERPLATE)}', ' ', 'g')"
+for _short, _long in X.LONG_ABBREVIATIONS.items():
+    _BARE = f"regexp_replace({_BARE}, '(?i)\\b{_short}\\b', '{_long}', 'g')"
+_SINGLE = f"regexp_replace(lower(array_to_string([coalesce(map_extract(names, lower(w))[1], w) for w in regexp_extract_all(bare, '[{_WORD}]+|[^{_WORD}]+')], '')), '[\\s\\x0B\\p{{Z}}]+', ' ', 'g')"
+for _sign, _one in ((r"\.", "."), ("-", "-"), ("_", "_")):
+    _SINGLE = f"regexp_replace({_SINGLE}, '{_sign}{{2,}}', '{_one}', 'g')"
+VIEWS |= {
+    "tx_dirty": f"SELECT doc_id, coalesce(text, '') || chr(10) || [{', '.join(repr(x) for x in SAMPLES)}][doc_id % {len(SAMPLES)} + 1] AS text FROM documents",
+    "tx_cut": f"SELECT doc_id, string_split_regex(text, '{X.DOCUMENT}') AS parts, regexp_extract_all(text, '{X.DOCUMENT}') AS numbers FROM tx_dirty",
+    "tx_0": f"SELECT doc_id, numbers, [{_CLEAN} for p in parts] AS parts FROM tx_cut",
+    **{f"tx_{i}": f"SELECT doc_id, numbers, [{_cut('q', _sql(*po), 'p', _HASH.format('PO_NUMBER', 'n'))} for q in parts] AS parts FROM tx_{i - 1}" for i, po in enumerate(X.PO_NUMBERS, 1)},
+    "tx_redacted": f"SELECT doc_id, array_to_string([z[1] || coalesce(z[2], '') for z in list_zip(parts, [regexp_extract(n, '{X.DOCUMENT_PREFIX}') || {_HASH.format('DOC', _DIGITS)} for n in numbers])], '') AS text FROM tx_{len(X.PO_NUMBERS)}",
+    "tx_bare": f"SELECT doc_id, {_BARE} AS bare, {_NAMES} AS names FROM tx_dirty",
+    "tx_normal": f"SELECT doc_id, trim(regexp_replace({_SINGLE}, '\\s[^{_WORD}\\s]\\s', ' ', 'g'), ' ') AS text FROM tx_bare",
+}
 QUERIES = {
     "outcome_baseline": (lambda t: stats.outcome_baseline(docs(t)), "SELECT metric, count(*) AS n, round(avg(value), 4) AS mean, round(coalesce(stddev_samp(value), 0), 4) AS std, round(quantile_cont(value, 0.5), 4) AS median, min(value) AS min, max(value) AS max FROM an_long GROUP BY 1 HAVING count(*) >= 5"),
     "outcome_rates": (lambda t: stats.outcome_rates(docs(t)), """SELECT metric, n_hits, n_total, round(CASE WHEN n_total > 0 THEN n_hits / n_total END, 6) AS rate, n_total = 0 AS insufficient_data FROM (SELECT 'delay_probability' AS metric, count(*) FILTER (delivery_delay_days > 7) AS n_hits, count(delivery_delay_days) AS n_total FROM an_docs
@@ -80,13 +142,17 @@ QUERIES = {
     "cluster_info": (lambda t: stats.cluster_info(docs(t)), "SELECT cluster, count(*) AS n, round(avg(length(vkorg || ' ' || industry)), 2) AS avg_length, round(count(*) / sum(count(*)) OVER () * 100, 2) AS percent FROM an_docs GROUP BY 1"),
     "occurrence_by": (lambda t: stats.occurrence_by(docs(t), "vkorg"), "SELECT cluster, vkorg AS value, count(*) AS n FROM an_docs GROUP BY 1, 2"),
     "evidence_coverage": (lambda t: stats.evidence_coverage(docs(t), ["delivery_date", "invoice_date"]), "SELECT cluster, count(*) AS n, round(avg(CAST(delivery_date IS NOT NULL AS INT)), 4) AS delivery_date_coverage, round(avg(CAST(invoice_date IS NOT NULL AS INT)), 4) AS invoice_date_coverage FROM an_docs GROUP BY 1"),
-    "redact_text": (lambda t: t.read("documents").select("doc_id", X.redact_text(F.col("text"), "s").alias("text")), None),
+    "redact_text": (_redacted, "SELECT doc_id, text FROM tx_redacted"),
     "redact_email": (lambda t: t.read("documents").select("doc_id", F.sha2(X.redact_email(F.col("text")).cast("binary"), 256).alias("h")), r"SELECT doc_id, sha256(regexp_replace(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b', '[EMAIL]', 'gi')) AS h FROM documents"),
-    "redaction_stats": (lambda t: t.read("documents").select(*X.redaction_counts(F.col("text"))).agg(*(F.sum(f"n_{k.lower()}").alias(f"n_{k.lower()}") for k, _ in X.REDACTIONS)), None),
-    "normalize_text": (lambda t: t.read("documents").select("doc_id", X.normalize_text(F.col("text")).alias("text")), None),
-    "phrases": (lambda t: t.read("benchmark").select(F.explode(X.phrases(X.tokenize(F.col("text")), 2, 2)).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n")), None),
-    "keywords": (lambda t: t.read("conversations").select("conv_id", "turn", F.array_join(X.extract_keywords(F.coalesce("text", F.lit(""))), ",").alias("keywords")), None),
-    "format_duration": (lambda t: log.case_durations(t.event_log()).select("case_id", V.format_duration(F.col("duration_hours")).alias("duration")), None),
+    "redaction_stats": (_redaction_stats, "SELECT " + ", ".join(f"CAST(sum(len(regexp_extract_all(r.text, '{m}')) - len(regexp_extract_all(d.text, '{m}'))) AS BIGINT) AS {n}" for n, m in _MARKS) + " FROM tx_redacted r JOIN tx_dirty d USING (doc_id)"),
+    "normalize_text": (lambda t: _dirty(t).select("doc_id", X.normalize_text(F.col("text")).alias("text")), "SELECT doc_id, text FROM tx_normal"),
+    "normalize_without_stop_words": (lambda t: _dirty(t).select("doc_id", X.normalize_text(F.col("text"), least=2, stop_words=X.STOP_WORDS).alias("text")), f"SELECT doc_id, array_to_string([w for w in string_split(text, ' ') if length(w) >= 2 and w not in {tuple(X.STOP_WORDS)}], ' ') AS text FROM tx_normal"),
+    "redact_struct": (lambda t: X.redact_struct(_nested(t), "s", keep=("doc_id",)).select("doc_id", F.col("head.note").alias("note"), F.col("items")[0]["text"].alias("item_text"), F.col("items")[0]["n"].alias("n")), "SELECT doc_id, text AS note, text AS item_text, length(d.text) AS n FROM tx_redacted JOIN tx_dirty d USING (doc_id)".replace("text AS note, text AS item_text", "tx_redacted.text AS note, tx_redacted.text AS item_text")),
+    "phrases": (lambda t: t.read("documents").select(F.explode(X.phrases(X.tokenize(F.col("text")))).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n")).where("n >= 5"), f"""SELECT phrase, count(*) AS n FROM (SELECT unnest(flatten([[array_to_string(w[i:i + k], ' ') for i in range(1, len(w) - k + 1)] for k in [1, 2, 3]])) AS phrase FROM (SELECT {_TOKENS} AS w FROM documents)) GROUP BY 1 HAVING count(*) >= 5"""),
+    "keywords": (lambda t: t.read("conversations").select("conv_id", "turn", F.array_join(X.extract_keywords(F.coalesce("text", F.lit(""))), ",").alias("keywords")), f"""SELECT conv_id, turn, coalesce(k, '') AS keywords FROM conversations LEFT JOIN (SELECT conv_id, turn, string_agg(w, ',' ORDER BY p) AS k FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY p) AS n
+        FROM (SELECT conv_id, turn, w, min(p) AS p FROM (SELECT conv_id, turn, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM (SELECT conv_id, turn, regexp_split_to_array(regexp_replace(lower(text), '[?.,!]', '', 'g'), '[\\s\\x0B]+') AS ws FROM conversations)) WHERE length(w) > 3 AND w NOT IN {tuple(X.QUESTION_WORDS)} GROUP BY ALL)) WHERE n <= 3 GROUP BY 1, 2) USING (conv_id, turn)"""),
+    "format_duration": (lambda t: log.case_durations(t.event_log()).select("case_id", V.format_duration(F.col("duration_hours")).alias("duration")), """SELECT case_id, CASE WHEN h < 1 THEN CAST(CAST(round(h * 60) AS INT) AS VARCHAR) || 'm' WHEN h < 24 THEN CAST(round(h, 1) AS VARCHAR) || 'h' WHEN h / 24 < 7 THEN CAST(round(h / 24, 1) AS VARCHAR) || 'd' ELSE CAST(round(h / 24 / 7, 1) AS VARCHAR) || 'w' END AS duration
+        FROM (SELECT case_id, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 3.6e9, 4) AS h FROM fx_event_log GROUP BY 1)"""),
     "objects": (_objects, "SELECT * FROM oc_objects"),
     "ocel_events": (_events, "SELECT * FROM oc_events"),
     "ocel_relations": (lambda t: ocel.object_relations(t.orders(), t.items(), t.deliveries(), t.invoices()), "SELECT a AS source, b AS target, forth AS qualifier FROM oc_pairs UNION SELECT b, a, back FROM oc_pairs"),

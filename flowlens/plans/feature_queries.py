@@ -87,6 +87,8 @@ QUERIES = {
     "threshold_hits": (lambda t: R.threshold_hits(R.predictions(_ext(t))).select("case_id", "prediction_type", "probability", "factors", "alert_type", "severity"), "SELECT * FROM ft_hits"),
     "alert_summary": (lambda t: R.alert_summary(R.threshold_hits(R.predictions(_ext(t)))), "SELECT 'severity' AS dimension, severity AS value, count(*) AS n, count(DISTINCT case_id) AS n_cases FROM ft_hits GROUP BY 2 UNION ALL SELECT 'type', alert_type, count(*), count(DISTINCT case_id) FROM ft_hits GROUP BY 2"),
     "threshold_alerts": (_alerts, None),
-    "weighted_risk": (lambda t: R.weighted_risk(_typed(t), 336.0), None),
-    "recommendations": (lambda t: R.recommendations(R.predictions(_ext(t))), None),
+    "weighted_risk": (lambda t: R.weighted_risk(_typed(t), 336.0), f"""SELECT *, {_level('risk_score')} AS risk_level FROM (SELECT case_id, round(greatest(0.0, least(1.0, coalesce(sum(risk * w) / sum(w) FILTER (risk IS NOT NULL), 0.0))), 4) AS risk_score, count(risk) AS n_used, count(*) - count(risk) AS n_excluded
+        FROM (SELECT case_id, CASE prediction_type WHEN 'credit_hold' THEN NULL WHEN 'completion_time' THEN least(1.0, probability * 336 / 336.0) ELSE probability END AS risk, CASE prediction_type WHEN 'late_delivery' THEN 0.4 WHEN 'credit_hold' THEN 0.35 ELSE 0.25 END AS w FROM ft_pred) GROUP BY 1)"""),
+    "recommendations": (lambda t: R.recommendations(R.predictions(_ext(t))), "SELECT case_id, prediction_type, array_to_string(([x for x in [CASE y " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in R.ADVICE.items()) + " END for y in string_split(factors, ',')] if x IS NOT NULL])[1:3], '; ') AS recommendations FROM ft_pred"),
+    "case_summary": (lambda t: R.case_summary(R.predictions(_ext(t))), "SELECT case_id, max(probability) AS highest, count(*) FILTER (probability >= 0.6) AS n_high, array_to_string(list_sort(list_distinct(flatten(list([CASE y " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in R.ADVICE.items()) + " END for y in string_split(factors, ',')]))))[1:5], '; ') AS recommendations FROM ft_pred GROUP BY 1"),
 }

@@ -16,7 +16,7 @@ def one(spark, column, *values):
     return spark.createDataFrame([values], [f"c{i}" for i in range(len(values))]).select(column).first()[0]
 
 
-@pytest.mark.parametrize(("text", "want"), [("2024-01-02", (2024, 1, 2)), ("20240102", (2024, 1, 2)), ("02.01.2024", (2024, 1, 2)), ("2024-01-02T10:00:00Z", (2024, 1, 2, 10)), ("2024-01-02T10:00:00+02:00", (2024, 1, 2, 10)), ("nothing", None)])
+@pytest.mark.parametrize(("text", "want"), [("2024-01-02", (2024, 1, 2)), ("20240102", (2024, 1, 2)), ("02.01.2024", (2024, 1, 2)), ("2024-01-02T10:00:00Z", (2024, 1, 2, 10)), ("2024-01-02T10:00:00+02:00", (2024, 1, 2, 8)), ("nothing", None)])
 def test_parse_date(spark, text, want):
     assert one(spark, V.parse_date(F.col("c0")), text) == (datetime.datetime(*want) if want else None)
 
@@ -44,12 +44,32 @@ def test_small_values(spark):
 
 
 def test_redaction(spark):
-    text = "Mail a.b@c.com, call 123-456-7890, PO-ABCD-12345 for 0012345678, Mr. John Smith"
+    text = "Mail a.b@c.com, call 123-456-7890, PO-ABCD-123456 for 0012345678, Mr. John Smith, SO12345678, ERNAM: USER1"
     got = one(spark, X.redact_text(F.col("c0"), "salt"), text)
-    assert "[EMAIL]" in got and "[PHONE]" in got and "[PO]" in got and "[NAME]" in got and "[DOC_" in got and "0012345678" not in got
+    assert "[EMAIL]" in got and "[PHONE]" in got and "[PO_NUMBER_" in got and "[NAME], SO[DOC_" in got and "ERNAM: [NAME]" in got and "[DOC_" in got and "0012345678" not in got
     assert got == one(spark, X.redact_text(F.col("c0"), "salt"), text) != one(spark, X.redact_text(F.col("c0"), "other"), text)
 
 
+def test_text_functions_know_all_letters(spark):
+    assert one(spark, X.tokenize(F.col("c0")), "Café naïve straße 漢字") == ["café", "naïve", "straße", "漢字"]
+    assert one(spark, X.normalize_text(F.col("c0")), "ordé ord") == "ordé order"
+    assert one(spark, X.redact_text(F.col("c0")), "nothing here") == "nothing here"
+    assert one(spark, X.redact_text(F.col("c0"), hash_documents=False, hash_orders=False), "PO 123456 of 0012345678") == "[PO_NUMBER] of 0012345678"
+
+
+def test_redact_struct(spark):
+    df = spark.sql("SELECT 'a.b@c.de' AS a, named_struct('b', array('x', 'c.d@e.fr'), 'n', 1) AS s, map('k', 'g.h@i.jp') AS m, array(named_struct('t', 'j.k@l.com')) AS r")
+    got = X.redact_struct(df, "s").first()
+    assert got["a"] == "[EMAIL]" and got["s"]["b"] == ["x", "[EMAIL]"] and got["s"]["n"] == 1 and got["m"] == {"k": "[EMAIL]"} and got["r"][0]["t"] == "[EMAIL]"
+    assert X.redact_struct(df, "s", keep=("a",)).first()["a"] == "a.b@c.de" and X.redact_struct(df, mode="raw_local").first() == df.first()
+
+
+def test_parse_date_with_offset(spark):
+    assert str(one(spark, V.parse_date(F.col("c0")), "2024-01-05T10:00:00+02:00")) == "2024-01-05 08:00:00"
+    assert str(one(spark, V.parse_date(F.col("c0")), "2024-01-05 10:00:00-0530")) == "2024-01-05 15:30:00"
+    assert str(one(spark, V.parse_date(F.col("c0")), "2024-01-05T10:00:00Z")) == "2024-01-05 10:00:00"
+
+
 def test_normalise(spark):
     assert one(spark, X.normalize_text(F.col("c0")), "CUST REQ:  System generated CR HLD on   QTY..") == "customer request: credit hold on quantity."
     assert one(spark, X.phrases(X.tokenize(F.col("c0")), 2, 3), "a b c") == ["a b", "b c", "a b c"]
