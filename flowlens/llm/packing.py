@@ -31,7 +31,7 @@ WORD = re.compile(rf"[^{SPACE}]+")
 #: Characters that str.split() takes for white space and Unicode doesn't.
 ODD = re.compile("[\x1c-\x1f]")
 #: Entries of each half of a worker's caches of words and of runs.
-CACHE, RUN_CACHE = 300_000, 300_000
+CACHE, RUN_CACHE = 500_000, 400_000
 
 
 class Recent:
