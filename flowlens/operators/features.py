@@ -221,3 +221,20 @@ def case_summary(found: DataFrame, most: int = 5) -> DataFrame:
     advice = F.create_map(*(F.lit(x) for pair in ADVICE.items() for x in pair))
     every = F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.collect_list(F.transform(F.split("factors", ","), lambda x: advice[x]))))))
     return found.groupBy("case_id").agg(F.max("probability").alias("highest"), F.count_if(F.col("probability") >= 0.6).alias("n_high"), F.array_join(F.slice(every, 1, most), "; ").alias("recommendations"))
+
+
+#: Risk indicators of a case and when they hold.
+INDICATORS = [
+    ("case_age_high", "case_age > 168"), ("stalled_case", "idle_hours > 48"), ("credit_hold", "has_credit_hold"), ("rework_detected", "has_rework"), ("excessive_loops", "loop_count > 2"), ("process_backtrack", "backtrack_count > 0"),
+    ("slow_progress", "progress > 0 and progress < 0.3 and case_age > 72"), ("high_handoffs", "resource_changes > 5"), ("weekend_processing", "is_weekend_start"), ("rejection_detected", "rejection_detected"), ("block_detected", "block_detected"),
+]
+
+
+def case_features_full(log: DataFrame, as_of: str) -> DataFrame:
+    """case_features_ext with the hour of the start, resources and hand-offs, the last two activities, and all indicators.
+    All parts are grouped by the case, so they meet where they are."""
+    from .documents import handoffs, recent_activities
+
+    start = log.groupBy("case_id").agg(F.hour(F.min("ts")).alias("start_hour"))
+    wide = case_features_ext(log, as_of).drop("risk_indicators").join(start, "case_id").join(handoffs(log), "case_id").join(recent_activities(log), "case_id")
+    return wide.withColumn("risk_indicators", F.concat_ws(",", *(F.when(F.expr(test), F.lit(name)) for name, test in INDICATORS)))

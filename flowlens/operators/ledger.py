@@ -132,28 +132,80 @@ def gl_variances(head: DataFrame, lines: DataFrame, limits: Thresholds = DEFAULT
 ANOMALY = [*KEY, "anomaly_type", "severity", "user", "budat", "amount", "risk_score"]
 
 
-def _anomalies(df: DataFrame, kind: Column | str, severity: Column | str, amount: Column, risk: Column | int) -> DataFrame:
+def _hit(test: Column, kind: Column | str, severity: Column | str, amount: Column, risk: Column | int) -> Column:
+    """What a detector says of a row: nothing where the test fails."""
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return df.select(*KEY, lit(kind).alias("anomaly_type"), lit(severity).alias("severity"), F.col("USNAM").alias("user"), F.col("BUDAT").alias("budat"), amount.cast("decimal(28,2)").alias("amount"), lit(risk).alias("risk_score"))
+    return F.when(test, F.struct(lit(kind).alias("anomaly_type"), lit(severity).alias("severity"), amount.cast("decimal(28,2)").alias("amount"), lit(risk).alias("risk_score")))
 
 
-def journal_weekend_holiday(debits: DataFrame, limits: Thresholds = DEFAULTS) -> DataFrame:
+def _exploded(df: DataFrame, hits: Column) -> DataFrame:
+    """A row for each thing said of a row; hits: an array."""
+    rows = df.select(*KEY, F.col("USNAM").alias("user"), F.col("BUDAT").alias("budat"), F.explode(hits).alias("_a"))
+    return rows.select(*KEY, "_a.anomaly_type", "_a.severity", "user", "budat", "_a.amount", "_a.risk_score")
+
+
+def _found(df: DataFrame, *hits: Column) -> DataFrame:
+    return _exploded(df, F.array_compact(F.array(*hits)))
+
+
+def _weekend(limits: Thresholds) -> Column:
     holiday, large = F.col("BUDAT").cast("string").isin(list(limits.holidays) or [""]), F.col("debit") > 100000
-    off = debits.where(F.dayofweek("BUDAT").isin(1, 7) | holiday)
-    return _anomalies(off, F.when(holiday, "holiday_posting").otherwise("weekend_posting"), F.when(large, "high").otherwise("medium"), F.col("debit"), F.when(holiday, 70).when(large, 65).otherwise(45))
+    return _hit(F.dayofweek("BUDAT").isin(1, 7) | holiday, F.when(holiday, "holiday_posting").otherwise("weekend_posting"), F.when(large, "high").otherwise("medium"), F.col("debit"), F.when(holiday, 70).when(large, 65).otherwise(45))
 
 
-def journal_round_amount(head: DataFrame, lines: DataFrame, limits: Thresholds = DEFAULTS) -> DataFrame:
+def _backdated(limits: Thresholds) -> Column:
+    gap = F.datediff("CPUDT", "BUDAT")
+    return _hit(gap > limits.backdate_days, "backdated_entry", F.when(gap > 90, "critical").when(gap > 30, "high").otherwise("medium"), F.col("debit"), F.when(gap > 90, 90).when(gap > 30, 75).otherwise(55))
+
+
+def _manual() -> Column:
+    d = F.col("debit")
+    return _hit(F.col("TCODE").isin(MANUAL) & (d > 10000), "manual_entry", F.when(d > 500000, "high").when(d > 100000, "medium").otherwise("low"), d, F.when(d > 500000, 60).when(d > 100000, 40).otherwise(20))
+
+
+def _unusual_time(limits: Thresholds) -> Column:
+    hour = F.substring("CPUTM", 1, 2).cast("int")
+    return _hit(((hour < limits.work_start) | (hour >= limits.work_end)) & (F.col("debit") > 10000), "unusual_time", "low", F.col("debit"), 30)
+
+
+def _round(limits: Thresholds) -> Column:
     amount = F.abs("WRBTR")
-    hits = lines.where((amount >= limits.round_amount) & (amount % limits.round_amount == 0)).join(head.select(*KEY, "USNAM", "BUDAT"), KEY)
     severity = F.when(amount >= 1000000, "high").when(amount >= 100000, "medium").otherwise("low")
-    return _anomalies(hits, "round_amount", severity, amount, F.when(amount >= 1000000, 55).when(amount >= 100000, 40).otherwise(25))
+    return _hit((amount >= limits.round_amount) & (amount % limits.round_amount == 0), "round_amount", severity, amount, F.when(amount >= 1000000, 55).when(amount >= 100000, 40).otherwise(25))
+
+
+def _rare_keys(lines: DataFrame) -> DataFrame:
+    """Posting keys that make up less than a hundredth of the postings of their account type."""
+    keyed = lines.where("BSCHL is not null and BSCHL <> ''").groupBy(F.coalesce("KOART", F.lit("S")).alias("_type"), "BSCHL").agg(F.count("*").alias("_n"))
+    totals = keyed.groupBy("_type").agg(F.sum("_n").alias("_total"))
+    return keyed.join(totals, "_type").where("_total > 100 and _n / _total < 0.01").select("_type", "BSCHL", F.lit(True).alias("_rare"))
+
+
+def _with_rare(lines: DataFrame) -> DataFrame:
+    # account types times posting keys are few, whatever the number of lines
+    return lines.withColumn("_type", F.coalesce("KOART", F.lit("S"))).join(F.broadcast(_rare_keys(lines)), ["_type", "BSCHL"], "left")
+
+
+def _unusual_key() -> Column:
+    return _hit(F.col("_rare"), "unusual_posting_key", "medium", F.abs("WRBTR"), 50)
+
+
+def _of_lines(head: DataFrame, lines: DataFrame, *hits: Column) -> DataFrame:
+    """Only lines that something is said of meet their headers."""
+    said = lines.select(*KEY, F.array_compact(F.array(*hits)).alias("_hits")).where(F.size("_hits") > 0)
+    return _exploded(said.join(head.select(*KEY, "USNAM", "BUDAT"), KEY), F.col("_hits"))
+
+
+def journal_weekend_holiday(debits: DataFrame, limits: Thresholds = DEFAULTS) -> DataFrame:
+    return _found(debits, _weekend(limits))
+
+
+def journal_round_amount(head: DataFrame, lines: DataFrame, limits: Thresholds = DEFAULTS) -> DataFrame:
+    return _of_lines(head, lines, _round(limits))
 
 
 def journal_backdated(debits: DataFrame, limits: Thresholds = DEFAULTS) -> DataFrame:
-    gap = F.datediff("CPUDT", "BUDAT")
-    severity = F.when(gap > 90, "critical").when(gap > 30, "high").otherwise("medium")
-    return _anomalies(debits.where(gap > limits.backdate_days), "backdated_entry", severity, F.col("debit"), F.when(gap > 90, 90).when(gap > 30, 75).otherwise(55))
+    return _found(debits, _backdated(limits))
 
 
 def journal_period_end_spike(debits: DataFrame, limits: Thresholds = DEFAULTS) -> DataFrame:
@@ -165,45 +217,35 @@ def journal_period_end_spike(debits: DataFrame, limits: Thresholds = DEFAULTS) -
         F.min(F.when(at_end, F.col("BUDAT"))).alias("BUDAT"), F.coalesce(F.sum(F.when(at_end, F.col("debit"))), F.lit(0).cast("decimal(38,2)")).alias("total"),
     ).where("n_rest > 0")
     rest, end = F.col("n_rest") / F.greatest(F.col("days") - n, F.lit(1)), F.col("n_end") / n
-    hits = periods.where((end > rest * 3) & (F.col("n_end") >= 5)).withColumns({"BELNR": F.concat(F.lit("PERIOD-"), F.col("MONAT")), "USNAM": F.lit("MULTIPLE")})
-    return _anomalies(hits, "period_end_spike", F.when(end > rest * 5, "high").otherwise("medium"), F.col("total"), F.when(end > rest * 5, 65).otherwise(45))
+    named = periods.withColumns({"BELNR": F.concat(F.lit("PERIOD-"), F.col("MONAT")), "USNAM": F.lit("MULTIPLE")})
+    return _found(named, _hit((end > rest * 3) & (F.col("n_end") >= 5), "period_end_spike", F.when(end > rest * 5, "high").otherwise("medium"), F.col("total"), F.when(end > rest * 5, 65).otherwise(45)))
 
 
 def journal_manual(debits: DataFrame) -> DataFrame:
-    d = F.col("debit")
-    return _anomalies(debits.where(F.col("TCODE").isin(MANUAL) & (d > 10000)), "manual_entry", F.when(d > 500000, "high").when(d > 100000, "medium").otherwise("low"), d, F.when(d > 500000, 60).when(d > 100000, 40).otherwise(20))
+    return _found(debits, _manual())
 
 
 def journal_unusual_key(head: DataFrame, lines: DataFrame) -> DataFrame:
-    """Lines whose posting key makes up less than a hundredth of the postings of their account type."""
-    keyed = lines.where("BSCHL is not null and BSCHL <> ''").withColumn("_type", F.coalesce("KOART", F.lit("S")))
-    keys = keyed.groupBy("_type", "BSCHL").agg(F.count("*").alias("_n"))
-    totals = keys.groupBy("_type").agg(F.sum("_n").alias("_total"))
-    rare = keys.join(totals, "_type").where("_total > 100 and _n / _total < 0.01").select("_type", "BSCHL")
-    hits = keyed.join(F.broadcast(rare), ["_type", "BSCHL"]).join(head.select(*KEY, "USNAM", "BUDAT"), KEY)
-    return _anomalies(hits, "unusual_posting_key", "medium", F.abs("WRBTR"), 50)
+    return _of_lines(head, _with_rare(lines), _unusual_key())
 
 
 def journal_split(debits: DataFrame, limits: Thresholds = DEFAULTS) -> DataFrame:
     """Users whose documents of one day are each below the approval limit and together near or over it."""
     below = debits.where((F.col("debit") > 0) & (F.col("debit") < limits.approval))
-    days = below.groupBy("USNAM", "BUDAT").agg(F.count("*").alias("n"), F.sum("debit").alias("total"), F.min(F.struct(*KEY)).alias("_first"))
-    hits = days.where((F.col("n") >= 2) & (F.col("total") >= limits.approval * 0.8) & (F.col("total") <= limits.approval * 1.5)).select("USNAM", "BUDAT", "total", "_first.*")
-    return _anomalies(hits, "split_below_threshold", "high", F.col("total"), 80)
+    days = below.groupBy("USNAM", "BUDAT").agg(F.count("*").alias("n"), F.sum("debit").alias("total"), F.min(F.struct(*KEY)).alias("_first")).select("USNAM", "BUDAT", "n", "total", "_first.*")
+    return _found(days, _hit((F.col("n") >= 2) & (F.col("total") >= limits.approval * 0.8) & (F.col("total") <= limits.approval * 1.5), "split_below_threshold", "high", F.col("total"), 80))
 
 
 def journal_unusual_time(debits: DataFrame, limits: Thresholds = DEFAULTS) -> DataFrame:
-    hour = F.substring("CPUTM", 1, 2).cast("int")
-    off = debits.where(((hour < limits.work_start) | (hour >= limits.work_end)) & (F.col("debit") > 10000))
-    return _anomalies(off, "unusual_time", "low", F.col("debit"), 30)
+    return _found(debits, _unusual_time(limits))
 
 
 def journal_anomalies(head: DataFrame, lines: DataFrame, limits: Thresholds = DEFAULTS) -> DataFrame:
-    """All eight detectors."""
+    """All eight detectors: four look at each header at once, two at each line, two at groups of headers."""
     debits = document_debits(head, lines)
     parts = [
-        journal_weekend_holiday(debits, limits), journal_round_amount(head, lines, limits), journal_backdated(debits, limits), journal_period_end_spike(debits, limits),
-        journal_manual(debits), journal_unusual_key(head, lines), journal_split(debits, limits), journal_unusual_time(debits, limits),
+        _found(debits, _weekend(limits), _backdated(limits), _manual(), _unusual_time(limits)), _of_lines(head, _with_rare(lines), _round(limits), _unusual_key()),
+        journal_period_end_spike(debits, limits), journal_split(debits, limits),
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -292,3 +334,72 @@ def fi_assessment(head: DataFrame, lines: DataFrame, limits: Thresholds = DEFAUL
     counts = found.agg(*(F.count_if(F.col("severity") == s).alias(f"n_{s}") for s in SEVERITIES))
     risk = F.when(F.col("n_critical") > 0, "critical").when(F.col("n_high") > 3, "high").when((F.col("n_high") > 0) | (F.col("n_medium") > 5), "medium").otherwise("low")
     return counts.withColumn("overall_risk", risk)
+
+
+#: What is told of findings (name, text), and what to do: name, priority, category, text.
+CONCERNS = [
+    ("conflicts", "segregation of duties conflict(s) detected"), ("weekend", "journal entries posted on weekends/holidays"), ("backdated", "backdated journal entries identified"), ("round", "round-amount entries flagged for review"),
+    ("suspense", "suspense account(s) with unexpected balances"), ("intercompany", "intercompany balance mismatch(es)"),
+]
+ADVICE = [
+    ("post_and_approve", "critical", "Segregation of Duties", "Implement dual-control for journal entry posting. No user should be able to both create and approve journal entries without a secondary review."),
+    ("park_and_post", "high", "Segregation of Duties", "Enforce separation between document parking and posting. Configure SAP workflow to require different users for FBV1 (park) and FBV2 (post)."),
+    ("vendor_payment", "critical", "Segregation of Duties", "Separate vendor master data maintenance from payment processing. Users with access to XK01/XK02 should not run F110 payment programs."),
+    ("off_days", None, "Posting Controls", "Review weekend and holiday postings for authorization. Consider implementing posting period restrictions (OB52) to prevent out-of-hours entries unless explicitly approved."),
+    ("backdated", None, "Posting Controls", "Investigate backdated journal entries where posting date significantly precedes creation date. Tighten posting period controls and require manager approval for backdated entries."),
+    ("round", "medium", "Journal Entry Review", "Review round-amount journal entries for legitimacy. While some round amounts are normal (provisions, accruals), a high concentration may indicate estimation or fabrication."),
+    ("split", "high", "Authorization Controls", "Investigate potential split transactions designed to circumvent approval thresholds. Consider implementing cumulative daily limits per user in addition to per-document thresholds."),
+    ("suspense", "high", "GL Accounts", "Clear suspense accounts with unexpected balances. Implement monthly reconciliation procedures and set automated alerts for suspense account activity."),
+    ("intercompany", "high", "Intercompany", "Resolve intercompany balance discrepancies before migration. Implement automated intercompany reconciliation processes in the target system."),
+]
+
+
+def assessment_counts(head: DataFrame, lines: DataFrame, ska1: DataFrame, skat: DataFrame, limits: Thresholds = DEFAULTS) -> DataFrame:
+    """One row of all counts that the assessment is made of: findings by severity and kind, documents and lines."""
+    kind, severity = F.col("anomaly_type"), F.col("severity")
+    journal = journal_anomalies(head, lines, limits).agg(
+        *(F.count_if(severity == s).alias(f"j_{s}") for s in SEVERITIES), F.count_if(kind == "weekend_posting").alias("weekend"), F.count_if(kind.isin("weekend_posting", "holiday_posting")).alias("off_days"), F.count_if(kind == "backdated_entry").alias("backdated"),
+        F.count_if((kind == "backdated_entry") & (severity == "critical")).alias("backdated_critical"), F.count_if(kind == "round_amount").alias("round"), F.count_if(kind == "split_below_threshold").alias("split"),
+    )
+    rule = F.col("conflict_type")
+    duty = sod_conflicts(head).agg(
+        *(F.count_if(severity == s).alias(f"d_{s}") for s in SEVERITIES), F.count("*").alias("conflicts"), F.count_if(rule == "post_and_approve").alias("post_and_approve"), F.count_if(rule == "park_and_post").alias("park_and_post"),
+        F.count_if(rule.isin("vendor_master_and_payment", "create_and_pay")).alias("vendor_payment"),
+    )
+    accounts = suspense_accounts(trial_balance(lines, ska1, skat), limits).agg(F.count("*").alias("suspense"))
+    pairs = intercompany_mismatches(lines).agg(F.count("*").alias("intercompany"))
+    size = head.agg(F.count("*").alias("n_documents"), F.min(F.col("MONAT").cast("int")).alias("first_period"), F.max(F.col("MONAT").cast("int")).alias("last_period"))
+    rows = [duty, accounts, pairs, size, lines.agg(F.count("*").alias("n_lines"))]
+    wide = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), rows, journal)  # one row each
+    wide = wide.select("*", *((F.col(f"j_{s}") + F.col(f"d_{s}")).alias(f"n_{s}") for s in SEVERITIES)).drop(*(f"{x}_{s}" for x in "jd" for s in SEVERITIES))
+    risk = F.when(F.col("n_critical") > 0, "critical").when(F.col("n_high") > 3, "high").when((F.col("n_high") > 0) | (F.col("n_medium") > 5), "medium").otherwise("low")
+    return wide.withColumn("overall_risk", risk)
+
+
+def assessment_concerns(counts: DataFrame) -> DataFrame:
+    """position, concern of what was found at all."""
+    rows = F.array(*(F.when(F.col(name) > 0, F.struct(F.lit(i).alias("position"), F.concat(F.col(name).cast("string"), F.lit(f" {text}")).alias("concern"))) for i, (name, text) in enumerate(CONCERNS)))
+    return counts.select(F.explode(F.array_compact(rows)).alias("r")).select("r.*")
+
+
+def assessment_recommendations(counts: DataFrame) -> DataFrame:
+    """priority, category, recommendation, affected_items; many postings on days off and old backdated entries weigh more."""
+    grave = {"off_days": F.when(F.col("off_days") > 10, "high").otherwise("medium"), "backdated": F.when(F.col("backdated_critical") > 0, "critical").otherwise("high")}
+    rows = F.array(*(
+        F.when(F.col(name) > 0, F.struct((F.lit(level) if level else grave[name]).alias("priority"), F.lit(category).alias("category"), F.lit(text).alias("recommendation"), F.col(name).alias("affected_items")))
+        for name, level, category, text in ADVICE
+    ))
+    return counts.select(F.explode(F.array_compact(rows)).alias("r")).select("r.*")
+
+
+def assessment_markdown(counts: DataFrame, title: str = "Ledger assessment") -> DataFrame:
+    """position, line of a report: summary, concerns and recommendations, the most urgent first."""
+    text = lambda c: F.col(c).cast("string")
+    table = [("Overall risk", "overall_risk"), ("Documents", "n_documents"), ("Lines", "n_lines"), *((s.capitalize(), f"n_{s}") for s in SEVERITIES)]
+    head = F.array(F.lit(f"# {title}"), F.lit(""), F.lit("| Metric | Value |"), F.lit("|---|---|"), *(F.concat(F.lit(f"| {name} | "), text(c), F.lit(" |")) for name, c in table), F.lit(""), F.lit("## Concerns"))
+    top = counts.select(F.posexplode(head).alias("position", "line"))
+    said = assessment_concerns(counts).select((F.col("position") + 100).alias("position"), F.concat(F.lit("- "), "concern").alias("line"))
+    wanted = assessment_recommendations(counts)
+    ranked = wanted.select((F.row_number().over(Window.orderBy(severity_rank(F.col("priority")), "category", "recommendation")) + 200).alias("position"), F.format_string("- %s, %s: %s (%d)", "priority", "category", "recommendation", "affected_items").alias("line"))  # at most nine rows
+    middle = counts.select(F.lit(200).alias("position"), F.lit("## Recommendations").alias("line"))
+    return reduce(DataFrame.unionByName, [top, said, middle, ranked])

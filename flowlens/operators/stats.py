@@ -9,7 +9,7 @@ import math
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,8 +71,15 @@ def z_p_value(z: pd.Series) -> pd.Series:
     return z.map(normal_two_sided)
 
 
-def has_return(text: Column) -> Column:
-    return reduce(lambda a, b: a | b, (F.lower(text).contains(w) for w in RETURN_WORDS))
+#: Flow categories of returns.
+RETURN_CATEGORIES = ["H", "K", "R"]
+
+
+def has_return(text: Column, reason: Column | None = None, categories: Column | None = None) -> Column:
+    """Whether there is a reason for rejection or return, a document of a return category (an array) or a word of returns."""
+    words = reduce(lambda a, b: a | b, (F.lower(text).contains(w) for w in RETURN_WORDS))
+    tests = [words, *([F.coalesce(reason, F.lit("")) != ""] if reason is not None else []), *([F.arrays_overlap(categories, F.array(*map(F.lit, RETURN_CATEGORIES)))] if categories is not None else [])]
+    return reduce(lambda a, b: a | b, (F.coalesce(t, F.lit(False)) for t in tests))
 
 
 def long_metrics(docs: DataFrame, *keys: str) -> DataFrame:
@@ -160,18 +167,65 @@ def evidence_coverage(docs: DataFrame, fields: list[str], cluster: str = "cluste
     return docs.groupBy(cluster).agg(F.count("*").alias("n"), *(F.round(F.avg(F.col(f).isNotNull().cast("int")), 4).alias(f"{f}_coverage") for f in fields))
 
 
-def pattern_cards(docs: DataFrame, effects: DataFrame, cluster: str = "cluster") -> DataFrame:
-    """One card a cluster: a stable id, size, strongest significant effect, confidence and category.
-    Effects are joined by the cluster itself, so they reach their cards."""
+#: What to keep in mind about a card.
+CAVEATS = {
+    "observational": "Observational analysis only; correlation does not imply causation.", "text_based": "Patterns based on text similarity; may not capture all relevant factors.",
+    "small_sample": "Based on only %d documents; results may not generalize.", "no_significance": "No statistically significant effects detected.",
+    "weak_effect": "Effect sizes are small; practical significance may be limited.", "missing_timing": "Timing data incomplete for %d%% of documents.",
+}
+SNIPPETS, KEYS = 3, 5
+
+
+def _first_of(docs: DataFrame, cluster: str, order: list[Column], n: int, value: Column, name: str) -> DataFrame:
+    """The values of the first n rows of each cluster, in order; n is small."""
+    ranked = docs.select(cluster, value.alias("_v"), F.row_number().over(Window.partitionBy(cluster).orderBy(*order)).alias("_r")).where(F.col("_r") <= n)
+    return ranked.groupBy(cluster).agg(F.array_sort(F.collect_list(F.struct("_r", "_v")))["_v"].alias(name))
+
+
+def pattern_cards(docs: DataFrame, effects: DataFrame, cluster: str = "cluster", phrases: DataFrame | None = None, seed: int = 42) -> DataFrame:
+    """One card a cluster: a stable id (of the cluster and its five smallest keys), title, description, size, its first
+    effect with lift, confidence and category, caveats, and snippets chosen by a seeded hash. Effects are joined by the
+    cluster itself, so they reach their cards. phrases: cluster, rank, phrase."""
+    c = F.col
     size = cluster_info(docs, cluster)
-    strength = F.when(F.col("is_significant"), F.abs("effect_size")).otherwise(0.0)
-    best = effects.groupBy(cluster).agg(F.max_by(F.struct("metric", "difference", "effect", "baseline_value", "cluster_value"), F.struct(strength, F.col("metric"))).alias("_b"), F.max(strength).alias("_strength"), F.count_if("is_significant").alias("n_significant"))
-    keys = docs.groupBy(cluster).agg(F.min("doc_key").alias("_keys"))
-    wide = size.join(best, cluster, "left").join(keys, cluster)
-    confidence = F.least(F.lit(1.0), 0.4 * F.least(F.col("n") / 100, F.lit(1.0)) + 0.3 * F.least(F.coalesce("_strength", F.lit(0.0)), F.lit(1.0)) + 0.3 * F.least(F.coalesce("n_significant", F.lit(0)) / 4, F.lit(1.0)))
-    lift = F.when(F.col("_b.baseline_value") != 0, F.round(F.col("_b.cluster_value") / F.col("_b.baseline_value"), 4))
-    return wide.select(cluster, F.substring(F.sha2(F.concat_ws("|", F.col(cluster).cast("string"), "_keys"), 256), 1, 12).alias("card_id"), "n", "percent", "_b.metric", "_b.effect", lift.alias("lift"), lift.isNull().alias("lift_undefined"), F.round(confidence, 4).alias("confidence"), F.when(confidence >= 0.7, "HIGH").when(confidence >= 0.4, "MEDIUM").otherwise("LOW").alias("category"))
+    timed = docs.groupBy(cluster).agg(F.round((1 - F.count("order_to_delivery_days") / F.count("*")) * 100, 0).cast("int").alias("_missing"), (F.count("order_to_delivery_days") < F.count("*") * 0.8).alias("_untimed"))
+    place = F.array_position(F.array(*map(F.lit, METRICS)), c("metric"))
+    first = F.min_by(F.struct("metric", "difference", "effect", "baseline_value", "cluster_value"), F.struct(place, c("metric")))
+    strong = c("effect").isin("medium", "large")
+    told = F.array_sort(F.collect_list(F.when(c("is_significant"), F.struct(place.alias("p"), F.format_string("These documents show significantly %s %s (%+.1f %s effect).", F.when(c("difference") > 0, "higher").otherwise("lower"), F.replace(c("metric"), F.lit("_"), F.lit(" ")), "difference", "effect").alias("t")))))
+    best = effects.groupBy(cluster).agg(first.alias("_b"), F.count_if("is_significant").alias("n_significant"), F.count_if(strong).alias("n_large"), F.bool_or(c("is_significant") & strong).alias("_notable"), told.alias("_told"), F.count("*").alias("_n_effects"))
+    keys = _first_of(docs, cluster, [c("doc_key")], KEYS, c("doc_key").cast("string"), "_keys")
+    shown = _first_of(docs.where(F.length(F.trim("text")) > 50), cluster, [F.xxhash64(F.lit(seed), "doc_key"), c("doc_key")], SNIPPETS, F.substring(F.trim("text"), 1, 300), "snippets")
+    wide = size.join(timed, cluster).join(best, cluster, "left").join(keys, cluster).join(shown, cluster, "left")
+    if phrases is not None:
+        named = phrases.where("rank <= 5").groupBy(cluster).agg(F.array_sort(F.collect_list(F.struct("rank", "phrase")))["phrase"].alias("_phrases"))
+        wide = wide.join(named, cluster, "left")
+    else:
+        wide = wide.withColumn("_phrases", F.array().cast("array<string>"))
+    zero, phrases_of = F.lit(0).cast("long"), F.coalesce("_phrases", F.array().cast("array<string>"))
+    wide = wide.withColumns({"n_significant": F.coalesce("n_significant", zero), "n_large": F.coalesce("n_large", zero), "_phrases": phrases_of})
+    confidence = F.round(0.4 * F.least(F.lit(1.0), c("n") / 100) + 0.3 * F.least(F.lit(1.0), c("n_significant") / 4) + 0.3 * F.least(F.lit(1.0), c("n_large") / 2), 2)
+    joined = F.array_join(F.transform(F.slice("_phrases", 1, 3), F.initcap), " / ")
+    title = F.when(F.size("_phrases") == 0, F.concat(F.lit("Pattern "), c(cluster).cast("string"))).when(F.length(joined) > 60, F.concat(F.substring(joined, 1, 57), F.lit("..."))).otherwise(joined)
+    quoted = F.array_join(F.transform(F.slice("_phrases", 1, 3), lambda x: F.concat(F.lit('"'), x, F.lit('"'))), ", ")
+    parts = [
+        F.when(F.size("_phrases") > 0, F.concat(F.lit("Documents in this cluster frequently contain "), quoted, F.lit("."))),
+        F.when(c("n_significant") > 0, F.array_join(F.slice("_told", 1, 2)["t"], " ")).otherwise("No statistically significant timing differences from baseline."), F.format_string("Based on analysis of %d documents.", "n"),
+    ]
+    lift = F.when(c("_b.baseline_value") != 0, F.round(c("_b.cluster_value") / c("_b.baseline_value"), 3)).when(c("_b.cluster_value") == 0, 1.0)
+    caveats = F.array_compact(F.array(
+        F.lit(CAVEATS["observational"]), F.lit(CAVEATS["text_based"]), F.when(c("n") < 30, F.format_string(CAVEATS["small_sample"], "n")), F.when(c("n_significant") == 0, CAVEATS["no_significance"]),
+        F.when((c("n_large") == 0) & (c("_n_effects") > 0), CAVEATS["weak_effect"]), F.when(c("_untimed"), F.format_string(CAVEATS["missing_timing"], "_missing")),
+    ))
+    return wide.select(
+        cluster, F.concat(F.lit("PAT-"), F.upper(F.substring(F.sha2(F.concat(c(cluster).cast("string"), F.lit(":"), F.array_join("_keys", ":")), 256), 1, 8))).alias("card_id"), title.alias("title"), F.concat_ws(" ", *parts).alias("description"), "n", "percent",
+        c("_b.metric").alias("metric"), c("_b.effect").alias("effect"), lift.alias("lift"), (lift.isNull() & c("_b").isNotNull()).alias("lift_undefined"), confidence.alias("confidence"),
+        F.when(confidence >= 0.7, "HIGH").when(confidence >= 0.4, "MEDIUM").otherwise("LOW").alias("category"), F.coalesce("_notable", F.lit(False)).alias("is_notable"), "n_significant", "n_large", F.array_join(caveats, "|").alias("caveats"), "snippets",
+    )
 
 
 def report_summary(cards: DataFrame) -> DataFrame:
-    return cards.agg(F.count("*").alias("n_cards"), F.count_if(F.col("category") == "HIGH").alias("n_high"), F.round(F.avg("confidence"), 4).alias("avg_confidence"), F.sum("n").alias("n_documents"))
+    return cards.agg(
+        F.count("*").alias("n_cards"), F.count_if("is_notable").alias("n_notable"), F.count_if(F.col("category") == "HIGH").alias("n_high"), F.round(F.avg("confidence"), 4).alias("avg_confidence"), F.sum("n").alias("n_documents"),
+        F.sum("n_significant").alias("n_significant_effects"), F.sum("n_large").alias("n_large_effects"),
+    )

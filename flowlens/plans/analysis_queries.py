@@ -8,6 +8,7 @@ from ..functions import text as X
 from ..functions import values as V
 from ..operators import chain, cluster, log, ocel, stats
 from ..operators.features import case_features
+from ..sources import readers
 from ..sources.fixtures import AS_OF
 from .chain_queries import VIEWS as CHAIN
 
@@ -21,7 +22,8 @@ VIEWS = CHAIN | {
     "oc_objects": "SELECT vbeln AS object_id, 'order' AS object_type FROM fx_orders UNION SELECT vbeln || '-' || posnr, 'item' FROM fx_items UNION SELECT kunnr, 'customer' FROM fx_orders UNION SELECT delivery, 'delivery' FROM fx_deliveries UNION SELECT invoice, 'invoice' FROM fx_invoices",
     "oc_events": """SELECT *, substr(sha256(event_type || '|' || object_id || '|' || strftime(ts, '%Y-%m-%d')), 1, 16) AS event_id FROM (SELECT 'OrderCreated' AS event_type, vbeln AS object_id, CAST(erdat AS TIMESTAMP) AS ts FROM fx_orders
         UNION ALL SELECT 'DeliveryCreated', delivery, CAST(created AS TIMESTAMP) FROM fx_deliveries UNION ALL SELECT 'GoodsIssued', delivery, CAST(actual_gi AS TIMESTAMP) FROM fx_deliveries WHERE actual_gi IS NOT NULL
-        UNION ALL SELECT 'InvoiceCreated', invoice, CAST(billing_date AS TIMESTAMP) FROM fx_invoices WHERE billing_date IS NOT NULL)""",
+        UNION ALL SELECT 'InvoiceCreated', invoice, CAST(billing_date AS TIMESTAMP) FROM fx_invoices WHERE billing_date IS NOT NULL
+        UNION ALL SELECT 'InvoicePosted', invoice, CAST(posting_date AS TIMESTAMP) FROM fx_invoices WHERE posting_date <> billing_date)""",
     "oc_pairs": """SELECT vbeln AS a, vbeln || '-' || posnr AS b, 'contains' AS forth, 'belongs_to' AS back FROM fx_items UNION SELECT vbeln, delivery, 'fulfilled_by', 'fulfills' FROM fx_deliveries
         UNION SELECT delivery, invoice, 'billed_by', 'bills' FROM fx_invoices UNION SELECT vbeln, kunnr, 'placed_by', 'placed' FROM fx_orders""",
 }
@@ -29,7 +31,7 @@ VIEWS = CHAIN | {
 
 def docs(t):
     wide = chain.unified_documents(t.orders(), t.deliveries(), t.invoices(), t.doc_flow())
-    return wide.withColumns({"cluster": F.col("industry"), "is_return": F.lit(False), "text": F.concat_ws(" ", "vkorg", "industry")})
+    return wide.withColumns({"cluster": F.col("industry"), "is_return": stats.has_return(F.lit(""), F.when(F.col("doc_key").cast("long") % 50 == 0, "rejected")), "text": F.concat_ws(" ", "vkorg", "industry")})
 
 
 def _effects(t):
@@ -128,17 +130,83 @@ VIEWS |= {
     "tx_bare": f"SELECT doc_id, {_BARE} AS bare, {_NAMES} AS names FROM tx_dirty",
     "tx_normal": f"SELECT doc_id, trim(regexp_replace({_SINGLE}, '\\s[^{_WORD}\\s]\\s', ' ', 'g'), ' ') AS text FROM tx_bare",
 }
+def _log(t):
+    made = ocel.ocel_from_log(t.purchase_log(), "2024-01-03")
+    return made._replace(objects=_plain(made.objects), events=_plain(made.events))
+
+
+def _flow(t):
+    made = ocel.ocel_from_flow(t.orders(), t.items(), t.deliveries(), t.delivery_items(), t.invoices(), "1995-01-01", "1998-12-31")
+    return made._replace(objects=_plain(made.objects), events=_plain(made.events))
+
+
+def _plain(df):
+    """Attributes as one sorted text."""
+    return df.withColumn("attributes", F.array_join(F.transform(F.array_sort(F.map_entries("attributes")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";"))
+
+
+_STATE = "CASE WHEN lower(activity) LIKE '%clear%' THEN 'cleared' WHEN lower(activity) LIKE '%cancel%' THEN 'cancelled' WHEN lower(activity) LIKE '%block%' THEN 'blocked' WHEN lower(activity) LIKE '%create%' OR lower(activity) LIKE '%record%' THEN 'posted' ELSE 'pending' END"
+VIEWS |= {
+    "ol_rows": """SELECT *, last_value(gr IGNORE NULLS) OVER (PARTITION BY case_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS latest FROM (SELECT *, 'e_' || case_id || '_' || event_id AS e, 'po_' || case_id AS po,
+        CASE WHEN lower(activity) LIKE '%goods receipt%' THEN 'gr_' || case_id || '_' || event_id END AS gr, CASE WHEN lower(activity) LIKE '%invoice%' THEN 'inv_' || case_id || '_' || event_id END AS inv FROM fx_purchase_log WHERE ts >= TIMESTAMP '2024-01-03')""",
+    "of_head": "SELECT * FROM fx_orders WHERE erdat BETWEEN DATE '1995-01-01' AND DATE '1998-12-31'",
+    "of_ship": "SELECT d.*, kunnr, vkorg, 'order:' || d.vbeln AS o, 'delivery:' || delivery AS dl FROM fx_deliveries d JOIN of_head h ON d.vbeln = h.vbeln",
+    "of_bill": "SELECT i.*, s.kunnr, s.vkorg, s.o, 'invoice:' || invoice AS iv FROM fx_invoices i JOIN of_ship s ON i.delivery = s.delivery",
+    "of_line": "SELECT i.*, erdat, 'order:' || i.vbeln AS o, 'order_item:' || i.vbeln || ':' || posnr AS it FROM fx_items i JOIN of_head h ON i.vbeln = h.vbeln",
+    "of_sent": "SELECT x.*, s.vbeln, s.created, s.dl, 'delivery_item:' || x.delivery || ':' || posnr AS di FROM fx_delivery_items x JOIN of_ship s ON x.delivery = s.delivery",
+}
+_LOG_SQL = {
+    "objects": f"""SELECT 'po_' || case_id AS object_id, 'purchase_order' AS object_type, 'document_number=' || case_id || ';vendor_id=' || min(vendor) AS attributes FROM fx_purchase_log GROUP BY case_id UNION ALL SELECT DISTINCT 'vendor_' || vendor, 'vendor', 'vendor_id=' || vendor FROM fx_purchase_log
+        UNION ALL SELECT gr, 'goods_receipt', 'posting_date=' || strftime(ts, '%Y-%m-%d') FROM ol_rows WHERE gr IS NOT NULL UNION ALL SELECT inv, 'invoice', 'posting_date=' || strftime(ts, '%Y-%m-%d') || ';status=' || {_STATE} FROM ol_rows WHERE inv IS NOT NULL""",
+    "events": "SELECT e AS event_id, activity AS event_type, ts, 'resource=' || resource AS attributes FROM ol_rows",
+    "event_objects": "SELECT e AS event_id, po AS object_id, 'header' AS qualifier FROM ol_rows UNION ALL SELECT e, gr, 'goods_receipt' FROM ol_rows WHERE gr IS NOT NULL UNION ALL SELECT e, inv, 'invoice' FROM ol_rows WHERE inv IS NOT NULL",
+    "object_relations": """SELECT 'po_' || case_id AS source, 'vendor_' || min(vendor) AS target, 'vendor' AS qualifier FROM fx_purchase_log GROUP BY case_id UNION ALL SELECT gr, po, 'predecessor' FROM ol_rows WHERE gr IS NOT NULL
+        UNION ALL SELECT inv, po, 'predecessor' FROM ol_rows WHERE inv IS NOT NULL UNION ALL SELECT inv, latest, 'goods_receipt' FROM ol_rows WHERE inv IS NOT NULL AND latest IS NOT NULL""",
+}
+_FLOW_SQL = {
+    "events": """SELECT 'order_created|order:' || vbeln AS event_id, 'order_created' AS event_type, CAST(erdat AS TIMESTAMP) AS ts, '' AS attributes FROM of_head UNION ALL SELECT 'delivery_created|' || dl, 'delivery_created', CAST(created AS TIMESTAMP), '' FROM of_ship
+        UNION ALL SELECT 'goods_issued|' || dl, 'goods_issued', CAST(actual_gi AS TIMESTAMP), '' FROM of_ship WHERE actual_gi IS NOT NULL UNION ALL SELECT 'invoice_created|' || iv, 'invoice_created', CAST(billing_date AS TIMESTAMP), '' FROM of_bill
+        UNION ALL SELECT 'item_added|' || it, 'item_added', CAST(erdat AS TIMESTAMP), '' FROM of_line UNION ALL SELECT 'item_delivered|' || di, 'item_delivered', CAST(created AS TIMESTAMP), '' FROM of_sent""",
+    "event_objects": """SELECT 'order_created|order:' || vbeln AS event_id, 'order:' || vbeln AS object_id, 'order' AS qualifier FROM of_head UNION ALL SELECT 'delivery_created|' || dl, o, 'order' FROM of_ship UNION ALL SELECT 'delivery_created|' || dl, dl, 'delivery' FROM of_ship
+        UNION ALL SELECT 'goods_issued|' || dl, o, 'order' FROM of_ship WHERE actual_gi IS NOT NULL UNION ALL SELECT 'goods_issued|' || dl, dl, 'delivery' FROM of_ship WHERE actual_gi IS NOT NULL UNION ALL SELECT 'invoice_created|' || iv, o, 'order' FROM of_bill
+        UNION ALL SELECT 'invoice_created|' || iv, iv, 'invoice' FROM of_bill UNION ALL SELECT 'item_added|' || it, o, 'order' FROM of_line UNION ALL SELECT 'item_added|' || it, it, 'item' FROM of_line
+        UNION ALL SELECT 'item_delivered|' || di, dl, 'delivery' FROM of_sent UNION ALL SELECT 'item_delivered|' || di, di, 'item' FROM of_sent""",
+    "object_relations": """SELECT dl AS source, o AS target, 'source_order' AS qualifier FROM of_ship UNION ALL SELECT iv, o, 'source_order' FROM of_bill UNION ALL SELECT it, o, 'parent_order' FROM of_line UNION ALL SELECT di, dl, 'parent_delivery' FROM of_sent
+        UNION ALL SELECT di, 'order_item:' || vbeln || ':' || ref_posnr, 'source_item' FROM of_sent""",
+}
+def _cards(t):
+    return stats.pattern_cards(docs(t), _effects(t))
+
+
+_Z = 1.959963984540054
+_T = " + ".join([str(_Z), f"{(_Z**3 + _Z) / 4} / df", f"{(5 * _Z**5 + 16 * _Z**3 + 3 * _Z) / 96} / df ** 2", f"{(3 * _Z**7 + 19 * _Z**5 + 17 * _Z**3 - 15 * _Z) / 384} / df ** 3"])
+_NAMES4 = " ".join(f"WHEN '{m}' THEN {i}" for i, m in enumerate(stats.METRICS))
+VIEWS |= {
+    "an_tested": f"""SELECT *, {_LABEL} AS effect, round(m1 - m2, 4) AS difference, abs(d / sqrt(1.0 / n1 + 1.0 / n2)) > {_T} AS sig FROM (SELECT *, n1 + n2 - 2 AS df, (m1 - m2) / sqrt(((n2 - 1) * s2 ** 2 + (n1 - 1) * s1 ** 2) / (n1 + n2 - 2)) AS d
+        FROM an_own JOIN an_all USING (metric) WHERE n1 >= 2 AND n2 >= 5)""",
+    "an_effects": f"SELECT *, round(m1, 4) AS cluster_value, round(m2, 4) AS baseline_value, CASE metric {_NAMES4} END AS place FROM an_tested",
+    "an_best": "SELECT cluster, arg_min(metric, place) AS metric, arg_min(effect, place) AS effect, arg_min(cluster_value, place) AS cv, arg_min(baseline_value, place) AS bv, count(*) FILTER (sig) AS n_significant, count(*) FILTER (effect IN ('medium', 'large')) AS n_large, bool_or(sig AND effect IN ('medium', 'large')) AS is_notable FROM an_effects GROUP BY 1",
+    "an_keys": "SELECT cluster, string_agg(doc_key, ':' ORDER BY doc_key) AS keys FROM (SELECT cluster, doc_key, row_number() OVER (PARTITION BY cluster ORDER BY doc_key) AS r FROM an_docs) WHERE r <= 5 GROUP BY 1",
+    "an_sizes": "SELECT cluster, count(*) AS n, round(count(*) / (SELECT count(*) FROM an_docs) * 100, 2) AS percent, count(order_to_delivery_days) AS timed FROM an_docs GROUP BY 1",
+    "an_cards": f"""SELECT cluster, card_id, title, n, percent, metric, effect, lift, lift IS NULL AS lift_undefined, confidence, CASE WHEN confidence >= 0.7 THEN 'HIGH' WHEN confidence >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS category, is_notable, n_significant, n_large,
+        concat_ws('|', '{stats.CAVEATS["observational"]}', '{stats.CAVEATS["text_based"]}', CASE WHEN n < 30 THEN 'Based on only ' || n || ' documents; results may not generalize.' END, CASE WHEN n_significant = 0 THEN '{stats.CAVEATS["no_significance"]}' END,
+        CASE WHEN n_large = 0 THEN '{stats.CAVEATS["weak_effect"]}' END, CASE WHEN timed < n * 0.8 THEN 'Timing data incomplete for ' || CAST(round((1 - timed / n) * 100) AS INT) || '% of documents.' END) AS caveats
+        FROM (SELECT *, 'PAT-' || upper(substr(sha256(cluster || ':' || keys), 1, 8)) AS card_id, 'Pattern ' || cluster AS title, CASE WHEN bv <> 0 THEN round(cv / bv, 3) WHEN cv = 0 THEN 1.0 END AS lift,
+        round(0.4 * least(1.0, n / 100) + 0.3 * least(1.0, n_significant / 4) + 0.3 * least(1.0, n_large / 2), 2) AS confidence FROM an_sizes JOIN an_best USING (cluster) JOIN an_keys USING (cluster))""",
+}
 QUERIES = {
     "outcome_baseline": (lambda t: stats.outcome_baseline(docs(t)), "SELECT metric, count(*) AS n, round(avg(value), 4) AS mean, round(coalesce(stddev_samp(value), 0), 4) AS std, round(quantile_cont(value, 0.5), 4) AS median, min(value) AS min, max(value) AS max FROM an_long GROUP BY 1 HAVING count(*) >= 5"),
     "outcome_rates": (lambda t: stats.outcome_rates(docs(t)), """SELECT metric, n_hits, n_total, round(CASE WHEN n_total > 0 THEN n_hits / n_total END, 6) AS rate, n_total = 0 AS insufficient_data FROM (SELECT 'delay_probability' AS metric, count(*) FILTER (delivery_delay_days > 7) AS n_hits, count(delivery_delay_days) AS n_total FROM an_docs
-        UNION ALL SELECT 'partial_delivery_rate', count(*) FILTER (n_deliveries > 1), count(*) FILTER (n_deliveries >= 1) FROM an_docs UNION ALL SELECT 'return_rate', 0, count(*) FROM an_docs)"""),
+        UNION ALL SELECT 'partial_delivery_rate', count(*) FILTER (n_deliveries > 1), count(*) FILTER (n_deliveries >= 1) FROM an_docs UNION ALL SELECT 'return_rate', count(*) FILTER (CAST(doc_key AS BIGINT) % 50 = 0), count(*) FROM an_docs)"""),
     "cluster_effects": (lambda t: _effects(t).drop("ci_lower", "ci_upper", "p_value", "is_significant"), f"""SELECT cluster, metric, n1 AS n_cluster, n2 AS n_baseline, round(m1, 4) AS cluster_value, round(m2, 4) AS baseline_value, round(m1 - m2, 4) AS difference, round(d, 4) AS effect_size, {_LABEL} AS effect
         FROM (SELECT *, (m1 - m2) / sqrt(((n2 - 1) * s2 ** 2 + (n1 - 1) * s1 ** 2) / (n1 + n2 - 2)) AS d FROM an_own JOIN an_all USING (metric) WHERE n1 >= 2 AND n2 >= 5)"""),
     "cluster_effects_tested": (_effects, None),
     "cluster_rate_effects": (lambda t: stats.cluster_rate_effects(docs(t), F.col("delivery_delay_days") > 7, "delay_probability"), None),
-    "notable_clusters": (lambda t: stats.notable_clusters(_effects(t)), None),
-    "pattern_cards": (lambda t: stats.pattern_cards(docs(t), _effects(t)), None),
-    "report_summary": (lambda t: stats.report_summary(stats.pattern_cards(docs(t), _effects(t))), None),
+    "notable_clusters": (lambda t: stats.notable_clusters(_effects(t)), """SELECT cluster, bool_or(sig AND effect IN ('medium', 'large')) AS is_notable, coalesce('Shows ' || string_agg(CASE WHEN sig THEN CASE WHEN difference > 0 THEN 'higher ' ELSE 'lower ' END || metric || ' (' || effect || ')' END, ', '
+        ORDER BY CASE WHEN sig THEN CASE WHEN difference > 0 THEN 'higher ' ELSE 'lower ' END || metric || ' (' || effect || ')' END), 'no significant effect') AS summary FROM an_effects GROUP BY 1"""),
+    "pattern_cards": (lambda t: _cards(t).drop("description", "snippets"), "SELECT * FROM an_cards"),
+    "card_lines": (lambda t: readers.card_lines(_cards(t)), None),
+    "report_summary": (lambda t: stats.report_summary(_cards(t)), "SELECT count(*) AS n_cards, count(*) FILTER (is_notable) AS n_notable, count(*) FILTER (category = 'HIGH') AS n_high, round(avg(confidence), 4) AS avg_confidence, CAST(sum(n) AS BIGINT) AS n_documents, CAST(sum(n_significant) AS BIGINT) AS n_significant_effects, CAST(sum(n_large) AS BIGINT) AS n_large_effects FROM an_cards"),
     "cluster_info": (lambda t: stats.cluster_info(docs(t)), "SELECT cluster, count(*) AS n, round(avg(length(vkorg || ' ' || industry)), 2) AS avg_length, round(count(*) / sum(count(*)) OVER () * 100, 2) AS percent FROM an_docs GROUP BY 1"),
     "occurrence_by": (lambda t: stats.occurrence_by(docs(t), "vkorg"), "SELECT cluster, vkorg AS value, count(*) AS n FROM an_docs GROUP BY 1, 2"),
     "evidence_coverage": (lambda t: stats.evidence_coverage(docs(t), ["delivery_date", "invoice_date"]), "SELECT cluster, count(*) AS n, round(avg(CAST(delivery_date IS NOT NULL AS INT)), 4) AS delivery_date_coverage, round(avg(CAST(invoice_date IS NOT NULL AS INT)), 4) AS invoice_date_coverage FROM an_docs GROUP BY 1"),
@@ -160,6 +228,9 @@ QUERIES = {
         UNION SELECT event_id, vbeln, 'order' FROM oc_events JOIN fx_invoices i ON object_id = invoice JOIN fx_deliveries d ON i.delivery = d.delivery"""),
     "ocel_stats": (lambda t: ocel.ocel_stats(_objects(t), _events(t)), "SELECT object_type AS name, count(*) AS n, 'object' AS kind FROM oc_objects GROUP BY 1 UNION ALL SELECT event_type, count(*), 'event' FROM oc_events GROUP BY 1"),
     "objects_from_log": (lambda t: ocel.objects_from_log(t.event_log()), "SELECT case_id AS object_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n_events, 'case' AS object_type FROM fx_event_log GROUP BY 1 UNION ALL SELECT resource, min(ts), max(ts), count(*), 'resource' FROM fx_event_log GROUP BY 1"),
+    **{f"ocel_log_{part}": (lambda t, part=part: getattr(_log(t), part), sql) for part, sql in _LOG_SQL.items()},
+    **{f"ocel_flow_{part}": (lambda t, part=part: getattr(_flow(t), part), sql) for part, sql in _FLOW_SQL.items()},
+    "ocel_flow_objects": (lambda t: _flow(t).objects.drop("attributes"), """SELECT 'order:' || vbeln AS object_id, 'order' AS object_type FROM of_head UNION ALL SELECT dl, 'delivery' FROM of_ship UNION ALL SELECT iv, 'invoice' FROM of_bill UNION ALL SELECT it, 'order_item' FROM of_line UNION ALL SELECT di, 'delivery_item' FROM of_sent"""),
     "process_map_mermaid": (lambda t: ocel.process_map_lines(log.directly_follows(t.event_log())), None),
     "process_map_dot": (lambda t: ocel.process_map_lines(log.directly_follows(t.event_log()), "dot"), None),
     "embedding_clusters": (lambda t: cluster.embedding_clusters(t.read("embeddings"), 10).select("vec_id", "label", "cluster"), None),

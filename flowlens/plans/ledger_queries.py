@@ -60,6 +60,18 @@ def _detector(name: str) -> str:
     return f"SELECT * FROM ja_{name}"
 
 
+def _counts(t):
+    return G.assessment_counts(t.bkpf(), t.bseg(), t.ska1(), t.skat())
+
+
+_PRIORITY = {"off_days": "CASE WHEN off_days > 10 THEN 'high' ELSE 'medium' END", "backdated": "CASE WHEN backdated_critical > 0 THEN 'critical' ELSE 'high' END"}
+VIEWS["as_counts"] = """SELECT *, CASE WHEN n_critical > 0 THEN 'critical' WHEN n_high > 3 THEN 'high' WHEN n_high > 0 OR n_medium > 5 THEN 'medium' ELSE 'low' END AS overall_risk FROM (SELECT
+    """ + ", ".join(f"(SELECT count(*) FROM ja_all WHERE severity = '{s}') + (SELECT count(*) FROM sd_conflicts WHERE severity = '{s}') AS n_{s}" for s in G.SEVERITIES) + """,
+    (SELECT count(*) FROM ja_all WHERE anomaly_type = 'weekend_posting') AS weekend, (SELECT count(*) FROM ja_all WHERE anomaly_type IN ('weekend_posting', 'holiday_posting')) AS off_days, (SELECT count(*) FROM ja_all WHERE anomaly_type = 'backdated_entry') AS backdated,
+    (SELECT count(*) FROM ja_all WHERE anomaly_type = 'backdated_entry' AND severity = 'critical') AS backdated_critical, (SELECT count(*) FROM ja_all WHERE anomaly_type = 'round_amount') AS round, (SELECT count(*) FROM ja_all WHERE anomaly_type = 'split_below_threshold') AS split,
+    (SELECT count(*) FROM sd_conflicts) AS conflicts, (SELECT count(*) FROM sd_conflicts WHERE conflict_type = 'post_and_approve') AS post_and_approve, (SELECT count(*) FROM sd_conflicts WHERE conflict_type = 'park_and_post') AS park_and_post,
+    (SELECT count(*) FROM sd_conflicts WHERE conflict_type IN ('vendor_master_and_payment', 'create_and_pay')) AS vendor_payment, (SELECT count(*) FROM as_suspense) AS suspense, (SELECT count(*) FROM as_pairs) AS intercompany,
+    (SELECT count(*) FROM fx_bkpf) AS n_documents, (SELECT min(CAST(MONAT AS INT)) FROM fx_bkpf) AS first_period, (SELECT max(CAST(MONAT AS INT)) FROM fx_bkpf) AS last_period, (SELECT count(*) FROM fx_bseg) AS n_lines)"""
 QUERIES = {
     "filter_fi": (lambda t: G.filter_fi(t.bkpf(), t.bseg(), company="0001", first="003", last="006", low="400010"), f"SELECT s.*, b.MONAT FROM fx_bseg s LEFT JOIN fx_bkpf b USING ({_KEY}) WHERE s.BUKRS = '0001' AND HKONT >= '400010' AND (MONAT IS NULL OR MONAT BETWEEN '003' AND '006')"),
     "document_debits": (lambda t: G.document_debits(t.bkpf(), t.bseg()).select(*G.KEY, "debit", "credit", "n_lines"), f"SELECT {_KEY}, debit, credit, n_lines FROM gl_debits"),
@@ -94,4 +106,10 @@ QUERIES = {
     "most_frequent_year": (lambda t: G.most_frequent_year(t.bkpf()), "SELECT GJAHR, count(*) AS n FROM fx_bkpf GROUP BY 1 ORDER BY n DESC, GJAHR LIMIT 1"),
     "fi_assessment": (lambda t: G.fi_assessment(t.bkpf(), t.bseg()), """SELECT *, CASE WHEN n_critical > 0 THEN 'critical' WHEN n_high > 3 THEN 'high' WHEN n_high > 0 OR n_medium > 5 THEN 'medium' ELSE 'low' END AS overall_risk FROM (SELECT count(*) FILTER (severity = 'critical') AS n_critical,
         count(*) FILTER (severity = 'high') AS n_high, count(*) FILTER (severity = 'medium') AS n_medium, count(*) FILTER (severity = 'low') AS n_low FROM (SELECT severity FROM ja_all UNION ALL SELECT severity FROM sd_conflicts))"""),
+    "assessment_counts": (_counts, "SELECT * FROM as_counts"),
+    "assessment_concerns": (lambda t: G.assessment_concerns(_counts(t)), " UNION ALL ".join(f"SELECT {i} AS position, {name} || ' {text}' AS concern FROM as_counts WHERE {name} > 0" for i, (name, text) in enumerate(G.CONCERNS))),
+    "assessment_recommendations": (lambda t: G.assessment_recommendations(_counts(t)), " UNION ALL ".join(f"SELECT {_PRIORITY.get(name, repr(level))} AS priority, '{category}' AS category, '{text}' AS recommendation, {name} AS affected_items FROM as_counts WHERE {name} > 0" for name, level, category, text in G.ADVICE)),
+    "assessment_markdown": (lambda t: G.assessment_markdown(_counts(t)).where("position < 12 and line like '|%'"), "SELECT * FROM (SELECT 2 AS position, '| Metric | Value |' AS line UNION ALL SELECT 3, '|---|---|' UNION ALL " + " UNION ALL ".join(f"SELECT {i}, '| {name} | ' || {c} || ' |' FROM as_counts" for i, (name, c) in enumerate([("Overall risk", "overall_risk"), ("Documents", "n_documents"), ("Lines", "n_lines"), *((s.capitalize(), f"n_{s}") for s in G.SEVERITIES)], 4)) + ")"),
 }
+# views stand in the order in which they use each other
+VIEWS |= {"as_suspense": QUERIES["suspense_accounts"][1], "as_pairs": QUERIES["intercompany_mismatches"][1], "as_counts": VIEWS.pop("as_counts")}

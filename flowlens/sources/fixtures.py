@@ -58,7 +58,12 @@ class Tables:
 
     def invoices(self) -> DataFrame:
         done = self.deliveries().where("status = 'F'")
-        return done.select("orderkey", F.concat(F.lit("9"), F.substring("delivery", 2, 10)).alias("invoice"), "delivery", F.date_add("actual_gi", (F.col("orderkey") % 5).cast("int")).alias("billing_date"))
+        return done.select("orderkey", F.concat(F.lit("9"), F.substring("delivery", 2, 10)).alias("invoice"), "delivery", F.date_add("actual_gi", (F.col("orderkey") % 5).cast("int")).alias("billing_date"), F.date_add("actual_gi", (F.col("orderkey") % 5 + F.col("orderkey") % 2).cast("int")).alias("posting_date"))
+
+    def delivery_items(self) -> DataFrame:
+        number = F.concat(F.lit("8"), F.lpad(F.col("l_orderkey").cast("string"), 9, "0"), F.when(F.col("l_linestatus") == "F", "1").otherwise("0"))
+        posnr = F.lpad((F.col("line_no") * 10).cast("string"), 6, "0")
+        return self.lines().select(number.alias("delivery"), posnr.alias("posnr"), F.col("l_quantity").cast("long").alias("quantity"), posnr.alias("ref_posnr"))
 
     def doc_flow(self) -> DataFrame:
         first = self.deliveries().select(F.col("vbeln").alias("vbelv"), F.lit("C").alias("vbtyp_v"), F.col("delivery").alias("vbeln"), F.lit("J").alias("vbtyp_n"), F.col("created").alias("erdat"))
@@ -137,7 +142,7 @@ class Tables:
     def purchase_log(self) -> DataFrame:
         """The event log in the words of purchasing: activities dealt by event."""
         names = F.array(*map(F.lit, PURCHASE))
-        return self.event_log().select("case_id", "event_id", names[(F.col("event_id") * 7 % len(PURCHASE)).cast("int")].alias("activity"), "ts", "resource")
+        return self.event_log().select("case_id", "event_id", names[(F.col("event_id") * 7 % len(PURCHASE)).cast("int")].alias("activity"), "ts", "resource", F.concat(F.lit("V"), (F.col("case_id").cast("long") % 5).cast("string")).alias("vendor"))
 
     def ska1(self) -> DataFrame:
         number = F.substring("HKONT", 5, 2).cast("int")
@@ -175,7 +180,9 @@ SQL_VIEWS = {
     "fx_deliveries": """SELECT l_orderkey AS orderkey, '8' || lpad(CAST(l_orderkey AS VARCHAR), 9, '0') || CASE WHEN l_linestatus = 'F' THEN '1' ELSE '0' END AS delivery,
         lpad(CAST(l_orderkey AS VARCHAR), 10, '0') AS vbeln, CAST(min(l_shipdate) AS DATE) AS created, CASE WHEN l_linestatus <> 'O' THEN CAST(max(l_shipdate) AS DATE) END AS actual_gi,
         l_linestatus AS status FROM lineitem GROUP BY l_orderkey, l_linestatus""",
-    "fx_invoices": "SELECT orderkey, '9' || substr(delivery, 2, 10) AS invoice, delivery, actual_gi + CAST(orderkey % 5 AS INT) AS billing_date FROM fx_deliveries WHERE status = 'F'",
+    "fx_invoices": "SELECT orderkey, '9' || substr(delivery, 2, 10) AS invoice, delivery, actual_gi + CAST(orderkey % 5 AS INT) AS billing_date, actual_gi + CAST(orderkey % 5 + orderkey % 2 AS INT) AS posting_date FROM fx_deliveries WHERE status = 'F'",
+    "fx_delivery_items": """SELECT '8' || lpad(CAST(l_orderkey AS VARCHAR), 9, '0') || CASE WHEN l_linestatus = 'F' THEN '1' ELSE '0' END AS delivery, lpad(CAST(line_no * 10 AS VARCHAR), 6, '0') AS posnr,
+        CAST(l_quantity AS BIGINT) AS quantity, lpad(CAST(line_no * 10 AS VARCHAR), 6, '0') AS ref_posnr FROM fx_lines""",
     "fx_doc_flow": "SELECT vbeln AS vbelv, 'C' AS vbtyp_v, delivery AS vbeln, 'J' AS vbtyp_n, created AS erdat FROM fx_deliveries UNION ALL SELECT delivery, 'J', invoice, 'M', billing_date FROM fx_invoices",
     "fx_o2c_log": """SELECT vbeln AS case_id, 'OrderCreated' AS activity, CAST(erdat AS TIMESTAMP) AS ts, CAST(1 AS BIGINT) AS event_id FROM fx_orders
         UNION ALL SELECT vbeln, 'DeliveryCreated', CAST(created AS TIMESTAMP), 4 FROM fx_deliveries
@@ -203,7 +210,7 @@ SQL_VIEWS = {
     "fx_ska1": "SELECT DISTINCT HKONT AS SAKNR, CASE WHEN CAST(substr(HKONT, 5, 2) AS INT) % 2 = 0 THEN 'X' ELSE '' END AS XBILK, 'Master ' || HKONT AS TXT50 FROM fx_bseg",
     "fx_texts": """SELECT vbeln AS doc_key, ['header', 'item', 'delivery'][CAST(doc_id % 3 AS INT) + 1] AS level, CASE WHEN doc_id % 3 = 1 THEN '000010' END AS posnr, lang, text, erdat AS changed, vkorg
         FROM documents JOIN fx_orders ON doc_id = orderkey""",
-    "fx_purchase_log": f"SELECT case_id, event_id, [{', '.join(repr(a) for a in PURCHASE)}][CAST(event_id * 7 % {len(PURCHASE)} AS INT) + 1] AS activity, ts, resource FROM fx_event_log",
+    "fx_purchase_log": f"SELECT case_id, event_id, [{', '.join(repr(a) for a in PURCHASE)}][CAST(event_id * 7 % {len(PURCHASE)} AS INT) + 1] AS activity, ts, resource, 'V' || CAST(CAST(case_id AS BIGINT) % 5 AS VARCHAR) AS vendor FROM fx_event_log",
     "fx_skat": "SELECT DISTINCT HKONT AS SAKNR, 'E' AS SPRAS, 'Account ' || HKONT AS TXT50 FROM fx_bseg WHERE CAST(substr(HKONT, 5, 2) AS INT) % 5 <> 0",
 }
 

@@ -132,4 +132,15 @@ def write_tables(tables: dict[str, DataFrame], path: str, form: str = "parquet")
 
 def card_lines(cards: DataFrame) -> DataFrame:
     """Cards as Markdown text, one row each."""
-    return cards.select(F.concat_ws("\n", F.format_string("## %s", F.col("card_id")), F.format_string("- documents: %d (%.2f %%)", "n", "percent"), F.format_string("- confidence: %.4f, %s", "confidence", "category")).alias("value"))
+    quotes = F.array_join(F.transform(F.coalesce("snippets", F.array().cast("array<string>")), lambda x: F.concat(F.lit("> "), F.substring(x, 1, 200), F.lit("..."))), "\n")
+    parts = [
+        F.format_string("## %s", F.col("title")), F.format_string("- id: %s", "card_id"), F.format_string("- documents: %d (%.2f %%)", "n", "percent"), F.format_string("- confidence: %.2f, %s", "confidence", "category"), F.col("description"),
+        F.concat(F.lit("- "), F.replace(F.col("caveats"), F.lit("|"), F.lit("\n- "))), F.when(quotes != "", quotes),
+    ]
+    return cards.select(F.concat_ws("\n", *parts).alias("value"))
+
+
+def write_cards(cards: DataFrame, effects: DataFrame, evidence: DataFrame, path: str) -> None:
+    """Cards, effects and evidence as JSON and the cards as Markdown, each in a folder of its own."""
+    write_tables({"pattern_cards": cards, "correlation": effects, "evidence": evidence, "clustering": cards.select("cluster", "card_id", "n", "percent")}, path, "json")
+    card_lines(cards).write.mode("overwrite").text(f"{path}/pattern_cards_markdown")
