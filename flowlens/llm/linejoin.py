@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, in_blocks, materialise, mix, slices, span_hashes, string_buffers, whole_text, word_spans
+from .common import IS_SPACE, ODD, fresh, in_blocks, materialise, mix, slices, span_hashes, string_buffers, whole_text, word_spans
 
 #: Buckets of word counts, and the parts in which tasks send them.
 BUCKETS, PARTS = 1 << 24, 64
@@ -35,8 +35,8 @@ UP, DOWN = 4, 5
 FIRST = -(1 << 63)
 
 
-class Lines:
-    """The lines of some texts: text, number within it, bounds of the bytes, and the words of those that have any."""
+class Bounds:
+    """The lines of some texts: text, number within it, and bounds of the bytes."""
 
     def __init__(self, texts: pa.Array):
         self.data, offsets = string_buffers(texts)
@@ -46,11 +46,30 @@ class Lines:
         self.end = np.sort(np.concatenate([offsets[1:], breaks]), kind="stable")
         self.text = np.repeat(np.arange(len(texts)), self.count)
         self.number = np.arange(len(self.text)) - np.repeat(np.cumsum(self.count) - self.count, self.count)
-        starts, ends, _ = word_spans(self.data, offsets)
+        self.offsets = offsets
+
+    def line(self, i: int) -> bytes:
+        return self.data[self.start[i] : self.end[i]].tobytes()
+
+    def has_words(self) -> np.ndarray:
+        letters = np.concatenate([[0], np.cumsum(~IS_SPACE[self.data])])
+        return letters[self.end] > letters[self.start]
+
+
+class Lines(Bounds):
+    """Lines and the words of those that have any; wanted: a map of words, and only lines with one of these count."""
+
+    def __init__(self, texts: pa.Array, wanted: np.ndarray | None = None):
+        super().__init__(texts)
+        starts, ends, _ = word_spans(self.data, self.offsets)
         self.words = span_hashes(self.data, starts, ends)
         # an empty line shares its start with the next one and has no words
         first = np.searchsorted(starts, self.start)
         n = np.diff(np.append(first, len(starts)))
+        if wanted is not None:
+            hits = np.concatenate([[0], np.cumsum(in_map(wanted, self.words >> np.uint64(33)))])
+            some = hits[first + n] > hits[first]
+            self.words, n = self.words[np.repeat(some, n)], np.where(some, n, 0)
         self.filled = np.flatnonzero(n)
         # of the filled lines: the words of each once, in the order of their hashes, and the line of each
         self.words, self.nth = distinct(self.words, np.repeat(np.arange(len(self.filled)), n[self.filled]))
@@ -59,14 +78,11 @@ class Lines:
         total = np.add.reduceat(mix(self.words), self.begin) if len(self.begin) else np.zeros(0, np.uint64)
         self.key = mix(total + n * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)  # of the filled lines
 
-    def line(self, i: int) -> bytes:
-        return self.data[self.start[i] : self.end[i]].tobytes()
-
 
 def distinct(words: np.ndarray, nth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The words of each line once, by line and hash, and their lines."""
     line = nth.astype(np.uint64)
-    order = np.argsort(line << np.uint64(40) | words >> np.uint64(24), kind="stable")
+    order = np.argsort(line << np.uint64(40) | words >> np.uint64(24))
     own, at = words[order], nth[order]
     mixed_up = (at[1:] < at[:-1]) | (at[1:] == at[:-1]) & (own[1:] < own[:-1])
     if mixed_up.any():  # lines of more than 24 bits, or words that agree in 40 bits
@@ -85,13 +101,13 @@ def rarity(counts: np.ndarray) -> np.ndarray:
 def prefixes(lines: Lines, counts: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """Rows of filled line, packed word, size and place, the word before, and parity map for the prefix of every line
     of four words or more; smaller sets have that similarity to equal sets alone. wanted: a map of the words to give."""
-    words, nth = lines.words, lines.nth
-    if wanted is not None and len(words):
-        some = np.logical_or.reduceat(in_map(wanted, words >> np.uint64(33)), lines.begin)[nth]
-        words, nth = words[some], nth[some]
-    nth = nth.astype(np.uint64)
+    words, nth = lines.words, lines.nth.astype(np.uint64)
     rare = counts[(words & np.uint64(BUCKETS - 1)).astype(np.int64)]
-    order = np.argsort(nth << np.uint64(40) | rare.astype(np.uint64) << np.uint64(32) | words >> np.uint64(32), kind="stable")
+    place = nth << np.uint64(40) | rare.astype(np.uint64) << np.uint64(32) | words >> np.uint64(32)
+    order = np.argsort(place)
+    place = place[order]
+    if np.any(place[1:] == place[:-1]) or np.any(nth >> np.uint64(24)):  # words that agree in 32 bits stand in the order of their hashes, in every line
+        order = np.lexsort((words, rare, nth))
     nth, words, rare = nth[order].astype(np.int64), words[order], rare[order]
     size = np.bincount(nth, minlength=len(lines.filled))
     begin = np.cumsum(size) - size
@@ -232,21 +248,33 @@ def in_map(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose lines are similar; the lines are fetched from the documents by a map of the keys asked for."""
+#: Spreads the numbers of lines; the product with one stays small.
+STEP = 40503
+
+
+def spots(mark: np.ndarray, number: np.ndarray) -> np.ndarray:
+    return mark ^ number.astype(np.int64) * STEP
+
+
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs whose lines are similar. The first lines of the classes are fetched from the documents by a map of where
+    they stand, so no words are looked at there."""
     keys = pairs.select(F.explode(F.array("later", "earlier")).alias("key")).distinct()
-    asked = pairs.sparkSession.sparkContext.broadcast(key_map(keys))
+    asked = materialise(keys.join(classes.select("key", "keep.*"), "key"))
+    spot = F.col("mark").bitwiseXOR(F.col("number").cast("long") * STEP)
+    known = pairs.sparkSession.sparkContext.broadcast(key_map(asked.select(spot.alias("key"))))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                lines = Lines(part.column("text"))
-                hit = np.flatnonzero(in_map(asked.value, lines.key))
-                _, first = np.unique(lines.key[hit], return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(lines.key[hit[first]]), pa.array([lines.line(lines.filled[i]) for i in hit[first]], pa.binary())], ["key", "line"])
-
-    texts = docs.select("text").mapInArrow(fetch, "key long, line binary").join(keys, "key", "left_semi").groupBy("key").agg(F.min("line").alias("line"))
-    texts = materialise(texts)
+                lines = Bounds(part.column("text"))
+                doc, mark = (part.column(c).to_numpy()[lines.text] for c in ("_doc", "_mark"))
+                hit = np.flatnonzero(in_map(known.value, spots(mark, lines.number)))
+                yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(mark[hit]), pa.array(lines.number[hit].astype(np.int32)), pa.array([lines.line(i) for i in hit], pa.binary())], ["doc", "mark", "number", "line"])
+
+    place = ["doc", "mark", "number"]
+    texts = docs.select("text", "_doc", "_mark").mapInArrow(fetch, "doc long, mark long, number int, line binary").join(asked, place)
+    texts = materialise(texts.groupBy(*place, "key").agg(F.first("line").alias("line")).select("key", "line"))
     one, other = (texts.select(F.col("key").alias(k), F.col("line").alias(f"{k}_line")) for k in ("later", "earlier"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,12 +330,13 @@ def _dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
         codes[row["key"]] = np.frombuffer(zstandard.decompress(bytes(row["codes"])), np.uint8)
     counts = spark.sparkContext.broadcast(zstandard.compress(codes.tobytes()))
     lines = lines.where("_block >= 0").drop("counts")
+    classes = materialise(lines.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc", "number", "mark")).alias("keep")))
 
     def post(batches: Iterator[pa.RecordBatch], words: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
         codes = np.frombuffer(zstandard.decompress(counts.value), np.uint8)
         for batch in batches:
             for part in slices(batch, "text"):
-                lines = Lines(part.column("text"))
+                lines = Lines(part.column("text"), words)
                 at, packed, before, parity = prefixes(lines, codes, words)
                 line = lines.filled[at]
                 columns = (packed, lines.key[at], part.column("_doc").to_numpy()[lines.text[line]], lines.number[line] << 32 | before, parity)
@@ -316,41 +345,39 @@ def _dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     shape = "packed long, key long, doc long, line long, parity long"
     found = materialise(candidates(blocks.select("text", "_doc").mapInArrow(post, shape)))
     pairs = found.select("later", "earlier").distinct()
-    similar_to = materialise(verified(pairs, blocks).select(F.col("later").alias("key")).distinct())
+    similar_to = materialise(verified(pairs, blocks, classes).select(F.col("later").alias("key")).distinct())
     # classes with more candidates than were reported, none of which held: all candidates at those words
     left = materialise(found.where("more").join(similar_to, found["later"] == similar_to["key"], "left_anti").select("later", "word").distinct())
     if not left.isEmpty():
         words = spark.sparkContext.broadcast(key_map(left.select(F.col("word").alias("key"))))
         again = blocks.select("text", "_doc").mapInArrow(lambda batches: post(batches, words.value), shape)
-        classes = left.select(F.col("later").alias("key")).distinct()
-        more = candidates(again, spark.sparkContext.broadcast(key_map(classes))).join(classes, F.col("later") == F.col("key"), "left_semi").select("later", "earlier").distinct()
-        similar_to = similar_to.union(verified(materialise(more), blocks).select(F.col("later").alias("key"))).distinct()
+        doubted = left.select(F.col("later").alias("key")).distinct()
+        more = candidates(again, spark.sparkContext.broadcast(key_map(doubted))).join(doubted, F.col("later") == F.col("key"), "left_semi").select("later", "earlier").distinct()
+        similar_to = similar_to.union(verified(materialise(more), blocks, classes).select(F.col("later").alias("key"))).distinct()
 
-    classes = lines.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc", "number", "mark")).alias("keep"))
     gone = classes.join(similar_to.withColumn("_similar", F.lit(True)), "key", "left").where("n > 1 or _similar")
-    told = lines.select("_block", "key").distinct().join(gone, "key")
-    told = told.select("_block", "key", F.coalesce("_similar", F.lit(False)).alias("similar"), "keep.doc", "keep.number", "keep.mark")
+    first = (F.col("doc") == F.col("keep.doc")) & (F.col("number") == F.col("keep.number")) & (F.col("mark") == F.col("keep.mark"))
+    told = lines.join(gone, "key").where(F.col("_similar").isNotNull() | ~first).select("_block", "doc", "number", "mark")
+
+    def line_ids(doc: np.ndarray, mark: np.ndarray, number: np.ndarray) -> np.ndarray:
+        return mix(mix(doc.astype(np.int64).view(np.uint64)) ^ mark.view(np.uint64)) + number.astype(np.uint64) * np.uint64(ODD)
 
     def cut(docs: pa.Table, told: pa.Table) -> pa.Table:
-        order = np.argsort(told.column("key").to_numpy(), kind="stable")
-        known = {c: told.column(c).to_numpy()[order] for c in told.schema.names}
-        used: set[tuple[int, int]] = set()
+        known = np.sort(line_ids(*(told.column(c).to_numpy() for c in ("doc", "mark", "number"))))
+        used: set[int] = set()
         texts, n_lines, n_removed = [], [], []
         for batch in docs.to_batches():
             for part in slices(batch, "text"):
-                lines = Lines(part.column("text"))
-                removed = np.zeros(len(lines.text), bool)
-                if len(known["key"]):
-                    at = np.minimum(np.searchsorted(known["key"], lines.key), len(known["key"]) - 1)
-                    hit = np.flatnonzero(known["key"][at] == lines.key)
-                    at, line = at[hit], lines.filled[hit]
-                    text = lines.text[line]
-                    first = (known["doc"][at] == part.column("_doc").to_numpy()[text]) & (known["number"][at] == lines.number[line]) & (known["mark"][at] == part.column("_mark").to_numpy()[text])
-                    removed[line] = known["similar"][at] | ~first
-                    for i in np.flatnonzero(~removed[line]):  # of repeated rows, one keeps the line
-                        mark = (int(known["key"][at[i]]), 0)
-                        removed[line[i]] = mark in used
-                        used.add(mark)
+                lines = Bounds(part.column("text"))
+                doc, mark = (part.column(c).to_numpy() for c in ("_doc", "_mark"))
+                own = line_ids(doc[lines.text], mark[lines.text], lines.number)
+                removed = known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own if len(known) else np.zeros(len(own), bool)
+                again = np.zeros(part.num_rows, bool)  # of repeated rows the first keeps what it keeps
+                for i, row in enumerate(line_ids(doc, mark, np.zeros(len(doc))).tolist()):
+                    again[i] = row in used
+                    used.add(row)
+                if again.any():
+                    removed |= again[lines.text] & lines.has_words()
                 ends = np.cumsum(lines.count)
                 raw = lines.data.tobytes()
                 lost = np.concatenate([[0], np.cumsum(removed)])
