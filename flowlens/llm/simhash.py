@@ -1,10 +1,11 @@
 """SimHash near-duplicates by pivot distance tables.
 
 Fingerprints get their Hamming distances to many reference fingerprints. Two that differ in at most
-`most` bits differ by at most that in every distance, so pairs with a larger coordinate difference are
-discarded without a look at the fingerprints; survivors are verified bit by bit. Pairs are sought among
-distinct fingerprints that agree in three of six runs of bits, which any pair of at most three differing
-bits does. Each bucket reports a spanning forest of its verified pairs, so a group of n costs n - 1 rows.
+`most` bits differ by at most that in every distance, so fingerprints meet in the order of their distance to the first
+pivot, pairs with a larger difference in any coordinate are discarded without a look at the fingerprints, and
+survivors are verified bit by bit. Distances of random fingerprints spread by four bits only, so they can't deal rows to
+tasks: pairs are sought among distinct fingerprints that agree in three of six runs of bits, which any pair of at most
+three differing bits does. Each bucket reports a spanning forest of its verified pairs, so a group of n costs n - 1 rows.
 
 Defined results: null and empty texts have fingerprint zero, linked like any other; copies share one
 fingerprint and one component; a null doc_id keeps its row, and a component of nulls alone is null.
@@ -72,10 +73,14 @@ def pivot_table(prints: np.ndarray, pivots: int = PIVOTS) -> np.ndarray:
 
 
 def forest(group: np.ndarray, prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of the pairs within a group (equal `group`, sorted) that differ in at most `most` bits."""
+    """Edges of a spanning forest of the pairs within a group (equal `group`, sorted) that differ in at most `most` bits.
+    Rows stand in the order of their distance to the first pivot, and each only meets those whose distance is at most
+    `most` larger; of these the other distances discard nearly all, and the rest is verified."""
     n = len(prints)
     root = np.arange(n)
     table = pivot_table(prints)
+    order = np.lexsort((table[:, 0], group))
+    group, prints, table = group[order], prints[order], table[order]
     left, right = [], []
 
     def find(i: int) -> int:
@@ -87,7 +92,7 @@ def forest(group: np.ndarray, prints: np.ndarray, most: int) -> tuple[np.ndarray
     at = np.arange(n)
     for step in range(1, n):
         at = at[at + step < n]
-        at = at[group[at] == group[at + step]]
+        at = at[(group[at] == group[at + step]) & (table[at + step, 0] - table[at, 0] <= most)]
         if step & (step - 1) == 0 and step > 8:  # groups that are one tree by now need no further look
             while not np.array_equal(root, root[root]):
                 root = root[root]
@@ -126,6 +131,8 @@ def links(prints: DataFrame, most: int = 3) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
             rows = [np.concatenate([k, batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)]) for k, c in zip(kept, ("_mask", "_bits", "fp"), strict=True)]
             open_group = (rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1])
             kept = [x[open_group] for x in rows]
