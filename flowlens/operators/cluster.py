@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark import StorageLevel
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
@@ -10,7 +12,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvalu
 from pyspark.ml.feature import IDF, BucketedRandomProjectionLSH, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer, StandardScaler, StopWordsRemover, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SEED = 42
@@ -19,11 +21,17 @@ NOISE, EMPTY, IDENTICAL = -1, -2, -3
 
 
 def tfidf(texts: DataFrame, text: str = "text", max_terms: int = 5000, min_df: float = 2, max_df: float = 0.95) -> tuple[DataFrame, list[str]]:
-    """texts with `vector`, normalised TF-IDF of one to three words with idf ln((1+n)/(1+df))+1, and the terms."""
-    steps = [RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"\W+", minTokenLength=2), StopWordsRemover(inputCol="_words", outputCol="_kept")]
+    """texts with `vector`, normalised TF-IDF of one to three words with idf ln((1+n)/(1+df))+1, and the terms. Where no
+    term is in as many texts as asked for, all terms count."""
+    steps = [RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"(?U)\W+", minTokenLength=2), StopWordsRemover(inputCol="_words", outputCol="_kept")]
     steps += [NGram(n=n, inputCol="_kept", outputCol=f"_n{n}") for n in (2, 3)]
-    steps += [SQLTransformer(statement="SELECT *, concat(_kept, _n2, _n3) AS _terms FROM __THIS__"), CountVectorizer(inputCol="_terms", outputCol="_counts", vocabSize=max_terms, minDF=min_df, maxDF=max_df)]
-    counted = Pipeline(stages=steps).fit(texts.where(F.col(text).isNotNull()))
+    steps += [SQLTransformer(statement="SELECT *, concat(_kept, _n2, _n3) AS _terms FROM __THIS__")]
+    filled = texts.where(F.col(text).isNotNull())
+    counter = CountVectorizer(inputCol="_terms", outputCol="_counts", vocabSize=max_terms, minDF=min_df, maxDF=max_df)
+    try:
+        counted = Pipeline(stages=[*steps, counter]).fit(filled)
+    except IllegalArgumentException:
+        counted = Pipeline(stages=[*steps, CountVectorizer(inputCol="_terms", outputCol="_counts", vocabSize=max_terms)]).fit(filled)
     with_counts = counted.transform(texts.na.fill("", [text]))
     idf = IDF(inputCol="_counts", outputCol="_idf").fit(with_counts)
     # MLlib's weight lacks the final one: the plain counts are added once more
@@ -52,6 +60,7 @@ def cluster_texts(texts: DataFrame, k: int | None = None, text: str = "text") ->
         label = IDENTICAL if distinct == 1 else NOISE
         return texts.withColumn("cluster", F.when(F.trim(F.coalesce(text, F.lit(""))) == "", EMPTY).otherwise(label))
     vectors, _ = tfidf(filled, text)
+    vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)  # up to 13 fits and their passes read it
     model = KMeans(k=k or choose_k(vectors), seed=SEED, featuresCol="vector", predictionCol="cluster").fit(vectors)
     found = model.transform(vectors).drop("vector")
     empty = texts.where(F.trim(F.coalesce(text, F.lit(""))) == "").withColumn("cluster", F.lit(EMPTY))
@@ -72,6 +81,16 @@ def top_phrases(vectors: DataFrame, terms: list[str], top: int = 10) -> DataFram
     return mean.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
 
 
+def topics(texts: DataFrame, k: int | None = None, text: str = "text", top: int = 10) -> tuple[DataFrame, float]:
+    """cluster, rank, phrase, weight and theme (the first three phrases) of the clusters of texts, and their silhouette."""
+    vectors, terms = tfidf(texts.where(F.trim(F.coalesce(text, F.lit(""))) != ""), text)
+    vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
+    found = KMeans(k=k or choose_k(vectors), seed=SEED, featuresCol="vector", predictionCol="cluster").fit(vectors).transform(vectors)
+    best = top_phrases(found, terms, top)
+    theme = best.where("rank <= 3").groupBy("cluster").agg(F.array_join(F.array_sort(F.collect_list(F.struct("rank", "phrase")))["phrase"], ", ").alias("theme"))
+    return best.join(theme, "cluster"), silhouette(found)
+
+
 def embedding_clusters(vectors: DataFrame, k: int, embedding: str = "embedding") -> DataFrame:
     """vectors with `cluster` by k-means on their normalised embeddings."""
     made = Normalizer(inputCol="_v", outputCol="vector").transform(vectors.where(F.col(embedding).isNotNull()).withColumn("_v", array_to_vector(F.col(embedding).cast("array<double>"))))
@@ -82,26 +101,53 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df with its lineage cut, in the folder that the cluster names, or a local one where none is named."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints")
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not (context.getConf().get("spark.master") or "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        context.setCheckpointDir(named or "/tmp/checkpoints")
     return df.checkpoint()
 
 
-def density_clusters(vectors: DataFrame, key: str, eps: float, min_points: int = 5, embedding: str = "embedding", rounds: int = 20) -> DataFrame:
-    """key, cluster by density: core points have min_points neighbours within eps; -1 is noise. Neighbours come from a
-    hashed similarity join; labels spread by rounds of least-label joins until none changes."""
-    points = vectors.select(F.col(key).alias("id"), array_to_vector(F.col(embedding).cast("array<double>")).alias("v"))
-    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="_h", bucketLength=2 * eps, numHashTables=4, seed=SEED).fit(points)
+#: Points that the distance of density clusters is taken from, where none is given.
+SAMPLE = 1000
+
+
+def k_distance(points: DataFrame, k: int, share: float = 0.9, sample: int = SAMPLE) -> float:
+    """The distance to the k-th neighbour that a share of the points keeps within, over at most `sample` points chosen by
+    a hash (they come to the driver); points: id, v."""
+    some = np.array([row["v"].toArray() for row in points.orderBy(F.xxhash64(F.lit(SEED), "id"), "id").limit(sample).select("v").collect()])
+    if len(some) <= k:
+        return 1.0
+    squares = (some**2).sum(1)
+    distance = np.sqrt(np.maximum(squares[:, None] + squares - 2 * some @ some.T, 0))
+    return float(np.quantile(np.partition(distance, k, axis=1)[:, k], share)) or 1e-9
+
+
+def spread_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, cluster: the least id of each connected part. Each round takes the least label of the neighbours and then the
+    label of that label, so parts of any width settle in few rounds; it ends when nothing changes."""
+    labels = checkpointed(nodes.select("id", F.col("id").alias("cluster")))
+    while True:
+        least = edges.join(labels.select(F.col("id").alias("b"), "cluster"), "b").groupBy("a").agg(F.min("cluster").alias("m"))
+        near = labels.join(least, labels["id"] == least["a"], "left").select("id", F.col("cluster").alias("old"), F.least("cluster", F.coalesce("m", "cluster")).alias("cluster"))
+        jump = near.select(F.col("id").alias("_i"), F.col("cluster").alias("_c"))
+        now = checkpointed(near.join(jump, F.col("cluster") == F.col("_i")).select("id", "old", F.least("cluster", "_c").alias("cluster")))
+        labels = now.drop("old")
+        if now.where("cluster <> old").isEmpty():
+            return labels
+
+
+def density_clusters(vectors: DataFrame, key: str, eps: float | None = None, min_points: int = 5, embedding: str = "embedding", tables: int = 4) -> DataFrame:
+    """key, cluster by density: core points have min_points neighbours within eps (by default the distance to the
+    min_points-th neighbour that nine in ten points keep within); -1 is noise. Neighbours come from a hashed similarity
+    join, which may miss some: more tables miss fewer. Clusters spread until nothing changes."""
+    points = vectors.where(F.col(embedding).isNotNull()).select(F.col(key).alias("id"), array_to_vector(F.col(embedding).cast("array<double>")).alias("v"))
+    eps = eps or k_distance(points, min_points)
+    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="_h", bucketLength=2 * eps, numHashTables=tables, seed=SEED).fit(points)
     near = checkpointed(lsh.approxSimilarityJoin(points, points, eps, "_d").select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b")))
     core = near.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= min_points).select(F.col("a").alias("id"))
-    edges = checkpointed(near.join(core.select(F.col("id").alias("a")), "a").join(core.select(F.col("id").alias("b")), "b"))
-    labels = checkpointed(core.withColumn("cluster", F.col("id")))
-    for _ in range(rounds):
-        least = edges.join(labels, edges["b"] == labels["id"]).groupBy("a").agg(F.min("cluster").alias("m"))
-        new = checkpointed(labels.join(least, labels["id"] == least["a"], "left").select("id", F.least("cluster", F.coalesce("m", "cluster")).alias("cluster")))
-        changed = new.join(labels.withColumnRenamed("cluster", "old"), "id").where("cluster <> old").limit(1).count()
-        labels = new
-        if not changed:
-            break
+    edges = checkpointed(near.join(core.select(F.col("id").alias("a")), "a").join(core.select(F.col("id").alias("b")), "b").select("a", "b"))
+    labels = spread_labels(core, edges)
     border = near.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("cluster"))
     return points.select("id").join(border, "id", "left").select(F.col("id").alias(key), F.coalesce("cluster", F.lit(NOISE)).alias("cluster"))
 
@@ -122,6 +168,53 @@ def train_model(rows: DataFrame, features: list[str], label: str, kind: str = "g
     return Pipeline(stages=steps).fit(rows.withColumn(label, F.col(label).cast("double")))
 
 
+def feature_matrix(rows: DataFrame, features: list[str], key: str = "case_id", to: str = "features") -> DataFrame:
+    """key and a vector of the features in their fixed order; missing values are zero."""
+    filled = rows.select(key, *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features))
+    return VectorAssembler(inputCols=features, outputCol=to).transform(filled).select(key, to)
+
+
+def cross_validate(rows: DataFrame, features: list[str], label: str, key: str, kind: str = "gbt", folds: int = 5) -> DataFrame:
+    """fold, accuracy, precision, recall, f1 of a classifier that is fitted on the other folds; folds go by a hash of the key."""
+    part = F.pmod(F.xxhash64(F.lit(SEED), key), F.lit(folds))
+    found = None
+    for fold in range(folds):
+        model = train_model(rows.where(part != fold), features, label, kind)
+        one = classifier_metrics(model.transform(rows.where(part == fold)), label).select(F.lit(fold).alias("fold"), "*")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def importances(model: PipelineModel, features: list[str]) -> DataFrame:
+    """feature, importance of a trained model, adding up to one: of trees their own, else sizes of the coefficients."""
+    last = model.stages[-1]
+    weights = np.asarray(last.featureImportances.toArray() if hasattr(last, "featureImportances") else np.abs(last.coefficients.toArray()))
+    total = weights.sum() or 1.0
+    return SparkSession.active().createDataFrame([(f, float(w / total)) for f, w in zip(features, weights, strict=True)], "feature string, importance double")
+
+
+def predict_values(rows: DataFrame, models: list[PipelineModel], key: str = "case_id") -> DataFrame:
+    """key and the mean prediction of regression models; keys are taken to be unique."""
+    found = None
+    for i, model in enumerate(models):
+        one = model.transform(rows).select(key, F.col("prediction").alias(f"p{i}"))
+        found = one if found is None else found.join(one, key)
+    return found.select(key, (sum(F.col(f"p{i}") for i in range(len(models))) / len(models)).alias("prediction"))
+
+
+def tree_interval(rows: DataFrame, model: PipelineModel, z: float = 1.645) -> DataFrame:
+    """rows with prediction, lower, upper and confidence by how far the trees of a forest lie apart."""
+    prepared = PipelineModel(model.stages[:-1]).transform(rows)
+    trees = model.stages[-1].trees
+    for i, tree in enumerate(trees):
+        prepared = tree.copy().setFeaturesCol("_scaled").setPredictionCol(f"_t{i}").transform(prepared)
+    every = F.array(*(F.col(f"_t{i}") for i in range(len(trees))))
+    mean = F.aggregate(every, F.lit(0.0), lambda a, x: a + x) / len(trees)
+    spread = F.sqrt(F.aggregate(every, F.lit(0.0), lambda a, x: a + x * x) / len(trees) - mean * mean)
+    scored = prepared.withColumns({"prediction": mean, "_s": F.coalesce(F.nanvl(spread, F.lit(0.0)), F.lit(0.0))}).drop("_raw", "_scaled", *(f"_t{i}" for i in range(len(trees))))
+    return with_interval(scored, F.col("_s") * z).drop("_s")
+
+
 def confidence_band(p):
     return F.when((p >= 0.7) | (p <= 0.3), "high").when((p >= 0.6) | (p <= 0.4), "medium").otherwise("low")
 
@@ -154,13 +247,17 @@ def regression_metrics(scored: DataFrame, label: str) -> DataFrame:
     return scored.agg(F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"), F.sqrt(F.avg(e * e)).alias("rmse"), (1 - F.sum(e * e) / (F.var_pop(label) * F.count("*"))).alias("r2"))
 
 
-def prediction_interval(scored: DataFrame, rmse: float, z: float = 1.645) -> DataFrame:
-    """scored with lower, upper and a confidence by the width relative to the prediction."""
-    p, half = F.col("prediction"), z * rmse
+def with_interval(scored: DataFrame, half) -> DataFrame:
+    p = F.col("prediction")
     width = 2 * half / F.greatest(F.abs(p), F.lit(1e-9))
     return scored.withColumns({"lower": F.greatest(p - half, F.lit(0.0)), "upper": p + half, "confidence": F.when(width < 0.2, "high").when(width < 0.5, "medium").otherwise("low")})
 
 
+def prediction_interval(scored: DataFrame, rmse: float, z: float = 1.645) -> DataFrame:
+    """scored with lower, upper and a confidence by the width relative to the prediction."""
+    return with_interval(scored, F.lit(z * rmse))
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

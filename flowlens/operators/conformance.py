@@ -165,3 +165,20 @@ def document_flow_log(flow: DataFrame, orders: DataFrame, deliveries: DataFrame)
 
 def check_document_flow(flow: DataFrame, orders: DataFrame, deliveries: DataFrame, model: DataFrame, names: DataFrame) -> DataFrame:
     return check_ordered(document_flow_log(flow, orders, deliveries), model, names)
+
+
+def skipped_optional(log: DataFrame, model: DataFrame, names: DataFrame) -> DataFrame:
+    """(case_id, activity): optional steps of an ordered model that a case goes without; these are no deviations."""
+    done = map_to_model(log, names, any_case=True).groupBy("case_id").agg(F.collect_set("mapped").alias("_done"))
+    optional = model.where("not is_required").agg(F.collect_list("activity").alias("_all"))
+    return done.crossJoin(F.broadcast(optional)).select("case_id", F.explode(F.array_except("_all", "_done")).alias("activity"))
+
+
+#: Severities of deviations, worst first.
+DEVIATION_LEVELS = ["critical", "major", "minor", "info"]
+
+
+def deviations_by_severity(found: DataFrame) -> DataFrame:
+    """Deviations with the rank of their severity, the worst first, then by case and position."""
+    rank = reduce(lambda out, pair: out.when(F.col("severity") == pair[1], pair[0]), enumerate(DEVIATION_LEVELS[1:3], 1), F.when(F.col("severity") == DEVIATION_LEVELS[0], 0)).otherwise(3)
+    return found.withColumn("rank", rank).orderBy("rank", "case_id", "position", "deviation_type")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -11,10 +12,11 @@ from ..operators.features import case_features
 from ..sources import readers
 from ..sources.fixtures import AS_OF
 from .chain_queries import VIEWS as CHAIN
+from .feature_queries import VIEWS as FEATURES
 
 _LONG = " UNION ALL ".join(f"SELECT cluster, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM an_docs WHERE {m} IS NOT NULL" for m in stats.METRICS)
 _LABEL = "CASE WHEN abs(d) < 0.2 THEN 'negligible' WHEN abs(d) < 0.5 THEN 'small' WHEN abs(d) < 0.8 THEN 'medium' ELSE 'large' END"
-VIEWS = CHAIN | {
+VIEWS = CHAIN | FEATURES | {
     "an_docs": "SELECT *, industry AS cluster FROM ch_unified",
     "an_long": _LONG,
     "an_own": "SELECT cluster, metric, count(*) AS n1, avg(value) AS m1, coalesce(stddev_samp(value), 0) AS s1 FROM an_long GROUP BY 1, 2",
@@ -59,6 +61,12 @@ def _classified(t):
     return cluster.predict_cases(test, [cluster.train_model(train, _COLUMNS, "late", kind) for kind in ("logistic", "forest")])
 
 
+def _tree_interval(t):
+    rows = case_features(t.o2c_log(), AS_OF)
+    train, test = cluster.split(rows, "total_duration", "case_id")
+    return cluster.tree_interval(test, cluster.train_model(train, ["event_count", "unique_activity_count", "current_stage"], "total_duration", "forest", regression=True)).select("case_id", "prediction", "lower", "upper", "confidence")
+
+
 def _regressed(t):
     rows = case_features(t.o2c_log(), AS_OF)
     train, test = cluster.split(rows, "total_duration", "case_id")
@@ -122,6 +130,7 @@ _SINGLE = f"regexp_replace(lower(array_to_string([coalesce(map_extract(names, lo
 for _sign, _one in ((r"\.", "."), ("-", "-"), ("_", "_")):
     _SINGLE = f"regexp_replace({_SINGLE}, '{_sign}{{2,}}', '{_one}', 'g')"
 VIEWS |= {
+    "an_edges": "SELECT a, b, count(*) AS n FROM (SELECT activity AS a, lead(activity) OVER (PARTITION BY case_id ORDER BY ts, event_id, activity) AS b FROM fx_event_log) WHERE b IS NOT NULL GROUP BY 1, 2",
     "tx_dirty": f"SELECT doc_id, coalesce(text, '') || chr(10) || [{', '.join(repr(x) for x in SAMPLES)}][doc_id % {len(SAMPLES)} + 1] AS text FROM documents",
     "tx_cut": f"SELECT doc_id, string_split_regex(text, '{X.DOCUMENT}') AS parts, regexp_extract_all(text, '{X.DOCUMENT}') AS numbers FROM tx_dirty",
     "tx_0": f"SELECT doc_id, numbers, [{_CLEAN} for p in parts] AS parts FROM tx_cut",
@@ -231,10 +240,17 @@ QUERIES = {
     **{f"ocel_log_{part}": (lambda t, part=part: getattr(_log(t), part), sql) for part, sql in _LOG_SQL.items()},
     **{f"ocel_flow_{part}": (lambda t, part=part: getattr(_flow(t), part), sql) for part, sql in _FLOW_SQL.items()},
     "ocel_flow_objects": (lambda t: _flow(t).objects.drop("attributes"), """SELECT 'order:' || vbeln AS object_id, 'order' AS object_type FROM of_head UNION ALL SELECT dl, 'delivery' FROM of_ship UNION ALL SELECT iv, 'invoice' FROM of_bill UNION ALL SELECT it, 'order_item' FROM of_line UNION ALL SELECT di, 'delivery_item' FROM of_sent"""),
-    "process_map_mermaid": (lambda t: ocel.process_map_lines(log.directly_follows(t.event_log())), None),
-    "process_map_dot": (lambda t: ocel.process_map_lines(log.directly_follows(t.event_log()), "dot"), None),
+    "process_map_mermaid": (lambda t: ocel.process_map_lines(log.directly_follows(t.event_log())), r"""SELECT 0 AS position, 'graph TD' AS line UNION ALL SELECT CAST(row_number() OVER (ORDER BY n DESC, a, b) AS INT), '    ' || regexp_replace(a, '\W', '_', 'g') || ' -->|' || n || '| ' || regexp_replace(b, '\W', '_', 'g') FROM an_edges"""),
+    "process_map_dot": (lambda t: ocel.process_map_lines(log.directly_follows(t.event_log()), "dot"), """SELECT 0 AS position, 'digraph process {' AS line UNION ALL SELECT 1073741824, '}' UNION ALL SELECT CAST(row_number() OVER (ORDER BY n DESC, a, b) AS INT), '    "' || a || '" -> "' || b || '" [label="' || n || '"];' FROM an_edges"""),
     "embedding_clusters": (lambda t: cluster.embedding_clusters(t.read("embeddings"), 10).select("vec_id", "label", "cluster"), None),
     "cluster_texts": (lambda t: cluster.cluster_texts(t.read("documents"), 5).select("doc_id", "lang", "cluster"), None),
+    "text_topics": (lambda t: cluster.topics(t.read("documents"), 5)[0], None),
+    "text_topics_chosen_k": (lambda t: cluster.topics(t.read("benchmark"))[0], None),
+    "density_clusters": (lambda t: cluster.density_clusters(t.read("embeddings"), "vec_id"), None),
+    "feature_matrix": (lambda t: cluster.feature_matrix(case_features(t.o2c_log(), AS_OF), _COLUMNS).select("case_id", vector_to_array("features").alias("features")), f"SELECT case_id, [{', '.join(f'CAST({c} AS DOUBLE)' for c in _COLUMNS)}] AS features FROM ft_case"),
+    "cross_validate": (lambda t: cluster.cross_validate(_late(t), _COLUMNS, "late", "case_id", "logistic"), None),
+    "importances": (lambda t: cluster.importances(cluster.train_model(_late(t), _COLUMNS, "late", "forest"), _COLUMNS), None),
+    "tree_interval": (_tree_interval, None),
     "predict_late_delivery": (_classified, None),
     "predict_duration": (_regressed, None),
 }

@@ -17,7 +17,7 @@ QUERIES = {
     "order_deliveries": (lambda t: C.order_deliveries(t.deliveries(), t.doc_flow()), "SELECT * FROM ch_od"),
     "delivery_invoices": (lambda t: C.delivery_invoices(t.invoices(), t.doc_flow()), "SELECT * FROM ch_di"),
     "unified_documents": (lambda t: C.unified_documents(t.orders(), t.deliveries(), t.invoices(), t.doc_flow()), "SELECT * FROM ch_unified"),
-    "doc_flow": (lambda t: C.doc_flow(t.doc_flow(), t.orders().select("vbeln")), """WITH RECURSIVE r(root, document, category, depth) AS (SELECT vbeln, vbeln, 'C', 0 FROM fx_orders UNION SELECT r.root, f.vbeln, f.vbtyp_n, r.depth + 1 FROM r JOIN fx_doc_flow f ON f.vbelv = r.document WHERE r.depth < 4)
+    "doc_flow": (lambda t: C.doc_flow(t.doc_flow(), t.orders().select("vbeln")), """WITH RECURSIVE r(root, document, category, depth) AS (SELECT vbeln, vbeln, 'C', 0 FROM fx_orders UNION SELECT r.root, f.vbeln, f.vbtyp_n, r.depth + 1 FROM r JOIN fx_doc_flow f ON f.vbelv = r.document WHERE r.depth < 50)
         SELECT root, document, arg_min(category, depth) AS category, min(depth) AS depth FROM r GROUP BY root, document"""),
     "log_doc_flow": (lambda t: C.log_doc_flow(t.o2c_log()), """SELECT case_id AS document, activity, CASE WHEN lower(activity) LIKE '%invoice%' THEN 'M' WHEN lower(activity) LIKE '%goods%' THEN 'R' WHEN lower(activity) LIKE '%delivery%' THEN 'J'
         WHEN lower(activity) LIKE '%order%' THEN 'C' ELSE 'X' END AS category, ts, CAST(row_number() OVER (PARTITION BY case_id ORDER BY ts, event_id, activity) AS INT) AS position FROM fx_o2c_log"""),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import conformance as C
 from . import models as M
 
@@ -57,6 +59,40 @@ def _found(t, log):
 
 
 _SUMMARY = "SELECT count(*) AS n_cases, count(*) FILTER (is_conformant) AS n_conformant, round(avg(CAST(is_conformant AS INT)) * 100, 2) AS conformance_rate, round(avg(fitness), 4) AS avg_fitness, min(fitness) AS min_fitness, max(fitness) AS max_fitness, CAST(sum(n_deviations) AS BIGINT) AS n_deviations FROM"
+#: Models of purchasing, ledger and cost accounting, each over a log whose events are dealt to its steps and to one that it lacks.
+LINES = ["p2p_simple", "p2p_detailed", "fi_posting", "fi_period_close", "co_allocation"]
+_RANKED = "CASE severity WHEN 'critical' THEN 0 WHEN 'major' THEN 1 WHEN 'minor' THEN 2 ELSE 3 END"
+
+
+def _dealt(t, name):
+    steps = [a for a, _, _ in M.MODELS[name]().steps] + ["something_else"]
+    return t.event_log().withColumn("activity", F.array(*map(F.lit, steps))[(F.col("event_id") * 7 % len(steps)).cast("int")])
+
+
+def _ordered_views(prefix: str, model: M.OrderedModel, log: str) -> dict[str, str]:
+    steps = [a for a, _, _ in model.steps]
+    place = "CASE activity " + " ".join(f"WHEN '{a}' THEN {i}" for i, a in enumerate(steps)) + " END"
+    required = [a for a, needed, _ in model.steps if needed]
+    return {
+        f"{prefix}_log": log,
+        f"{prefix}_known": f"SELECT *, {place} AS o, row_number() OVER (PARTITION BY case_id ORDER BY ts, event_id, activity) AS p FROM {prefix}_log WHERE {place} IS NOT NULL",
+        f"{prefix}_dev": f"""SELECT case_id, 'unexpected_activity' AS deviation_type, activity, 'major' AS severity FROM {prefix}_log WHERE {place} IS NULL
+            UNION ALL SELECT case_id, 'missing_activity', a, 'critical' FROM (SELECT case_id, a FROM (SELECT DISTINCT case_id FROM {prefix}_log) CROSS JOIN (SELECT unnest({required}) AS a) EXCEPT SELECT case_id, activity FROM {prefix}_known)
+            UNION ALL SELECT case_id, 'wrong_order', activity, 'critical' FROM (SELECT *, max(o) OVER (PARTITION BY case_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM {prefix}_known) WHERE o < high
+            UNION ALL SELECT case_id, 'repeated_activity', activity, 'minor' FROM {prefix}_known GROUP BY case_id, activity HAVING count(*) > 1""",
+    }
+
+
+def _fitness(prefix: str, required: int) -> str:
+    return f"""SELECT case_id, coalesce(n, 0) AS n_deviations, round(greatest(0, b - least(p, b)), 4) AS fitness FROM (SELECT case_id, n, coalesce(p, 0) AS p, 1 - coalesce(m, 0) / {required}.0 AS b FROM (SELECT DISTINCT case_id FROM {prefix}_log) LEFT JOIN
+        (SELECT case_id, count(*) AS n, count(*) FILTER (deviation_type = 'missing_activity') AS m, sum(CASE severity WHEN 'critical' THEN 0.2 WHEN 'major' THEN 0.1 ELSE 0.05 END) AS p FROM {prefix}_dev GROUP BY 1) USING (case_id))"""
+
+
+for _name in LINES:
+    _steps = [a for a, _, _ in M.MODELS[_name]().steps] + ["something_else"]
+    VIEWS |= _ordered_views(f"md_{_name}", M.MODELS[_name](), f"SELECT case_id, event_id, ts, {_steps}[CAST(event_id * 7 % {len(_steps)} AS INT) + 1] AS activity FROM fx_event_log")
+VIEWS |= _ordered_views("df", M.o2c_ordered(), """SELECT vbeln AS case_id, 'order_created' AS activity, erdat AS ts, 1 AS event_id FROM fx_orders UNION ALL SELECT vbeln, 'delivery_created', created, 2 FROM fx_deliveries
+    UNION ALL SELECT vbeln, 'goods_issued', actual_gi, 3 FROM fx_deliveries WHERE actual_gi IS NOT NULL UNION ALL SELECT d.vbeln, 'invoice_created', billing_date, 4 FROM fx_invoices JOIN fx_deliveries d USING (delivery)""")
 QUERIES = {
     "conformance_deviations": (lambda t: _found(t, t.o2c_clean_log()), "SELECT * FROM cf_devs"),
     "conformance_deviations_messy": (lambda t: _found(t, t.o2c_log()), "SELECT * FROM cx_devs"),
@@ -73,5 +109,9 @@ QUERIES = {
     "ordered_deviations": (lambda t: C.ordered_deviations(t.o2c_clean_log(), *_model(t, M.o2c_ordered)), "SELECT * FROM cf_odev"),
     "check_conformance_ordered": (lambda t: C.check_ordered(t.o2c_clean_log(), *_model(t, M.o2c_ordered)), _ordered("cf")),
     "check_conformance_ordered_messy": (lambda t: C.check_ordered(t.o2c_log(), *_model(t, M.o2c_ordered)), _ordered("cx")),
-    "check_document_flow": (lambda t: C.check_document_flow(t.doc_flow(), t.orders(), t.deliveries(), *_model(t, M.o2c_ordered)), None),
+    "check_document_flow": (lambda t: C.check_document_flow(t.doc_flow(), t.orders(), t.deliveries(), *_model(t, M.o2c_ordered)), _fitness("df", 4)),
+    "skipped_optional": (lambda t: C.skipped_optional(_dealt(t, "p2p_detailed"), *_model(t, M.MODELS["p2p_detailed"])), "SELECT case_id, activity FROM (SELECT DISTINCT case_id FROM md_p2p_detailed_log) CROSS JOIN (SELECT unnest(['pr_created', 'po_approved', 'invoice_cleared']) AS activity) EXCEPT SELECT case_id, activity FROM md_p2p_detailed_log"),
+    "deviations_by_severity": (lambda t: C.deviations_by_severity(_found(t, t.o2c_log())), f"SELECT *, {_RANKED} AS rank FROM cx_devs"),
+    **{f"conformance_{name}": (lambda t, name=name: C.ordered_deviations(_dealt(t, name), *_model(t, M.MODELS[name])), f"SELECT case_id, deviation_type, activity, severity FROM md_{name}_dev") for name in LINES},
+    **{f"fitness_{name}": (lambda t, name=name: C.check_ordered(_dealt(t, name), *_model(t, M.MODELS[name])), _fitness(f"md_{name}", sum(r for _, r, _ in M.MODELS[name]().steps))) for name in LINES},
 }

@@ -94,11 +94,21 @@ def read_fi_combined(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return found
 
 
+#: Columns of purchase logs that say yes or no, and their canonical names.
+FLAGS = {"is_gr_based": "case GR-Based Inv. Verif.", "is_goods_receipt": "case Goods Receipt"}
+
+
 def read_event_log_csv(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
-    log = read_csv(spark, path, encoding)
+    """case_id, activity, ts, resource, event_id and the flags that the file has. event_id numbers the events of a case in
+    the order of files and of places in them, so ties in time keep that order however the files are split."""
+    read = spark.read.option("header", True).option("sep", delimiter(spark, path)).option("encoding", encoding).csv(path)
+    # positions within a split grow with it, and splits with their start in the file
+    placed = read.withColumns({"_file": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start"), "_at": F.monotonically_increasing_id()})
+    log = canonicalise(placed)
     ts = F.coalesce(F.try_to_timestamp("ts", F.lit("dd-MM-yyyy HH:mm:ss.SSS")), F.try_to_timestamp("ts"))
-    order = F.monotonically_increasing_id()
-    return log.select("case_id", "activity", ts.alias("ts"), "resource" if "resource" in log.columns else F.lit(None).cast("string").alias("resource"), order.alias("event_id"))
+    within = Window.partitionBy("case_id").orderBy("_file", "_start", "_at")
+    flags = [F.lower(F.col(f"`{source}`")).isin("true", "x", "1", "yes").alias(name) for name, source in FLAGS.items() if source in read.columns]
+    return log.select("case_id", "activity", ts.alias("ts"), "resource" if "resource" in log.columns else F.lit(None).cast("string").alias("resource"), F.row_number().over(within).cast("long").alias("event_id"), *flags)
 
 
 def read_trace_json(spark: SparkSession, path: str) -> DataFrame:

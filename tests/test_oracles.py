@@ -20,4 +20,4 @@ def test_same_as_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_runs(spark, name):
-    assert registry.queries()[name](spark, FOLDER).columns
+    assert registry.queries()[name](spark, FOLDER).count() > 0
