@@ -28,6 +28,8 @@ from .common import IS_SPACE, ODD, fresh, in_blocks, materialise, mix, slices, s
 
 #: Buckets of word counts, and the parts in which tasks send them.
 BUCKETS, PARTS = 1 << 24, 64
+#: Classes that are common enough to be sent to all tasks, at most.
+HOT = 1000
 #: Bits of the map of lines whose text is asked for.
 ASKED = 1 << 24
 #: The least Jaccard similarity is UP / DOWN.
@@ -357,7 +359,11 @@ def _dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
 
     gone = classes.join(similar_to.withColumn("_similar", F.lit(True)), "key", "left").where("n > 1 or _similar")
     first = (F.col("doc") == F.col("keep.doc")) & (F.col("number") == F.col("keep.number")) & (F.col("mark") == F.col("keep.mark"))
-    told = lines.join(gone, "key").where(F.col("_similar").isNotNull() | ~first).select("_block", "doc", "number", "mark")
+    # classes with more than one in HOT of all lines are at most HOT, so they go to where the lines are
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot, rest = gone.where(F.col("n") > total // HOT), gone.where(F.col("n") <= total // HOT)
+    met = lines.join(F.broadcast(hot), "key").unionByName(lines.join(F.broadcast(hot.select("key")), "key", "left_anti").join(rest, "key"))
+    told = met.where(F.col("_similar").isNotNull() | ~first).select("_block", "doc", "number", "mark")
 
     def line_ids(doc: np.ndarray, mark: np.ndarray, number: np.ndarray) -> np.ndarray:
         return mix(mix(doc.astype(np.int64).view(np.uint64)) ^ mark.view(np.uint64)) + number.astype(np.uint64) * np.uint64(ODD)
