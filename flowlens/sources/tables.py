@@ -78,7 +78,7 @@ def number(text: Column) -> Column:
 
 def encoding_of(spark: SparkSession, path: str) -> str:
     """UTF-8, or ISO-8859-1 if the file has bytes that UTF-8 doesn't."""
-    broken = spark.read.text(path).where(F.col("value").contains("�")).limit(1)
+    broken = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1)
     return "UTF-8" if broken.isEmpty() else "ISO-8859-1"
 
 
