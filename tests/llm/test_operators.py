@@ -584,3 +584,60 @@ def test_pipeline(spark):
     assert not any(pii.base_spans(r["text"]) for r in kept)
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
     assert {r["doc_id"] for r in packed.collect()} == {r["doc_id"] for r in docs.select("doc_id").collect()}
+
+
+def test_stages_take_odd_input(spark, docs, none):
+    """Null and repeated ids, null and empty texts, repeated rows, empty tables: every stage keeps its columns."""
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.columns == docs.columns and out.count() <= docs.count(), name
+        assert stage(spark, none, "/root/testdata/sf0.001").count() == 0, name
+    assert corpus_pipeline.packing_stage(spark, docs, "").select("doc_id").distinct().count() == len(TEXTS) + 1
+    assert corpus_pipeline.packing_stage(spark, none, "").count() == 0
+
+
+def test_near_duplicate_stage_tells_rows_apart(spark):
+    """Different texts under one id both stay; copies without an id or with a larger one go."""
+    import corpus_pipeline
+
+    one, other, third = (" ".join(f"{w}{i}" for i in range(40)) for w in "abc")
+    rows = [(1, one, "en", "s", 1), (1, other, "en", "s", 2), (None, third, "en", "s", 3), (None, third, "en", "s", 4), (5, third, "en", "s", 5), (9, third, "en", "s", 6), (7, None, "en", "s", 0), (8, " ", "en", "s", 1)]
+    got = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert sorted((r["doc_id"], r["n_chars"]) for r in got) == [(1, 1), (1, 2), (5, 5), (7, 0)]
+
+
+def test_pipeline_same_as_brute_force(spark):
+    """run() against the stages written out text by text."""
+    import corpus_pipeline
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    folder = "/root/testdata/sf0.001"
+    table = spark.read.parquet(f"{folder}/documents.parquet")
+    model = quality.train(table, spark.read.parquet(f"{folder}/labels.parquet").where(ctw.fold("doc_id", 3) != 1))
+    rows = sorted((r["doc_id"], r["text"] or "") for r in table.collect())
+    rows = [r for r, good in zip(rows, quality.score_batch(model, pa.array([t for _, t in rows])), strict=True) if good >= 0.5]
+    rows = [(i, kept) for (i, _), (_, _, kept) in zip(rows, linejoin.brute_force(rows), strict=True)]
+    prints = [simhash.fingerprint(t) for _, t in rows]
+    part = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if (prints[a] ^ prints[b]).bit_count() <= 3:
+                low, high = sorted((part[a], part[b]))
+                part = [low if p == high else p for p in part]
+    rows = [r for k, r in enumerate(rows) if part[k] == k]
+    field = pii.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    tokenizer, want = Tokenizer.from_file(P.path("word_bpe_49k.json")), {}
+    for i, text in rows:
+        parts, end = [], 0
+        for span in pii.find_spans([text], field)[0][1]:
+            if span.start >= end:
+                parts += [text[end : span.start], f"<{pii.KINDS[span.kind].upper()}>"]
+                end = span.end
+        ids = np.array([*tokenizer.encode("".join([*parts, text[end:]]), add_special_tokens=False).ids, 2], "<u4")
+        for start in range(0, len(ids), 4096):
+            want[i, start] = (min(4096, len(ids) - start), zlib.crc32(ids[start : start + 4096].tobytes()))
+    got = corpus_pipeline.run(spark, folder).collect()
+    assert {(r["doc_id"], r["start"]): (r["length"], r["ids_crc32"]) for r in got} == want and len(got) == len(want)
