@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ctw, linejoin, packing, permutation, pii, quality, simhash, substrings, telephony
+from . import alignment, bpe, ctw, linejoin, packing, permutation, pii, quality, simhash, substrings, telephony
 from .common import documents
 
 
@@ -51,6 +51,10 @@ def op10_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeat_report(documents(spark, sf_dir))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_report(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 #: Windows of 35 words counted as hashes; a word goes if one of the windows that hold it occurs twice.
 OP10 = r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 t AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d),
