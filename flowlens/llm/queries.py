@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, bpe, conversations, ctw, linejoin, packing, permutation, pii, quality, simhash, substrings, telephony
+from . import alignment, bpe, conversations, ctw, html, linejoin, packing, permutation, pii, quality, simhash, substrings, telephony
 from .common import documents
 
 
@@ -55,6 +55,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_report(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op12_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_texts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_report(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
