@@ -34,8 +34,6 @@ PO_NUMBERS = [
 ]
 DOCUMENT, DOCUMENT_PREFIX = r"\b(?:\d{10}|(?:SO|DO|DL|IV|PO|PR|SA)\d{8,10})\b", "^(SO|DO|DL|IV|PO|PR|SA)"
 KINDS = ["EMAIL", "PHONE", "NAME", "ADDRESS", "PO_NUMBER", "DOC"]
-#: A text without any of these has nothing to redact.
-GUARD = r"(?U)[@:\d]|\b(?:Mr|Mrs|Ms|Dr|Prof)\b|(?i:purchase\s*order|\bPO\b)"
 
 
 def _flagged(pattern: str, cased: bool) -> str:
@@ -47,11 +45,20 @@ def hash_document_number(number: Column, salt: str, prefix: str = "DOC") -> Colu
     return F.concat(F.lit(f"[{prefix}_"), digest, F.lit("]"))
 
 
+def _bound(text: Column, use) -> Column:
+    """use(text), with the text worked out once however often it is used."""
+    return F.transform(F.array(text), use)[0]
+
+
 def _between(text: Column, pattern: str, clean, made) -> Column:
     """The text cut at the matches of a pattern; the parts are cleaned, and what is made of each match comes between."""
-    matches = F.transform(F.regexp_extract_all(text, F.lit(f"({pattern})"), 1), made)
-    parts = F.transform(F.split(text, pattern, -1), clean)
-    return F.array_join(F.zip_with(parts, matches, lambda part, match: F.concat(part, F.coalesce(match, F.lit("")))), "")
+
+    def cut(whole: Column) -> Column:
+        matches = F.transform(F.regexp_extract_all(whole, F.lit(f"({pattern})"), 1), made)
+        parts = F.transform(F.split(whole, pattern, -1), clean)
+        return F.array_join(F.zip_with(parts, matches, lambda part, match: F.concat(part, F.coalesce(match, F.lit("")))), "")
+
+    return _bound(text, cut)
 
 
 def redact_text(text: Column, salt: str = "", hash_documents: bool = True, hash_orders: bool = True) -> Column:
@@ -69,8 +76,7 @@ def redact_text(text: Column, salt: str = "", hash_documents: bool = True, hash_
         marked = reduce(lambda t, step: F.regexp_replace(t, _flagged(step[1], step[2]), step[3]), REDACTIONS, part)
         return reduce(lambda t, step: _between(t, _flagged(*step), lambda x: x, order), PO_NUMBERS, marked)
 
-    whole = _between(text, _flagged(DOCUMENT, True), clean, document) if hash_documents else clean(text)
-    return F.when(text.rlike(GUARD), whole).otherwise(text)
+    return _between(text, _flagged(DOCUMENT, True), clean, document) if hash_documents else clean(text)
 
 
 def redact_struct(df: DataFrame, salt: str = "", mode: str = "shareable", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -103,7 +109,8 @@ def redact_phone(text: Column) -> Column:
 
 
 def redaction_counts(text: Column, redacted: Column) -> list[Column]:
-    """How many of each kind went from text to redacted: no later pattern takes a mark away, so marks tell."""
+    """How many of each kind went from text to redacted: no later pattern takes a mark away, so marks tell. Both are used
+    often, so the redacted text should be a column of its own."""
     marks = {kind: rf"\[{kind}_[0-9A-F]{{8}}\]" if kind in ("PO_NUMBER", "DOC") else rf"\[{kind}\]" for kind in KINDS}
     counts = {kind: F.regexp_count(redacted, F.lit(mark)) - F.regexp_count(text, F.lit(mark)) for kind, mark in marks.items()}
     return [*(c.alias(f"n_{kind.lower()}") for kind, c in counts.items()), reduce(lambda a, b: a + b, counts.values()).alias("n_total")]
