@@ -38,6 +38,7 @@ from .common import materialise, mix, slices, whole_text
 LONG_RUN, LEAST_TOKENS, LEAST_PAGES, LEAST_SHARE = 40, 3, 3, 0.5
 #: A slot whose characters stand in links to more than this share over a host is a menu.
 LINKS = 0.5
+PARTS = 32
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?|<[!?/][^>]*>?|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -291,10 +292,10 @@ def token_sums(pages: DataFrame) -> DataFrame:
 def equivalence_classes(pages: DataFrame) -> DataFrame:
     """host, and of the tokens of its large and frequent classes: token, class (a number within the host), and whether
     the text in it is mostly links."""
-    sums = token_sums(pages).where(F.col("pages") >= LEAST_PAGES)
-    sums = materialise(sums)
-    total = sums.where("token = 0").select("host", F.col("pages").alias("all"))
-    often = sums.join(total, "host").where((F.col("token") != 0) & (F.col("pages") >= LEAST_SHARE * F.col("all")))
+    sums = materialise(token_sums(pages).where(F.col("pages") >= LEAST_PAGES))
+    # The totals go along in parts, so that the tokens of a large host meet them in many tasks.
+    total = sums.where("token = 0").select("host", F.col("pages").alias("all"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    often = sums.withColumn("part", F.pmod("token", F.lit(PARTS)).cast("int")).join(total, ["host", "part"]).where((F.col("token") != 0) & (F.col("pages") >= LEAST_SHARE * F.col("all")))
     classes = often.groupBy("host", "low", "high").agg(F.collect_list(F.struct("token", (F.col("links") > LINKS * F.col("chars")).alias("linked"))).alias("tokens"))
     large = classes.where(F.size("tokens") >= LEAST_TOKENS)
     member = large.select("host", F.xxhash64("low", "high").alias("class"), F.explode("tokens").alias("t")).select("host", F.struct("t.token", "class", "t.linked").alias("t"))
