@@ -368,6 +368,18 @@ def learned(text: str, found: list[Token]) -> np.ndarray:
     return out
 
 
+def carried(y: np.ndarray, links: list[tuple[int, int]]) -> np.ndarray:
+    """Labels with those of likes: a repeat that has no cue of its own isn't known to differ, so it doesn't count as a
+    token that disagrees. Tokens of two different labels still do."""
+    out, open_ = y.copy(), links
+    while True:
+        found = [(a, b) for a, b in open_ if (out[a] == 0) != (out[b] == 0)]
+        if not found:
+            return out
+        for a, b in found:
+            out[a], out[b] = (out[a] or out[b]), (out[b] or out[a])
+
+
 def with_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield batch.filter(pa.array([bool(learned(text, tokens(text)).any()) for text in batch.column("_text").to_pylist()], pa.bool_()))
@@ -386,10 +398,11 @@ def gather(texts: DataFrame, sample: int) -> list[np.ndarray]:
             for text in batch.column("_text").to_pylist():
                 found = tokens(text)
                 y = learned(text, found)
+                skips = skip_links(found)
                 pairs = [np.zeros((LABELS, LABELS)), np.zeros((LABELS, LABELS))]
-                for table, links in zip(pairs, (chain_links(text, found), skip_links(found)), strict=True):
+                for table, links, own in zip(pairs, (chain_links(text, found), skips), (y, carried(y, skips)), strict=True):
                     for a, b in links:
-                        table[y[a], y[b]] += 1
+                        table[own[a], own[b]] += 1
                 some = np.unique(np.linspace(0, len(found) - 1, min(len(found), FITTED)).astype(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in (features(text, found)[some], y[some], *pairs)], ["x", "y", "chain", "skip"])
 

@@ -159,6 +159,21 @@ def test_pii_adds_spans(spark):
     assert secret not in clean[100] and clean[101] == rows[-3][1] and clean[102] == "" and "3824" not in clean[103]
 
 
+def test_pii_carries_labels_far(spark):
+    """Repeats of a secret and of a phone number, 5,000 tokens on and without a cue or plus sign of their own."""
+    secret = "c0ffee12ab90de77ff31"
+    far = " ".join(f"item {i} of 12.5" for i in range(5000))
+    rows = [(i, f"the password={'%018x' % ((i + 1) * 0x9E3779B97F4A7C15 % (1 << 72))} and call +1 (2{i:02d}) 555-0{i:03d}, or 2{i:02d}-555-0{i:03d}") for i in range(40)]
+    rows += [(100, f'api_key = "{secret}" {far} so {secret} and on'), (101, f"call +1 (743) 555-3824 {far} again 743-555-3824 it is"), (102, far), (103, far + " " + secret[:3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r for r in pii.span_report(docs).collect()}
+    at = rows[40][1].rindex(secret)
+    assert f"secret:{at}:{at + len(secret)}" in found[100]["spans"].split(",")
+    at = rows[41][1].rindex("743-555-3824")
+    assert f"phone:{at}:{at + 12}" in found[101]["spans"].split(",")
+    assert found[102]["n_added"] == found[103]["n_added"] == 0
+
+
 def test_telephony_round_trip(docs):
     for r in telephony.text_clips(docs).collect():
         if r["doc_id"] is None:
