@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 
 from .common import fold, lower_ascii, materialise, mix, slices, span_hashes, string_buffers, whole_text, word_spans
 
-DEPTH = 5
+DEPTH = 6
 #: Bits of a run of DEPTH context bytes, newest first, and the byte that follows them.
 WIDE = 8 * (DEPTH + 1)
 #: Bytes of text in a block, of text worked on at a time, and of text for each share of the keys.
-BLOCK, SLICE, SHARE = 8 << 20, 1 << 20, 12 << 20
+BLOCK, SLICE, SHARE = 16 << 20, 1 << 20, 12 << 20
 #: The end sign of the byte model.
 END_BYTE = 0
 TEXT, WORDS, RUNS = 0, 1, 2
@@ -164,45 +164,46 @@ def bit_counts(cells: np.ndarray) -> np.ndarray:
 
 
 class Subtree:
-    """The part of the tree below one context of two bytes: levels 2 to DEPTH, each with the nodes of its eight bits."""
+    """The part of the tree below one context of two bytes: levels 2 to DEPTH. The eight decisions of a byte don't share
+    nodes, so they are worked on one by one, and only one's nodes are held."""
 
     def __init__(self, runs: np.ndarray, counts: np.ndarray):
         """runs: distinct and in order."""
-        self.runs = runs
-        self.levels: list[list[tuple[np.ndarray, np.ndarray]]] = []  # of each level and bit: nodes in order, counts
-        for depth in range(2, DEPTH + 1):
-            cells, n = runs, counts
-            if depth < DEPTH:
-                cells = runs >> np.uint64(8 + 8 * (DEPTH - depth)) << np.uint64(8) | runs & np.uint64(255)
-                cells, at = np.unique(cells, return_inverse=True)
-                n = np.bincount(at, weights=counts).astype(np.int64)
-            self.levels.append([self._nodes(cells, n, bit) for bit in range(8)])
-        self.weights: list[list[np.ndarray]] = []
-        for depth in range(len(self.levels) - 1, -1, -1):
-            own = [log_kt(seen) for _, seen in self.levels[depth]]
-            if self.weights:
-                below = self.weights[0]
-                deeper = [np.bincount(self._above(depth + 1, bit), weights=below[bit], minlength=len(own[bit])) for bit in range(8)]
-                own = [np.log(0.5) + np.logaddexp(a, b) for a, b in zip(own, deeper, strict=True)]
-            self.weights.insert(0, own)
-
-    @staticmethod
-    def _nodes(cells: np.ndarray, n: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray]:
-        node = cells >> np.uint64(8 - bit)
-        first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-        one = (cells >> np.uint64(7 - bit) & np.uint64(1)).astype(np.int64)
-        return node[first], np.stack([np.add.reduceat(n * (1 - one), first), np.add.reduceat(n * one, first)], axis=1)
-
-    def _above(self, depth: int, bit: int) -> np.ndarray:
-        """The node of the level above, with the oldest byte of the context left out, for each node of a level."""
-        node, low = self.levels[depth][bit][0], np.uint64((1 << bit) - 1)
-        return np.searchsorted(self.levels[depth - 1][bit][0], node >> np.uint64(bit + 8) << np.uint64(bit) | node & low)
+        self.runs, self.cells = runs, [(runs, counts)]
+        for depth in range(DEPTH - 1, 1, -1):  # a cell of a level: its context and the outcome
+            below, n = self.cells[0]
+            cells, at = np.unique(below >> np.uint64(8 + 8 * (DEPTH - depth)) << np.uint64(8 + 8 * (DEPTH - depth)) | below & np.uint64(255), return_inverse=True)
+            self.cells.insert(0, (cells, np.bincount(at, weights=n).astype(np.int64)))
+
+    def _levels(self, bit: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each level: the nodes in order, their counts, the node above of each, and their log weights."""
+        found = []
+        for depth, (cells, n) in enumerate(self.cells, 2):
+            # the context's bytes and behind them the decided bits; cells are in order, and so are nodes
+            node = cells >> np.uint64(8 + 8 * (DEPTH - depth)) << np.uint64(bit) | (cells & np.uint64(255)) >> np.uint64(8 - bit)
+            one = (cells >> np.uint64(7 - bit) & np.uint64(1)).astype(np.int64)
+            first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+            seen = np.stack([np.add.reduceat(n * (1 - one), first), np.add.reduceat(n * one, first)], axis=1)
+            node, above = node[first], np.zeros(0, np.int64)
+            if found:
+                low = np.uint64((1 << bit) - 1)
+                above = np.searchsorted(found[-1][0], node >> np.uint64(bit + 8) << np.uint64(bit) | node & low)
+            found.append((node, seen, above))
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        for depth in range(len(found) - 1, -1, -1):
+            node, seen, above = found[depth]
+            weight = log_kt(seen)
+            if out:
+                weight = np.log(0.5) + np.logaddexp(weight, np.bincount(out[0][2], weights=out[0][3], minlength=len(node)))
+            out.insert(0, (node, seen, above, weight))
+        return out
 
     def top(self) -> np.ndarray:
         """Log weights of the nodes (by number) of the context of two bytes."""
         out = np.zeros(256)
-        for bit, (nodes, _) in enumerate(self.levels[0]):
-            out[(1 << bit) + (nodes & np.uint64((1 << bit) - 1)).astype(np.int64)] = self.weights[0][bit]
+        for bit in range(8):
+            node, _, _, weight = self._levels(bit)[0]
+            out[(1 << bit) + (node & np.uint64((1 << bit) - 1)).astype(np.int64)] = weight
         return out
 
     def chances(self, above: np.ndarray) -> np.ndarray:
@@ -210,14 +211,13 @@ class Subtree:
         the share of it that is settled, and the share that is left to deeper contexts."""
         total = np.zeros(len(self.runs))
         for bit in range(8):
-            number = (1 << bit) + (self.levels[0][bit][0] & np.uint64((1 << bit) - 1)).astype(np.int64)
+            levels = self._levels(bit)
+            number = (1 << bit) + (levels[0][0] & np.uint64((1 << bit) - 1)).astype(np.int64)
             chance, settled, left = above[:, number]
-            for depth, level in enumerate(self.levels):
-                seen = level[bit][1]
+            for depth, (_, seen, at, weight) in enumerate(levels):
                 if depth:
-                    at = self._above(depth, bit)
                     chance, settled, left = chance[at], settled[at], left[at]
-                chance, settled, left = deepen(seen, self.weights[depth][bit], chance, settled, left)
+                chance, settled, left = deepen(seen, weight, chance, settled, left)
             node = self.runs >> np.uint64(8 - bit)
             at = np.cumsum(np.concatenate([[False], node[1:] != node[:-1]]))
             one = (self.runs >> np.uint64(7 - bit) & np.uint64(1)).astype(bool)
@@ -327,7 +327,6 @@ def train_and_score(docs: DataFrame, parts: int = 7, held: int = 2) -> DataFrame
     def model(rows: pa.Table) -> pa.Table:
         tree, _ = subtree(rows)
         scores = tree.chances(above.value[:, int(tree.runs[0] >> np.uint64(WIDE - 8))]).astype(np.float32)
-        scores = (scores.view(np.uint32) + np.uint32(128) & np.uint32(0xFFFFFF00)).view(np.float32)  # 16 bits of the fraction
         out = [(part, *pack(tree.runs[own], scores[own])) for part, own in by_share(share_of(tree.runs, shares))]
         return pa.table(dict(zip(("part", "keys", "scores"), (pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)), strict=True)))
 
