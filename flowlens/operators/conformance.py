@@ -6,6 +6,7 @@ check_ordered is the form against a running maximum of model positions: a wrong
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -33,64 +34,143 @@ def severity_of(rules: dict[tuple[str, str], str]) -> Column:
 def map_to_model(log: DataFrame, names: DataFrame, any_case: bool = False) -> DataFrame:
     """The log with `mapped`: the model's activity for each event, null if there is none. names is a small model table."""
     raw = F.lower("activity") if any_case else F.col("activity")
-    return log.join(F.broadcast(names), raw == F.col("raw"), "left").drop("raw")
+    return log.join(names, raw == F.col("raw"), "left").drop("raw")
 
 
 def traces(log: DataFrame, model: DataFrame, names: DataFrame) -> DataFrame:
     """Events with their position, canonical activity and what the model says of it."""
     placed = map_to_model(log, names).withColumn("position", F.row_number().over(in_case()) - 1).withColumn("activity", F.coalesce("mapped", "activity"))
-    return placed.select("case_id", "activity", "ts", "position").join(F.broadcast(model), "activity", "left")
+    return placed.select("case_id", "activity", "ts", "position").join(model, "activity", "left")
+
+
+#: Bits of a word of a set of activities.
+WORD = 63
+
+
+class Masks:
+    """A model's activities as bits of one or more words, and what the model says as masks. A model is its definition,
+    some dozen rows, which are read here; sets of activities are then numbers, whatever the length of a case."""
+
+    def __init__(self, model: DataFrame):
+        self.rows = model.orderBy("model_order", "activity").collect()
+        self.names = [r["activity"] for r in self.rows]
+        self.words = max(1, -(-len(self.names) // WORD))
+        self.spark = model.sparkSession
+
+    def of(self, names: Iterable[str]) -> list[int]:
+        out = [0] * self.words
+        for i, name in enumerate(self.names):
+            if name in names:
+                out[i // WORD] |= 1 << i % WORD
+        return out
+
+    def frame(self) -> DataFrame:
+        """activity, its number and place, own bit, those of later activities and of its required ones, start and end."""
+        said = [
+            (r["activity"], i, *self.of({r["activity"]}), *self.of({x["activity"] for x in self.rows if x["model_order"] > r["model_order"]}), *self.of(set(r["required"])), ",".join(sorted(r["required"])), r["is_start"], r["is_end"])
+            for i, r in enumerate(self.rows)
+        ]
+        words = ", ".join(f"_{kind}{w} long" for kind in ("own", "later", "required") for w in range(self.words))
+        return self.spark.createDataFrame(said, f"activity string, _at int, {words}, _needs string, is_start boolean, is_end boolean")
+
+    def column(self, kind: str) -> list[Column]:
+        return [F.col(f"_{kind}{w}") for w in range(self.words)]
+
+    def fixed(self, names: Iterable[str]) -> list[Column]:
+        return [F.lit(x).cast("long") for x in self.of(names)]
+
+    def members(self, masks: list[Column]) -> Column:
+        """The names whose bits are set, in the order of the model."""
+        return F.array_compact(F.array(*(F.when(masks[i // WORD].bitwiseAND(F.lit(1 << i % WORD)) != 0, name) for i, name in enumerate(self.names)))).cast("array<string>")
+
+
+def meet(a: list[Column], b: list[Column]) -> Column:
+    """Whether two sets have a common activity."""
+    return reduce(lambda x, y: x | y, (p.bitwiseAND(q) != 0 for p, q in zip(a, b, strict=True)))
+
+
+def common(a: list[Column], b: list[Column]) -> list[Column]:
+    return [p.bitwiseAND(q) for p, q in zip(a, b, strict=True)]
+
+
+def without(a: list[Column], b: list[Column]) -> list[Column]:
+    return [p.bitwiseAND(F.bitwise_not(q)) for p, q in zip(a, b, strict=True)]
+
+
+def replayed(log: DataFrame, model: DataFrame, names: DataFrame) -> tuple[DataFrame, Masks]:
+    """Events with position, what was seen before (as bits), the first place of each activity so far, and whether the
+    event is the last: all from one sort by case and time, in frames that only grow by one event a row."""
+    masks = Masks(model)
+    placed = map_to_model(log, names).select("case_id", F.coalesce("mapped", "activity").alias("activity"), "ts", "event_id", F.col("activity").alias("_raw"))
+    known = placed.join(masks.frame(), "activity", "left")
+    order = Window.partitionBy("case_id").orderBy("ts", "event_id", "_raw")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    numbered = known.withColumn("position", F.row_number().over(order) - 1)
+    return numbered.withColumns({
+        **{f"_seen{w}": F.coalesce(F.bit_or(f"_own{w}").over(before), F.lit(0).cast("long")) for w in range(masks.words)},
+        "_firsts": F.array(*(F.min(F.when(F.col("_at") == i, F.col("position"))).over(before) for i in range(len(masks.names)))).cast("array<int>"),
+        "_last": F.lead("position").over(order).isNull(),
+    }), masks
 
 
 def missing_activities(events: DataFrame, model: DataFrame) -> DataFrame:
-    """(case_id, activity): mandatory activities that a case lacks, from one set per case."""
-    done = events.groupBy("case_id").agg(F.collect_set("activity").alias("_done"))
-    wanted = model.where("is_mandatory").agg(F.collect_list("activity").alias("_all"))
-    return done.crossJoin(F.broadcast(wanted)).select("case_id", F.explode(F.array_except("_all", "_done")).alias("activity"))
+    """(case_id, activity): mandatory activities that a case lacks, from one set of bits per case."""
+    masks = Masks(model)
+    done = events.join(masks.frame().select("activity", *(f"_own{w}" for w in range(masks.words))), "activity", "left").groupBy("case_id").agg(*(F.coalesce(F.bit_or(f"_own{w}"), F.lit(0).cast("long")).alias(f"_seen{w}") for w in range(masks.words)))
+    wanted = masks.fixed({r["activity"] for r in masks.rows if r["is_mandatory"]})
+    return done.select("case_id", F.explode(masks.members(without(wanted, masks.column("seen")))).alias("activity"))
 
 
-def order_violations(events: DataFrame) -> DataFrame:
+def order_violations(log: DataFrame, model: DataFrame, names: DataFrame) -> DataFrame:
     """(case_id, activity, position, other): each event with the distinct earlier activities that the model puts later."""
-    known = F.when(F.col("model_order").isNotNull(), F.struct("model_order", "activity"))
-    before = in_case_by_position().rowsBetween(Window.unboundedPreceding, -1)
-    seen = events.withColumn("_seen", F.collect_set(known).over(before))
-    later = F.filter("_seen", lambda x: x["model_order"] > F.col("model_order"))
-    return seen.where("model_order is not null").select("case_id", "activity", "position", F.explode(later).alias("_o")).select("case_id", "activity", "position", F.col("_o.activity").alias("other"))
+    events, masks = replayed(log, model, names)
+    late = masks.members(common(masks.column("later"), masks.column("seen")))
+    return events.where("_at is not null").select("case_id", "activity", "position", F.explode(late).alias("other"))
+
+
+def flagged(log: DataFrame, model: DataFrame, names: DataFrame) -> DataFrame:
+    """case_id and `found` for each event: its deviations, and with the last event those of the whole case."""
+    events, masks = replayed(log, model, names)
+    known, seen, own = F.col("_at").isNotNull(), masks.column("seen"), masks.column("own")
+    text = F.lit("").alias("detail")
+
+    def one(kind: str, when: Column, detail: Column = text) -> Column:
+        row = F.struct(F.lit(kind).alias("deviation_type"), F.col("activity").alias("activity"), F.col("position").cast("int").alias("position"), detail.cast("string").alias("detail"))
+        return F.when(when, F.array(row)).otherwise(F.array().cast(ROW))
+
+    def each(kind: str, names: Column, position: Column, activity=lambda x: F.col("activity"), detail=lambda x: x) -> Column:
+        return F.transform(names, lambda x: F.struct(F.lit(kind).alias("deviation_type"), activity(x).alias("activity"), position.cast("int").alias("position"), detail(x).alias("detail"))).cast(ROW)
+
+    mandatory = masks.fixed({r["activity"] for r in masks.rows if r["is_mandatory"]})
+    done = [a.bitwiseOR(F.coalesce(b, F.lit(0).cast("long"))) for a, b in zip(seen, own, strict=True)]
+    lacking = without(mandatory, done)
+    nothing = F.array().cast("array<string>")
+    found = F.concat(
+        one("invalid_start", (F.col("position") == 0) & ~F.col("is_start")),
+        one("skipped_activity", (F.col("_needs") != "") & ~meet(masks.column("required"), seen) & ~F.col("is_start"), F.col("_needs")),
+        each("wrong_order", F.when(known & meet(masks.column("later"), seen), masks.members(common(masks.column("later"), seen))).otherwise(nothing), F.col("position")),
+        one("unexpected_activity", ~known),
+        one("duplicate_activity", known & meet(own, seen), F.get("_firsts", F.col("_at"))),
+        each("missing_activity", F.when(F.col("_last"), masks.members(lacking)).otherwise(nothing), F.lit(-1), lambda x: x, lambda x: F.lit("")),
+        one("invalid_end", F.col("_last") & ~meet(mandatory, lacking) & ~F.coalesce("is_end", F.lit(False))),
+    )
+    return events.select("case_id", found.alias("found"))
 
 
-def in_case_by_position():
-    return Window.partitionBy("case_id").orderBy("position")
+ROW = "array<struct<deviation_type: string, activity: string, position: int, detail: string>>"
 
 
 def deviations(log: DataFrame, model: DataFrame, names: DataFrame, rules: dict[tuple[str, str], str] | None = None) -> DataFrame:
     """case_id, deviation_type, activity, position, detail, severity. A missing activity has position -1."""
-    events = traces(log, model, names)
-    row = lambda df, kind, detail=F.lit(""), position=F.col("position"): df.select("case_id", F.lit(kind).alias("deviation_type"), "activity", position.cast("int").alias("position"), detail.alias("detail"))
-    executed = F.collect_set("activity").over(in_case_by_position().rowsBetween(Window.unboundedPreceding, -1))
-    skipped = events.withColumn("_done", executed).where((F.size("required") > 0) & ~F.arrays_overlap("required", "_done") & ~F.col("is_start"))
-    repeat = Window.partitionBy("case_id", "activity").orderBy("position")
-    repeats = events.where("model_order is not null").withColumns({"_n": F.row_number().over(repeat), "_first": F.first("position").over(repeat)}).where("_n > 1")
-    whole = events.groupBy("case_id").agg(F.max_by(F.struct("activity", "position", F.coalesce("is_end", F.lit(False)).alias("is_end")), "position").alias("_l"), F.collect_set("activity").alias("_done"))
-    wanted = model.where("is_mandatory").agg(F.collect_list("activity").alias("_all"))
-    ends = whole.crossJoin(F.broadcast(wanted)).where((F.size(F.array_except("_all", "_done")) == 0) & ~F.col("_l.is_end")).select("case_id", "_l.activity", "_l.position")
-    parts = [
-        row(events.where("position = 0 and not is_start"), "invalid_start"),
-        row(skipped, "skipped_activity", F.array_join(F.array_sort(F.array_except("required", "_done")), ",")),
-        row(order_violations(events), "wrong_order", F.col("other")),
-        row(events.where("model_order is null"), "unexpected_activity"),
-        row(missing_activities(events, model), "missing_activity", position=F.lit(-1)),
-        row(repeats, "duplicate_activity", F.col("_first").cast("string")),
-        row(ends, "invalid_end"),
-    ]
-    return reduce(DataFrame.unionByName, parts).withColumn("severity", severity_of(rules or SEVERITY))
+    return flagged(log, model, names).select("case_id", F.explode("found").alias("d")).select("case_id", "d.*").withColumn("severity", severity_of(rules or SEVERITY))
 
 
 def check_conformance(log: DataFrame, model: DataFrame, names: DataFrame, rules: dict[tuple[str, str], str] | None = None) -> DataFrame:
     """case_id, n_deviations, fitness, is_conformant of every case."""
-    found = deviations(log, model, names, rules).groupBy("case_id").agg(F.count("*").alias("_n"), *(F.count_if(F.col("severity") == s).alias(f"_{s}") for s in PENALTY))
+    found = flagged(log, model, names).select("case_id", F.explode_outer("found").alias("d")).select("case_id", "d.*").withColumn("severity", F.when(F.col("deviation_type").isNotNull(), severity_of(rules or SEVERITY)))
+    cases = found.groupBy("case_id").agg(F.count("severity").alias("n_deviations"), *(F.count_if(F.col("severity") == s).alias(f"_{s}") for s in PENALTY))
     lost = reduce(lambda a, b: a + b, (F.col(f"_{s}") * p for s, p in PENALTY.items()))
-    cases = log.select("case_id").distinct().join(found, "case_id", "left")
-    return cases.select("case_id", F.coalesce("_n", F.lit(0)).alias("n_deviations"), F.round(F.greatest(F.lit(0.0), 1 - F.coalesce(lost, F.lit(0.0))), 4).alias("fitness"), F.col("_n").isNull().alias("is_conformant"))
+    return cases.select("case_id", "n_deviations", F.round(F.greatest(F.lit(0.0), 1 - lost), 4).alias("fitness"), (F.col("n_deviations") == 0).alias("is_conformant"))
 
 
 def cases_by_fitness(results: DataFrame, low: float, high: float) -> DataFrame:
@@ -127,8 +207,8 @@ def ordered_deviations(log: DataFrame, model: DataFrame, names: DataFrame) -> Da
     """case_id, deviation_type, activity, severity against the running maximum of model positions."""
     mapped = map_to_model(log, names, any_case=True)
     row = lambda df, kind, severity: df.select("case_id", F.lit(kind).alias("deviation_type"), "activity", F.lit(severity).alias("severity"))
-    known = mapped.where("mapped is not null").withColumn("position", F.row_number().over(in_case())).select("case_id", F.col("mapped").alias("activity"), "position").join(F.broadcast(model), "activity")
-    before = in_case_by_position().rowsBetween(Window.unboundedPreceding, -1)
+    known = mapped.where("mapped is not null").withColumn("position", F.row_number().over(in_case())).select("case_id", F.col("mapped").alias("activity"), "position").join(model, "activity")
+    before = Window.partitionBy("case_id").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
     # of equal positions in the model the earliest event holds the maximum
     high = known.withColumn("_high", F.max(F.struct("model_order", (-F.col("position")).alias("p"), "activity")).over(before))
     wrong = high.where((F.col("model_order") < F.col("_high.model_order")) & ~F.array_contains("allowed", F.col("_high.activity")))

@@ -105,7 +105,7 @@ QUERIES = {
     "non_conformant": (lambda t: C.non_conformant(_state(t, t.o2c_clean_log())), "SELECT * FROM cf_cases WHERE NOT is_conformant"),
     "filter_deviations": (lambda t: C.filter_deviations(_found(t, t.o2c_clean_log()), ["critical"]), "SELECT * FROM cf_devs WHERE severity = 'critical'"),
     "missing_activities": (lambda t: C.missing_activities(C.traces(t.o2c_log(), *_model(t, M.o2c_simple)), _model(t, M.o2c_simple)[0]), "SELECT case_id, activity FROM cx_dev WHERE deviation_type = 'missing_activity'"),
-    "order_violations": (lambda t: C.order_violations(C.traces(t.o2c_log(), *_model(t, M.o2c_simple))), "SELECT case_id, activity, position, detail AS other FROM cx_dev WHERE deviation_type = 'wrong_order'"),
+    "order_violations": (lambda t: C.order_violations(t.o2c_log(), *_model(t, M.o2c_simple)), "SELECT case_id, activity, position, detail AS other FROM cx_dev WHERE deviation_type = 'wrong_order'"),
     "ordered_deviations": (lambda t: C.ordered_deviations(t.o2c_clean_log(), *_model(t, M.o2c_ordered)), "SELECT * FROM cf_odev"),
     "check_conformance_ordered": (lambda t: C.check_ordered(t.o2c_clean_log(), *_model(t, M.o2c_ordered)), _ordered("cf")),
     "check_conformance_ordered_messy": (lambda t: C.check_ordered(t.o2c_log(), *_model(t, M.o2c_ordered)), _ordered("cx")),
