@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .quantiles import percentiles, sketched, with_percentiles
+
+
 def in_case() -> WindowSpec:
     return Window.partitionBy("case_id").orderBy("ts", "event_id", "activity")
 
@@ -78,19 +81,16 @@ def case_durations(log: DataFrame) -> DataFrame:
     return log.groupBy("case_id").agg(F.count("*").alias("n_events"), F.round(hours(F.min("ts"), F.max("ts")), 4).alias("duration_hours"))
 
 
-def quantile(value: Column, p: float | list[float], accuracy: int | None = None) -> Column:
-    """The percentile at p: exact, which keeps all distinct values of a group in one task, or with a relative error in
-    rank of one in `accuracy`, from a sketch of bounded size."""
-    at = F.array(*map(F.lit, p)) if isinstance(p, list) else F.lit(p)
-    return F.percentile(value, at) if accuracy is None else F.percentile_approx(value, at, accuracy)
-
-
 def case_duration_summary(log: DataFrame, accuracy: int | None = None) -> DataFrame:
-    h = F.col("duration_hours")
-    return case_durations(log).agg(
-        F.count("*").alias("n_cases"), F.round(F.avg(h), 3).alias("avg_hours"), F.round(quantile(h, 0.5, accuracy), 3).alias("median_hours"), F.min(h).alias("min_hours"), F.max(h).alias("max_hours"),
-        F.round(F.coalesce(F.stddev_samp(h), F.lit(0.0)), 3).alias("std_hours"), F.round(F.avg("n_events"), 4).alias("avg_events"),
-    )
+    """Numbers over all cases; the median is exact, or with `accuracy` from a sketch."""
+    h, cases = F.col("duration_hours"), case_durations(log)
+    named = {"avg_hours": F.avg(h), "median_hours": None, "min_hours": F.min(h), "max_hours": F.max(h), "std_hours": F.coalesce(F.stddev_samp(h), F.lit(0.0))}
+    if accuracy is not None:
+        named["median_hours"] = sketched(h, 0.5, accuracy)
+    whole = cases.agg(F.count("*").alias("n_cases"), *(c.alias(n) for n, c in named.items() if c is not None), F.round(F.avg("n_events"), 4).alias("avg_events"))
+    if accuracy is None:
+        whole = with_percentiles(whole, cases, [], "duration_hours", {"median_hours": 0.5})
+    return whole.select("n_cases", *(F.round(n, 3).alias(n) if n not in ("min_hours", "max_hours") else n for n in named), "avg_events")
 
 
 def directly_follows(log: DataFrame, main_share: float = 0.1) -> DataFrame:
@@ -105,22 +105,25 @@ def transition_filter(edges: DataFrame, min_share: float = 0.0, main_path: bool
 
 
 def transition_metrics(log: DataFrame, accuracy: int | None = None) -> DataFrame:
-    """Times of each edge; accuracy: of the percentiles, where an edge may have more values than a task holds."""
-    h = F.col("hours")
-    kept = steps(log).where("to_activity is not null and hours >= 0")
-    p = quantile(h, [0.5, 0.85, 0.95], accuracy)
-    grouped = kept.groupBy(F.col("activity").alias("from_activity"), "to_activity").agg(
-        F.count("*").alias("n"), F.avg(h).alias("mean_hours"), F.coalesce(F.stddev_samp(h), F.lit(0.0)).alias("std_hours"), F.min(h).alias("min_hours"), F.max(h).alias("max_hours"), p.alias("_p")
-    )
-    named = grouped.select("*", F.col("_p")[0].alias("p50_hours"), F.col("_p")[1].alias("p85_hours"), F.col("_p")[2].alias("p95_hours")).drop("_p")
+    """Times of each edge; percentiles are exact, or with `accuracy` from sketches."""
+    h, edge = F.col("hours"), ["from_activity", "to_activity"]
+    kept = steps(log).where("to_activity is not null and hours >= 0").withColumnRenamed("activity", "from_activity")
+    shares = {"p50_hours": 0.5, "p85_hours": 0.85, "p95_hours": 0.95}
+    rough = [sketched(h, share, accuracy).alias(name) for name, share in shares.items()] if accuracy is not None else []
+    grouped = kept.groupBy(*edge).agg(F.count("*").alias("n"), F.avg(h).alias("mean_hours"), F.coalesce(F.stddev_samp(h), F.lit(0.0)).alias("std_hours"), F.min(h).alias("min_hours"), F.max(h).alias("max_hours"), *rough)
+    named = grouped if rough else with_percentiles(grouped, kept, edge, "hours", shares)
     return named.select(*(F.round(c, 4).alias(c) if c.endswith("_hours") else c for c in named.columns))
 
 
 def bottlenecks(log: DataFrame, medium: float = 0.5, slow: float = 0.85, use_global: bool = True, min_samples: int = 3, accuracy: int | None = None) -> DataFrame:
     """transition_metrics with a level by mean against the percentiles of all durations, or of the edge's own."""
     edges = transition_metrics(log, accuracy)
-    whole = steps(log).where("to_activity is not null and hours >= 0").agg(F.round(quantile(F.col("hours"), medium, accuracy), 4).alias("_medium"), F.round(quantile(F.col("hours"), slow, accuracy), 4).alias("_slow"))
-    wide = edges.crossJoin(F.broadcast(whole)) if use_global else edges.withColumn("_medium", F.col("p50_hours")).withColumn("_slow", F.col("p85_hours"))
+    if use_global:
+        kept = steps(log).where("to_activity is not null and hours >= 0")
+        cuts = percentiles(kept, [], "hours", [medium, slow], "_p") if accuracy is None else kept.agg(sketched(F.col("hours"), [medium, slow], accuracy).alias("_p"))
+        wide = edges.crossJoin(F.broadcast(cuts.select(F.round(F.get("_p", F.lit(0)), 4).alias("_medium"), F.round(F.get("_p", F.lit(1)), 4).alias("_slow"))))
+    else:
+        wide = edges.withColumn("_medium", F.col("p50_hours")).withColumn("_slow", F.col("p85_hours"))
     mean = F.col("mean_hours")
     level = F.when(F.col("n") < min_samples, "medium").when(mean <= F.col("_medium"), "fast").when(mean <= F.col("_slow"), "medium").otherwise("slow")
     return wide.withColumn("level", level).drop("_medium", "_slow")
@@ -140,10 +143,10 @@ def activity_bottlenecks(log: DataFrame) -> DataFrame:
     means = log.select("activity").distinct().join(
         steps(log).where("hours >= 0").groupBy("activity").agg(F.round(F.avg("hours"), 6).alias("avg_hours")), "activity", "left"
     )
-    cuts = means.where("avg_hours > 0").agg(F.percentile("avg_hours", F.array(F.lit(0.5), F.lit(0.75), F.lit(0.9))).alias("_p"))
+    cuts = percentiles(means.where("avg_hours > 0"), [], "avg_hours", [0.5, 0.75, 0.9], "_p")
     d = F.col("avg_hours")
     severity = F.when(d.isNull() | (d <= 0), "none").when(d >= F.col("_p")[2], "critical").when(d >= F.col("_p")[1], "high").when(d >= F.col("_p")[0], "medium").otherwise("low")
-    return means.crossJoin(F.broadcast(cuts)).select("activity", F.round("avg_hours", 4).alias("avg_hours"), severity.alias("severity"))
+    return means.join(F.broadcast(cuts), how="left").select("activity", F.round("avg_hours", 4).alias("avg_hours"), severity.alias("severity"))
 
 
 #: Hours up to which a step between document categories is no, a low or a medium bottleneck.

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .quantiles import sketched, with_percentiles
+
 METRICS = ["order_to_delivery_days", "delivery_delay_days", "invoice_lag_days", "order_to_invoice_days"]
 RATES = ["delay_probability", "partial_delivery_rate", "return_rate"]
 #: Words of a return in a text.
@@ -90,11 +92,17 @@ def long_metrics(docs: DataFrame, *keys: str) -> DataFrame:
 
 def _moments(rows: DataFrame, *keys: str) -> DataFrame:
     v = F.col("value")
-    return rows.groupBy(*keys, "metric").agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std"), F.percentile(v, 0.5).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"))
+    return rows.groupBy(*keys, "metric").agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
 
 
-def outcome_baseline(docs: DataFrame, least: int = 5) -> DataFrame:
-    found = _moments(long_metrics(docs)).where(F.col("n") >= least)
+def outcome_baseline(docs: DataFrame, least: int = 5, accuracy: int | None = None) -> DataFrame:
+    """Numbers of each metric; the median is exact, or with `accuracy` from a sketch."""
+    rows = long_metrics(docs)
+    if accuracy is None:
+        found = with_percentiles(_moments(rows), rows, ["metric"], "value", {"median": 0.5})
+    else:
+        found = _moments(rows).join(rows.groupBy("metric").agg(sketched(F.col("value"), 0.5, accuracy).alias("median")), "metric")
+    found = found.where(F.col("n") >= least)
     return found.select("metric", "n", *(F.round(c, 4).alias(c) for c in ("mean", "std", "median", "min", "max")))
 
 
