@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .alerting import alert_events, passed
 from .log import hours, in_case
 
 #: The order of the milestones of a sale.
@@ -175,26 +176,18 @@ THRESHOLDS = [
 ]
 
 
-def threshold_hits(found: DataFrame, thresholds: list[tuple] = THRESHOLDS) -> DataFrame:
-    """Predictions joined with the few thresholds that they pass."""
-    table = found.sparkSession.createDataFrame(thresholds, "prediction_type string, alert_type string, comparison string, threshold double, severity string, cooldown_minutes int")
-    p, t, how = F.col("probability"), F.col("threshold"), F.col("comparison")
-    passed = F.when(how == "gt", p > t).when(how == "gte", p >= t).when(how == "lt", p < t).when(how == "lte", p <= t).otherwise(p == t)
-    return found.join(F.broadcast(table), "prediction_type").where(passed)
+def threshold_table(spark: SparkSession, thresholds: list[tuple] = THRESHOLDS) -> DataFrame:
+    return spark.createDataFrame(thresholds, "prediction_type string, alert_type string, comparison string, threshold double, severity string, cooldown_minutes int")
 
 
-def threshold_alerts(hits: DataFrame, most: int = 10, ts: str = "ts") -> DataFrame:
-    """Alerts after rest and cap: of a case, an alert type and a severity, a hit within the rest of the last alert is
-    dropped and doesn't start a new rest; a case has `most` alerts at most. A fold over the hits of each case."""
-    hit = F.struct(F.unix_seconds(F.col(ts).cast("timestamp")).alias("t"), "alert_type", "severity", "probability", "cooldown_minutes")
-    cases = hits.groupBy("case_id").agg(F.array_sort(F.collect_list(hit)).alias("_hits"))
-    none = F.array().cast("array<struct<t:bigint,alert_type:string,severity:string,probability:double,cooldown_minutes:int>>")
+def threshold_hits(found: DataFrame, thresholds: list[tuple] = THRESHOLDS) -> DataFrame:
+    """Predictions joined with the few thresholds that they pass."""
+    return found.join(threshold_table(found.sparkSession, thresholds), "prediction_type").where(passed(F.col("probability"), F.col("comparison"), F.col("threshold")))
 
-    def step(kept: Column, x: Column) -> Column:
-        resting = F.exists(kept, lambda k: (k["alert_type"] == x["alert_type"]) & (k["severity"] == x["severity"]) & (x["t"] - k["t"] < x["cooldown_minutes"] * 60))
-        return F.when(resting | (F.size(kept) >= most), kept).otherwise(F.concat(kept, F.array(x)))
 
-    return cases.select("case_id", F.explode(F.aggregate("_hits", none, step)).alias("a")).select("case_id", "a.alert_type", "a.severity", "a.probability", F.timestamp_seconds("a.t").alias("ts"))
+def threshold_alerts(hits: DataFrame, most: int = 10, ts: str = "ts", expiry_minutes: int | None = None) -> DataFrame:
+    """Alerts after rest and cap: case_id, alert_type, severity, probability, ts (see alerting)."""
+    return alert_events(hits, None, most, ts, expiry_minutes).select("case_id", "alert_type", "severity", "probability", "ts")
 
 
 def alert_summary(alerts: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import alerting
 from ..operators import features as R
 from ..sources.fixtures import AS_OF
 
@@ -68,10 +69,41 @@ def _typed(t):
     return R.predictions(_ext(t)).select("case_id", "prediction_type", F.when(kinds == "raw", F.col("probability") * 336).otherwise(F.col("probability")).alias("value"), kinds.alias("value_type"))
 
 
+def _timed(t):
+    """Every event as a prediction, so that rest and cap take effect."""
+    return t.event_log().select("case_id", "ts", (F.col("value") / 50).alias("probability"), F.lit("late_delivery").alias("prediction_type"))
+
+
 def _alerts(t):
-    """Every event of a case that has a credit block raises the same hit, so rest and cap take effect."""
-    times = t.event_log().select("case_id", "ts", (F.col("value") / 50).alias("probability"), F.lit("late_delivery").alias("prediction_type"))
-    return R.threshold_alerts(R.threshold_hits(times))
+    return R.threshold_alerts(R.threshold_hits(_timed(t)))
+
+
+def _asked(t):
+    """Controls: errors acknowledge the high alerts of their case, and thresholds change twice."""
+    own = t.event_log().where("activity = 'error'").select("ts", F.lit("acknowledge").alias("action"), F.lit("late_delivery_risk").alias("alert_type"), F.lit("high").alias("severity"), "case_id", F.col("resource").alias("user"))
+    made = t.spark.createDataFrame([("2024-01-10 00:00:00", "remove", None, None, None), ("2024-01-20 00:00:00", "add", "gt", 0.5, "medium")], "ts string, action string, comparison string, threshold double, severity string")
+    made = made.select(F.col("ts").cast("timestamp").alias("ts"), "action", F.lit("late_delivery_risk").alias("alert_type"), F.lit("late_delivery").alias("prediction_type"), "comparison", "threshold", "severity", F.lit(60).alias("cooldown_minutes"))
+    return own.unionByName(made, allowMissingColumns=True)
+
+
+def _hits_in_time(t):
+    return alerting.hits_in_time(_timed(t), alerting.threshold_periods(_asked(t), R.threshold_table(t.spark)))
+
+
+def _states(t):
+    asked = _asked(t).where("action = 'acknowledge'")
+    return alerting.alert_states(alerting.alert_events(R.threshold_hits(_timed(t)), asked))
+
+
+#: Alerts one hit after the other: n so far and the last time of each severity.
+_FOLD = """WITH RECURSIVE f AS (SELECT *, TRUE AS kept, 1 AS n, CASE WHEN severity = 'high' THEN t END AS high, CASE WHEN severity = 'critical' THEN t END AS critical FROM al_hits WHERE rn = 1
+    UNION ALL SELECT h.*, k.kept, f.n + CAST(k.kept AS INT), CASE WHEN k.kept AND h.severity = 'high' THEN h.t ELSE f.high END, CASE WHEN k.kept AND h.severity = 'critical' THEN h.t ELSE f.critical END FROM f JOIN al_hits h ON h.case_id = f.case_id AND h.rn = f.rn + 1,
+    LATERAL (SELECT f.n < 10 AND coalesce(h.t - CASE h.severity WHEN 'high' THEN f.high ELSE f.critical END >= h.rest, TRUE) AS kept) k) SELECT case_id, alert_type, severity, probability, ts FROM f WHERE kept"""
+VIEWS |= {
+    "al_hits": """SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY t, alert_type, severity, probability) AS rn FROM (SELECT case_id, 'late_delivery_risk' AS alert_type, severity, value / 50 AS probability, ts, epoch_us(ts) AS t, rest * CAST(60000000 AS BIGINT) AS rest
+        FROM fx_event_log JOIN (VALUES (0.7, 'high', 60), (0.9, 'critical', 30)) x(limit_, severity, rest) ON value / 50 >= limit_)""",
+    "al_alerts": f"SELECT * FROM ({_FOLD})",
+}
 
 
 QUERIES = {
@@ -86,7 +118,11 @@ QUERIES = {
     "top_risk_factors": (lambda t: R.top_risk_factors(R.predictions(_ext(t))), "SELECT factor, count(*) AS n FROM (SELECT unnest(string_split(factors, ',')) AS factor FROM ft_pred WHERE factors <> '') GROUP BY 1 ORDER BY n DESC, factor LIMIT 10"),
     "threshold_hits": (lambda t: R.threshold_hits(R.predictions(_ext(t))).select("case_id", "prediction_type", "probability", "factors", "alert_type", "severity"), "SELECT * FROM ft_hits"),
     "alert_summary": (lambda t: R.alert_summary(R.threshold_hits(R.predictions(_ext(t)))), "SELECT 'severity' AS dimension, severity AS value, count(*) AS n, count(DISTINCT case_id) AS n_cases FROM ft_hits GROUP BY 2 UNION ALL SELECT 'type', alert_type, count(*), count(DISTINCT case_id) FROM ft_hits GROUP BY 2"),
-    "threshold_alerts": (_alerts, None),
+    "threshold_alerts": (_alerts, "SELECT * FROM al_alerts"),
+    "alert_states": (_states, """SELECT a.*, c.at IS NOT NULL AS acknowledged, c.by AS acknowledged_by, c.at AS acknowledged_at FROM al_alerts a LEFT JOIN LATERAL
+        (SELECT e.ts AS at, e.resource AS by FROM fx_event_log e WHERE e.activity = 'error' AND e.case_id = a.case_id AND a.severity = 'high' AND e.ts >= a.ts ORDER BY e.ts LIMIT 1) c ON TRUE"""),
+    "hits_in_time": (lambda t: _hits_in_time(t).select("case_id", "ts", "probability", "severity", "cooldown_minutes"), """SELECT case_id, ts, value / 50 AS probability, severity, rest AS cooldown_minutes FROM fx_event_log JOIN (VALUES ('gte', 0.7, 'high', 60, '2000-01-01', '2024-01-10'), ('gte', 0.9, 'critical', 30, '2000-01-01', '2024-01-10'),
+        ('gt', 0.5, 'medium', 60, '2024-01-20', '2100-01-01')) x(how, limit_, severity, rest, a, b) ON ts >= CAST(a AS TIMESTAMP) AND ts < CAST(b AS TIMESTAMP) AND CASE how WHEN 'gt' THEN value / 50 > limit_ ELSE value / 50 >= limit_ END"""),
     "weighted_risk": (lambda t: R.weighted_risk(_typed(t), 336.0), f"""SELECT *, {_level('risk_score')} AS risk_level FROM (SELECT case_id, round(greatest(0.0, least(1.0, coalesce(sum(risk * w) / sum(w) FILTER (risk IS NOT NULL), 0.0))), 4) AS risk_score, count(risk) AS n_used, count(*) - count(risk) AS n_excluded
         FROM (SELECT case_id, CASE prediction_type WHEN 'credit_hold' THEN NULL WHEN 'completion_time' THEN least(1.0, probability * 336 / 336.0) ELSE probability END AS risk, CASE prediction_type WHEN 'late_delivery' THEN 0.4 WHEN 'credit_hold' THEN 0.35 ELSE 0.25 END AS w FROM ft_pred) GROUP BY 1)"""),
     "recommendations": (lambda t: R.recommendations(R.predictions(_ext(t))), "SELECT case_id, prediction_type, array_to_string(([x for x in [CASE y " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in R.ADVICE.items()) + " END for y in string_split(factors, ',')] if x IS NOT NULL])[1:3], '; ') AS recommendations FROM ft_pred"),
