@@ -9,12 +9,14 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator
-from pyspark.ml.feature import IDF, BucketedRandomProjectionLSH, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer, StandardScaler, StopWordsRemover, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer, StandardScaler, StopWordsRemover, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import density
+
 SEED = 42
 #: Labels of texts that take no part: noise, empty, all the same.
 NOISE, EMPTY, IDENTICAL = -1, -2, -3
@@ -137,19 +139,20 @@ def spread_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def density_clusters(vectors: DataFrame, key: str, eps: float | None = None, min_points: int = 5, embedding: str = "embedding", tables: int = 4) -> DataFrame:
-    """key, cluster by density: core points have min_points neighbours within eps (by default the distance to the
-    min_points-th neighbour that nine in ten points keep within); -1 is noise. Neighbours come from a hashed similarity
-    join, which may miss some: more tables miss fewer. Clusters spread until nothing changes."""
-    points = vectors.where(F.col(embedding).isNotNull()).select(F.col(key).alias("id"), array_to_vector(F.col(embedding).cast("array<double>")).alias("v"))
-    eps = eps or k_distance(points, min_points)
-    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="_h", bucketLength=2 * eps, numHashTables=tables, seed=SEED).fit(points)
-    near = checkpointed(lsh.approxSimilarityJoin(points, points, eps, "_d").select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b")))
-    core = near.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= min_points).select(F.col("a").alias("id"))
-    edges = checkpointed(near.join(core.select(F.col("id").alias("a")), "a").join(core.select(F.col("id").alias("b")), "b").select("a", "b"))
-    labels = spread_labels(core, edges)
-    border = near.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("cluster"))
-    return points.select("id").join(border, "id", "left").select(F.col("id").alias(key), F.coalesce("cluster", F.lit(NOISE)).alias("cluster"))
+def density_clusters(vectors: DataFrame, key: str, eps: float | None = None, min_points: int = 5, embedding: str = "embedding", block: int = density.BLOCK) -> DataFrame:
+    """key, cluster by density: core points have min_points points, themselves included, within eps (by default the
+    distance to the min_points-th neighbour that nine in ten points keep within); -1 is noise. Neighbours are exact; a
+    cluster is named by its least core point, and a border point takes the least name near it."""
+    points = vectors.where(F.col(embedding).isNotNull()).select(F.col(key).alias("id"), F.col(embedding).cast("array<double>").alias("v"))
+    eps = eps or k_distance(points.withColumn("v", array_to_vector("v")), min_points)
+    pivots = density.choose_pivots(points)
+    counts = density.near_counts(points.withColumn("core", F.lit(False)), pivots, eps, block)
+    marked = checkpointed(points.join(counts.select("id", (F.col("n") >= min_points).alias("core")), "id"))
+    edges = checkpointed(density.core_edges(marked, pivots, eps, block).distinct())
+    links = edges.where("core and id != to").select(F.col("id").alias("a"), F.col("to").alias("b"))
+    labels = spread_labels(marked.where("core").select("id"), links.union(links.select("b", "a")))
+    border = edges.where("not core").join(labels.select(F.col("id").alias("to"), "cluster"), "to").groupBy("id").agg(F.min("cluster").alias("cluster"))
+    return points.select("id").join(labels.union(border), "id", "left").select(F.col("id").alias(key), F.coalesce("cluster", F.lit(NOISE)).alias("cluster"))
 
 
 CLASSIFIERS = {"gbt": lambda: GBTClassifier(seed=SEED, maxIter=20), "forest": lambda: RandomForestClassifier(seed=SEED, numTrees=30), "logistic": lambda: LogisticRegression()}

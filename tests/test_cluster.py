@@ -2,7 +2,10 @@
 
 import random
 
-from flowlens.operators import cluster
+import numpy as np
+import pytest
+
+from flowlens.operators import cluster, density
 from pyspark.sql import functions as F
 
 
@@ -13,6 +16,52 @@ def test_density(spark):
     assert {found[i] for i in range(20)} == {0} and {found[i] for i in range(20, 40)} == {20} and found[99] == cluster.NOISE
 
 
+def slow_density(rows, eps, least):
+    ids, v = [i for i, _ in rows], np.array([x for _, x in rows])
+    near = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2)) <= eps
+    core = near.sum(1) >= least
+    label = {}
+    for i in np.argsort(ids):
+        if core[i] and i not in label:
+            label[i], open_ = ids[i], [i]
+            while open_:
+                for j in np.flatnonzero(near[open_.pop()] & core):
+                    if j not in label:
+                        label[j] = ids[i]
+                        open_.append(j)
+    out = {}
+    for i in range(len(ids)):
+        found = [label[j] for j in np.flatnonzero(near[i] & core)]
+        out[ids[i]] = label[i] if core[i] else min(found, default=cluster.NOISE)
+    return out
+
+
+@pytest.mark.parametrize("block", [2048, 64])
+def test_density_same_as_all_pairs(spark, block):
+    """2,000 points: dense and thin groups, copies, a chain, points exactly eps apart, and a hot cell."""
+    draw = np.random.default_rng(5)
+    groups = [draw.normal(c, s, (n, 6)) for c, s, n in ((0, 0.1, 700), (3, 0.5, 400), (6, 1.0, 300), (-4, 2.0, 200))]
+    chain = np.zeros((150, 6))
+    chain[:, 0] = 20 + 0.5 * np.arange(150)
+    rows = [(int(i), x) for i, x in enumerate(np.concatenate([*groups, chain, np.full((50, 6), 9.0), draw.uniform(-20, 20, (200, 6))]).tolist())]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(4)
+    got = {r["id"]: r["cluster"] for r in cluster.density_clusters(df, "id", 0.5, 3, block=block).collect()}
+    want = slow_density(rows, 0.5, 3)
+    assert got == want and len(set(want.values())) > 4
+    points = df.select("id", F.col("embedding").alias("v"), F.lit(False).alias("core"))
+    counts = {r["id"]: r["n"] for r in density.near_counts(points, density.choose_pivots(points, 16), 0.5, block).collect()}
+    v = np.array([x for _, x in rows])
+    assert [counts[i] for i, _ in rows] == (np.sqrt(((v[:, None] - v[None]) ** 2).sum(2)) <= 0.5).sum(1).tolist()
+
+
+def test_density_edges_are_few(spark):
+    """A thousand equal points give about a thousand edges, not half a million pairs."""
+    df = spark.range(1000).select("id", F.array(F.lit(1.0), F.lit(2.0)).alias("v"), F.lit(True).alias("core"))
+    edges = density.core_edges(df, density.choose_pivots(df), 0.1).distinct()
+    assert edges.count() <= 2000
+    assert cluster.density_clusters(df.withColumnRenamed("v", "embedding"), "id", 0.1).agg(F.min("cluster"), F.max("cluster")).first() == (0, 0)
+
+
 def test_special_labels(spark):
     same = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, ""), (4, None)], "id int, text string")
     assert {r["id"]: r["cluster"] for r in cluster.cluster_texts(same).collect()} == {1: cluster.IDENTICAL, 2: cluster.IDENTICAL, 3: cluster.EMPTY, 4: cluster.EMPTY}
