@@ -34,7 +34,7 @@ DEPTH = 6
 #: Bits of a run of DEPTH context bytes, newest first, and the byte that follows them.
 WIDE = 8 * (DEPTH + 1)
 #: Bytes of text in a block, of text worked on at a time, and of text for each share of the keys.
-BLOCK, SLICE, SHARE = 16 << 20, 1 << 20, 12 << 20
+BLOCK, SLICE, SHARE = 8 << 20, 1 << 20, 12 << 20
 #: The end sign of the byte model.
 END_BYTE = 0
 TEXT, WORDS, RUNS = 0, 1, 2
@@ -63,6 +63,17 @@ def tally(keys: np.ndarray, counted: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return own[first], np.add.reduceat((both & np.uint64(1)).astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
 
 
+def merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their counts; the lists are emptied on the way, as both are large."""
+    keys, n = np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found]).astype(np.int64)
+    found.clear()
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    del order
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
+
+
 def added(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys, the sums of their counts, and where each of the given ones is among them."""
     keys, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
@@ -120,7 +131,7 @@ class Asked:
         self.runs.append(tally(byte_runs(data, offsets)[0], np.repeat(train, np.diff(offsets) + 1)))
 
     def keys(self) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-        return added(self.words)[:2], added(self.runs)[:2]
+        return merged(self.words), merged(self.runs)
 
 
 def log_kt(seen: np.ndarray) -> np.ndarray:
@@ -170,25 +181,26 @@ class Subtree:
     def __init__(self, runs: np.ndarray, counts: np.ndarray):
         """runs: distinct and in order."""
         self.runs, self.cells = runs, [(runs, counts)]
+        self.up: list[np.ndarray] = [np.zeros(0, np.int64)]  # of each cell but those of level 2 the cell above
         for depth in range(DEPTH - 1, 1, -1):  # a cell of a level: its context and the outcome
             below, n = self.cells[0]
             cells, at = np.unique(below >> np.uint64(8 + 8 * (DEPTH - depth)) << np.uint64(8 + 8 * (DEPTH - depth)) | below & np.uint64(255), return_inverse=True)
             self.cells.insert(0, (cells, np.bincount(at, weights=n).astype(np.int64)))
+            self.up.insert(1, at)
 
     def _levels(self, bit: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Of each level: the nodes in order, their counts, the node above of each, and their log weights."""
-        found = []
-        for depth, (cells, n) in enumerate(self.cells, 2):
+        found, number = [], np.zeros(0, np.int64)
+        for depth, ((cells, n), up) in enumerate(zip(self.cells, self.up, strict=True), 2):
             # the context's bytes and behind them the decided bits; cells are in order, and so are nodes
             node = cells >> np.uint64(8 + 8 * (DEPTH - depth)) << np.uint64(bit) | (cells & np.uint64(255)) >> np.uint64(8 - bit)
             one = (cells >> np.uint64(7 - bit) & np.uint64(1)).astype(np.int64)
-            first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+            new = np.concatenate([[True], node[1:] != node[:-1]])
+            first = np.flatnonzero(new)
             seen = np.stack([np.add.reduceat(n * (1 - one), first), np.add.reduceat(n * one, first)], axis=1)
-            node, above = node[first], np.zeros(0, np.int64)
-            if found:
-                low = np.uint64((1 << bit) - 1)
-                above = np.searchsorted(found[-1][0], node >> np.uint64(bit + 8) << np.uint64(bit) | node & low)
-            found.append((node, seen, above))
+            above = number[up[first]] if found else up
+            number = np.cumsum(new) - 1
+            found.append((node[first], seen, above))
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         for depth in range(len(found) - 1, -1, -1):
             node, seen, above = found[depth]
