@@ -57,12 +57,46 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", aliases: d
     return canonicalise(clean, aliases)
 
 
-def csv_profile(df: DataFrame, aliases: dict[str, list[str]] = ALIASES) -> DataFrame:
-    mapped = {c for known in aliases.values() for c in known}
-    names = df.sparkSession.createDataFrame([(c, c in mapped or c in aliases) for c in df.columns], "column string, is_mapped boolean")
+def csv_profile(df: DataFrame, aliases: dict[str, list[str]] = ALIASES, keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """column, is_mapped, maps_to, status (mapped, unmapped, missing), expected, n_rows of a table: its columns, and the key
+    fields that none of its columns is, with the names that would do."""
+    known = {c: name for name, names in aliases.items() for c in (name, *names)}
+    rows = [(c, c.strip() in known, known.get(c.strip()), "mapped" if c.strip() in known else "unmapped", None) for c in df.columns]
+    have = {known.get(c.strip()) for c in df.columns}
+    rows += [(key, False, None, "missing", ",".join(aliases.get(key, [])) or key) for key in keys if key not in have and key not in df.columns]
+    names = df.sparkSession.createDataFrame(rows, "column string, is_mapped boolean, maps_to string, status string, expected string")
     return names.crossJoin(F.broadcast(df.agg(F.count("*").alias("n_rows"))))
 
 
+#: Columns of parquet exports of sales documents, items and customers.
+SALES_DOCUMENT_COLUMNS = {
+    "SALESDOCUMENT": "document_number", "CREATIONDATE": "created_date", "SALESDOCUMENTTYPE": "order_type", "SALESORGANIZATION": "sales_org", "DISTRIBUTIONCHANNEL": "distribution_channel", "ORGANIZATIONDIVISION": "division",
+    "SOLDTOPARTY": "customer", "SALESOFFICE": "sales_office", "SALESGROUP": "sales_group", "CUSTOMERPAYMENTTERMS": "payment_terms", "SHIPPINGCONDITION": "shipping_condition", "HEADERINCOTERMSCLASSIFICATION": "incoterms",
+    "PRICINGDATE": "pricing_date", "REQUESTEDDELIVERYDATE": "requested_delivery_date",
+}
+SALES_ITEM_COLUMNS = {
+    "SALESDOCUMENT": "document_number", "SALESDOCUMENTITEM": "item_number", "MATERIAL": "material_id", "PLANT": "plant", "SHIPPINGPOINT": "shipping_point", "REQUESTEDQUANTITY": "quantity", "NETAMOUNT": "net_value",
+    "ITEMINCOTERMSCLASSIFICATION": "item_incoterms",
+}
+CUSTOMER_COLUMNS = {"CUSTOMER": "customer_id", "CUSTOMERNAME": "name", "CUSTOMERACCOUNTGROUP": "account_group", "COUNTRY": "country", "REGION": "region", "CITYNAME": "city", "POSTALCODE": "postal_code"}
+
+
+def rename_columns(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns that have a name of ours, under it; columns are met in any case."""
+    return df.select(*(F.col(f"`{c}`").alias(names[c.upper()]) for c in df.columns if c.upper() in names))
+
+
+def sales_documents(headers: DataFrame, items: DataFrame, customers: DataFrame | None = None) -> DataFrame:
+    """Orders of a parquet export with their items as a sorted array and, if given, the customer as a struct."""
+    head, line = rename_columns(headers, SALES_DOCUMENT_COLUMNS), rename_columns(items, SALES_ITEM_COLUMNS)
+    own = [c for c in line.columns if c != "document_number"]
+    found = head.join(line.groupBy("document_number").agg(F.array_sort(F.collect_list(F.struct(*own))).alias("items")), "document_number", "left")
+    if customers is None:
+        return found
+    known = rename_columns(customers, CUSTOMER_COLUMNS)
+    return found.join(known.select(F.col("customer_id").alias("customer"), F.struct(*known.columns).alias("customer_master")), "customer", "left")
+
+
 def detect_fi_table(columns: list[str]) -> str | None:
     have = {c.upper() for c in columns}
     return next((table for table, needed in FI_TABLES.items() if needed <= have), None)
