@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cluster import checkpointed
+from .shared import checkpointed
 
 
 def day_difference(start: Column, end: Column) -> Column:

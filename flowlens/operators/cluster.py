@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import density
+from .shared import checkpointed
 
 SEED = 42
 #: Labels of texts that take no part: noise, empty, all the same.
@@ -99,17 +100,6 @@ def embedding_clusters(vectors: DataFrame, k: int, embedding: str = "embedding")
     return KMeans(k=k, seed=SEED, featuresCol="vector", predictionCol="cluster").fit(made).transform(made).drop("_v", "vector")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the folder that the cluster names, or a local one where none is named."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
-        if not named and not (context.getConf().get("spark.master") or "").startswith("local"):
-            raise ValueError("spark.checkpoint.dir names no shared folder")
-        context.setCheckpointDir(named or "/tmp/checkpoints")
-    return df.checkpoint()
-
-
 #: Points that the distance of density clusters is taken from, where none is given.
 SAMPLE = 1000
 

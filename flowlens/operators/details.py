@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import format_duration, normalize_activity
 from .chain import delivery_invoices, order_deliveries, timing_metrics
-from .cluster import checkpointed
+from .shared import checkpointed
 from .ledger import KEY, account_texts, origin_document
 
 

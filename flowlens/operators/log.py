@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .quantiles import percentiles, sketched, with_percentiles
+from .quantiles import moments, percentiles, percentiles_of, sketched, value_counts, with_percentiles
 
 
 def in_case() -> WindowSpec:
@@ -89,7 +89,7 @@ def case_duration_summary(log: DataFrame, accuracy: int | None = None) -> DataFr
         named["median_hours"] = sketched(h, 0.5, accuracy)
     whole = cases.agg(F.count("*").alias("n_cases"), *(c.alias(n) for n, c in named.items() if c is not None), F.round(F.avg("n_events"), 4).alias("avg_events"))
     if accuracy is None:
-        whole = with_percentiles(whole, cases, [], "duration_hours", {"median_hours": 0.5})
+        whole = with_percentiles(whole, value_counts(cases, [], "duration_hours"), [], {"median_hours": 0.5})
     return whole.select("n_cases", *(F.round(n, 3).alias(n) if n not in ("min_hours", "max_hours") else n for n in named), "avg_events")
 
 
@@ -104,24 +104,36 @@ def transition_filter(edges: DataFrame, min_share: float = 0.0, main_path: bool
     return edges.where(F.col("is_main_path")) if main_path else edges.where(F.col("share") >= min_share)
 
 
-def transition_metrics(log: DataFrame, accuracy: int | None = None) -> DataFrame:
-    """Times of each edge; percentiles are exact, or with `accuracy` from sketches."""
-    h, edge = F.col("hours"), ["from_activity", "to_activity"]
-    kept = steps(log).where("to_activity is not null and hours >= 0").withColumnRenamed("activity", "from_activity")
-    shares = {"p50_hours": 0.5, "p85_hours": 0.85, "p95_hours": 0.95}
-    rough = [sketched(h, share, accuracy).alias(name) for name, share in shares.items()] if accuracy is not None else []
-    grouped = kept.groupBy(*edge).agg(F.count("*").alias("n"), F.avg(h).alias("mean_hours"), F.coalesce(F.stddev_samp(h), F.lit(0.0)).alias("std_hours"), F.min(h).alias("min_hours"), F.max(h).alias("max_hours"), *rough)
-    named = grouped if rough else with_percentiles(grouped, kept, edge, "hours", shares)
+EDGE = ["from_activity", "to_activity"]
+
+
+def timed_edges(log: DataFrame) -> DataFrame:
+    return steps(log).where("to_activity is not null and hours >= 0").withColumnRenamed("activity", "from_activity")
+
+
+def transition_metrics(log: DataFrame, accuracy: int | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """Times of each edge; percentiles are exact, or with `accuracy` from sketches. counts: of timed_edges(), if known."""
+    h, shares = F.col("hours"), {"p50_hours": 0.5, "p85_hours": 0.85, "p95_hours": 0.95}
+    if accuracy is None:
+        counts = value_counts(timed_edges(log), EDGE, "hours") if counts is None else counts
+        grouped = moments(counts, EDGE).select(*EDGE, "n", *(F.col(c).alias(f"{c}_hours") for c in ("mean", "std", "min", "max")))
+        named = with_percentiles(grouped, counts, EDGE, shares)
+    else:
+        rough = [sketched(h, share, accuracy).alias(name) for name, share in shares.items()]
+        named = timed_edges(log).groupBy(*EDGE).agg(F.count("*").alias("n"), F.avg(h).alias("mean_hours"), F.coalesce(F.stddev_samp(h), F.lit(0.0)).alias("std_hours"), F.min(h).alias("min_hours"), F.max(h).alias("max_hours"), *rough)
     return named.select(*(F.round(c, 4).alias(c) if c.endswith("_hours") else c for c in named.columns))
 
 
 def bottlenecks(log: DataFrame, medium: float = 0.5, slow: float = 0.85, use_global: bool = True, min_samples: int = 3, accuracy: int | None = None) -> DataFrame:
     """transition_metrics with a level by mean against the percentiles of all durations, or of the edge's own."""
-    edges = transition_metrics(log, accuracy)
+    counts = value_counts(timed_edges(log), EDGE, "hours") if accuracy is None else None
+    edges = transition_metrics(log, accuracy, counts)
     if use_global:
-        kept = steps(log).where("to_activity is not null and hours >= 0")
-        cuts = percentiles(kept, [], "hours", [medium, slow], "_p") if accuracy is None else kept.agg(sketched(F.col("hours"), [medium, slow], accuracy).alias("_p"))
-        wide = edges.crossJoin(F.broadcast(cuts.select(F.round(F.get("_p", F.lit(0)), 4).alias("_medium"), F.round(F.get("_p", F.lit(1)), 4).alias("_slow"))))
+        if counts is not None:
+            cuts = percentiles_of(counts.groupBy("_g", "_v").agg(F.sum("_n").alias("_n")), [], [medium, slow], "_p")
+        else:
+            cuts = timed_edges(log).agg(sketched(F.col("hours"), [medium, slow], accuracy).alias("_p"))
+        wide = edges.join(F.broadcast(cuts.select(F.round(F.get("_p", F.lit(0)), 4).alias("_medium"), F.round(F.get("_p", F.lit(1)), 4).alias("_slow"))), how="left")
     else:
         wide = edges.withColumn("_medium", F.col("p50_hours")).withColumn("_slow", F.col("p85_hours"))
     mean = F.col("mean_hours")

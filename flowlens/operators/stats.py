@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .quantiles import sketched, with_percentiles
+from .quantiles import moments, sketched, value_counts, with_percentiles
 
 METRICS = ["order_to_delivery_days", "delivery_delay_days", "invoice_lag_days", "order_to_invoice_days"]
 RATES = ["delay_probability", "partial_delivery_rate", "return_rate"]
@@ -99,7 +99,8 @@ def outcome_baseline(docs: DataFrame, least: int = 5, accuracy: int | None = Non
     """Numbers of each metric; the median is exact, or with `accuracy` from a sketch."""
     rows = long_metrics(docs)
     if accuracy is None:
-        found = with_percentiles(_moments(rows), rows, ["metric"], "value", {"median": 0.5})
+        counts = value_counts(rows, ["metric"], "value")
+        found = with_percentiles(moments(counts, ["metric"]), counts, ["metric"], {"median": 0.5})
     else:
         found = _moments(rows).join(rows.groupBy("metric").agg(sketched(F.col("value"), 0.5, accuracy).alias("median")), "metric")
     found = found.where(F.col("n") >= least)
