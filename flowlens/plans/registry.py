@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.fixtures import Tables, with_views
 
-MODULES = ("log_queries", "chain_queries", "ledger_queries", "conformance_queries", "feature_queries", "analysis_queries", "document_queries", "source_queries", "detail_queries")
+MODULES = ("log_queries", "chain_queries", "ledger_queries", "conformance_queries", "feature_queries", "analysis_queries", "document_queries", "source_queries", "detail_queries", "planted_queries")
 
 
 def _all() -> tuple[dict, dict]:
