@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import parse_sap_amount, parse_sap_date
@@ -50,10 +50,14 @@ def delimiter(spark: SparkSession, path: str) -> str:
     return max([",", ";", "\t", "|"], key=lambda d: first[0].count(d) if first else 0)
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", aliases: dict[str, list[str]] = ALIASES) -> DataFrame:
-    """A CSV export with all columns as text, null words as null, and canonical columns."""
+#: Where a row of a file stands: places within a split grow with it, and splits with their start in the file.
+PLACE = {"_file": "_metadata.file_path", "_start": "_metadata.file_block_start", "_at": "monotonically_increasing_id()"}
+
+
+def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", aliases: dict[str, list[str]] = ALIASES, placed: bool = False) -> DataFrame:
+    """A CSV export with all columns as text, null words as null, and canonical columns; on wish with each row's place."""
     raw = spark.read.option("header", True).option("sep", delimiter(spark, path)).option("encoding", encoding).csv(path)
-    clean = raw.select(*(F.when(~F.lower(F.trim(F.col(f"`{c}`"))).isin("", "null", "none", "nan", "n/a"), F.trim(F.col(f"`{c}`"))).alias(c.strip()) for c in raw.columns))
+    clean = raw.select(*(F.when(~F.lower(F.trim(F.col(f"`{c}`"))).isin("", "null", "none", "nan", "n/a"), F.trim(F.col(f"`{c}`"))).alias(c.strip()) for c in raw.columns), *(F.expr(c).alias(n) for n, c in PLACE.items() if placed))
     return canonicalise(clean, aliases)
 
 
@@ -114,17 +118,37 @@ def read_fi_lines(lines: DataFrame, header: list[str] | None = None) -> DataFram
     return data.select(*(typed(c, i).alias(c) for i, c in enumerate(header)))
 
 
+def placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value, and where a line stands: file, start of the split that it is read in, and place there. A large file is many
+    splits, each cut at a line."""
+    return spark.read.text(path).select("value", *(F.expr(c).alias(n) for n, c in PLACE.items()))
+
+
+def carried(lines: DataFrame, mark: Column, to: str) -> DataFrame:
+    """lines (of placed_lines) with the last mark at or before each; marks are null between. A split takes over the last
+    one of the splits before it in its file, which is a row a split."""
+    marked = lines.withColumn("_mark", mark)
+    split = ["_file", "_start"]
+    own = marked.withColumn("_own", F.last("_mark", ignorenulls=True).over(Window.partitionBy(*split).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)))
+    last = marked.groupBy(*split).agg(F.max_by(F.col("_mark"), F.when(F.col("_mark").isNotNull(), F.col("_at"))).alias("_end"))
+    before = last.withColumn("_before", F.last("_end", ignorenulls=True).over(Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1))).drop("_end")
+    return own.join(before, split).withColumn(to, F.coalesce("_own", "_before")).drop("_mark", "_own", "_before")
+
+
 def read_fi_combined(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Tables of a file whose sections are parted by empty lines, by name of the table that each header shows.
-    Headers are few and read by the driver; rows stay distributed."""
-    sections = spark.read.option("wholetext", True).text(path).select(F.explode(F.split("value", r"\n\s*\n")).alias("section"))
-    found = {}
-    heads = sections.select(F.regexp_extract("section", r"(?m)^([|\s]*[A-Z][A-Z0-9_|\" ]+)$", 1).alias("h")).distinct().collect()
-    for (head,) in heads:
-        names = [c.strip().strip('"') for c in head.strip().strip("|").split("|")]
-        if table := detect_fi_table(names):
-            lines = sections.where(F.col("section").contains(head)).select(F.explode(F.split("section", "\n")).alias("value"))
-            found[table] = read_fi_lines(lines, names)
+    """Tables of a file whose sections are parted by empty lines, by name of the table that each header shows. Headers are
+    few and read by the driver; a section may lie in many splits, whose lines find their header before them."""
+    names = F.transform(F.split(F.regexp_replace(F.trim("value"), r"^\|+|\|+$", ""), r"\|"), lambda c: F.upper(F.trim(F.regexp_replace(c, '"', ""))))
+    known = reduce(lambda out, x: out.when(F.size(F.array_intersect(names, F.array(*map(F.lit, sorted(x[1]))))) == len(x[1]), x[0]), FI_TABLES.items(), F.when(F.lit(False), ""))
+    # an empty line ends a section, so that rows under a header of no known table belong to none
+    mark = F.when(F.trim("value") == "", F.struct(F.lit("").alias("table"), F.lit("").alias("head"))).when(known.isNotNull(), F.struct(known.alias("table"), F.col("value").alias("head")))
+    rows = carried(placed_lines(spark, path), mark, "_section").where("_section.table != '' and value != _section.head")
+    heads = rows.select("_section.table", "_section.head").distinct().orderBy("table", "head").collect()
+    found: dict[str, DataFrame] = {}
+    for table, head in heads:
+        header = [c.strip().strip('"') for c in head.strip().strip("|").split("|")]
+        part = read_fi_lines(rows.where((F.col("_section.table") == table) & (F.col("_section.head") == head)).select("value"), header)
+        found[table] = found[table].unionByName(part, allowMissingColumns=True) if table in found else part
     return found
 
 
@@ -145,10 +169,19 @@ def read_event_log_csv(spark: SparkSession, path: str, encoding: str = "ISO-8859
     return log.select("case_id", "activity", ts.alias("ts"), "resource" if "resource" in log.columns else F.lit(None).cast("string").alias("resource"), F.row_number().over(within).cast("long").alias("event_id"), *flags)
 
 
-def read_trace_json(spark: SparkSession, path: str) -> DataFrame:
-    """Nested traces to a flat log."""
-    traces = spark.read.option("multiLine", True).json(path).select(F.explode("traces").alias("t"))
-    flat = traces.select(F.col("t.case_id").cast("string").alias("case_id"), F.posexplode("t.events").alias("event_id", "e"))
+#: A trace of an export: its events are maps with an activity and a time.
+TRACE = "case_id string, events array<struct<activity: string, timestamp: string>>"
+
+
+def read_trace_json(spark: SparkSession, path: str, case_first: bool = True) -> DataFrame:
+    """Nested traces to a flat log. Where the case is the first field of a trace, as exports write it, the file is cut at
+    these fields and read in many splits; else (case_first=False) a file is read whole."""
+    if case_first:
+        cut = spark.read.option("lineSep", '"case_id"').text(path).where("ltrim(value) like ':%'")
+        traces = cut.select(F.from_json(F.concat(F.lit('{"case_id"'), "value"), TRACE).alias("t")).where("t is not null")
+    else:
+        traces = spark.read.option("multiLine", True).schema("traces array<struct<case_id: string, events: array<struct<activity: string, timestamp: string>>>>").json(path).select(F.explode("traces").alias("t"))
+    flat = traces.select("t.case_id", F.posexplode("t.events").alias("event_id", "e"))
     return flat.select("case_id", F.col("event_id").cast("long"), F.col("e.activity").alias("activity"), F.try_to_timestamp("e.timestamp").alias("ts"))
 
 

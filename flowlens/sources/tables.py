@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.values import pad_document, parse_sap_date, parse_sap_time
-from .readers import read_csv
+from .readers import PLACE, read_csv
 
 #: Accepted names of the files of each set of records and of each exported table, in order of preference.
 ENTITY_FILES = {
@@ -82,10 +82,10 @@ def encoding_of(spark: SparkSession, path: str) -> str:
     return "UTF-8" if broken.isEmpty() else "ISO-8859-1"
 
 
-def read_sd_table(spark: SparkSession, path: str) -> DataFrame:
+def read_sd_table(spark: SparkSession, path: str, placed: bool = False) -> DataFrame:
     """An exported table with canonical columns: keys as text, amounts as numbers, dates as dates."""
-    table = read_csv(spark, path, encoding_of(spark, path), SD_ALIASES)
-    kept = [c for c in SD_ALIASES if c in table.columns]
+    table = read_csv(spark, path, encoding_of(spark, path), SD_ALIASES, placed)
+    kept = [c for c in (*SD_ALIASES, *(PLACE if placed else ())) if c in table.columns]
     typed = {c: number(F.col(c)) for c in SD_NUMBERS if c in kept}
     if "erdat" in kept:
         typed["erdat"] = F.try_to_timestamp(parse_sap_date(F.col("erdat")), F.lit("yyyyMMdd")).cast("date")
@@ -94,16 +94,16 @@ def read_sd_table(spark: SparkSession, path: str) -> DataFrame:
 
 def read_sd_csv(spark: SparkSession, folder: str) -> DataFrame:
     """One row an order: header columns, items, flow edges and the joined text of a folder of exports. Texts belong to the
-    order whose number their name starts with."""
+    order whose number their name starts with, their lines in the order of the file."""
     paths = find_table_files(spark, folder)
-    tables = {kind: read_sd_table(spark, path) for kind, path in paths.items()}
+    tables = {kind: read_sd_table(spark, path, placed=kind == "TEXT") for kind, path in paths.items()}
     nothing = spark.createDataFrame([], "vbeln string")
     items = tables["VBAP"].where("vbeln is not null")
     lines = items.groupBy("vbeln").agg(F.array_sort(F.collect_list(F.struct(*(c for c in ("posnr", "matnr", "kwmeng", "netwr", "werks") if c in items.columns)))).alias("items"))
     texts, flow = nothing.withColumn("text", F.lit("")), nothing.withColumn("flow", F.array().cast("array<string>"))
     if "TEXT" in tables:
         named = tables["TEXT"].withColumn("vbeln", F.substring(pad_document(F.col("tdname"), 10), 1, 10)) if "tdname" in tables["TEXT"].columns else tables["TEXT"]
-        texts = named.where("tdline is not null").groupBy("vbeln").agg(F.array_join(F.collect_list("tdline"), " ").alias("text"))
+        texts = named.where("tdline is not null").groupBy("vbeln").agg(F.array_join(F.array_sort(F.collect_list(F.struct("_file", "_start", "_at", "tdline")))["tdline"], " ").alias("text"))
     if "VBFA" in tables:
         flow = tables["VBFA"].where("vbelv is not null").groupBy(F.col("vbelv").alias("vbeln")).agg(F.array_sort(F.collect_set(F.concat_ws(":", "vbtyp_n", "vbeln"))).alias("flow"))
     orders = tables["VBAK"].where("vbeln is not null").join(lines, "vbeln", "left").join(texts, "vbeln", "left").join(flow, "vbeln", "left")

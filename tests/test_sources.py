@@ -1,5 +1,6 @@
 """Readers of exports and mapped rows, on small files."""
 
+import contextlib
 import json
 
 import pytest
@@ -37,6 +38,54 @@ def test_event_log_order_is_that_of_the_file(spark, tmp_path):
     assert [int(r["activity"]) for r in log.orderBy("event_id").collect()] == list(range(50))
 
 
+def test_text_lines_stay_in_order(spark, tmp_path):
+    (tmp_path / "VBAK.csv").write_text("vbeln,netwr\n0000000001,5\n")
+    (tmp_path / "VBAP.csv").write_text("vbeln,posnr\n0000000001,000010\n")
+    (tmp_path / "texts.csv").write_text("tdname,tdline\n" + "".join(f"0000000001,line {i} of a text\n" for i in range(400)))
+    with small_splits(spark, 1000):
+        text = tables.read_sd_csv(spark, str(tmp_path)).first()["text"]
+    assert text == " ".join(f"line {i} of a text" for i in range(400))
+
+
+@contextlib.contextmanager
+def small_splits(spark, size):
+    """Files are cut into splits of this many bytes."""
+    names = {"spark.sql.files.maxPartitionBytes": size, "spark.sql.files.openCostInBytes": 0, "spark.sql.files.minPartitionNum": 1}
+    for name, value in names.items():
+        spark.conf.set(name, str(value))
+    yield
+    for name in names:
+        spark.conf.unset(name)
+
+
+def test_combined_ledger_in_splits(spark, tmp_path):
+    """Sections that are longer than a split, rows without a table, and one table with two headers."""
+    head, line, other = "|BUKRS|BELNR|GJAHR|BUDAT|", "|BUKRS|BELNR|GJAHR|BUZEI|WRBTR|", "|NOTHING|KNOWN|"
+    rule = "|-----|-----|----|---|"
+    first = [head, rule, *(f"|0001|{i}|2024|31.01.2024|" for i in range(300)), rule, ""]
+    second = [line, rule, *(f"|0001|{i % 300}|2024|{i:03d}|{i},50-|" for i in range(700)), ""]
+    third = [other, *(f"|a|{i}|" for i in range(50)), "   ", "|BELNR|BUKRS|GJAHR|BUZEI|WRBTR|HKONT|", *(f"|{i}|0002|2025|001|1.00|4000|" for i in range(40))]
+    (tmp_path / "all.txt").write_text("\n".join([*first, *second, *third]) + "\n")
+    whole = {k: sorted(map(tuple, df.select(sorted(df.columns)).collect()), key=repr) for k, df in readers.read_fi_combined(spark, str(tmp_path / "all.txt")).items()}
+    with small_splits(spark, 700):
+        lines = readers.placed_lines(spark, str(tmp_path / "all.txt"))
+        assert lines.rdd.getNumPartitions() > 20
+        cut = {k: sorted(map(tuple, df.select(sorted(df.columns)).collect()), key=repr) for k, df in readers.read_fi_combined(spark, str(tmp_path / "all.txt")).items()}
+    assert whole == cut and {k: len(v) for k, v in cut.items()} == {"BKPF": 300, "BSEG": 740}
+
+
+def test_traces_in_splits(spark, tmp_path):
+    traces = [{"case_id": i, "attributes": {"note": 'the "case_id" : [x]', "n": "{"}, "events": [{"activity": f"a{k}", "timestamp": f"2024-01-01T00:00:{k:02d}", "who": "}"} for k in range(i % 5)]} for i in range(200)]
+    for name, indent in (("flat", None), ("wide", 2)):
+        (tmp_path / f"{name}.json").write_text(json.dumps({"metadata": {"source": "x"}, "stats": {"n": 200}, "traces": traces}, indent=indent))
+        with small_splits(spark, 2000):
+            cut = readers.read_trace_json(spark, str(tmp_path / f"{name}.json"))
+            assert cut.rdd.getNumPartitions() > 5
+            got = sorted(map(tuple, cut.collect()))
+        assert got == sorted(map(tuple, readers.read_trace_json(spark, str(tmp_path / f"{name}.json"), case_first=False).collect()))
+        assert len(got) == sum(i % 5 for i in range(200)) and got[0][0] == "1" and got[0][2] == "a0"
+
+
 def test_texts_of_nested_documents(spark):
     df = spark.sql("""SELECT ' note ' AS notes, array(named_struct('text_content', '', 'text', 'head'), named_struct('text_content', 'body', 'text', cast(null as string))) AS texts,
         array(named_struct('item_text', 'one', 'description', ' two ', 'n', 1), named_struct('item_text', cast(null as string), 'description', '', 'n', 2)) AS items, cast(null as string) AS internal_notes""")
