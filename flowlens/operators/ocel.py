@@ -8,7 +8,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -158,6 +158,63 @@ def write_ocel_json(object_table: DataFrame, event_table: DataFrame, relations:
     event_table.select(F.col("event_id").alias("id"), F.col("event_type").alias("type"), F.col("ts").alias("time")).join(e2o, "id", "left").write.mode("overwrite").json(f"{path}/events")
 
 
+_LINKS = "array<struct<objectId: string, qualifier: string>>"
+OBJECT_JSON = f"id string, type string, attributes map<string, string>, relationships {_LINKS}"
+EVENT_JSON = f"id string, type string, time string, attributes map<string, string>, relationships {_LINKS}"
+TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
+
+def type_definitions(table: DataFrame, kind: str) -> DataFrame:
+    """name and attributes (name, type) of the types of objects or events, from the attributes that occur."""
+    names = table.select(F.col(kind).alias("name"), F.explode_outer(F.map_keys("attributes")).alias("_a")).distinct()
+    return names.groupBy("name").agg(F.array_sort(F.collect_list(F.when(F.col("_a").isNotNull(), F.struct(F.col("_a").alias("name"), F.lit("string").alias("type"))))).alias("attributes"))
+
+
+def document_lines(log: Log) -> DataFrame:
+    """section, id, line: one JSON document with type definitions, objects and events, each with attributes and
+    relations. In the order of section and id the lines are the document. A type is a row, and so is an object with all
+    its relations, as the format has it."""
+    none = F.array().cast(_LINKS)
+    linked = lambda df, key, other: df.groupBy(F.col(key).alias("id")).agg(F.array_sort(F.collect_set(F.struct(F.col(other).alias("objectId"), "qualifier"))).alias("relationships"))
+    objects = log.objects.dropDuplicates(["object_id"]).select(F.col("object_id").alias("id"), F.col("object_type").alias("type"), "attributes").join(linked(log.object_relations, "source", "target"), "id", "left")
+    events = log.events.dropDuplicates(["event_id"]).select(F.col("event_id").alias("id"), F.col("event_type").alias("type"), F.date_format("ts", TIME).alias("time"), "attributes").join(linked(log.event_objects, "event_id", "object_id"), "id", "left")
+
+    def lines(df: DataFrame, section: int) -> DataFrame:
+        columns = [F.coalesce("relationships", none).alias(c) if c == "relationships" else F.col(c) for c in df.columns]
+        least = df.agg(F.min("id").alias("_least"))
+        body = df.select("id", F.to_json(F.struct(*columns)).alias("_j")).crossJoin(F.broadcast(least))
+        return body.select(F.lit(section).alias("section"), "id", F.when(F.col("id") == F.col("_least"), F.col("_j")).otherwise(F.concat(F.lit(","), "_j")).alias("line"))
+
+    # the types are as few as kinds of objects and events
+    types = [type_definitions(table, kind).agg(F.to_json(F.array_sort(F.collect_list(F.struct("name", "attributes")))).alias(f"_{k}")) for k, (table, kind) in enumerate(((log.objects, "object_type"), (log.events, "event_type")))]
+    head = types[0].crossJoin(types[1]).select(F.lit(0).alias("section"), F.lit("").alias("id"), F.concat(F.lit('{"objectTypes":'), "_0", F.lit(',"eventTypes":'), "_1", F.lit(',"objects":[')).alias("line"))
+    between = log.objects.sparkSession.createDataFrame([(2, "", '],"events":['), (4, "", "]}")], "section int, id string, line string")
+    return reduce(DataFrame.unionByName, [head, lines(objects, 1), between, lines(events, 3)])
+
+
+def write_ocel_document(log: Log, path: str) -> None:
+    """The document as text files that, one after another by name, are one JSON document; a small one is a single file."""
+    ordered = document_lines(log).repartitionByRange("section", "id").sortWithinPartitions("section", "id")
+    ordered.select("line").write.mode("overwrite").text(path)
+
+
+def parsed_lines(lines: DataFrame) -> Log:
+    """The log of a document's lines (column line)."""
+    bare = lines.select(F.regexp_replace("line", r"^,", "").alias("j")).where("j like '{\"id\":%'")
+    split = bare.withColumn("_o", F.get_json_object("j", "$.time").isNull())
+    objects = split.where("_o").select(F.from_json("j", OBJECT_JSON).alias("x")).select("x.*")
+    events = split.where("not _o").select(F.from_json("j", EVENT_JSON).alias("x")).select("x.*")
+    link = lambda df, a, b: df.select(F.col("id").alias(a), F.explode("relationships").alias("r")).select(a, F.col("r.objectId").alias(b), "r.qualifier")
+    return Log(
+        objects.select(F.col("id").alias("object_id"), F.col("type").alias("object_type"), "attributes"), events.select(F.col("id").alias("event_id"), F.col("type").alias("event_type"), F.to_timestamp("time", TIME).alias("ts"), "attributes"),
+        link(events, "event_id", "object_id"), link(objects, "source", "target"),
+    )
+
+
+def read_ocel_document(spark: SparkSession, path: str) -> Log:
+    return parsed_lines(spark.read.text(path).withColumnRenamed("value", "line"))
+
+
 def process_map_lines(edges: DataFrame, form: str = "mermaid") -> DataFrame:
     """position, line of a diagram of aggregated edges (from_activity, to_activity, n), most frequent first."""
     ident = lambda c: F.regexp_replace(c, r"\W", "_")

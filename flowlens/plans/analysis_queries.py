@@ -145,6 +145,12 @@ def _log(t):
     return made._replace(objects=_plain(made.objects), events=_plain(made.events))
 
 
+def _document(t):
+    """What a document of the log gives back."""
+    made = ocel.parsed_lines(ocel.document_lines(ocel.ocel_from_log(t.purchase_log(), "2024-01-03")).select("line"))
+    return made._replace(objects=_plain(made.objects), events=_plain(made.events))
+
+
 def _flow(t):
     made = ocel.ocel_from_flow(t.orders(), t.items(), t.deliveries(), t.delivery_items(), t.invoices(), "1995-01-01", "1998-12-31")
     return made._replace(objects=_plain(made.objects), events=_plain(made.events))
@@ -238,6 +244,7 @@ QUERIES = {
         UNION SELECT event_id, vbeln, 'order' FROM oc_events JOIN fx_invoices i ON object_id = invoice JOIN fx_deliveries d ON i.delivery = d.delivery"""),
     "ocel_stats": (lambda t: ocel.ocel_stats(_objects(t), _events(t)), "SELECT object_type AS name, count(*) AS n, 'object' AS kind FROM oc_objects GROUP BY 1 UNION ALL SELECT event_type, count(*), 'event' FROM oc_events GROUP BY 1"),
     "objects_from_log": (lambda t: ocel.objects_from_log(t.event_log()), "SELECT case_id AS object_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n_events, 'case' AS object_type FROM fx_event_log GROUP BY 1 UNION ALL SELECT resource, min(ts), max(ts), count(*), 'resource' FROM fx_event_log GROUP BY 1"),
+    **{f"ocel_document_{part}": (lambda t, part=part: getattr(_document(t), part), sql) for part, sql in _LOG_SQL.items()},
     **{f"ocel_log_{part}": (lambda t, part=part: getattr(_log(t), part), sql) for part, sql in _LOG_SQL.items()},
     **{f"ocel_flow_{part}": (lambda t, part=part: getattr(_flow(t), part), sql) for part, sql in _FLOW_SQL.items()},
     "ocel_flow_objects": (lambda t: _flow(t).objects.drop("attributes"), """SELECT 'order:' || vbeln AS object_id, 'order' AS object_type FROM of_head UNION ALL SELECT dl, 'delivery' FROM of_ship UNION ALL SELECT iv, 'invoice' FROM of_bill UNION ALL SELECT it, 'order_item' FROM of_line UNION ALL SELECT di, 'delivery_item' FROM of_sent"""),

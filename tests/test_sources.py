@@ -118,3 +118,23 @@ def test_ocel_files(spark, tmp_path):
     assert set(objects) == {"po_c", "vendor_v", "gr_c_0", "gr_c_2", "inv_c_1", "inv_c_3"}
     assert sorted((r["objectId"], r["qualifier"]) for r in objects["inv_c_3"]["relationships"]) == [("gr_c_2", "goods_receipt"), ("po_c", "predecessor")]
     assert spark.read.json(f"{tmp_path}/events").count() == 4 and {r["name"] for r in spark.read.json(f"{tmp_path}/event_types").collect()} == {"Record Goods Receipt", "Record Invoice Receipt"}
+
+
+def test_ocel_document(spark, tmp_path):
+    """One valid document, however many files it is; read back it is the log, attributes included."""
+    log = spark.sql("SELECT concat('c', id % 3) AS case_id, id AS event_id, element_at(array('Record Goods \"Receipt\"', 'Record Invoice Receipt'), cast(id % 2 + 1 as int)) AS activity, timestamp_millis(id * 1001) AS ts, 'r' AS resource, if(id % 3 = 0, null, 'v,1') AS vendor FROM range(40)")
+    made = ocel.ocel_from_log(log)
+    ocel.write_ocel_document(made, str(tmp_path / "doc"))
+    files = sorted((tmp_path / "doc").glob("part-*"))
+    document = json.loads("".join(f.read_text() for f in files))
+    assert set(document) == {"objectTypes", "eventTypes", "objects", "events"} and len(document["events"]) == 40
+    assert {t["name"]: [a["name"] for a in t["attributes"]] for t in document["objectTypes"]}["purchase_order"] == ["document_number", "vendor_id"]
+    first = next(o for o in document["objects"] if o["id"] == "po_c1")
+    assert first["attributes"] == {"document_number": "c1", "vendor_id": "v,1"} and first["relationships"] == [{"objectId": "vendor_v,1", "qualifier": "vendor"}]
+    again = ocel.read_ocel_document(spark, str(tmp_path / "doc"))
+    for before, after in zip(made, again, strict=True):
+        pick = lambda df: sorted(repr([tuple(sorted(v.items())) if isinstance(v, dict) else v for v in r]) for r in df.select(sorted(df.columns)).distinct().collect()) if "attributes" not in df.columns else sorted(repr([tuple(sorted(v.items())) if isinstance(v, dict) else v for v in r]) for r in df.select(sorted(df.columns)).collect())
+        assert pick(before) == pick(after)
+    empty = ocel.Log(*(df.limit(0) for df in made))
+    ocel.write_ocel_document(empty, str(tmp_path / "none"))
+    assert json.loads("".join(f.read_text() for f in sorted((tmp_path / "none").glob("part-*")))) == {"objectTypes": [], "eventTypes": [], "objects": [], "events": []}
