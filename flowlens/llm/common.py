@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -142,6 +144,14 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, reach: i
     return mix(out)
 
 
+def give_back() -> None:
+    """Return what is free in this worker to the system; a worker goes on to other groups, and would else keep the
+    memory of its largest one."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def in_blocks(df: DataFrame, text: str = "text", size: int = 8 << 20) -> DataFrame:
     """df with `_block`: rows dealt by a hash of id and text to blocks of about `size` bytes of text. A block
     is what a task holds at once; their number grows with the input."""

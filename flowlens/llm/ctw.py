@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, lower_ascii, materialise, mix, slices, span_hashes, string_buffers, whole_text, word_spans
+from .common import fold, give_back, lower_ascii, materialise, mix, slices, span_hashes, string_buffers, whole_text, word_spans
 
 DEPTH = 6
 #: Bits of a run of DEPTH context bytes, newest first, and the byte that follows them.
@@ -292,6 +292,7 @@ def train_and_score(docs: DataFrame, parts: int = 7, held: int = 2) -> DataFrame
                 if held_bytes >= BLOCK:
                     yield flush()
                     block, kept, asked, held_bytes = block + 1, [], Asked(), 0
+                    give_back()
         if kept:
             yield flush()
 
@@ -342,6 +343,7 @@ def train_and_score(docs: DataFrame, parts: int = 7, held: int = 2) -> DataFrame
     above = spark.sparkContext.broadcast(upper(*tables))
 
     def model(rows: pa.Table) -> pa.Table:
+        give_back()
         tree, _ = subtree(rows)
         scores = tree.chances(above.value[:, int(tree.runs[0] >> np.uint64(WIDE - 8))]).astype(np.float32)
         scores = (scores.view(np.uint32) + np.uint32(128) & np.uint32(0xFFFFFF00)).view(np.float32)  # see the docstring
@@ -351,6 +353,7 @@ def train_and_score(docs: DataFrame, parts: int = 7, held: int = 2) -> DataFrame
     modelled = totals.groupBy("newest").applyInArrow(model, "part long, keys binary, scores binary")
 
     def answer(known: pa.Table, asked: pa.Table) -> pa.Table:
+        give_back()
         found = [unpack(k, s, np.float32) for k, s in zip(known.column("keys").to_pylist(), known.column("scores").to_pylist(), strict=True)]
         keys, scores = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.float32))
         order = np.argsort(keys)
@@ -364,6 +367,7 @@ def train_and_score(docs: DataFrame, parts: int = 7, held: int = 2) -> DataFrame
     scale = float(np.log10(tokens + distinct + 1))
 
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        give_back()
         kept = [b for b in pa.ipc.open_stream(zstandard.decompress(texts.column("keys")[0].as_py()))]
         asked = Asked()
         for part in kept:
