@@ -156,9 +156,11 @@ def normalize_text(text: Column, extra: dict[str, str] | None = None, least: int
     signs = reduce(lambda a, b: a | b, (low.contains(sign) for sign in BOILERPLATE_SIGNS))
     bare = F.when(signs, F.regexp_replace(text, "(?Uiu)" + "|".join(BOILERPLATE), " ")).otherwise(text)
     bare = reduce(lambda t, pair: F.regexp_replace(t, rf"(?Uiu)\b{pair[0]}\b", pair[1]), LONG_ABBREVIATIONS.items(), bare)
-    names = F.create_map(*(F.lit(x) for pair in (ABBREVIATIONS | (extra or {})).items() for x in pair))
+    known = ABBREVIATIONS | (extra or {})
+    names = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
     runs = F.regexp_extract_all(bare, F.lit(r"(?U)(\w+|\W+)"), 1)
-    wide = F.lower(F.array_join(F.transform(runs, lambda w: F.coalesce(names[F.lower(w)], w)), ""))
+    # a map is searched key by key, a set by hash: few words reach the map
+    wide = F.lower(F.array_join(F.transform(F.transform(runs, F.lower), lambda w: F.when(w.isin(list(known)), names[w]).otherwise(w)), ""))
     single = F.regexp_replace(wide, r"(?U)\s+", " ")
     for sign in (r"\.", "-", "_"):
         single = F.regexp_replace(single, f"{sign}{{2,}}", sign[-1])

@@ -15,7 +15,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import density
+from . import density, manyk
 from .shared import checkpointed
 
 SEED = 42
@@ -44,15 +44,24 @@ def tfidf(texts: DataFrame, text: str = "text", max_terms: int = 5000, min_df: f
     return out.drop("_words", "_kept", "_n2", "_n3", "_terms", "_counts", "_idf", "_sum"), counted.stages[-1].vocabulary
 
 
-def choose_k(vectors: DataFrame, low: int = 3, high: int = 15) -> int:
-    """The elbow: the k furthest from the chord of the training costs; a loop over at most 13 fits."""
+def k_qualities(vectors: DataFrame, low: int = 3, high: int = 15) -> DataFrame | None:
+    """k, n, cost and silhouette for each k that may be chosen, all fitted in the same passes; None for few vectors."""
     n = vectors.count()
     ks = list(range(low, min(high, n // 3) + 1))
     if len(ks) < 3:
+        return None
+    rows = manyk.sparse_rows(vectors)
+    return manyk.qualities(rows, manyk.fit_all(rows, ks))
+
+
+def choose_k(vectors: DataFrame, low: int = 3, high: int = 15) -> int:
+    """The elbow: the k furthest from the chord of the costs, else the one of the best silhouette; few vectors have the
+    root of half their number."""
+    found = k_qualities(vectors, low, high)
+    if found is None:
+        n = vectors.count()
         return max(2, min(n - 1, round((n / 2) ** 0.5)))
-    costs = np.array([KMeans(k=k, seed=SEED, featuresCol="vector").fit(vectors).summary.trainingCost for k in ks])
-    x, y = np.linspace(0, 1, len(ks)), (costs - costs.min()) / (np.ptp(costs) or 1)
-    return ks[int(np.argmax(np.abs(x + y - 1)))]
+    return manyk.elbow([(r["k"], r["cost"], r["silhouette"]) for r in found.collect()])  # a row for each k
 
 
 def cluster_texts(texts: DataFrame, k: int | None = None, text: str = "text") -> DataFrame:
@@ -66,6 +75,7 @@ def cluster_texts(texts: DataFrame, k: int | None = None, text: str = "text") ->
     vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)  # up to 13 fits and their passes read it
     model = KMeans(k=k or choose_k(vectors), seed=SEED, featuresCol="vector", predictionCol="cluster").fit(vectors)
     found = model.transform(vectors).drop("vector")
+    vectors.unpersist()  # later passes work the vectors out again
     empty = texts.where(F.trim(F.coalesce(text, F.lit(""))) == "").withColumn("cluster", F.lit(EMPTY))
     return found.unionByName(empty)
 

@@ -145,6 +145,19 @@ def _log(t):
     return made._replace(objects=_plain(made.objects), events=_plain(made.events))
 
 
+def _k_qualities(t):
+    """Cost and silhouette of each k over all documents, and whether it is the one chosen."""
+    vectors, _ = cluster.tfidf(t.read("documents").where("trim(text) <> ''"))
+    found = cluster.k_qualities(vectors)
+    chosen = cluster.manyk.elbow([(r["k"], r["cost"], r["silhouette"]) for r in found.collect()])
+    return found.withColumn("is_chosen", F.col("k") == chosen)
+
+
+def _with_silhouette(t):
+    best, value = cluster.topics(t.read("documents"), 5)
+    return best.withColumn("silhouette", F.lit(value))
+
+
 def _document(t):
     """What a document of the log gives back."""
     made = ocel.parsed_lines(ocel.document_lines(ocel.ocel_from_log(t.purchase_log(), "2024-01-03")).select("line"))
@@ -254,6 +267,8 @@ QUERIES = {
     "cluster_texts": (lambda t: cluster.cluster_texts(t.read("documents"), 5).select("doc_id", "lang", "cluster"), None),
     "text_topics": (lambda t: cluster.topics(t.read("documents"), 5)[0], None),
     "text_topics_chosen_k": (lambda t: cluster.topics(t.read("benchmark"))[0], None),
+    "text_k_qualities": (_k_qualities, None),
+    "text_topics_silhouette": (lambda t: _with_silhouette(t), None),
     "density_clusters": (lambda t: cluster.density_clusters(t.read("embeddings"), "vec_id"), None),
     "feature_matrix": (lambda t: cluster.feature_matrix(case_features(t.o2c_log(), AS_OF), _COLUMNS).select("case_id", vector_to_array("features").alias("features")), f"SELECT case_id, [{', '.join(f'CAST({c} AS DOUBLE)' for c in _COLUMNS)}] AS features FROM ft_case"),
     "cross_validate": (lambda t: cluster.cross_validate(_late(t), _COLUMNS, "late", "case_id", "logistic"), None),

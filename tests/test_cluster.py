@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from flowlens.operators import cluster, density
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 
@@ -89,3 +90,24 @@ def test_classifier(spark, tmp_path):
     cluster.save_model(model, str(tmp_path / "m"))
     again = cluster.load_model(str(tmp_path / "m"))
     assert cluster.predict_cases(test, [model]).collect() == cluster.predict_cases(test, [again]).collect()
+
+
+def test_all_k_at_once(spark):
+    """Known groups: the elbow is at their number, centers are means, cost and silhouette are those of a slow version."""
+    draw = np.random.default_rng(3)
+    means = draw.normal(size=(5, 8)) * 10
+    v = np.concatenate([m + draw.normal(size=(40, 8)) * 0.2 for m in means])
+    v[draw.random(v.shape) < 0.2] = 0.0
+    df = spark.createDataFrame([(row,) for row in v.tolist()], "v array<double>").repartition(3).select(array_to_vector("v").alias("vector"))
+    rows = cluster.manyk.sparse_rows(df)
+    centers = cluster.manyk.fit_all(rows, [3, 4, 5, 6, 7])
+    got = {r["k"]: r for r in cluster.manyk.qualities(rows, centers).collect()}
+    for k, c in centers.items():
+        far = ((v[:, None] - c[None]) ** 2).sum(2)
+        near = np.sort(np.sqrt(far), axis=1)
+        assert got[k]["n"] == 200 and np.isclose(got[k]["cost"], far.min(1).sum()) and np.isclose(got[k]["silhouette"], ((near[:, 1] - near[:, 0]) / near[:, 1]).mean())
+        own = far.argmin(1)
+        assert all(np.allclose(c[i], v[own == i].mean(0), atol=1e-4) for i in range(k) if (own == i).any())
+    assert cluster.manyk.elbow([(k, 100.0 - k, s) for k, s in ((3, 0.1), (4, 0.9), (5, 0.2))]) == 4
+    assert cluster.manyk.elbow([(3, 100.0, 0.1), (4, 20.0, 0.1), (5, 10.0, 0.5), (6, 5.0, 0.1)]) == 4
+    assert cluster.choose_k(df.limit(5)) == 2
