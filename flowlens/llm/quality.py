@@ -75,6 +75,8 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> Lines:
     space = kinds == 3
     word_start = ~space
     word_start[1:] &= space[:-1]
+    begin = offsets[:-1][np.diff(offsets) > 0]  # what stands before a text belongs to another one
+    word_start[begin] = ~space[begin]
     words = np.maximum(within(word_start), 1)
     last = np.zeros(len(size), bool)
     full = size > 0

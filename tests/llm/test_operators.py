@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -458,6 +459,59 @@ def test_quality_marginals_match_enumeration():
     assert np.allclose(quality.odds(ahead + behind), good / total)
 
 
+def slow_quality(model, text):
+    """Features line by line, all labellings of a chain by recursion from both ends, and the weighted mean."""
+    lines, own = text.encode().split(b"\n"), []
+    for i, line in enumerate(lines):
+        n = max(len(line), 1)
+        shares = [sum(int(quality.KINDS[b]) == k for b in line) / n for k in range(8)]
+        n_words = max(sum(quality.KINDS[b] != 3 and (j == 0 or quality.KINDS[line[j - 1]] == 3) for j, b in enumerate(line)), 1)
+        own.append([*shares, np.log1p(len(line)), np.log1p(n_words), min(n / n_words, 40), line[-1:] in [bytes([b]) for b in b".!?:\"'"] and bool(line), bool(line) and int(quality.KINDS[line[0]]) in (1, 6), bool(line) and line in lines[:i]])
+    own = np.array(own, np.float32)
+    none = np.zeros(own.shape[1], np.float32)
+    rows = np.array([np.concatenate([own[i], own[i - 1] if i else none, own[i + 1] if i + 1 < len(own) else none]) for i in range(len(own))])
+    s = model.scores(rows)
+    ahead = [np.array([0.0, s[0]])]
+    for x in s[1:]:
+        ahead.append(np.array([np.logaddexp(*(ahead[-1] + model.steps[:, j])) + (x if j else 0.0) for j in (0, 1)]))
+    behind = [np.zeros(2)]
+    for x in s[:0:-1]:
+        behind.insert(0, np.array([np.logaddexp(*(behind[0] + model.steps[i] + np.array([0.0, x]))) for i in (0, 1)]))
+    both = np.array(ahead) + np.array(behind)
+    good = 1 / (1 + np.exp(both[:, 0] - both[:, 1]))
+    weight = np.array([len(x) + 1 for x in lines])
+    return float((good * weight).sum() / weight.sum())
+
+
+def test_quality_same_as_slow_version(spark):
+    """The whole score of whole texts, whichever texts stand beside them."""
+    folder = "/root/testdata/sf0.001"
+    table = spark.read.parquet(f"{folder}/documents.parquet")
+    model = quality.train(table, spark.read.parquet(f"{folder}/labels.parquet"))
+    texts = ["Ends without a sign", "next one", "", "\n\n", "One.\nTwo?\nOne.\n  \nthree", *(r["text"] or "" for r in table.orderBy("doc_id").limit(20).collect() if len(r["text"] or "") < 6000)]
+    want = [slow_quality(model, t) for t in texts]
+    assert np.allclose(quality.score_batch(model, pa.array(texts)), want, atol=1e-6)
+    assert np.allclose([quality.score_batch(model, pa.array([t]))[0] for t in texts], want, atol=1e-6)
+
+
+def test_repeated_ids_and_clashing_names(spark):
+    """Vectors, ids of tokens and quality scores of tables whose further columns are named like the operators' own."""
+    draw = np.random.default_rng(2)
+    rows = [(i, draw.normal(size=8).tolist(), 1, 2.0, 3) for i in range(60)] + [(20, draw.normal(size=8).tolist(), 1, 2.0, 3), (7, draw.normal(size=8).tolist(), 1, 2.0, 3)]
+    wide = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int, score double, query_id int")
+    found = permutation.nearest_report(wide).collect()
+    by_query = {}
+    for r in found:
+        by_query.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert set(by_query) == {0, 20, 40} and all(len(v) == len(set(v)) == 20 and q not in v for q, v in by_query.items())
+    docs = spark.createDataFrame([(1, "some text", 1, "x", 2.0), (1, "other", 1, "x", 2.0), (None, None, 1, "x", 2.0)], "doc_id long, text string, n_tokens int, ids_sha256 string, score double")
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    assert bpe.bpe_digest(docs, path, P.PATTERN).count() == 3
+    assert bpe.bpe_encode(docs, path, P.PATTERN).columns == ["doc_id", "n_tokens", "ids_sha256", "score", "ids"]
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    assert quality.held_out_scores(docs, labels).count() == 3
+
+
 def test_quality_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["score"] for r in quality.held_out_scores(docs, none).collect()} == {0.5}
