@@ -33,13 +33,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, give_back, lower_ascii, materialise, mix, slices, span_hashes, string_buffers, whole_text, word_spans
+from .common import fold, give_back, lower_ascii, materialise, slices, span_hashes, string_buffers, whole_text, word_spans
 
 DEPTH = 6
 #: Bits of a run of DEPTH context bytes, newest first, and the byte that follows them.
 WIDE = 8 * (DEPTH + 1)
 #: Bytes of text in a block, of text worked on at a time, and of text for each share of the keys.
 BLOCK, SLICE, SHARE = 8 << 20, 1 << 20, 12 << 20
+#: Texts, and characters of each, that the ranges of shares are chosen by (they come to the driver).
+EDGE_TEXTS, EDGE_CHARS = 512, 8192
 #: The end sign of the byte model.
 END_BYTE = 0
 TEXT, WORDS, RUNS = 0, 1, 2
@@ -105,9 +107,18 @@ def unpack(keys: bytes, values: bytes, kind: type = np.int64) -> tuple[np.ndarra
     return np.cumsum(expand(keys, np.uint64), dtype=np.uint64), expand(values, kind)
 
 
-def share_of(keys: np.ndarray, shares: int) -> np.ndarray:
-    """The share of all runs that a run belongs to."""
-    return (mix(keys) % np.uint64(shares)).astype(np.int64)
+def share_of(keys: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The share of all runs that a run belongs to; shares are ranges, so that runs of one share have much in common."""
+    return np.searchsorted(edges, keys, "right")
+
+
+def share_edges(texts: list[str], shares: int) -> np.ndarray:
+    """Where ranges begin that have about equally many of the texts' distinct runs. Other texts make the ranges more or
+    less even, and nothing else."""
+    column = pa.array(texts, pa.string())
+    keys = np.unique(byte_runs(lower_ascii(string_buffers(column)[0]), string_buffers(column)[1])[0])
+    at = np.arange(1, shares) * len(keys) // shares
+    return np.unique(keys[at]) if len(keys) else keys
 
 
 def word_share(keys: np.ndarray, shares: int) -> np.ndarray:
@@ -268,6 +279,8 @@ def train_and_score(docs: DataFrame, parts: int = 7, held: int = 2) -> DataFrame
     size = named.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if(~F.col("held_out"))).first()
     shares, n_docs = max(size[0] // SHARE + 1, spark.sparkContext.defaultParallelism), int(size[1])
     packed = "part long, block long, keys binary, counts binary"
+    some = named.select("text").orderBy(F.xxhash64("text")).limit(EDGE_TEXTS).select(F.substring("text", 1, EDGE_CHARS).alias("t")).collect()
+    edges = share_edges([r["t"] for r in some], shares)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (kind, part, block, keys, counts): the texts of a block, and the words and runs that they ask for."""
@@ -279,8 +292,8 @@ def train_and_score(docs: DataFrame, parts: int = 7, held: int = 2) -> DataFrame
                 for part in kept:
                     out.write_batch(part)
             rows = [(TEXT, 0, zstandard.compress(sink.getvalue(), 3), None)]
-            for kind, (keys, n), share in zip((WORDS, RUNS), asked.keys(), (word_share, share_of), strict=True):
-                rows += [(kind, part, *pack(keys[own], n[own])) for part, own in by_share(share(keys, shares))]
+            for kind, (keys, n), share, by in zip((WORDS, RUNS), asked.keys(), (word_share, share_of), (shares, edges), strict=True):
+                rows += [(kind, part, *pack(keys[own], n[own])) for part, own in by_share(share(keys, by))]
             kinds, part, keys, n = zip(*rows, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(part, pa.int64()), pa.array([block] * len(rows), pa.int64()), pa.array(keys, pa.binary()), pa.array(n, pa.binary())], ["kind", "part", "block", "keys", "counts"])
 
@@ -347,7 +360,7 @@ def train_and_score(docs: DataFrame, parts: int = 7, held: int = 2) -> DataFrame
         tree, _ = subtree(rows)
         scores = tree.chances(above.value[:, int(tree.runs[0] >> np.uint64(WIDE - 8))]).astype(np.float32)
         scores = (scores.view(np.uint32) + np.uint32(128) & np.uint32(0xFFFFFF00)).view(np.float32)  # see the docstring
-        out = [(part, *pack(tree.runs[own], scores[own])) for part, own in by_share(share_of(tree.runs, shares))]
+        out = [(part, *pack(tree.runs[own], scores[own])) for part, own in by_share(share_of(tree.runs, edges))]
         return pa.table(dict(zip(("part", "keys", "scores"), (pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)), strict=True)))
 
     modelled = totals.groupBy("newest").applyInArrow(model, "part long, keys binary, scores binary")
@@ -373,10 +386,10 @@ def train_and_score(docs: DataFrame, parts: int = 7, held: int = 2) -> DataFrame
         for part in kept:
             asked.add(part.column("text"), np.zeros(part.num_rows, bool))
         tables = []
-        for kind, (keys, _), share, form in zip((WORDS, RUNS), asked.keys(), (word_share, share_of), (np.int64, np.float32), strict=True):
+        for kind, (keys, _), share, by, form in zip((WORDS, RUNS), asked.keys(), (word_share, share_of), (shares, edges), (np.int64, np.float32), strict=True):
             own = answers.filter(pa.compute.equal(answers.column("kind"), kind)).sort_by("part")
             got = [expand(x, form) for x in own.column("answer").to_pylist()]
-            order = np.argsort(share(keys, shares), kind="stable")  # answers come share by share
+            order = np.argsort(share(keys, by), kind="stable")  # answers come share by share
             values = np.zeros(len(keys) + 1, form)
             values[order] = np.concatenate(got) if got else np.zeros(0, form)
             tables.append((keys, values))
