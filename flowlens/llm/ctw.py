@@ -279,7 +279,10 @@ def train_and_score(docs: DataFrame, parts: int = 7, held: int = 2) -> DataFrame
     size = named.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if(~F.col("held_out"))).first()
     shares, n_docs = max(size[0] // SHARE + 1, spark.sparkContext.defaultParallelism), int(size[1])
     packed = "part long, block long, keys binary, counts binary"
-    some = named.select("text").orderBy(F.xxhash64("text")).limit(EDGE_TEXTS).select(F.substring("text", 1, EDGE_CHARS).alias("t")).collect()
+    # hashes choose the texts first, so that no task sends texts that aren't among them
+    hashed = named.select(F.xxhash64("text").alias("h"), F.substring("text", 1, EDGE_CHARS).alias("t"))
+    last = hashed.select("h").orderBy("h").limit(EDGE_TEXTS).agg(F.max("h")).first()[0]
+    some = hashed.where(F.col("h") <= (0 if last is None else last)).distinct().limit(EDGE_TEXTS).collect()
     edges = share_edges([r["t"] for r in some], shares)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
