@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -147,12 +148,14 @@ class Page:
             self.pop()
         if not self.parts:
             self.holder = self.now
-        text = html.unescape(raw)
+        text = html.unescape(raw) if "&" in raw else raw
         self.parts.append(text)
         if self.now.link:
             self.linked += len("".join(text.split()))
 
     def flush(self) -> None:
+        if not self.parts:
+            return
         words = "".join(self.parts).split()
         if words:
             key, text = self.holder.key, " ".join(words)
@@ -302,12 +305,10 @@ def equivalence_classes(pages: DataFrame) -> DataFrame:
     return member.groupBy("host").agg(F.collect_list("t").alias("template"))
 
 
-def orders(tokens: list[int], classes: dict[int, int]) -> Iterator[tuple[int, int, bool]]:
+def orders(tokens: list[int], classes: dict[int, int], sizes: dict[int, int] | None = None) -> Iterator[tuple[int, int, bool]]:
     """Class, hash of the order of its tokens, and whether it is broken, for each of its stretches on a page: a stretch
-    that doesn't have every token once, or that one of another class runs across, is."""
-    sizes: dict[int, int] = {}
-    for c in classes.values():
-        sizes[c] = sizes.get(c, 0) + 1
+    that doesn't have every token once, or that one of another class runs across, is. sizes: tokens of each class."""
+    sizes = sizes or Counter(classes.values())
     open_: list[tuple[int, list[int]]] = []
     for token in tokens:
         own = classes.get(token)
@@ -330,8 +331,23 @@ def orders(tokens: list[int], classes: dict[int, int]) -> Iterator[tuple[int, in
         yield other, 0, True
 
 
-def unsigned(template: list[dict] | None) -> dict[int, dict]:
-    return {t["token"] & 0xFFFFFFFFFFFFFFFF: t for t in template or ()}
+class Template:
+    """Of a host's template: the class of each token, the tokens of each class, and the tokens whose text is mostly links."""
+
+    def __init__(self, tokens: list[dict] | None):
+        own = [(t["token"] & 0xFFFFFFFFFFFFFFFF, t["class"], t["linked"]) for t in tokens or ()]
+        self.classes = {t: c for t, c, _ in own}
+        self.sizes = Counter(self.classes.values())
+        self.linked = {t for t, _, linked in own if linked}
+
+
+def known_templates(part: pa.RecordBatch) -> Iterator[Template]:
+    """The template of each row; one of a host is read once for all its rows."""
+    column, found = part.column("template"), {}
+    for i, host in enumerate(part.column("host").to_pylist()):
+        if host not in found:
+            found[host] = Template(column[i].as_py())
+        yield found[host]
 
 
 def templates(pages: DataFrame, classes: DataFrame) -> DataFrame:
@@ -341,9 +357,8 @@ def templates(pages: DataFrame, classes: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "html"):
                 found: dict[tuple[int, int], list] = {}
-                for host, source, template in zip(*(part.column(c).to_pylist() for c in ("host", "html", "template"))):
-                    named = {t: v["class"] for t, v in unsigned(template).items()}
-                    for own, order, broken in orders(Page(source).tokens, named):
+                for host, source, template in zip(*(part.column(c).to_pylist() for c in ("host", "html")), known_templates(part)):
+                    for own, order, broken in orders(Page(source).tokens, template.classes, template.sizes):
                         low, high, bad = found.get((host, own), (order, order, 0))
                         found[host, own] = min(low, order), max(high, order), bad + broken
                 rows = [(*k, *v) for k, v in found.items()]
@@ -365,11 +380,10 @@ def main_texts(df: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "html"):
                 texts = []
-                for source, template in zip(part.column("html").to_pylist(), part.column("template").to_pylist()):
-                    known = unsigned(template)
-                    texts.append(main_text(Page(source), known, {t for t, v in known.items() if v["linked"]}))
+                for source, template in zip(part.column("html").to_pylist(), known_templates(part)):
+                    texts.append(main_text(Page(source), template.classes, template.linked))
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    joined = pages.join(found, "host", "left").select("page_id", "url", "html", "template")
+    joined = pages.join(found, "host", "left").select("page_id", "url", "host", "html", "template")
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
     return joined.mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")

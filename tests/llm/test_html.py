@@ -116,3 +116,14 @@ def test_long_page(spark):
 
 def test_empty_table(spark):
     assert html.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_templates_are_read_once_for_a_host():
+    """Rows of one host share what is made of its template."""
+    tokens = [{"token": -1, "class": 5, "linked": True}, {"token": 7, "class": 5, "linked": False}]
+    kind = html.pa.list_(html.pa.struct([("token", html.pa.int64()), ("class", html.pa.int64()), ("linked", html.pa.bool_())]))
+    part = html.pa.RecordBatch.from_arrays([html.pa.array([1, 2, 1, 1]), html.pa.array([tokens, None, tokens, tokens], kind)], ["host", "template"])
+    one, other, *rest = html.known_templates(part)
+    assert rest == [one, one]
+    assert (one.classes, one.sizes, one.linked) == ({2**64 - 1: 5, 7: 5}, {5: 2}, {2**64 - 1})
+    assert (other.classes, other.sizes, other.linked) == ({}, {}, set())
