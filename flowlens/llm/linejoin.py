@@ -10,6 +10,9 @@ Equal lines (as sets of words) are one class; only its first line is compared. A
 a few earlier candidates, or of many the earliest; a class with many, none of which holds, has all of them looked
 at in a second round, so none is missed and groups of near copies never give all their pairs.
 
+Candidates are told apart by a wider map of their words first, then the nearest of each class is compared by its text, and
+the others only where it doesn't hold. The second round works on rows that the first one has stored.
+
 Defined results: null and empty texts have one empty line; lines without words are kept; a null doc_id comes
 first; of repeated rows the second loses all its lines with words; words of any length count as one.
 """
@@ -21,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import IS_SPACE, ODD, fresh, in_blocks, materialise, mix, slices, span_hashes, string_buffers, whole_text, word_spans
@@ -59,19 +62,15 @@ class Bounds:
 
 
 class Lines(Bounds):
-    """Lines and the words of those that have any; wanted: a map of words, and only lines with one of these count."""
+    """Lines and the words of those that have any."""
 
-    def __init__(self, texts: pa.Array, wanted: np.ndarray | None = None):
+    def __init__(self, texts: pa.Array):
         super().__init__(texts)
         starts, ends, _ = word_spans(self.data, self.offsets)
         self.words = span_hashes(self.data, starts, ends)
         # an empty line shares its start with the next one and has no words
         first = np.searchsorted(starts, self.start)
         n = np.diff(np.append(first, len(starts)))
-        if wanted is not None:
-            hits = np.concatenate([[0], np.cumsum(in_map(wanted, self.words >> np.uint64(33)))])
-            some = hits[first + n] > hits[first]
-            self.words, n = self.words[np.repeat(some, n)], np.where(some, n, 0)
         self.filled = np.flatnonzero(n)
         # of the filled lines: the words of each once, in the order of their hashes, and the line of each
         self.words, self.nth = distinct(self.words, np.repeat(np.arange(len(self.filled)), n[self.filled]))
@@ -79,6 +78,14 @@ class Lines(Bounds):
         self.begin, n = np.cumsum(n) - n, n.astype(np.uint64)
         total = np.add.reduceat(mix(self.words), self.begin) if len(self.begin) else np.zeros(0, np.uint64)
         self.key = mix(total + n * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)  # of the filled lines
+        self.size = n.astype(np.int32)
+
+    def wide(self) -> tuple[np.ndarray, np.ndarray]:
+        """The two halves of a parity map of 128 bits of each filled line, by other bits of the hashes than in `prefixes`."""
+        bit = np.uint64(1) << (self.words >> np.uint64(40) & np.uint64(63))
+        low = (self.words >> np.uint64(46) & np.uint64(1)).astype(bool)
+        halves = (np.where(half, bit, np.uint64(0)) for half in (low, ~low))
+        return tuple(np.bitwise_xor.reduceat(x, self.begin).view(np.int64) if len(self.begin) else np.zeros(0, np.int64) for x in halves)
 
 
 def distinct(words: np.ndarray, nth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,9 +107,9 @@ def rarity(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.ceil(8 * np.log2(counts + 1.0) - 7), 255).clip(0).astype(np.uint8)
 
 
-def prefixes(lines: Lines, counts: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+def prefixes(lines: Lines, counts: np.ndarray) -> tuple[np.ndarray, ...]:
     """Rows of filled line, packed word, size and place, the word before, and parity map for the prefix of every line
-    of four words or more; smaller sets have that similarity to equal sets alone. wanted: a map of the words to give."""
+    of four words or more; smaller sets have that similarity to equal sets alone."""
     words, nth = lines.words, lines.nth.astype(np.uint64)
     rare = counts[(words & np.uint64(BUCKETS - 1)).astype(np.int64)]
     place = nth << np.uint64(40) | rare.astype(np.uint64) << np.uint64(32) | words >> np.uint64(32)
@@ -127,8 +134,6 @@ def prefixes(lines: Lines, counts: np.ndarray, wanted: np.ndarray | None = None)
     before = np.zeros(len(words), np.uint64)
     before[1:] = half[:-1] + np.uint64(1)
     before[place == 0] = 0
-    if wanted is not None:
-        taken &= in_map(wanted, half)
     at = nth[taken]
     # half of the word's hash, the size and the place in one number, in this order
     packed = (half[taken] << np.uint64(32)) | np.minimum(size[at], LONGEST).astype(np.uint64) << np.uint64(16) | np.minimum(place[taken], LONGEST).astype(np.uint64)
@@ -141,6 +146,40 @@ LONGEST = (1 << 16) - 1
 REPORTED = 4
 #: line: the number of the line and the word before, 32 bits each.
 COLUMNS = ("packed", "key", "doc", "line", "parity")
+SHAPE = ", ".join(f"{c} long" for c in COLUMNS)
+#: Rows of a range of words travel as arrays: of so many rows a task makes one of each range, at most.
+GATHERED = 400_000
+BUNDLES = "part int, " + ", ".join(f"{c} array<long>" for c in COLUMNS)
+
+
+def ranges(spark: SparkSession) -> int:
+    """Ranges of words, some for each task."""
+    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bundled(pieces: Iterator[list[np.ndarray]], parts: int) -> Iterator[pa.RecordBatch]:
+    """Rows, given as their columns, with an array of each column for each range of words."""
+    kept: list[list[np.ndarray]] = []
+
+    def flush() -> pa.RecordBatch:
+        columns = [np.concatenate(x) for x in zip(*kept, strict=True)]
+        order = np.argsort(columns[0])
+        columns = [x[order] for x in columns]
+        part = (columns[0] >> 32) * parts >> 31
+        first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        at = pa.array(np.append(first, len(part)).astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), *(pa.ListArray.from_arrays(at, pa.array(x)) for x in columns)], ["part", *COLUMNS])
+
+    n = 0
+    for columns in pieces:
+        if len(columns[0]):
+            kept.append(columns)
+            n += len(columns[0])
+        if n >= GATHERED:
+            yield flush()
+            kept, n = [], 0
+    if kept:
+        yield flush()
 
 
 def shared(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -154,6 +193,11 @@ def shared(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 def matches(rows: dict[str, np.ndarray], wanted: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """Candidates (key, earlier key, word, whether there are more) of rows in the order of packed. wanted: a map of the
     classes of which all are given. Pairs with the same word before meet there already, and on to where they don't."""
+    return measured(rows, wanted)[:4]
+
+
+def measured(rows: dict[str, np.ndarray], wanted: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """The columns of `matches`, and the bits in which the parity maps of the pair differ."""
     rows = shared(rows)
     n = len(rows["packed"])
     # rows of one word and class: the first line of the class stands for it
@@ -168,8 +212,9 @@ def matches(rows: dict[str, np.ndarray], wanted: np.ndarray | None = None) -> tu
     time = np.empty(n, np.int64)
     time[np.lexsort((key, line >> 32, doc))] = np.arange(n)
     count, first, near, best = np.zeros(n, np.int64), np.arange(n), np.zeros(n, np.int64), np.full(n, 1 << 30)
-    slots = np.zeros((n, max(1, REPORTED)), np.int64)
-    later_of, earlier_of = [], []
+    slots, spans = np.zeros((2, n, max(1, REPORTED)), np.int64)
+    far = np.zeros(n, np.int64)  # of the first
+    later_of, earlier_of, apart_of = [], [], []
     at = np.arange(n)
     for step in range(1, n):
         at = at[at + step < n]
@@ -186,48 +231,66 @@ def matches(rows: dict[str, np.ndarray], wanted: np.ndarray | None = None) -> tu
         swap = time[i] > time[j]
         for who, other, d in ((i[swap], j[swap], apart[swap]), (j[~swap], i[~swap], apart[~swap])):
             if wanted is not None:
-                later_of.append(who[is_open[who]]), earlier_of.append(other[is_open[who]])
+                later_of.append(who[is_open[who]]), earlier_of.append(other[is_open[who]]), apart_of.append(d[is_open[who]])
                 continue
-            first[who] = np.where(time[other] < time[first[who]], other, first[who])
+            sooner = time[other] < time[first[who]]
+            first[who[sooner]], far[who[sooner]] = other[sooner], d[sooner]
             nearer = (d < best[who]) | (d == best[who]) & (time[other] < time[near[who]])
             best[who[nearer]], near[who[nearer]] = d[nearer], other[nearer]
             few = count[who] < REPORTED
-            slots[who[few], count[who[few]]] = other[few]
+            slots[who[few], count[who[few]]], spans[who[few], count[who[few]]] = other[few], d[few]
             count[who] += 1
     if wanted is None:
         some, many = np.flatnonzero((count > 0) & (count <= REPORTED)), np.flatnonzero(count > REPORTED)
-        later_of = [some[count[some] > k] for k in range(REPORTED)] + [many, many[near[many] != first[many]]]
-        earlier_of = [slots[some[count[some] > k], k] for k in range(REPORTED)] + [first[many], near[many[near[many] != first[many]]]]
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (later_of, earlier_of))
-    return key[a], key[b], word[a], count[a] > REPORTED
+        two = many[near[many] != first[many]]
+        later_of = [some[count[some] > k] for k in range(REPORTED)] + [many, two]
+        earlier_of = [slots[some[count[some] > k], k] for k in range(REPORTED)] + [first[many], near[two]]
+        apart_of = [spans[some[count[some] > k], k] for k in range(REPORTED)] + [far[many], best[two]]
+    a, b, d = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (later_of, earlier_of, apart_of))
+    return key[a], key[b], word[a], count[a] > REPORTED, d
 
 
 def candidates(postings: DataFrame, wanted=None) -> DataFrame:
-    """later, earlier, word, more: classes that may be similar; wanted: a broadcast map of the only classes to give, with all of theirs."""
+    """later, earlier, word, more, apart: classes that may be similar. wanted: a broadcast map of the only classes to give,
+    with all of theirs; without it, also the rows of the words at which a class has more, with no `later`. postings: bundles."""
     parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = postings.repartition(parts, F.shiftright("packed", 32)).sortWithinPartitions("packed")
+    dealt = postings.repartition(parts, "part").sortWithinPartitions("part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[str, list[np.ndarray]] = {c: [] for c in COLUMNS}
-
-        def flush(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in matches(rows, wanted and wanted.value)], ["later", "earlier", "word", "more"])
-
+        def flush() -> Iterator[pa.RecordBatch]:
+            columns = [np.concatenate(x) for x in zip(*kept, strict=True)]
+            order = np.argsort(columns[0])
+            rows = {c: x[order] for c, x in zip(COLUMNS, columns, strict=True)}
+            later, earlier, word, more, apart = measured(rows, wanted and wanted.value)
+            pairs = [pa.array(x) for x in (later, earlier, word, more, apart.astype(np.int32))]
+            none = [pa.nulls(len(later), pa.int64())] * len(COLUMNS)
+            yield pa.RecordBatch.from_arrays([*pairs, *none], names)
+            if wanted is None and more.any():
+                again = np.isin(rows["packed"] >> 32, np.unique(word[more]))
+                own = [pa.array(rows[c][again]) for c in COLUMNS]
+                none = [pa.nulls(len(own[0]), kind) for kind in (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32())]
+                none[2] = pa.array(rows["packed"][again] >> 32)
+                yield pa.RecordBatch.from_arrays([*none, *own], names)
+
+        names = ["later", "earlier", "word", "more", "apart", *COLUMNS]
+        kept: list[list[np.ndarray]] = []
+        now = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in COLUMNS}
-            word = rows["packed"] >> 32
-            done = np.searchsorted(word, word[-1])  # the last word may go on
-            if done or kept["packed"] and kept["packed"][-1][-1] >> 32 != word[-1]:
-                yield flush({c: np.concatenate([*kept[c], rows[c][:done]]) for c in COLUMNS})
-                kept = {c: [] for c in COLUMNS}
-            for c in COLUMNS:
-                kept[c].append(rows[c][done:])
-        if kept["packed"]:
-            yield flush({c: np.concatenate(kept[c]) for c in COLUMNS})
-
-    return dealt.mapInArrow(run, "later long, earlier long, word long, more boolean")
+            part = batch.column("part").to_numpy()
+            at, values = ([f(batch.column(c)) for c in COLUMNS] for f in (lambda x: x.offsets.to_numpy(), lambda x: x.values.to_numpy()))
+            cuts = np.flatnonzero(part[1:] != part[:-1]) + 1
+            for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)], strict=True):
+                if low == high:
+                    continue
+                if kept and part[low] != now:
+                    yield from flush()
+                    kept = []
+                now = part[low]
+                kept.append([x[o[low] : o[high]] for x, o in zip(values, at, strict=True)])
+        if kept:
+            yield from flush()
+
+    return dealt.mapInArrow(run, "later long, earlier long, word long, more boolean, apart int, " + SHAPE)
 
 
 def similar(a: bytes, b: bytes) -> bool:
@@ -258,11 +321,23 @@ def spots(mark: np.ndarray, number: np.ndarray) -> np.ndarray:
     return mark ^ number.astype(np.int64) * STEP
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs whose lines are similar. The first lines of the classes are fetched from the documents by a map of where
-    they stand, so no words are looked at there."""
-    keys = pairs.select(F.explode(F.array("later", "earlier")).alias("key")).distinct()
-    asked = materialise(keys.join(classes.select("key", "keep.*"), "key"))
+def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs that wide maps of the words don't rule out: later, earlier, bits that differ, and where their first lines stand."""
+    one, other = (classes.select(F.col("key").alias(k), F.col("keep").alias(f"{k}_at")) for k in ("later", "earlier"))
+    met = pairs.join(one, "later").join(other, "earlier")
+    both = "(later_at.size + earlier_at.size)"
+    need = f"(({UP} * {both} + {UP + DOWN - 1}) div {UP + DOWN})"
+    apart = F.expr("bit_count(later_at.low ^ earlier_at.low) + bit_count(later_at.high ^ earlier_at.high)")
+    place = ["doc", "number", "mark"]
+    ends = [F.struct(*(F.col(f"{k}_at.{c}").alias(c) for c in place)).alias(f"{k}_at") for k in ("later", "earlier")]
+    return met.withColumn("far", apart).where(F.col("far") <= F.expr(f"{both} - 2 * {need}")).select("later", "earlier", "far", *ends)
+
+
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of the pairs that `likely` gives those whose lines are similar. The first lines of the classes are fetched from the
+    documents by a map of where they stand, so no words are looked at there."""
+    ends = F.array(*(F.struct(F.col(k).alias("key"), F.col(f"{k}_at").alias("at")) for k in ("later", "earlier")))
+    asked = materialise(pairs.select(F.explode(ends).alias("end")).select("end.key", "end.at.*").distinct())
     spot = F.col("mark").bitwiseXOR(F.col("number").cast("long") * STEP)
     known = pairs.sparkSession.sparkContext.broadcast(key_map(asked.select(spot.alias("key"))))
 
@@ -304,18 +379,21 @@ def _dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows for lines (block, key, doc, number, mark) and, with block -1, the packed counts of a part of the buckets."""
         counts = np.zeros(BUCKETS, np.uint32)
-        names = ["_block", "key", "doc", "number", "mark", "counts"]
+        names = ["_block", "key", "doc", "number", "mark", "low", "high", "size", "counts"]
         for batch in batches:
             for part in slices(batch, "text"):
                 lines = Lines(part.column("text"))
-                np.add.at(counts, (lines.words & np.uint64(BUCKETS - 1)).astype(np.int64), np.uint32(1))
+                own = np.sort((lines.words & np.uint64(BUCKETS - 1)).astype(np.uint32))
+                first = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
+                counts[own[first]] += np.diff(np.append(first, len(own))).astype(np.uint32)
                 at = lines.text[lines.filled]
-                columns = (part.column("_block").to_numpy()[at], lines.key, part.column("_doc").to_numpy()[at], lines.number[lines.filled].astype(np.int32), part.column("_mark").to_numpy()[at])
+                columns = (part.column("_block").to_numpy()[at], lines.key, part.column("_doc").to_numpy()[at], lines.number[lines.filled].astype(np.int32), part.column("_mark").to_numpy()[at], *lines.wide(), lines.size)
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(at), pa.binary())], names)
         for k, own in enumerate(np.split(counts, PARTS)):
             if own.any():
                 one = pa.array([0], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([k], pa.int64()), one, pa.array([0], pa.int32()), one, pa.array([zstandard.compress(own.tobytes())], pa.binary())], names)
+                none = pa.array([0], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([k], pa.int64()), one, none, one, one, one, none, pa.array([zstandard.compress(own.tobytes())], pa.binary())], names)
 
     def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sums of the counts of each part that a task has."""
@@ -326,36 +404,50 @@ def _dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
                 sums[k] = sums.get(k, 0) + own.astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([zstandard.compress(rarity(x).tobytes()) for x in sums.values()], pa.binary())], ["key", "codes"])
 
-    lines = materialise(blocks.select("text", "_block", "_doc", "_mark").mapInArrow(scan, "_block int, key long, doc long, number int, mark long, counts binary"))
+    lines = materialise(blocks.select("text", "_block", "_doc", "_mark").mapInArrow(scan, "_block int, key long, doc long, number int, mark long, low long, high long, size int, counts binary"))
     codes = np.zeros((PARTS, BUCKETS // PARTS), np.uint8)
     for row in lines.where("_block = -1").select("key", "counts").repartition(PARTS, "key").mapInArrow(add, "key long, codes binary").collect():  # PARTS rows, of a fixed size together
         codes[row["key"]] = np.frombuffer(zstandard.decompress(bytes(row["codes"])), np.uint8)
     counts = spark.sparkContext.broadcast(zstandard.compress(codes.tobytes()))
-    lines = lines.where("_block >= 0").drop("counts")
-    classes = materialise(lines.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc", "number", "mark")).alias("keep")))
+    lines = lines.where("_block >= 0")
+    classes = materialise(lines.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc", "number", "mark", "low", "high", "size")).alias("keep")))
+    lines = lines.drop("counts", "low", "high", "size")
+
+    parts = ranges(spark)
 
-    def post(batches: Iterator[pa.RecordBatch], words: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = np.frombuffer(zstandard.decompress(counts.value), np.uint8)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                lines = Lines(part.column("text"), words)
-                at, packed, before, parity = prefixes(lines, codes, words)
-                line = lines.filled[at]
-                columns = (packed, lines.key[at], part.column("_doc").to_numpy()[lines.text[line]], lines.number[line] << 32 | before, parity)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], list(COLUMNS))
-
-    shape = "packed long, key long, doc long, line long, parity long"
-    found = materialise(candidates(blocks.select("text", "_doc").mapInArrow(post, shape)))
-    pairs = found.select("later", "earlier").distinct()
-    similar_to = materialise(verified(pairs, blocks, classes).select(F.col("later").alias("key")).distinct())
-    # classes with more candidates than were reported, none of which held: all candidates at those words
-    left = materialise(found.where("more").join(similar_to, found["later"] == similar_to["key"], "left_anti").select("later", "word").distinct())
-    if not left.isEmpty():
-        words = spark.sparkContext.broadcast(key_map(left.select(F.col("word").alias("key"))))
-        again = blocks.select("text", "_doc").mapInArrow(lambda batches: post(batches, words.value), shape)
-        doubted = left.select(F.col("later").alias("key")).distinct()
-        more = candidates(again, spark.sparkContext.broadcast(key_map(doubted))).join(doubted, F.col("later") == F.col("key"), "left_semi").select("later", "earlier").distinct()
-        similar_to = similar_to.union(verified(materialise(more), blocks, classes).select(F.col("later").alias("key"))).distinct()
+
+        def rows() -> Iterator[list[np.ndarray]]:
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    lines = Lines(part.column("text"))
+                    at, packed, before, parity = prefixes(lines, codes)
+                    line = lines.filled[at]
+                    yield [packed, lines.key[at], part.column("_doc").to_numpy()[lines.text[line]], lines.number[line] << 32 | before, parity]
+
+        return bundled(rows(), parts)
+
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return bundled(([batch.column(c).to_numpy() for c in COLUMNS] for batch in batches), parts)
+
+    found = materialise(candidates(blocks.select("text", "_doc").mapInArrow(post, BUNDLES)))
+    # of the candidates of a class the nearest is looked at first, and mostly holds
+    pairs = materialise(likely(found.where("later is not null").select("later", "earlier").distinct(), classes))
+    nearest = pairs.groupBy("later").agg(F.min(F.struct("far", "earlier", "later_at", "earlier_at")).alias("best")).select("later", "best.*")
+    similar_to = materialise(verified(materialise(nearest), blocks).select(F.col("later").alias("key")).distinct())
+    # the rest of the others' candidates; where more were met than reported, all of them, from the rows of those words
+    held = similar_to.select(F.col("key").alias("later"))
+    rest = pairs.join(held, "later", "left_anti")
+    more = materialise(found.where("more").join(held, "later", "left_anti").select("later", "word").distinct())
+    if not more.isEmpty():
+        again = found.where("later is null").join(more.select("word").distinct(), "word", "left_semi").select(*COLUMNS).mapInArrow(bundle, BUNDLES)
+        doubted = more.select("later").distinct()
+        known = spark.sparkContext.broadcast(key_map(doubted.select(F.col("later").alias("key"))))
+        rest = rest.union(likely(candidates(again, known).join(doubted, "later", "left_semi").select("later", "earlier").distinct(), classes))
+    rest = materialise(rest.join(nearest.select("later", "earlier"), ["later", "earlier"], "left_anti").select(*pairs.columns).distinct())
+    if not rest.isEmpty():
+        similar_to = similar_to.union(verified(rest, blocks).select(F.col("later").alias("key"))).distinct()
 
     gone = classes.join(similar_to.withColumn("_similar", F.lit(True)), "key", "left").where("n > 1 or _similar")
     first = (F.col("doc") == F.col("keep.doc")) & (F.col("number") == F.col("keep.number")) & (F.col("mark") == F.col("keep.mark"))

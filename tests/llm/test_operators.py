@@ -620,6 +620,46 @@ def test_substrings(spark):
     assert [got[i] for i in range(len(texts))] == substrings.brute_force([t or "" for t in texts])
 
 
+def test_line_join_asks_for_few_texts(spark, monkeypatch):
+    """Pairs just below the threshold are told apart by their wide maps, before any text is fetched."""
+    asked, plain = [], linejoin.verified
+    monkeypatch.setattr(linejoin, "verified", lambda pairs, *rest: asked.append(pairs.count()) or plain(pairs, *rest))
+    rows = []
+    for i in range(60):
+        words = [f"w{i}x{k}" for k in range(56)]
+        rows += [(2 * i, " ".join(words[:50])), (2 * i + 1, " ".join(words[6:]))]  # 44 of 56 words
+    rows += [(200, " ".join(f"w0x{k}" for k in range(1, 51))), (201, " ".join(f"w1x{k}" for k in range(49)))]
+    got = sorted((r["doc_id"], r["n_lines"], r["n_removed"], r["text"]) for r in linejoin.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(i, *found) for (i, _), found in zip(rows, linejoin.brute_force(rows), strict=True)]
+    assert [r[0] for r in got if r[2]] == [200, 201]
+    assert sum(asked) < 30
+
+
+def test_line_join_keeps_rows_for_the_second_round(spark):
+    """Rows of a word at which a class has more candidates than are reported come along, others don't; bundles lose none."""
+    many = [[5 << 32 | 20 << 16, k, k, 0, 0] for k in range(7)]
+    few = [[1 << 30 << 32 | 20 << 16, k, k, 0, 0] for k in range(3)]
+    columns = [np.array(x, np.int64) for x in zip(*many, *few, strict=True)]
+    parts = linejoin.ranges(spark)
+    bundles = list(linejoin.bundled(iter([[x[:4] for x in columns], [x[4:] for x in columns]]), parts))
+    assert sum(len(b.column("packed").values) for b in bundles) == 10
+    found = linejoin.candidates(spark.createDataFrame(bundles[0].to_pylist(), linejoin.BUNDLES)).collect()
+    assert sorted(r["key"] for r in found if r["later"] is None) == list(range(7))
+    assert {r["later"] for r in found if r["more"]} == {5, 6}
+    assert {(r["later"], r["earlier"]) for r in found if r["word"] == 1 << 30} == {(1, 0), (2, 0), (2, 1)}
+
+
+def test_line_join_wide_map():
+    """Both halves hold each word of a line once, by the bits of its hash."""
+    lines = linejoin.Lines(linejoin.pa.array(["a b c a", "", "d\ne f g h i j"]))
+    for k, (low, high) in enumerate(zip(*lines.wide(), strict=True)):
+        want = 0
+        for w in lines.words[lines.nth == k].tolist():
+            want ^= 1 << ((w >> 40 & 63) + (0 if w >> 46 & 1 else 64))
+        assert (int(low) & (2**64 - 1)) | (int(high) & (2**64 - 1)) << 64 == want
+
+
+
 def test_substrings_of_a_common_line(spark):
     """A line in many documents, with other words around it in each, doesn't bring all its segments to one task."""
     line = [f"licence{i}" for i in range(30)]
