@@ -632,7 +632,7 @@ def test_line_join_asks_for_few_texts(spark, monkeypatch):
     got = sorted((r["doc_id"], r["n_lines"], r["n_removed"], r["text"]) for r in linejoin.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(i, *found) for (i, _), found in zip(rows, linejoin.brute_force(rows), strict=True)]
     assert [r[0] for r in got if r[2]] == [200, 201]
-    assert sum(asked) < 30
+    assert sum(asked) == 2  # the two that hold; the 64-bit maps alone leave a third
 
 
 def test_line_join_keeps_rows_for_the_second_round(spark):
