@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, ODD, fresh, in_blocks, materialise, mix, slices, span_hashes, string_buffers, whole_text, word_spans
+from .common import IS_SPACE, ODD, fresh, in_blocks, materialise, mix, slices, span_hashes, string_buffers, tidy, whole_text, word_spans
 
 #: Buckets of word counts, and the parts in which tasks send them.
 BUCKETS, PARTS = 1 << 24, 64
@@ -290,7 +290,7 @@ def candidates(postings: DataFrame, wanted=None) -> DataFrame:
         if kept:
             yield from flush()
 
-    return dealt.mapInArrow(run, "later long, earlier long, word long, more boolean, apart int, " + SHAPE)
+    return dealt.mapInArrow(tidy(run), "later long, earlier long, word long, more boolean, apart int, " + SHAPE)
 
 
 def similar(a: bytes, b: bytes) -> bool:
@@ -350,7 +350,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(mark[hit]), pa.array(lines.number[hit].astype(np.int32)), pa.array([lines.line(i) for i in hit], pa.binary())], ["doc", "mark", "number", "line"])
 
     place = ["doc", "mark", "number"]
-    texts = docs.select("text", "_doc", "_mark").mapInArrow(fetch, "doc long, mark long, number int, line binary").join(asked, place)
+    texts = docs.select("text", "_doc", "_mark").mapInArrow(tidy(fetch), "doc long, mark long, number int, line binary").join(asked, place)
     texts = materialise(texts.groupBy(*place, "key").agg(F.first("line").alias("line")).select("key", "line"))
     one, other = (texts.select(F.col("key").alias(k), F.col("line").alias(f"{k}_line")) for k in ("later", "earlier"))
 
@@ -359,7 +359,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             good = [similar(a, b) for a, b in zip(batch.column("later_line").to_pylist(), batch.column("earlier_line").to_pylist(), strict=True)]
             yield batch.select(["later", "earlier"]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.select("later", "earlier").join(one, "later").join(other, "earlier").select("later", "earlier", "later_line", "earlier_line").mapInArrow(check, "later long, earlier long")
+    return pairs.select("later", "earlier").join(one, "later").join(other, "earlier").select("later", "earlier", "later_line", "earlier_line").mapInArrow(tidy(check), "later long, earlier long")
 
 
 def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -404,9 +404,9 @@ def _dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
                 sums[k] = sums.get(k, 0) + own.astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([zstandard.compress(rarity(x).tobytes()) for x in sums.values()], pa.binary())], ["key", "codes"])
 
-    lines = materialise(blocks.select("text", "_block", "_doc", "_mark").mapInArrow(scan, "_block int, key long, doc long, number int, mark long, low long, high long, size int, counts binary"))
+    lines = materialise(blocks.select("text", "_block", "_doc", "_mark").mapInArrow(tidy(scan), "_block int, key long, doc long, number int, mark long, low long, high long, size int, counts binary"))
     codes = np.zeros((PARTS, BUCKETS // PARTS), np.uint8)
-    for row in lines.where("_block = -1").select("key", "counts").repartition(PARTS, "key").mapInArrow(add, "key long, codes binary").collect():  # PARTS rows, of a fixed size together
+    for row in lines.where("_block = -1").select("key", "counts").repartition(PARTS, "key").mapInArrow(tidy(add), "key long, codes binary").collect():  # PARTS rows, of a fixed size together
         codes[row["key"]] = np.frombuffer(zstandard.decompress(bytes(row["codes"])), np.uint8)
     counts = spark.sparkContext.broadcast(zstandard.compress(codes.tobytes()))
     lines = lines.where("_block >= 0")
@@ -431,7 +431,7 @@ def _dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return bundled(([batch.column(c).to_numpy() for c in COLUMNS] for batch in batches), parts)
 
-    found = materialise(candidates(blocks.select("text", "_doc").mapInArrow(post, BUNDLES)))
+    found = materialise(candidates(blocks.select("text", "_doc").mapInArrow(tidy(post), BUNDLES)))
     # of the candidates of a class the nearest is looked at first, and mostly holds
     pairs = materialise(likely(found.where("later is not null").select("later", "earlier").distinct(), classes))
     nearest = pairs.groupBy("later").agg(F.min(F.struct("far", "earlier", "later_at", "earlier_at")).alias("best")).select("later", "best.*")
@@ -441,7 +441,7 @@ def _dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     rest = pairs.join(held, "later", "left_anti")
     more = materialise(found.where("more").join(held, "later", "left_anti").select("later", "word").distinct())
     if not more.isEmpty():
-        again = found.where("later is null").join(more.select("word").distinct(), "word", "left_semi").select(*COLUMNS).mapInArrow(bundle, BUNDLES)
+        again = found.where("later is null").join(more.select("word").distinct(), "word", "left_semi").select(*COLUMNS).mapInArrow(tidy(bundle), BUNDLES)
         doubted = more.select("later").distinct()
         known = spark.sparkContext.broadcast(key_map(doubted.select(F.col("later").alias("key"))))
         rest = rest.union(likely(candidates(again, known).join(doubted, "later", "left_semi").select("later", "earlier").distinct(), classes))

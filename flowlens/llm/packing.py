@@ -15,7 +15,6 @@ import re
 import zlib
 from bisect import insort
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, whole_text
+from .common import keep, materialise, slices, tidy, whole_text
 
 #: Fixed value: the characters that Unicode calls white space.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -125,9 +124,8 @@ class WordTokens:
         return b"".join(out)
 
 
-@lru_cache(2)
 def load(path: str) -> WordTokens:
-    return WordTokens(path)
+    return keep(path, lambda: WordTokens(path))
 
 
 def pieces(df: DataFrame, path: str, end_id: int, most: int = 4096) -> DataFrame:
@@ -146,7 +144,7 @@ def pieces(df: DataFrame, path: str, end_id: int, most: int = 4096) -> DataFrame
                         row.append(i), start.append(at // 4), length.append(len(piece) // 4), crc.append(zlib.crc32(piece)), total.append(len(ids) // 4)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return df.select("doc_id", whole_text().alias("_text")).mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    return df.select("doc_id", whole_text().alias("_text")).mapInArrow(tidy(run, path), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def shortest_pack_first(histogram: dict[int, int], most: int) -> list[tuple[int, list[int]]]:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, whole_text
+from .common import slices, tidy, whole_text
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 #: Kinds that have a base pattern, and the labels of the field: none, or one more than the kind.
@@ -406,7 +406,7 @@ def gather(texts: DataFrame, sample: int) -> list[np.ndarray]:
                 some = np.unique(np.linspace(0, len(found) - 1, min(len(found), FITTED)).astype(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in (features(text, found)[some], y[some], *pairs)], ["x", "y", "chain", "skip"])
 
-    some = texts.where(MARK_SQL).where(F.xxhash64("_text") <= edge).orderBy(F.xxhash64("_text")).limit(sample).mapInArrow(run, "x binary, y binary, chain binary, skip binary").toArrow()
+    some = texts.where(MARK_SQL).where(F.xxhash64("_text") <= edge).orderBy(F.xxhash64("_text")).limit(sample).mapInArrow(tidy(run), "x binary, y binary, chain binary, skip binary").toArrow()
     return [np.frombuffer(b"".join(some.column(c).to_pylist()), np.float32).astype(np.float64) for c in ("x", "y", "chain", "skip")]
 
 
@@ -427,7 +427,7 @@ def scan(docs: DataFrame, model: Model | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", "base", "spans"])
 
     spans = "array<struct<kind: string, start: bigint, end: bigint>>"
-    return docs.select("doc_id", whole_text().alias("_text")).mapInArrow(run, f"doc_id {kind}, base {spans}, spans {spans}")
+    return docs.select("doc_id", whole_text().alias("_text")).mapInArrow(tidy(run), f"doc_id {kind}, base {spans}, spans {spans}")
 
 
 def redact(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
@@ -449,7 +449,7 @@ def redact(docs: DataFrame, model: Model | None, text: str = "text") -> DataFram
                 out.append("".join([*parts, own[end:]]))
             yield batch.set_column(at, text, pa.array(out, pa.string()))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(tidy(clean), docs.schema)
 
 
 def span_report(docs: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import IS_SPACE, fold, fresh, slices, span_hashes, string_buffers, whole_text
+from .common import IS_SPACE, fold, fresh, slices, span_hashes, string_buffers, tidy, whole_text
 
 #: Labelled documents to fit on, at most.
 SAMPLE = 4000
@@ -30,6 +30,8 @@ CHAIN = 64
 #: Chains of a document that are fitted on at most.
 CHAINS = 32
 ROUNDS = 150
+#: Bytes of text that a task works on at once.
+SLICE = 1 << 20
 
 
 def _byte_classes() -> np.ndarray:
@@ -67,7 +69,8 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> Lines:
     kinds = KINDS[data] if len(data) else np.zeros(0, np.int8)
 
     def within(mask: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
+        total = np.zeros(len(mask) + 1, np.int64)
+        np.cumsum(mask, out=total[1:])
         return total[ends] - total[starts]
 
     n = np.maximum(size, 1)
@@ -168,13 +171,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "_text", SLICE):
                 lines = line_features(*string_buffers(part.column("_text")))
                 cuts = np.cumsum(lines.count)[:-1]
                 blobs = [spaced(x).tobytes() for x in np.split(lines.features, cuts)]
                 yield pa.RecordBatch.from_arrays([part.column("_label"), pa.array(blobs, pa.binary())], ["label", "features"])
 
-    found = sorted((r["label"], bytes(r["features"])) for r in rows.mapInArrow(run, "label int, features binary").collect())
+    found = sorted((r["label"], bytes(r["features"])) for r in rows.mapInArrow(tidy(run), "label int, features binary").collect())
     tables = [(label, np.frombuffer(x, np.float32).reshape(-1, 3 * OWN)) for label, x in found]
     chains = [(label, x[i : i + CHAIN]) for label, x in tables for i in range(0, len(x), CHAIN)]
     count = np.array([len(x) for _, x in chains], np.int64)
@@ -207,10 +210,10 @@ def score(docs: DataFrame, model: Chain, to: str = "score", text: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, whole):
+            for part in slices(batch, whole, SLICE):
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(score_batch(known.value, part.column(whole)))], [*kept, to])
 
-    return named.mapInArrow(run, T.StructType([*named.schema.fields[:-1], T.StructField(to, T.DoubleType())]))
+    return named.mapInArrow(tidy(run), T.StructType([*named.schema.fields[:-1], T.StructField(to, T.DoubleType())]))
 
 
 def held_out_scores(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1) -> DataFrame:

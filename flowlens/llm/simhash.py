@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise, mix, slices, whole_text
+from .common import fresh, materialise, mix, slices, tidy, whole_text
 from .graph import components
 
 SEED = 42
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, text: str = "text", to: str = "fp") -> DataFra
                 prints = np.array([fingerprint(x) for x in part.column("_text").to_pylist()], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(prints)], ["doc_id", to])
 
-    return docs.select("doc_id", whole_text(text).alias("_text")).mapInArrow(run, f"doc_id {kind}, {to} long")
+    return docs.select("doc_id", whole_text(text).alias("_text")).mapInArrow(tidy(run), f"doc_id {kind}, {to} long")
 
 
 def masks() -> list[int]:
@@ -139,7 +139,7 @@ def links(prints: DataFrame, most: int = 3) -> DataFrame:
             yield edges(*(x[~open_group] for x in rows))
         yield edges(*kept)
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(tidy(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, most: int = 3) -> DataFrame:

@@ -512,6 +512,32 @@ def test_repeated_ids_and_clashing_names(spark):
     assert quality.held_out_scores(docs, labels).count() == 3
 
 
+def test_workers_give_memory_back(monkeypatch):
+    """A task of another operator drops the tokenizer that its worker keeps, and gives back what it used; scores take
+    little memory besides the text."""
+    import tracemalloc
+
+    from flowlens.llm import common
+
+    calls = []
+    monkeypatch.setattr(common, "_KEPT", {})
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(sorted(common._KEPT)))
+    path = P.path("word_bpe_49k.json")
+    tokens = packing.load(path)
+    assert list(common.tidy(iter, path)(iter("ab"))) == ["a", "b"] and packing.load(path) is tokens
+    assert list(common.tidy(iter)(iter("c"))) == ["c"] and packing.load(path) is not tokens
+    assert calls == [[path], []]
+
+    none = quality.fit(np.zeros((0, 3 * quality.OWN)), np.zeros(0, np.int64), np.zeros(0))
+    batch = pa.record_batch([pa.array(["Some words of a line.\n" * 50] * 4000)], ["text"])
+    tracemalloc.start()
+    for part in common.slices(batch, "text", quality.SLICE):
+        quality.score_batch(none, part.column("text"))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 80e6, most
+
+
 def test_quality_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["score"] for r in quality.held_out_scores(docs, none).collect()} == {0.5}
