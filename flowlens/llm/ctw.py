@@ -133,6 +133,30 @@ def by_share(share: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(share[own[0]]), own
 
 
+def keys_of(texts: pa.Array) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """The key and the text of every word, every run and where each text's begin, and the bytes of each text."""
+    data, offsets = string_buffers(texts)
+    data = lower_ascii(data)
+    starts, ends, text = word_spans(data, offsets)
+    return (span_hashes(data, starts, ends) >> np.uint64(1), text), byte_runs(data, offsets), np.diff(offsets)
+
+
+def distinct_of(keys: np.ndarray) -> np.ndarray:
+    own = np.sort(keys)
+    return own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own
+
+
+def looked_up(keys: np.ndarray, known: np.ndarray, answers: np.ndarray) -> np.ndarray:
+    """The answer to each key; known: distinct keys in order, the given ones among them. Only distinct keys are searched
+    for, and in order, as a search for each takes several times as long."""
+    order = np.argsort(keys)
+    own = keys[order]
+    new = np.concatenate([[True], own[1:] != own[:-1]]) if len(own) else np.zeros(0, bool)
+    out = np.empty(len(keys), answers.dtype)
+    out[order] = answers[np.searchsorted(known, own[new])][np.cumsum(new) - 1]
+    return out
+
+
 class Asked:
     """What the texts of a block ask for; slices are added one by one."""
 
@@ -140,11 +164,9 @@ class Asked:
         self.words, self.runs = [], []
 
     def add(self, texts: pa.Array, train: np.ndarray) -> None:
-        data, offsets = string_buffers(texts)
-        data = lower_ascii(data)
-        starts, ends, text = word_spans(data, offsets)
-        self.words.append(tally(span_hashes(data, starts, ends) >> np.uint64(1), train[text]))
-        self.runs.append(tally(byte_runs(data, offsets)[0], np.repeat(train, np.diff(offsets) + 1)))
+        (words, text), (runs, _), sizes = keys_of(texts)
+        self.words.append(tally(words, train[text]))
+        self.runs.append(tally(runs, np.repeat(train, sizes + 1)))
 
     def keys(self) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
         return merged(self.words), merged(self.runs)
@@ -385,28 +407,25 @@ def train_and_score(docs: DataFrame, parts: int = 7, held: int = 2) -> DataFrame
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
         give_back()
         kept = [b for b in pa.ipc.open_stream(zstandard.decompress(texts.column("keys")[0].as_py()))]
-        asked = Asked()
+        asked: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
         for part in kept:
-            asked.add(part.column("text"), np.zeros(part.num_rows, bool))
+            for some, (keys, _) in zip(asked, keys_of(part.column("text")), strict=False):
+                some.append(distinct_of(keys))
         tables = []
-        for kind, (keys, _), share, by, form in zip((WORDS, RUNS), asked.keys(), (word_share, share_of), (shares, edges), (np.int64, np.float32), strict=True):
-            own = answers.filter(pa.compute.equal(answers.column("kind"), kind)).sort_by("part")
+        for kind, some, form in zip((WORDS, RUNS), asked, (np.int64, np.float32), strict=True):
+            own = answers.filter(pa.compute.equal(answers.column("kind"), kind)).sort_by("part")  # shares are ranges, in order
             got = [expand(x, form) for x in own.column("answer").to_pylist()]
-            order = np.argsort(share(keys, by), kind="stable")  # answers come share by share
-            values = np.zeros(len(keys) + 1, form)
-            values[order] = np.concatenate(got) if got else np.zeros(0, form)
-            tables.append((keys, values))
+            keys = np.concatenate(some)
+            some.clear()
+            tables.append((distinct_of(keys), np.concatenate(got) if got else np.zeros(0, form)))
+        del keys
         columns: list[list[np.ndarray]] = [[], [], [], [], []]
         for part in kept:
-            data, offsets = string_buffers(part.column("text"))
-            data, n = lower_ascii(data), part.num_rows
-            starts, ends, text = word_spans(data, offsets)
-            (words, counts), (runs, chances) = tables
-            c = counts[np.searchsorted(words, span_hashes(data, starts, ends) >> np.uint64(1))]
+            (words, text), (runs, begin), sizes = keys_of(part.column("text"))
+            n, c = len(sizes), looked_up(words, *tables[0])
             base = np.bincount(text, weights=np.log10(c + 1) - scale, minlength=n) + np.log10(n_docs + 1) - scale
-            own, begin = byte_runs(data, offsets)
-            model = np.add.reduceat(chances[np.searchsorted(runs, own)].astype(np.float64), begin)
-            found = (np.bincount(text, minlength=n) + 1, np.bincount(text[c > 0], minlength=n) + (n_docs > 0), base, model, np.diff(offsets))
+            model = np.add.reduceat(looked_up(runs, *tables[1]).astype(np.float64), begin)
+            found = (np.bincount(text, minlength=n) + 1, np.bincount(text[c > 0], minlength=n) + (n_docs > 0), base, model, sizes)
             for column, values in zip(columns, found, strict=True):
                 column.append(values)
         some = [np.concatenate(x) for x in columns]

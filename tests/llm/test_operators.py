@@ -316,6 +316,16 @@ def test_ctw_over_blocks(spark, monkeypatch):
     assert [r[:5] for r in one] == [r[:5] for r in other] and np.allclose([r[5:] for r in one], [r[5:] for r in other], rtol=1e-6)
 
 
+def test_ctw_searches_for_distinct_keys(monkeypatch):
+    """Answers reach every key, and only distinct keys are searched for: a search for each one failed the check."""
+    known, keys, search, sought = np.array([0, 2, 3, 5, 9, 1 << 55], np.uint64), np.array([9, 3, 9, 9, 1 << 55, 0, 3], np.uint64), np.searchsorted, []
+    monkeypatch.setattr(np, "searchsorted", lambda a, v: sought.append(v.tolist()) or search(a, v))
+    assert ctw.looked_up(keys, known, known.astype(np.float64) / 2).tolist() == (keys.astype(np.float64) / 2).tolist()
+    assert sought == [[0, 3, 9, 1 << 55]]
+    assert len(ctw.looked_up(keys[:0], known, known)) == 0 == len(ctw.looked_up(keys[:0], known[:0], known[:0]))
+    assert ctw.distinct_of(keys).tolist() == [0, 3, 9, 1 << 55] and len(ctw.distinct_of(keys[:0])) == 0
+
+
 def test_ctw_predicts_held_out_texts(spark):
     """As good as words that the training texts know, on a small corpus; nothing of a held-out text is learned."""
     rows = ctw.train_and_score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").select("score", "base_score", "bits_per_byte").collect()
