@@ -390,6 +390,30 @@ def test_bpe_same_as_library(docs):
         assert coder.encode(text).tolist() == library.encode_ordinary(text)
 
 
+def test_bpe_new_pieces_share_their_beginnings(monkeypatch):
+    """Texts encoded together: a piece goes on from the one before it, whatever the caches keep; ids are the library's."""
+    import tiktoken
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    coder = bpe.BytePairs(bpe.load(path, P.PATTERN).ranks, P.PATTERN)
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=coder.ranks, special_tokens={})
+    extend, steps = coder.extend, []
+    monkeypatch.setattr(coder, "extend", lambda piece, last: steps.append(len(piece) - len(last)) or extend(piece, last))
+    assert [len(x) > 1 for x in coder.encode_all(["zqzqzqzqa zqzqzqzqb", "zqzqzqzqa", "zqzqzqzqac"])] == [True] * 3
+    assert sorted(steps) == [1, 9, 10]  # 29 entries if each new piece starts anew
+    monkeypatch.setattr(bpe, "CACHE", 7)
+    monkeypatch.setattr(bpe, "AT_ONCE", 11)
+    signs = ["a", "the", "  ", "\n", " ", "'s", "1", "é", "漢字", "\x1c", "\x85", "--", "😀", "ing", "x" * 70]
+    texts = ["".join(R.choice(signs) for _ in range(R.randint(0, 40))) for _ in range(300)]
+    ids = coder.encode_all(texts)
+    assert [x.tolist() for x in ids] == [library.encode_ordinary(t) for t in texts] and coder.encode_all([]) == []
+    rows = bpe.ids_column([*ids, np.zeros(0, np.int32)])
+    assert coder.decode_all(rows.slice(100)).to_pylist() == [*(t.encode() for t in texts[100:]), b""]
+    assert coder.decode_all(pa.array([[97], None, []], pa.list_(pa.int32()))).to_pylist() == [coder.decode([97]), b"", b""]
+    with pytest.raises(KeyError):
+        coder.decode_all(pa.array([[97, None]], pa.list_(pa.int32())))
+
+
 def test_bpe_appends_and_edits():
     coder = bpe.load(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
     piece = b"thisisatextwithmanyrerererepeats" * 4
