@@ -1,5 +1,6 @@
 """Clustering and trained models: domains of labels, known groups, and the same results twice."""
 
+import collections
 import random
 
 import numpy as np
@@ -111,3 +112,32 @@ def test_all_k_at_once(spark):
     assert cluster.manyk.elbow([(k, 100.0 - k, s) for k, s in ((3, 0.1), (4, 0.9), (5, 0.2))]) == 4
     assert cluster.manyk.elbow([(3, 100.0, 0.1), (4, 20.0, 0.1), (5, 10.0, 0.5), (6, 5.0, 0.1)]) == 4
     assert cluster.choose_k(df.limit(5)) == 2
+
+
+@pytest.mark.parametrize(("most", "least_df", "share"), [(5, 2, 1.0), (40, 2, 0.95), (200, 3, 0.5), (10_000, 1, 1.0), (60, 9, 0.9)])
+def test_frequent_terms_same_as_slow_version(spark, monkeypatch, most, least_df, share):
+    """Words, pairs and triples by how often they occur, the number of their texts, ties by name; a few words at once."""
+    monkeypatch.setattr(cluster.terms, "AT_ONCE", 50)
+    draw = random.Random(6)
+    texts = [[draw.choice("a b b c c c d dd é 漢".split()) for _ in range(draw.randrange(12))] for _ in range(60)] + [[], ["once"], ["on", "and", "on"] * 9, ["hot"] * 300]
+    n, df = collections.Counter(), collections.Counter()
+    for words in texts:
+        own = [" ".join(words[i : i + k]) for k in (1, 2, 3) for i in range(len(words) - k + 1)]
+        n.update(own)
+        df.update(set(own))
+    want = [(t, df[t]) for t in sorted(n, key=lambda t: (-n[t], t)) if least_df <= df[t] <= share * len(texts)][:most]
+    rows = spark.createDataFrame([(w,) for w in texts], "_kept array<string>").repartition(3)
+    assert cluster.terms.frequent(rows, most, least_df, share * len(texts)) == want
+
+
+def test_vectors_stay_sparse(spark):
+    """A text's vector holds what is in the text, not a number for each term; weights are those of the formula."""
+    texts = spark.createDataFrame([(i, f"word{i % 50} common other{i % 7}") for i in range(100)] + [(100, None), (101, "")], "id int, text string")
+    vectors, names = cluster.tfidf(texts, max_df=1.0)
+    got = {r["id"]: r["vector"] for r in vectors.collect()}
+    assert len(got) == 102 and len(names) > 100 and all(len(v.toArray()) == len(names) and type(v).__name__ == "SparseVector" and v.numNonzeros() <= 6 for v in got.values())
+    weight = {t: 1 + np.log(103 / (1 + sum(f" {t} " in f" word{i % 50} common other{i % 7} " for i in range(100)))) for t in names}
+    own = np.array([weight[t] if f" {t} " in " word3 common other3 " else 0.0 for t in names])
+    assert np.allclose(got[3].toArray(), own / np.sqrt((own**2).sum()))
+    pairs = vectors.where("id = 3").select(cluster.manyk.entries(F.col("vector"))).first()[0]
+    assert {(p["at"], round(p["x"], 9)) for p in pairs} == {(i, round(float(x), 9)) for i, x in enumerate(got[3].toArray()) if x}
