@@ -29,3 +29,13 @@ def test_models_score_in_one_pass(spark):
     assert "Join" not in plan(got) and got.count() == 100  # a key that is there twice is scored twice
     each = [sorted(r["probability"] for r in cluster.predict_cases(df, [m]).collect()) for m in models]
     assert abs(sum(r["probability"] for r in got.collect()) - (sum(each[0]) + sum(each[1])) / 2) < 1e-3
+
+
+def test_cross_validation_reads_stored_rows(spark, monkeypatch):
+    """No fold works the log out again."""
+    seen = []
+    train = cluster.train_model
+    monkeypatch.setattr(cluster, "train_model", lambda rows, *a: seen.append(plan(rows)) or train(rows, *a))
+    query = analysis_queries.QUERIES["cross_validate"][0]
+    assert query(Tables(spark, FOLDER)).count() == 5
+    assert len(seen) == 5 and not any("Relation " in p for p in seen)
