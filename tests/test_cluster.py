@@ -141,3 +141,12 @@ def test_vectors_stay_sparse(spark):
     assert np.allclose(got[3].toArray(), own / np.sqrt((own**2).sum()))
     pairs = vectors.where("id = 3").select(cluster.manyk.entries(F.col("vector"))).first()[0]
     assert {(p["at"], round(p["x"], 9)) for p in pairs} == {(i, round(float(x), 9)) for i, x in enumerate(got[3].toArray()) if x}
+
+
+def test_qualities_are_stored(spark):
+    """One pass over wide vectors tells them all; asking again reads a row for each k."""
+    draw = np.random.default_rng(8)
+    df = spark.createDataFrame([(row,) for row in draw.normal(size=(60, 4)).tolist()], "v array<double>").select(array_to_vector("v").alias("vector"))
+    found = cluster.k_qualities(df, 3, 6)
+    assert "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r["k"] for r in found.collect()) == [3, 4, 5, 6] and found.agg(F.sum("n")).first()[0] == 240
