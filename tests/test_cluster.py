@@ -150,3 +150,9 @@ def test_qualities_are_stored(spark):
     found = cluster.k_qualities(df, 3, 6)
     assert "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(r["k"] for r in found.collect()) == [3, 4, 5, 6] and found.agg(F.sum("n")).first()[0] == 240
+
+
+def test_rounds_send_centers_few_times(spark):
+    df = spark.createDataFrame([([float(i), 1.0],) for i in range(90)], "v array<double>").repartition(40).select(array_to_vector("v").alias("vector"))
+    rows = cluster.manyk.sparse_rows(df)
+    assert rows.count() == 90 and rows.rdd.getNumPartitions() <= max(2, spark.sparkContext.defaultParallelism)
